@@ -127,14 +127,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_powers = {b: np.ones(1, dtype=U) for b in (BASE, INVERSE)}
+
+
+def _first_powers(base: int, n: int) -> np.ndarray:
+    """As powers(), kept between calls while n stays moderate."""
+    if len(_powers[base]) < n:
+        found = powers(base, n)
+        if n > 8 << 20:
+            return found
+        _powers[base] = found
+    return _powers[base][:n]
+
+
 class Prefix:
     """Prefix polynomial hashes over a sequence of 64-bit values: the hash of any slice in O(1)."""
 
     def __init__(self, values: np.ndarray):
         n = len(values)
         self.at = np.zeros(n + 1, dtype=U)
-        np.cumsum(values * powers(BASE, n), out=self.at[1:])
-        self.back = powers(INVERSE, n + 1)
+        np.cumsum(values * _first_powers(BASE, n)[:n], out=self.at[1:])
+        self.back = _first_powers(INVERSE, n + 1)
 
     def slices(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return (self.at[stop] - self.at[start]) * self.back[start]

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .packing import pack
+from .suffix_dedup import drop_repeated_bytes
 from .url_filter import url_filter
 from .warc import round_trip
+from .window_dedup import drop_repeated_windows
 
 #: host, path and verdict of the production rules.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -26,6 +28,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages")).drop("error")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_bytes(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op6_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_windows(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "rule_host string, rule_path string, verdict string")
     return url_filter(_table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -42,6 +52,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_window_dedup": op6_window_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_mixing": op10_mixing,
@@ -56,6 +68,27 @@ SELECT page_id, payload_bytes, d.payload_digest,
   CASE WHEN g.last IS NULL OR g.last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN g.last <> page_id THEN g.last END AS refers_to
 FROM d LEFT JOIN g ON payload_bytes >= 1000 AND d.payload_digest = g.payload_digest
+""",
+    "op5_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS rn FROM w) WHERE rn > 1),
+g AS (SELECT doc_id, i, CASE WHEN i > 100 + lag(i) OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE 0 END AS new FROM r),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+x AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS b FROM k GROUP BY 1, 2),
+y AS (SELECT doc_id, a, b, lag(b) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM x),
+z AS (SELECT d.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, (2 * coalesce(before, 0) + 1)::BIGINT, (2 * (a - coalesce(before, 0)))::BIGINT), '' ORDER BY a) || substr(any_value(h), (2 * max(b) + 1)::BIGINT) AS kept
+      FROM y JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN z USING (doc_id)
+""",
+    "op6_window_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS n FROM s) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM r),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS t, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM d) ANTI JOIN gone USING (doc_id, k) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """,
     "op7_url_filter": r"""
 WITH rules(rule_host, rule_path, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
