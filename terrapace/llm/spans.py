@@ -35,6 +35,7 @@ MERGE_ROWS = 1 << 20
 CHARS = 2 << 20
 
 #: kind 0: a span; 1: one that stands for several equal ones of its task; 2: a copy that its task has settled.
+#: 4 more: the minimiser enters the span's windows again, without which no window repeats within its span.
 SPANS = "h long, s long, __key long, start int, n int, kind byte"
 #: part and parts: the bucket's part and number of parts; kind 2: settled; 3: content wanted; 4: content wanted, all its windows are settled.
 MET = "h long, part int, parts int, __key long, start int, n int, kind byte"
@@ -42,7 +43,7 @@ CUT = "h long, part int, parts int, __key long, start int, n int, kind byte, con
 #: kind 0: settled windows; 1: a distinct window of one part of a bucket.
 RESOLVED = "digest binary, __key long, start int, n int, kind byte"
 
-#: texts (UTF-8) -> (minimiser of each window, position of each window's first unit, hashes of spans given as (first window, last window), text of each window)
+#: texts (UTF-8) -> (offset, minimiser of each window, whether its last sub-window has the minimiser, position of its first unit, hashes of spans given as (first, after last) window, text of each window)
 Windows = Callable[[list[bytes]], tuple]
 #: contents, group of each, windows of each -> class of each window (equal windows of a group have one class), as positions of the windows
 Resolve = Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
@@ -63,14 +64,15 @@ def runs(least: np.ndarray, text: np.ndarray, first: np.ndarray) -> tuple[np.nda
 
 
 def _merged(rows: list[np.ndarray], first_stays: bool) -> pd.DataFrame:
-    h, s, key, start, n = (np.concatenate(x) for x in zip(*rows))
+    h, s, key, start, n, twice = (np.concatenate(x) for x in zip(*rows))
     both = h ^ (s * np.int64(0x2545F4914F6CDD1D))
     order = np.lexsort((start, key, both))
-    h, s, key, start, n = h[order], s[order], key[order], start[order], n[order]
+    h, s, key, start, n, twice = (x[order] for x in (h, s, key, start, n, twice))
     again = np.concatenate(([False], (h[1:] == h[:-1]) & (s[1:] == s[:-1])))
     kind = np.where(again, 2, 0).astype(np.int8)
     lead = np.flatnonzero(~again)
     kind[lead[np.append(again[1:], False)[lead]]] = 1
+    kind[~again & twice] += 4
     h = np.where(again, key * np.int64(0x9E3779B97F4A7C1) + start, h)
     return pd.DataFrame({"h": h, "s": s, KEY: key, "start": start.astype(np.int32), "n": n.astype(np.int32), "kind": kind})
 
@@ -83,13 +85,14 @@ def _emit(windows: Windows, first_stays: bool):
             for frame in group:
                 texts += [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in frame["__text"]]
                 keys += frame[KEY].tolist()
-            for offsets, least, at, span_hash, text in windows(texts):
+            for offsets, least, enters, at, span_hash, text in windows(texts):
                 start, stop = runs(least, text, at)
                 if not len(start):
                     continue
                 s = span_hash(start, stop).view(np.int64)
                 key = np.array(keys, dtype=np.int64)[text[start]]
-                rows.append((least[start].view(np.int64), s, key, at[start] + offsets, stop - start))
+                entered = np.cumsum(enters)
+                rows.append((least[start].view(np.int64), s, key, at[start] + offsets, stop - start, entered[stop - 1] > entered[start]))
                 held += len(start)
                 if held >= MERGE_ROWS:
                     yield _merged(rows, first_stays)
@@ -136,14 +139,14 @@ def _meet(first_stays: bool, bucket: int):
                 new_h = np.concatenate(([True], h[1:] != h[:-1]))
                 new_s = new_h | np.concatenate(([True], s[1:] != s[:-1]))
                 sub = np.cumsum(new_s) - 1
-                count = np.bincount(sub) + np.bincount(sub, weights=kind == 1).astype(np.int64)
+                count = np.bincount(sub) + np.bincount(sub, weights=kind % 4 == 1).astype(np.int64)
                 of_h = np.cumsum(new_h) - 1
                 kinds = np.bincount(of_h, weights=new_s).astype(np.int64)[of_h]
                 rank = sub - sub[np.flatnonzero(new_h)][of_h]
                 repeated = count[sub] > 1
                 settled = ~new_s if first_stays else repeated
                 out.append((h[settled], key[settled], start[settled], n[settled], np.full(settled.sum(), 2, np.int8), np.zeros(settled.sum(), np.int64), np.ones(settled.sum(), np.int64)))
-                ask = new_s & (kinds > 1)
+                ask = new_s & ((kinds > 1) | (kind >= 4))
                 whole = repeated[ask] & (not first_stays)
                 out.append((h[ask], key[ask], start[ask], n[ask], np.where(whole, 4, 3).astype(np.int8), rank[ask] // bucket, -(-kinds[ask] // bucket)))
             h, key, start, n, kind, part, parts = (np.concatenate(x) for x in zip(*out))

@@ -38,7 +38,8 @@ def _windows(texts: list[bytes], size: int, sub: int, most: int = PIECE):
         if n <= 0:
             continue
         prefix = Prefix(BYTE[data])
-        least = sliding_min(mix(prefix.windows(sub)), size - sub + 1)
+        subs = mix(prefix.windows(sub))
+        least = sliding_min(subs, size - sub + 1)
         lengths = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
         first = np.cumsum(lengths) - lengths
         counts = np.maximum(lengths - size + 1, 0)
@@ -46,7 +47,7 @@ def _windows(texts: list[bytes], size: int, sub: int, most: int = PIECE):
         at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
         valid = first[owner] + at
         text = owner if only is None else np.full(len(owner), only)
-        yield offset, least[valid], at, lambda a, b, valid=valid, prefix=prefix: mix(prefix.slices(valid[a], valid[b - 1] + size)), text
+        yield offset, least[valid], subs[valid + size - sub] == least[valid], at, lambda a, b, valid=valid, prefix=prefix: mix(prefix.slices(valid[a], valid[b - 1] + size)), text
 
 
 def _content(data: bytes, size: int):

@@ -28,13 +28,14 @@ def _windows(texts: list[bytes], size: int, sub: int):
     if n <= 0:
         return
     prefix = Prefix(words.hash)
-    least = sliding_min(mix(prefix.windows(sub)), size - sub + 1)
+    parts = mix(prefix.windows(sub))
+    least = sliding_min(parts, size - sub + 1)
     text = np.repeat(np.arange(len(texts)), words.last - words.first)
     valid = np.flatnonzero(np.arange(n) + size <= words.last[text[:n]])
     owner = text[valid]
     at = valid - words.first[owner]
     # Windows between texts are left out, so a run of valid windows never spans two texts.
-    yield 0, least[valid], at, lambda a, b: mix(prefix.slices(valid[a], valid[b - 1] + size)), owner
+    yield 0, least[valid], parts[valid + size - sub] == least[valid], at, lambda a, b: mix(prefix.slices(valid[a], valid[b - 1] + size)), owner
 
 
 def _content(data: bytes, size: int):

@@ -25,7 +25,7 @@ def corpus(seed, docs=60):
             a = r.randrange(0, 80)
             w += passage[a : a + r.randrange(5, 60)] + [r.choice(words)]
         out.append((i * 3 % 101, r.choice([" ", "  ", "\n", " \t"]).join(w)))
-    out += [(200, None), (201, ""), (202, " \n "), (203, "same " * 90), (204, "same " * 50), (205, "x" * 500), (206, "y" + "x" * 300), (207, "ab" * 180 + "c"), (7, out[5][1]), (None, out[8][1]), (None, None), (208, out[3][1]), (209, out[3][1]), (210, "tail " + passage[0] + " " + " ".join(passage))]
+    out += [(200, None), (201, ""), (202, " \n "), (203, "same " * 90), (204, "same " * 50), (211, "Und " * 40 + "der " * 40 + "once or twice"), (212, "p q r s t u v " * 12 + "z"), (205, "x" * 500), (206, "y" + "x" * 300), (207, "ab" * 180 + "c"), (7, out[5][1]), (None, out[8][1]), (None, None), (208, out[3][1]), (209, out[3][1]), (210, "tail " + passage[0] + " " + " ".join(passage))]
     r.shuffle(out)
     return [(i, t, 1, "x", 2) for i, t in out]
 
