@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .ngram_join import ngram_join
 from .packing import pack
 from .suffix_dedup import drop_repeated_bytes
 from .url_filter import url_filter
@@ -28,6 +29,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages")).drop("error")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_table(spark, sf_dir, "documents"), gram=4, percent=85)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_bytes(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -52,6 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
+    "op4_ngram_join": op4_ngram_join,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_window_dedup": op6_window_dedup,
     "op7_url_filter": op7_url_filter,
@@ -68,6 +74,18 @@ SELECT page_id, payload_bytes, d.payload_digest,
   CASE WHEN g.last IS NULL OR g.last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN g.last <> page_id THEN g.last END AS refers_to
 FROM d LEFT JOIN g ON payload_bytes >= 1000 AND d.payload_digest = g.payload_digest
+""",
+    "op4_ngram_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+          GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(na.n) + any_value(nb.n) - count(*))),
+reach(doc_id, c) USING KEY (doc_id) AS (
+  SELECT doc_id, doc_id AS c FROM d
+  UNION
+  SELECT l.b, min(r.c) FROM reach r JOIN links l ON l.a = r.doc_id JOIN recurring.reach t ON t.doc_id = l.b WHERE r.c < t.c GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, reach.c AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id)
 """,
     "op5_suffix_dedup": r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
