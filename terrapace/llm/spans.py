@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import KEY, batches, partitions, stored
 
-#: Most windows of a span; most spans of a minimiser that one bucket resolves; rows merged in a task at a time; characters at a time.
-MOST_WINDOWS = 64
+#: Most windows of a span (more than one minimiser can hold, unless it comes again); most spans of a minimiser that one bucket resolves; rows merged in a task at a time; characters at a time.
+MOST_WINDOWS = 128
 BUCKET = 1024
 MERGE_ROWS = 1 << 20
 CHARS = 2 << 20
