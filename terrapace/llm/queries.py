@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import near_duplicates
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .packing import pack
+from .quality import quality_scores
 from .suffix_dedup import drop_repeated_bytes
 from .url_filter import url_filter
 from .warc import round_trip
@@ -29,6 +31,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages")).drop("error")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), gram=4, percent=85)
 
@@ -50,6 +56,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -57,11 +67,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
+    "op3_quality": op3_quality,
     "op4_ngram_join": op4_ngram_join,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_window_dedup": op6_window_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_mixing": op10_mixing,
 }
 
