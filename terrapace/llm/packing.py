@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import os
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -22,17 +23,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, Keyed, batches
+from .common import KEY, batches
 
 LONGEST = 4096
 #: Tokens packed together at a time; and the sequences of one step group.
 POOL_TOKENS = 8 << 20
 STEP = 16
 END = 2
+#: Signs that, after letters, are a pre-token of their own.
+SIGNS = b".,;:!?#$%&*"
 #: Words whose ids a worker remembers.
 MOST_WORDS = 1 << 20
 
-PIECES = "__key long, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_length long, tier long, step_group long, ids binary"
+PIECES = "__key long, __no_key boolean, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_length long, tier long, step_group long, ids binary"
 
 
 class WordTokenizer:
@@ -46,44 +49,74 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.start, self.used = np.zeros(1, dtype=np.int64), 0
+        self.start, self.size, self.used = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64), 0
 
     def add(self, words: list[bytes]) -> None:
-        new = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)]
-        flat = np.fromiter((i for ids in new for i in ids), dtype=np.uint32)
-        ends = self.used + np.cumsum(np.fromiter(map(len, new), dtype=np.int64, count=len(new)))
-        if self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate((self.ids[: self.used], np.zeros(2 * len(flat) + self.used, dtype=np.uint32)))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        first = len(self.index)
-        self.index.update(zip(words, range(first, first + len(words))))
-        self.start = np.concatenate((self.start, ends))
+        """Remembers the ids of new words.
+
+        Letters are one pre-token, as is a run of signs after them, so words of that form are
+        tokenised in one go and cut where pre-tokens end; all others are tokenised one by one.
+        """
+        plain, parts, other = [], [], []
+        for word in words:
+            stem = word.rstrip(SIGNS)
+            if stem.isalpha() or stem.decode("utf-8", "surrogatepass").lower().isalpha():
+                plain.append(word)
+                parts.append(1 if len(stem) == len(word) else 2)
+            else:
+                other.append(word)
+        text = b" ".join(plain).decode("utf-8", "surrogatepass")
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        cuts, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(np.array(parts, dtype=np.int64))
+        if len(cuts) == (last[-1] if len(last) else 0) and (not len(ids) or cuts[-1] == len(ids)):
+            self._store(plain, ids, cuts[last - 1] if len(last) else last)
+        else:
+            other += plain
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in other], add_special_tokens=False)]
+        self._store(other, np.fromiter(chain.from_iterable(found), dtype=np.uint32), np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found))))
+
+    def _store(self, words: list[bytes], ids: np.ndarray, stop: np.ndarray) -> None:
+        first, n = len(self.index), len(words)
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids[: self.used], np.zeros(2 * len(ids) + self.used, dtype=np.uint32)))
+        if first + n > len(self.start):
+            self.start, self.size = (np.concatenate((x[:first], np.zeros(2 * n + first, dtype=np.int64))) for x in (self.start, self.size))
+        self.ids[self.used : self.used + len(ids)] = ids
+        start = np.concatenate(([0], stop[:-1])) if n else stop
+        self.start[first : first + n] = self.used + start
+        self.size[first : first + n] = stop - start
+        self.used += len(ids)
+        self.index.update(zip(words, range(first, first + n)))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """uint32 ids of each text."""
-        split = [t.split() for t in texts]
+        if not texts:
+            return []
+        # The tokenizer lower-cases; only its special tokens, which all have <|, are found before that.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.index) > MOST_WORDS or self.used > 16 * MOST_WORDS:
             self.clear()
-        new = list(set().union(*split).difference(self.index)) if split else []
-        if new:
-            self.add(new)
-        get = self.index.__getitem__
         n = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        at = np.fromiter((i for words in split for i in map(get, words)), dtype=np.int64, count=int(n.sum()))
-        start = self.start[at]
-        size = self.start[at + 1] - start
+        words = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self.add(list(dict.fromkeys([words[i] for i in new])))
+            at[new] = [self.index[words[i]] for i in new]
+        size = self.size[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
-        pick = np.repeat(start - (ends - size), size) + np.arange(total)
-        flat = self.ids[pick]
+        pick = np.repeat(self.start[at] - (ends - size), size) + np.arange(total)
         cuts = np.concatenate(([0], ends))[np.cumsum(n)]
-        return np.split(flat, cuts[:-1]) if len(texts) else []
+        return np.split(self.ids[pick], cuts[:-1])
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -180,7 +213,7 @@ def step_groups(lengths: list[int], each: int = STEP) -> list[int]:
     return out
 
 
-def _rows(keys: list[int], ids: list[np.ndarray], part: int, pool: int, longest: int) -> pd.DataFrame:
+def _rows(keys: list[tuple[int, bool]], ids: list[np.ndarray], part: int, pool: int, longest: int) -> pd.DataFrame:
     sequences = pack_pool([len(x) for x in ids], longest)
     steps = step_groups([n for n, _ in sequences])
     rows = []
@@ -188,7 +221,7 @@ def _rows(keys: list[int], ids: list[np.ndarray], part: int, pool: int, longest:
     for s, ((size, window), step) in enumerate(zip(sequences, steps)):
         offset = 0
         for k, at, n in window:
-            rows.append((keys[k], at, n, len(ids[k]), base | s, offset, size, tier_of(len(ids[k]), longest), base | step, ids[k][at : at + n].astype("<u4").tobytes()))
+            rows.append((*keys[k], at, n, len(ids[k]), base | s, offset, size, tier_of(len(ids[k]), longest), base | step, ids[k][at : at + n].astype("<u4").tobytes()))
             offset += n
     return pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")])
 
@@ -200,8 +233,8 @@ def packer(path: str, longest: int, end: int, pool_tokens: int):
         for group in batches(frames, "__text", 8 << 20):
             for frame in group:
                 texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in frame["__text"]]
-                for key, x in zip(frame[KEY].tolist(), encode(texts)):
-                    keys.append(key)
+                for key, no_key, x in zip(frame[KEY].tolist(), frame["__no_key"].tolist(), encode(texts)):
+                    keys.append((key, no_key))
                     ids.append(np.append(x, np.uint32(end)))
                     held += len(x) + 1
                     if held >= pool_tokens:
@@ -223,7 +256,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     depends on how the input is split into tasks.
     """
     path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
-    keyed = Keyed(docs, id_col, [F.col(text_col).alias("__text")], ["__text"])
-    pieces = keyed.df.select(KEY, "__text").mapInPandas(packer(path, longest, end, pool_tokens), PIECES)
-    columns = [x.split()[0] for x in PIECES.split(", ")][1:]
-    return keyed.restore(pieces, {KEY: "doc_id"}).select("doc_id", *columns)
+    key = F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(key, F.lit(0)).cast("long").alias(KEY), key.isNull().alias("__no_key"), F.col(text_col).alias("__text"))
+    pieces = rows.mapInPandas(packer(path, longest, end, pool_tokens), PIECES)
+    columns = [x.split()[0] for x in PIECES.split(", ")][2:]
+    return pieces.select(F.when(~F.col("__no_key"), F.col(KEY)).alias("doc_id"), *columns)
