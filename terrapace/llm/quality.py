@@ -8,6 +8,8 @@ folds scores all documents. Only the sample, of bounded size, and the sums reach
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -193,6 +195,38 @@ def _score(model: Model | None, base: float):
     return run
 
 
+def learn(described: DataFrame, labels: DataFrame, sample_size: int = SAMPLE) -> tuple[Model | None, float]:
+    """A model from described(__doc, x) and labels(__doc, quality), and the labels' mean (0.5 without labels)."""
+    teach = "__doc is not null and y in (0, 1) and crc32(cast(cast(__doc as string) as binary)) % 5 <> 0"
+    known = labels.select("__doc", F.col("quality").cast("int").alias("y")).where(teach).groupBy("__doc").agg(F.min("y").alias("y"))
+    n, base = known.agg(F.count("*"), F.avg("y")).first()
+    share = sample_size / max(1, n)
+    if share < 1:
+        known = known.where(F.pmod(F.xxhash64("__doc", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = described.join(known, "__doc").select(KEY, F.pmod(F.xxhash64("__doc", F.lit(SEED + 1)), F.lit(2)).cast("int").alias("fold"), "x", "y")
+    return (fit(stored(sample, "sample")) if n else None), (0.5 if base is None else float(base))
+
+
+def text_scorer(model: Model | None, base: float):
+    """The model as a vectorised function of a text column."""
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series(model(statistics(encoded(texts))) if model and len(texts) else np.full(len(texts), base))
+
+    return score
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that quality_scores() predicts 0; texts do not shuffle, so rows need no unique ids."""
+    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias(KEY), F.col(text_col).alias("__text")).where(F.col(id_col).isNotNull())
+    known = labels.select(F.col(id_col).cast("long").alias("__doc"), "quality")
+    described = slim.mapInPandas(_describe, "__key long, x array<double>").withColumn("__doc", F.col(KEY))
+    model, base = learn(described, known)
+    return docs.where(text_scorer(model, base)(F.col(text_col)) >= threshold)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_size: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
@@ -208,16 +242,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     doc = F.col(KEY) if keyed.plain else F.col("__id")
     held = F.coalesce(F.crc32(doc.cast("string").cast("binary")) % 5 == 0, F.lit(False))
     rows = ids.select(KEY, "x", doc.alias("__doc"), held.alias("held_out"))
-    known = labels.select(F.col(id_col).cast("long").alias("__doc"), F.col("quality").cast("int").alias("y")).where("__doc is not null and y in (0, 1) and crc32(cast(cast(__doc as string) as binary)) % 5 <> 0")
-    known = known.groupBy("__doc").agg(F.min("y").alias("y"))
-    n, base = known.agg(F.count("*"), F.avg("y")).first()
-    share = sample_size / max(1, n)
-    luck = F.xxhash64("__doc", F.lit(SEED))
-    if share < 1:
-        known = known.where(F.pmod(luck, F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = rows.where("not held_out").join(known, "__doc").select(KEY, F.pmod(F.xxhash64("__doc", F.lit(SEED + 1)), F.lit(2)).cast("int").alias("fold"), "x", "y")
-    model = fit(stored(sample, "sample")) if n else None
-    scored = described.mapInPandas(_score(model, 0.5 if base is None else float(base)), "__key long, score double")
+    model, base = learn(rows, labels.select(F.col(id_col).cast("long").alias("__doc"), "quality"), sample_size)
+    scored = described.mapInPandas(_score(model, base), "__key long, score double")
     scored = scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
     if keyed.plain:
         return scored.select(F.col(KEY).alias("doc_id"), F.coalesce(F.crc32(F.col(KEY).cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted")
