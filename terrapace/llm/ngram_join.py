@@ -7,8 +7,8 @@ It is computed only for blocks that can hold a pair:
    which two linked sets of these sizes can differ, so that linked sets agree on a whole part.
    Parts meet by hash and give candidate edges; equal sets are linked at once. A task first merges
    what it has twice, so a part or set of any number of documents stays a few rows for each task.
-2. Components of the candidate edges are the diagonal blocks. Large ones are cut into blocks of
-   BLOCK documents, and each pair of blocks is one group: overlap counts are accumulated over
+2. Components of the candidate edges, of one size level each, are the diagonal blocks. Large ones are
+   cut into blocks of BLOCK documents, and each pair of blocks is one group: overlap counts are accumulated over
    slices of the n-grams, and pairs are discarded by size before and by overlap after.
 3. A spanning forest of each group's links, and the links of equal sets, give the components.
 """
@@ -27,7 +27,7 @@ GRAM = 4
 #: Documents of a block, and n-grams of one slice of the product.
 BLOCK = 64
 SLICE = 4096
-#: kind 0: a part's hash; 1: a candidate edge; 2: a set's hash, with its size; 3: a copy of an equal set, with its size.
+#: kind 0: a part's hash and the node that has it (a document at a size level); 1: a candidate edge between nodes; 2: a set's hash, with its size; 3: a copy of an equal set, with its size.
 PARTS = "h long, __key long, peer long, n int, kind byte"
 
 
@@ -56,8 +56,8 @@ def size_levels(percent: int, most: int) -> np.ndarray:
     return np.array(ends, dtype=np.int64)
 
 
-def part_hashes(grams: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the parts of each set for its own size level and the next, and the set of each.
+def part_hashes(grams: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the parts of each set for its own size level and the next, the set of each, and 0 or 1 for the level.
 
     Sets of at most u members that are linked differ on at most d = 2u(100 - p)/(100 + p) of them,
     so with over d parts one part is equal. It could be an empty one; there are spare parts for
@@ -65,14 +65,14 @@ def part_hashes(grams: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.nda
     """
     n = np.diff(at)
     ends = size_levels(percent, int(n.max(initial=1)) * 100 // percent + 1)
-    hashes, owners = [], []
+    hashes, owners, steps = [], [], []
     total = np.concatenate(([np.uint64(0)], np.cumsum(mix(grams))))
     of = np.repeat(np.arange(len(n)), n)
     for step in (0, 1):
         level = np.searchsorted(ends, n, side="right") - 1 + step
         most = ends[np.minimum(level + 1, len(ends) - 1)] - 1
         differ = 2 * most * (100 - percent) // (100 + percent)
-        spare = 3 + differ // 32
+        spare = 1 + differ // 12
         parts = np.where(differ > 0, differ + 1 + spare, 0)
         use = parts[of] > 0
         g, o = np.flatnonzero(use), of[use]
@@ -86,15 +86,17 @@ def part_hashes(grams: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.nda
         name = mix((level[o[first]].astype(np.uint64) << np.uint64(32)) | part[first])
         hashes.append(mix((total[g[stop - 1] + 1] - total[g[first]]) ^ name))
         owners.append(o[first])
+        steps.append(np.full(len(first), step))
         filled = np.bincount(o[first], minlength=len(n))
         for k in np.flatnonzero((parts > 0) & (parts - filled > spare)).tolist():
             mine = part[first[o[first] == k]]
             empty = np.setdiff1d(np.arange(parts[k], dtype=np.uint64), mine)
             hashes.append(mix(mix((np.uint64(level[k]) << np.uint64(32)) | empty) + np.uint64(1)))
             owners.append(np.full(len(empty), k))
+            steps.append(np.full(len(empty), step))
     if not hashes:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(hashes), np.concatenate(owners)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.concatenate(hashes), np.concatenate(owners), np.concatenate(steps)
 
 
 def _frame(h, key, peer, n, kind) -> pd.DataFrame:
@@ -140,9 +142,9 @@ def _emit(gram: int, percent: int):
                 known.clear()
             alone = lead == key
             yield _frame(np.where(alone & (n > 0), sets, _spread(key)), key, lead, n.astype(np.int32), np.where(alone, 2, 3).astype(np.int8))
-            hashes, owner = part_hashes(grams, at, percent)
+            hashes, owner, step = part_hashes(grams, at, percent)
             own = alone[owner]
-            rows.append((hashes[own].view(np.int64), key[owner[own]]))
+            rows.append((hashes[own].view(np.int64), (key[owner[own]] << 1) + step[own]))
             held += int(own.sum())
             if held >= MERGE_ROWS:
                 yield merged()
@@ -272,11 +274,12 @@ def classes(keyed: DataFrame, gram: int, percent: int, block: int = BLOCK) -> Da
     parts = keyed.select(KEY, "__text").mapInPandas(_emit(gram, percent), PARTS)
     met = stored(parts.repartition(n, "h").sortWithinPartitions("h").mapInPandas(_meet, PARTS), "parts")
     copies = met.where("kind = 3").select(F.col(KEY).alias("a"), F.col("peer").alias("b"))
-    near = components(met.where("kind = 1").select(F.col(KEY).alias("a"), F.col("peer").alias("b")).union(copies))
-    leads = met.where("kind = 2 and n > 0").select(F.col(KEY).alias("node"))
-    members = stored(near.join(leads, "node").select(F.col("node").alias(KEY), F.col("component").alias("comp")), "members")
-    sizes = members.groupBy("comp").count().where("count > 1").select("comp", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    members = members.join(sizes, "comp")
+    near = components(met.where("kind = 1").select(F.col(KEY).alias("a"), F.col("peer").alias("b")))
+    leads = met.where("kind = 2 and n > 0").select(KEY, F.explode(F.array(F.lit(0), F.lit(1))).alias("step")).withColumn("node", F.expr(f"shiftleft({KEY}, 1) + step"))
+    members = stored(near.join(leads, "node").select(KEY, "step", F.col("component").alias("comp")), "members")
+    # A pair belongs to the level of its larger set, which has step 0 there.
+    sizes = members.groupBy("comp").agg(F.count("*").alias("count"), F.min("step").alias("least")).where("count > 1 and least = 0").select("comp", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    members = members.select(KEY, "comp").join(sizes, "comp")
     cut = keyed.select(KEY, "__text").join(members, KEY).mapInPandas(_cut(gram, block), "comp long, pair long, __key long, grams binary")
     links = cut.repartition(n, "comp", "pair").sortWithinPartitions("comp", "pair").mapInPandas(_product(percent), "a long, b long")
     found = components(links.union(copies))

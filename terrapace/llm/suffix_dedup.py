@@ -85,10 +85,14 @@ def suffix_sort(prefix: Prefix, data: np.ndarray, at: np.ndarray, group: np.ndar
     base = np.flatnonzero(new)
     size = np.diff(np.append(base, n))
     base, size = np.repeat(base, size), np.repeat(size, size)
+    end = len(data) - 1
+    head = np.zeros(n, dtype=np.uint64)
+    for k in range(min(8, most)):
+        head = (head << np.uint64(8)) | np.where(at + k <= end, data[np.minimum(at + k, end)], 0).astype(np.uint64)
     place = np.arange(n) - base
     run = 1
     while run < size.max():
-        mine = at[order]
+        mine, first = at[order], head[order]
         r = place // run
         left = r % 2 == 0
         start = base + np.minimum((r ^ 1) * run, size)
@@ -97,12 +101,14 @@ def suffix_sort(prefix: Prefix, data: np.ndarray, at: np.ndarray, group: np.ndar
         live = np.flatnonzero(low < high)
         while len(live):
             mid = (low[live] + high[live]) // 2
-            a, b = mine[mid], mine[live]
-            ext = common_extension(prefix, a, b, most)
-            whole = ext >= most
-            end = len(data) - 1
-            da, db = data[np.minimum(a + ext, end)].astype(np.int16), data[np.minimum(b + ext, end)].astype(np.int16)
-            before = np.where(whole, ~left[live], da < db)  # equal ones of the left run go first
+            # The first eight bytes decide most comparisons; the others take the common extension.
+            before = first[mid] < first[live]
+            tie = np.flatnonzero(first[mid] == first[live])
+            if len(tie):
+                a, b = mine[mid[tie]], mine[live[tie]]
+                ext = common_extension(prefix, a, b, most)
+                less = data[np.minimum(a + ext, end)] < data[np.minimum(b + ext, end)]
+                before[tie] = np.where(ext >= most, ~left[live[tie]], less)  # equal ones of the left run go first
             low[live[before]] = mid[before] + 1
             high[live[~before]] = mid[~before]
             live = live[low[live] < high[live]]

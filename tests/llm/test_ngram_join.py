@@ -66,7 +66,7 @@ def test_linked_sets_share_a_part():
                 b = np.unique(np.concatenate((rng.permutation(a)[drop:], rng.integers(0, 2**64, add, dtype=np.uint64))))
                 both = len(np.intersect1d(a, b))
                 if len(b) and 100 * both >= percent * (len(a) + len(b) - both) and not np.array_equal(a, b):
-                    hashes, owner = ngram_join.part_hashes(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), percent)
+                    hashes, owner, _ = ngram_join.part_hashes(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), percent)
                     assert set(hashes[owner == 0].tolist()) & set(hashes[owner == 1].tolist())
 
 
