@@ -58,6 +58,17 @@ def drop_stored(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Bytes of one batch that Spark hands to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that Python workers get by bytes, however long the texts are; Spark's default bound is for shorter rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 # -- keys ---------------------------------------------------------------------
 
 
@@ -70,6 +81,7 @@ class Keyed:
     """
 
     def __init__(self, df: DataFrame, id_col: str, columns: list[str], then: list[str]):
+        small_batches(df.sparkSession)
         df = df.select(F.col(id_col).cast("long").alias(KEY), *columns)
         odd = df.groupBy(KEY).count().where(F.col(KEY).isNull() | (F.col("count") > 1))
         self.plain = not odd.take(1)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, batches
+from .common import KEY, batches, small_batches
 
 LONGEST = 4096
 #: Tokens packed together at a time; and the sequences of one step group.
@@ -256,6 +256,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     depends on how the input is split into tasks.
     """
     path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
+    small_batches(docs.sparkSession)
     key = F.col(id_col).cast("long")
     rows = docs.select(F.coalesce(key, F.lit(0)).cast("long").alias(KEY), key.isNull().alias("__no_key"), F.col(text_col).alias("__text"))
     pieces = rows.mapInPandas(packer(path, longest, end, pool_tokens), PIECES)

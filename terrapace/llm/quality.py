@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, Keyed, Words, batches, encoded, stored
+from .common import KEY, Keyed, Words, batches, encoded, small_batches, stored
 from .spans import CHARS
 
 #: Labelled documents that the model is fitted on, at most about (chosen by hash of the id).
@@ -220,6 +220,7 @@ def text_scorer(model: Model | None, base: float):
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that quality_scores() predicts 0; texts do not shuffle, so rows need no unique ids."""
+    small_batches(docs.sparkSession)
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias(KEY), F.col(text_col).alias("__text")).where(F.col(id_col).isNotNull())
     known = labels.select(F.col(id_col).cast("long").alias("__doc"), "quality")
     described = slim.mapInPandas(_describe, "__key long, x array<double>").withColumn("__doc", F.col(KEY))
