@@ -1,8 +1,8 @@
 """All queries of the library but the corpus operators."""
 
-from . import equity, scalar
+from . import equity, network, places, polyline, scalar
 
 QUERIES, ORACLES = {}, {}
-for _plan in (equity, scalar):
+for _plan in (equity, network, places, polyline, scalar):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
