@@ -27,13 +27,13 @@ from .common import KEY, batches, small_batches
 
 LONGEST = 4096
 #: Tokens packed together at a time; and the sequences of one step group.
-POOL_TOKENS = 8 << 20
+POOL_TOKENS = 2 << 20
 STEP = 16
 END = 2
 #: Signs that, after letters, are a pre-token of their own.
 SIGNS = b".,;:!?#$%&*"
 #: Words whose ids a worker remembers.
-MOST_WORDS = 1 << 20
+MOST_WORDS = 1 << 19
 
 PIECES = "__key long, __no_key boolean, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_length long, tier long, step_group long, ids binary"
 
@@ -230,7 +230,7 @@ def packer(path: str, longest: int, end: int, pool_tokens: int):
     def run(frames):
         encode = tokenizer(path).encode
         part, pool, keys, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
-        for group in batches(frames, "__text", 8 << 20):
+        for group in batches(frames, "__text", 2 << 20):
             for frame in group:
                 texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in frame["__text"]]
                 for key, no_key, x in zip(frame[KEY].tolist(), frame["__no_key"].tolist(), encode(texts)):
