@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import kinematics as K
-from .numbers import clamp, col, finite, is_finite
+from .numbers import clamp, clamp_or_null, col, finite, is_finite
 
 
 def edge_cost(length_m, slope_pct, steps, quality, rank, lst=None, green=None, limit_kmh=None) -> Column:
@@ -22,8 +22,8 @@ def edge_cost(length_m, slope_pct, steps, quality, rank, lst=None, green=None, l
     by_slope = F.when(slope > steep, 1.0 + F.pow(slope / steep, 3) * 20.0 * F.col("w_slope")).otherwise(1.0 + slope / 10.0 * F.col("w_slope") * 1.5)
     by_stairs = F.when(col(steps), F.greatest(F.lit(1.0), F.col("stair_factor"))).otherwise(1.0)
     by_surface = F.when(quality < F.col("smoothness"), 1.0 + (F.col("smoothness") - quality) * 4.0).otherwise(1.0)
-    heat = F.lit(0.0) if lst is None else F.coalesce(clamp(col(lst), 0, 1) * F.col("w_heat") * 1.8, F.lit(0.0))
-    shade = F.lit(0.0) if green is None else F.coalesce(clamp(col(green), 0, 1) * F.col("w_green") * 0.4, F.lit(0.0))
+    heat = F.lit(0.0) if lst is None else F.coalesce(clamp_or_null(col(lst), 0, 1) * F.col("w_heat") * 1.8, F.lit(0.0))
+    shade = F.lit(0.0) if green is None else F.coalesce(clamp_or_null(col(green), 0, 1) * F.col("w_green") * 0.4, F.lit(0.0))
     by_heat = F.greatest(F.lit(0.6), 1.0 + heat - shade)
     by_rank = F.coalesce(*(F.when(col(rank) == r, F.col(f"h{r}")) for r in range(1, 6)), F.lit(1.0))
     cost = length * by_slope * by_stairs * by_surface * by_heat * by_rank

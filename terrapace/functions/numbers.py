@@ -27,5 +27,9 @@ def finite(x: Column | str | float, default: float, least: float | None = None,
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    """x within low and high; null stays null (greatest and least pass over nulls)."""
-    return F.when(x.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x)))
+    """x within low and high, for an x that is never null (greatest and least pass over nulls)."""
+    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
+
+
+def clamp_or_null(x: Column, low: float, high: float) -> Column:
+    return F.when(x.isNotNull(), clamp(x, low, high))

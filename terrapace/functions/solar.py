@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import clamp, col
+from .numbers import clamp_or_null, col
 
 
 def solar_position(lat, hour, day) -> Column:
@@ -13,8 +13,8 @@ def solar_position(lat, hour, day) -> Column:
     lat, hour, day = F.radians(col(lat)), col(hour), col(day)
     dec = F.radians(23.45 * F.sin(F.radians((360.0 / 365.0) * (284 + day))))
     angle = (hour - 12.0) * 15.0
-    el = F.asin(clamp(F.sin(lat) * F.sin(dec) + F.cos(lat) * F.cos(dec) * F.cos(F.radians(angle)), -1, 1))
-    az = F.degrees(F.acos(clamp((F.sin(dec) - F.sin(lat) * F.sin(el)) / F.greatest(F.lit(0.001), F.cos(lat) * F.cos(el)), -1, 1)))
+    el = F.asin(clamp_or_null(F.sin(lat) * F.sin(dec) + F.cos(lat) * F.cos(dec) * F.cos(F.radians(angle)), -1, 1))
+    az = F.degrees(F.acos(clamp_or_null((F.sin(dec) - F.sin(lat) * F.sin(el)) / F.greatest(F.lit(0.001), F.cos(lat) * F.cos(el)), -1, 1)))
     up = F.degrees(el) > 0
     return F.struct(
         F.when(~up, 180.0).when(angle > 0, 360.0 - az).otherwise(az).alias("azimuth_deg"),

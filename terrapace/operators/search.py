@@ -61,9 +61,10 @@ def shortest_paths(edges: DataFrame, origins: DataFrame, limit: float = float("i
         return relaxed_paths(edges, origins, limit) if goals is None else relaxed_paths(edges, origins, limit).join(goals, "node", "left_semi").select("origin", "node", "cost", "pred")
     spark = edges.sparkSession
     ids, starts, targets, costs = csr(edges)
-    wanted = None if goals is None else np.searchsorted(ids, np.array(sorted(r[0] for r in goals.distinct().collect()), dtype=np.int64))
-    if wanted is not None:
-        wanted = {int(i) for i in wanted if i < len(ids)}
+    wanted = goal_ids = None
+    if goals is not None:
+        goal_ids = {r[0] for r in goals.distinct().collect()}  # nodes of a graph that is broadcast anyway
+        wanted = {k for k, i in enumerate(ids.tolist()) if i in goal_ids}
     shared = spark.sparkContext.broadcast((ids, starts, targets, costs))
 
     def run(frames):
@@ -72,7 +73,9 @@ def shortest_paths(edges: DataFrame, origins: DataFrame, limit: float = float("i
         for frame in frames:
             for origin in frame["origin"].tolist():
                 at = int(np.searchsorted(ids, origin))
-                if at >= len(ids) or ids[at] != origin:
+                if at >= len(ids) or ids[at] != origin:  # a node without edges reaches itself
+                    if goal_ids is None or origin in goal_ids:
+                        yield pd.DataFrame({"origin": [origin], "node": [origin], "cost": [0.0], "pred": [-1]})
                     continue
                 done, pred = search(*lists, at, limit, wanted)
                 picked = [n for n in done if wanted is None or n in wanted]

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions.impedance import edge_cost, travel_seconds
 from ..functions.profiles import PROFILES, profiles, values_sql
-from ..operators import network, search
+from ..operators import network, search, spatial
 from ..sources.fixtures import view, with_views
 from .scalar import _P_COLUMNS, sql_haversine
 
 QUERIES, ORACLES = {}, {}
-ORIGINS, BANDS = 4, (5, 10, 15)
+#: Nodes that searches start from, and minutes of isochrones.
+ORIGINS, BANDS = (0, 1, 2, 3), (5, 10, 15)
 
 
 def _segments(spark, sf_dir):
@@ -38,14 +39,17 @@ edges AS (SELECT u, v, length_m, 100 * (z2 - z1) / greatest(1e0, length_m) AS sl
  UNION ALL SELECT v, u, length_m, 100 * (z1 - z2) / greatest(1e0, length_m), oneway, oneway, steps, rank, quality FROM seg)"""
 _ADULT = "length_m * CASE WHEN abs(slope) > 25 THEN 1 + 20 * pow(abs(slope) / 25e0, 3) ELSE 1 + 1.5e0 * abs(slope) / 10 END * CASE WHEN steps THEN 1.2e0 ELSE 1 END * CASE rank WHEN 2 THEN 1.8e0 ELSE 1e0 END"
 _WALK = "length_m / (greatest(0.5e0, least(8e0, 6e0 * exp(-3.5e0 * abs(greatest(-0.6e0, least(0.6e0, slope / 100)) + 0.05e0)))) / 3.6e0)"
-_PATHS = """{edges}, w AS (SELECT u, v, min({cost}) AS c FROM edges GROUP BY 1, 2), starts AS (SELECT node_id AS o FROM grid_nodes WHERE node_id < {n}),
+_PATHS = """{edges}, w AS (SELECT u, v, min({cost}) AS c FROM edges GROUP BY 1, 2), starts AS ({starts}),
 paths(o, node, c) USING KEY (o, node) AS (SELECT o, o AS node, 0e0 AS c FROM starts UNION
  SELECT p.o, w.v, min(p.c + w.c) FROM paths p JOIN w ON w.u = p.node LEFT JOIN recurring.paths r ON r.o = p.o AND r.node = w.v WHERE p.c + w.c <= {limit} AND (r.c IS NULL OR p.c + w.c < r.c) GROUP BY 1, 2)
 """
 
 
+_STARTS = f"SELECT unnest([{', '.join(map(str, ORIGINS))}])::BIGINT AS o"
+
+
 def _origins(spark, sf_dir):
-    return view(spark, sf_dir, "grid_nodes").where(F.col("node_id") < ORIGINS).select(F.col("node_id").alias("origin"))
+    return spark.createDataFrame([(o,) for o in ORIGINS], "origin long")
 
 
 QUERIES["g01_directed_edges"] = lambda spark, sf_dir: _edges(spark, sf_dir).select("u", "v", F.round("length_m", 4).alias("length_m"), F.round("slope_pct", 4).alias("slope"), "against_oneway")
@@ -55,12 +59,12 @@ ORACLES["a06_node_degree"] = _EDGES + " SELECT u AS node, count(DISTINCT v) AS d
 
 
 def _components(spark, sf_dir):
-    kept = _edges(spark, sf_dir).where("code % 3 = 0")
+    kept = _costed(spark, sf_dir, "wheelchair", False).where("cost is not null")
     return network.components(kept).groupBy("component").agg(F.count("*").alias("nodes"), F.sum("node").alias("node_sum"))
 
 
 QUERIES["a07_components"] = _components
-ORACLES["a07_components"] = _EDGES + """, k AS (SELECT s.u AS a, s.v AS b FROM seg s WHERE code % 3 = 0 UNION SELECT s.v, s.u FROM seg s WHERE code % 3 = 0),
+ORACLES["a07_components"] = _EDGES + """, k AS (SELECT u AS a, v AS b FROM edges WHERE NOT steps AND abs(slope) <= 8.33e0),
 reach(node, c) USING KEY (node) AS (SELECT DISTINCT a AS node, a AS c FROM k UNION SELECT k.b, min(r.c) FROM reach r JOIN k ON k.a = r.node JOIN recurring.reach t ON t.node = k.b WHERE r.c < t.c GROUP BY 1)
 SELECT c AS component, count(*) AS nodes, sum(node)::BIGINT AS node_sum FROM reach GROUP BY 1"""
 QUERIES["a05_graph_counts"] = lambda spark, sf_dir: _edges(spark, sf_dir).agg(F.countDistinct("u").alias("nodes"), F.count("*").alias("edges"), F.count_if("against_oneway").alias("one_way"))
@@ -80,7 +84,7 @@ def _one_to_many(spark, sf_dir):
 
 
 QUERIES["g06_one_to_many"] = _one_to_many
-ORACLES["g06_one_to_many"] = _PATHS.format(edges=_EDGES, cost=_ADULT, n=ORIGINS, limit="1e18") + "SELECT o AS origin, node, round(c, 4) AS cost FROM paths"
+ORACLES["g06_one_to_many"] = _PATHS.format(edges=_EDGES, cost=_ADULT, starts=_STARTS, limit="1e18") + "SELECT o AS origin, node, round(c, 4) AS cost FROM paths"
 
 
 def _isochrone(spark, sf_dir):
@@ -90,15 +94,28 @@ def _isochrone(spark, sf_dir):
 
 
 QUERIES["g13_isochrone_bands"] = _isochrone
-ORACLES["g13_isochrone_bands"] = _PATHS.format(edges=_EDGES, cost=_WALK, n=ORIGINS, limit=f"{BANDS[-1] * 60}e0") + f"SELECT o AS origin, minutes, count(*) AS nodes, round(sum(c), 3) AS seconds FROM paths, (SELECT unnest([{', '.join(map(str, BANDS))}])::INT AS minutes) b WHERE c <= minutes * 60 GROUP BY 1, 2"
+ORACLES["g13_isochrone_bands"] = _PATHS.format(edges=_EDGES, cost=_WALK, starts=_STARTS, limit=f"{BANDS[-1] * 60}e0") + f"SELECT o AS origin, minutes, count(*) AS nodes, round(sum(c), 3) AS seconds FROM paths, (SELECT unnest([{', '.join(map(str, BANDS))}])::INT AS minutes) b WHERE c <= minutes * 60 GROUP BY 1, 2"
 
 
 def _od(spark, sf_dir):
-    ends = view(spark, sf_dir, "grid_nodes")
-    origins, goals = ends.where("node_id % 97 = 5").select(F.col("node_id").alias("origin")), ends.where("node_id % 89 = 7").select(F.col("node_id").alias("node"))
-    return search.shortest_paths(_costed(spark, sf_dir, "car", True), origins, goals=goals).select("origin", F.col("node").alias("destination"), F.round("cost", 3).alias("seconds"))
+    """Seconds by car from every facility to every zone, over their nearest nodes."""
+    nodes = view(spark, sf_dir, "grid_nodes").select("node_id", "lon", "lat")
+    snap = lambda name, key: spatial.nearest(view(spark, sf_dir, name).select(key, "lon", "lat"), nodes, key, "node_id", 1000.0).select(key, "node_id")
+    origins, goals = snap("facilities", "facility_id"), snap("zones", "zone_id")
+    paths = search.shortest_paths(_costed(spark, sf_dir, "car", True), origins.select(F.col("node_id").alias("origin")), goals=goals.select(F.col("node_id").alias("node")))
+    pairs = paths.join(origins, paths["origin"] == origins["node_id"]).drop("node_id").join(goals, paths["node"] == goals["node_id"])
+    return pairs.select("facility_id", "zone_id", F.round("cost", 3).alias("seconds"))
 
 
 QUERIES["g11_od_matrix"] = _od
 _CAR = "length_m / (greatest(10e0, CASE rank WHEN 2 THEN 60e0 ELSE 30e0 END * greatest(0.5e0, 1 - least(35e0, abs(slope)) / 100 * 0.85e0)) / 3.6e0)"
-ORACLES["g11_od_matrix"] = _PATHS.format(edges=_EDGES.replace("FROM seg\n UNION", "FROM seg WHERE NOT steps AND abs(z2 - z1) * 100 <= 25 * length_m\n UNION").replace("quality FROM seg)", "quality FROM seg WHERE NOT oneway AND NOT steps AND abs(z2 - z1) * 100 <= 25 * length_m)"), cost=_CAR, n="0 OR node_id % 97 = 5", limit="1e18") + "SELECT o AS origin, node AS destination, round(c, 3) AS seconds FROM paths WHERE node % 89 = 7"
+_SNAP = "{t} AS (SELECT {k}, arg_min(node_id, struct_pack(d := d, n := node_id)) AS node FROM (SELECT a.{k}, b.node_id, {d} AS d FROM {v} a, grid_nodes b) WHERE d <= 1000 GROUP BY 1)"
+_AB = sql_haversine("a.lon", "a.lat", "b.lon", "b.lat")
+ORACLES["g11_od_matrix"] = (
+    _PATHS.format(
+        edges=_EDGES.replace("WITH RECURSIVE", with_views("zones", "facilities") + ",", 1).replace("FROM seg\n UNION", "FROM seg WHERE NOT steps AND abs(z2 - z1) * 100 <= 25 * length_m\n UNION").replace("quality FROM seg)", "quality FROM seg WHERE NOT oneway AND NOT steps AND abs(z2 - z1) * 100 <= 25 * length_m)")
+        + f", {_SNAP.format(t='so', k='facility_id', v='facilities', d=_AB)}, {_SNAP.format(t='sz', k='zone_id', v='zones', d=_AB)}",
+        cost=_CAR, starts="SELECT DISTINCT node AS o FROM so", limit="1e18",
+    )
+    + "SELECT facility_id, zone_id, round(c, 3) AS seconds FROM paths JOIN so ON so.node = paths.o JOIN sz ON sz.node = paths.node"
+)
