@@ -20,14 +20,21 @@ CELLS_PER_DOCUMENT = 12
 MOST_CELLS = 1 << 23
 
 
+def possible_members(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows whose KEY may be among those of keys, by a plain Bloom filter: all that are, and few others while keys number below MOST_CELLS / 12."""
+    hashes = keys.select(F.xxhash64(KEY).alias("__h"))
+    cells = min(MOST_CELLS, max(1 << 12, hashes.count() * CELLS_PER_DOCUMENT))
+    return maybe_repeated(rows.withColumn("__h", F.xxhash64(KEY)), stored(repeated_bits(hashes, cells, 1), "bits"), cells).where("__again").select(rows.columns)
+
+
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "")
 
 
-def repeated_bits(hashes: DataFrame, cells: int) -> DataFrame:
-    """(row, word, bits) of the counting filter: bits of the cells that two or more hashes hit."""
+def repeated_bits(hashes: DataFrame, cells: int, least: int = 2) -> DataFrame:
+    """(row, word, bits) of the counting filter over __h: bits of the cells that `least` or more hashes hit."""
     hit = hashes.select(F.explode(F.array(*(F.struct(F.lit(r).alias("row"), _cell(r, cells).alias("cell")) for r in (0, 1)))).alias("x")).select("x.*")
-    twice = hit.groupBy("row", "cell").count().where("count > 1")
+    twice = hit.groupBy("row", "cell").count().where(f"count >= {least}")
     word = F.expr("shiftright(cell, 6)")
     return twice.groupBy("row", word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits"))
 

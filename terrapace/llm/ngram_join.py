@@ -21,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import KEY, Keyed, Prefix, Words, batches, components, mix, partitions, stored
+from .exact_dedup import possible_members
 from .spans import CHARS, MERGE_ROWS, _groups
 
 GRAM = 4
 #: Documents of a block, and n-grams of one slice of the product.
-BLOCK = 64
+BLOCK = 128
+#: Differences from which a part of one member counts as tiny.
+LARGE = 8
 SLICE = 4096
 #: kind 0: a part's hash and the node that has it (a document at a size level); 1: a candidate edge between nodes; 2: a set's hash, with its size; 3: a copy of an equal set, with its size.
 PARTS = "h long, __key long, peer long, n int, kind byte"
@@ -60,8 +63,8 @@ def part_hashes(grams: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.nda
     """Hashes of the parts of each set for its own size level and the next, the set of each, and 0 or 1 for the level.
 
     Sets of at most u members that are linked differ on at most d = 2u(100 - p)/(100 + p) of them,
-    so with over d parts one part is equal. It could be an empty one; there are spare parts for
-    those, and only sets with more empty parts than that also emit them.
+    so with over d parts one part is equal. It could be a tiny one (empty, or of one member in larger
+    sets), which unlike sets share easily; there are spare parts for those, and only sets with more of them also emit them.
     """
     n = np.diff(at)
     ends = size_levels(percent, int(n.max(initial=1)) * 100 // percent + 1)
@@ -72,7 +75,8 @@ def part_hashes(grams: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.nda
         level = np.searchsorted(ends, n, side="right") - 1 + step
         most = ends[np.minimum(level + 1, len(ends) - 1)] - 1
         differ = 2 * most * (100 - percent) // (100 + percent)
-        spare = 1 + differ // 12
+        large = differ >= LARGE
+        spare = np.where(large, 3 + differ // 6, 1 + differ // 12)
         parts = np.where(differ > 0, differ + 1 + spare, 0)
         use = parts[of] > 0
         g, o = np.flatnonzero(use), of[use]
@@ -84,16 +88,18 @@ def part_hashes(grams: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.nda
             continue
         stop = np.append(first[1:], len(g))
         name = mix((level[o[first]].astype(np.uint64) << np.uint64(32)) | part[first])
-        hashes.append(mix((total[g[stop - 1] + 1] - total[g[first]]) ^ name))
-        owners.append(o[first])
-        steps.append(np.full(len(first), step))
-        filled = np.bincount(o[first], minlength=len(n))
-        for k in np.flatnonzero((parts > 0) & (parts - filled > spare)).tolist():
-            mine = part[first[o[first] == k]]
-            empty = np.setdiff1d(np.arange(parts[k], dtype=np.uint64), mine)
+        value = mix((total[g[stop - 1] + 1] - total[g[first]]) ^ name)
+        holder, whole = o[first], stop - first >= np.where(large, 2, 1)[o[first]]
+        unsafe = parts - np.bincount(holder[whole], minlength=len(n)) > spare
+        keep = whole | unsafe[holder]
+        hashes.append(value[keep])
+        owners.append(holder[keep])
+        for k in np.flatnonzero(unsafe).tolist():
+            a, b = np.searchsorted(holder, (k, k + 1))
+            empty = np.setdiff1d(np.arange(parts[k], dtype=np.uint64), part[first[a:b]])
             hashes.append(mix(mix((np.uint64(level[k]) << np.uint64(32)) | empty) + np.uint64(1)))
             owners.append(np.full(len(empty), k))
-            steps.append(np.full(len(empty), step))
+        steps.append(np.full(sum(map(len, owners)) - sum(map(len, steps)), step))
     if not hashes:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     return np.concatenate(hashes), np.concatenate(owners), np.concatenate(steps)
@@ -279,8 +285,9 @@ def classes(keyed: DataFrame, gram: int, percent: int, block: int = BLOCK) -> Da
     members = stored(near.join(leads, "node").select(KEY, "step", F.col("component").alias("comp")), "members")
     # A pair belongs to the level of its larger set, which has step 0 there.
     sizes = members.groupBy("comp").agg(F.count("*").alias("count"), F.min("step").alias("least")).where("count > 1 and least = 0").select("comp", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    members = members.select(KEY, "comp").join(sizes, "comp")
-    cut = keyed.select(KEY, "__text").join(members, KEY).mapInPandas(_cut(gram, block), "comp long, pair long, __key long, grams binary")
+    members = stored(members.select(KEY, "comp").join(sizes, "comp"), "members")
+    texts = possible_members(keyed.select(KEY, "__text"), members)  # the others' texts need not shuffle
+    cut = texts.join(members, KEY).mapInPandas(_cut(gram, block), "comp long, pair long, __key long, grams binary")
     links = cut.repartition(n, "comp", "pair").sortWithinPartitions("comp", "pair").mapInPandas(_product(percent), "a long, b long")
     found = components(links.union(copies))
     sizes = met.where("kind >= 2").select(KEY, F.col("n").cast("long").alias("n_shingles"))
