@@ -59,7 +59,7 @@ def drop_stored(df: DataFrame) -> None:
 
 
 #: Bytes of one batch that Spark hands to a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

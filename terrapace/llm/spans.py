@@ -31,8 +31,8 @@ from .common import KEY, batches, partitions, stored
 #: Most windows of a span (more than one minimiser can hold, unless it comes again); most spans of a minimiser that one bucket resolves; rows merged in a task at a time; characters at a time.
 MOST_WINDOWS = 128
 BUCKET = 1024
-MERGE_ROWS = 1 << 20
-CHARS = 2 << 20
+MERGE_ROWS = 1 << 18
+CHARS = 1 << 20
 
 #: kind 0: a span; 1: one that stands for several equal ones of its task; 2: a copy that its task has settled.
 #: 4 more: the minimiser enters the span's windows again, without which no window repeats within its span.
