@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import bearing_change
+from ..functions.impedance import turn_seconds
 from .network import stored
 
 #: Directed edges whose arrays are broadcast; above that, searches are joins.
@@ -100,3 +102,33 @@ def relaxed_paths(edges: DataFrame, origins: DataFrame, limit: float = float("in
         if not front.take(1):
             return best
     raise RuntimeError("paths did not settle")
+
+
+def turn_graph(edges: DataFrame, places: DataFrame, degrees: DataFrame, model: DataFrame, base_ms: float) -> DataFrame:
+    """Steps (u, v, cost) between directed edges, so that a search over them knows the edge it came by.
+
+    edges(u, v, cost), one for each pair of nodes; places(node, lon, lat); degrees(u, degree); model: one row of
+    turn_models(). A turn's seconds weigh base_ms metres each; turns without seconds are forbidden. Edges are
+    named by edge_name(); the step out of origin o starts at -1 - o.
+    """
+    edges = edges.where("cost is not null")
+    at = lambda side: places.select(F.col("node").alias(side), F.col("lon").alias(f"lon_{side}"), F.col("lat").alias(f"lat_{side}"))
+    first = edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
+    pairs = first.join(edges.select(F.col("u").alias("b"), F.col("v").alias("c"), "cost"), "b").join(at("a"), "a").join(at("b"), "b").join(at("c"), "c").join(degrees.select(F.col("u").alias("b"), "degree"), "b")
+    turn = bearing_change("lon_a", "lat_a", "lon_b", "lat_b", "lon_c", "lat_c")
+    pairs = pairs.withColumn("turn", turn).crossJoin(F.broadcast(model))  # one row
+    delay = turn_seconds("turn", F.col("degree") >= 3, F.col("degree") == 1)
+    steps = pairs.select(edge_name("a", "b").alias("u"), edge_name("b", "c").alias("v"), (F.col("cost") + delay * base_ms).alias("cost")).where("cost is not null")
+    return steps.union(edges.select((-1 - F.col("u")).alias("u"), edge_name("u", "v").alias("v"), "cost"))
+
+
+def edge_name(u: str, v: str):
+    """One number for a pair of node ids below 2**31."""
+    return F.col(u) * F.lit(1 << 31) + F.col(v)
+
+
+def turn_paths(steps: DataFrame, origins: DataFrame, limit: float = float("inf")) -> DataFrame:
+    """(origin, node, cost): least costs with turns over the steps of turn_graph()."""
+    found = shortest_paths(steps, origins.select((-1 - F.col("origin")).alias("origin")), limit)
+    to = F.when(F.col("node") < 0, -1 - F.col("node")).otherwise(F.col("node") % (1 << 31))
+    return found.select((-1 - F.col("origin")).alias("origin"), to.alias("node"), "cost").groupBy("origin", "node").agg(F.min("cost").alias("cost"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.impedance import edge_cost, travel_seconds
-from ..functions.profiles import PROFILES, profiles, values_sql
-from ..operators import network, search, spatial
+from ..functions import access
+from ..functions.geo import haversine_2d
+from ..functions.profiles import profiles, turn_models
+from ..operators import matching, network, search, spatial
 from ..sources.fixtures import view, with_views
-from .scalar import _P_COLUMNS, sql_haversine
+from .scalar import sql_haversine
 
 QUERIES, ORACLES = {}, {}
 #: Nodes that searches start from, and minutes of isochrones.
@@ -119,3 +121,58 @@ ORACLES["g11_od_matrix"] = (
     )
     + "SELECT facility_id, zone_id, round(c, 3) AS seconds FROM paths JOIN so ON so.node = paths.o JOIN sz ON sz.node = paths.node"
 )
+
+
+def _turns(spark, sf_dir):
+    """Least costs by car with turns: left turns and U-turns cost time."""
+    edges = _costed(spark, sf_dir, "car", False).where("cost is not null").groupBy("u", "v").agg(F.min("cost").alias("cost"))
+    places = view(spark, sf_dir, "grid_nodes").select(F.col("node_id").alias("node"), "lon", "lat")
+    steps = search.turn_graph(edges, places, network.degrees(_edges(spark, sf_dir)), turn_models(spark).where("profile = 'car'"), 50.0 / 3.6)
+    return search.turn_paths(steps, _origins(spark, sf_dir)).select("origin", "node", F.round("cost", 3).alias("cost"))
+
+
+QUERIES["g05_turn_search"] = _turns
+_CAR_COST = "length_m * (1 + 1.5e0 * abs(slope) / 10 * 0.5e0) * CASE WHEN quality < 0.5e0 THEN 1 + 4 * (0.5e0 - quality) ELSE 1 END * CASE rank WHEN 2 THEN 0.8e0 ELSE 1.5e0 END"
+ORACLES["g05_turn_search"] = _EDGES + f""", deg AS (SELECT u AS b, count(DISTINCT v) AS g FROM edges GROUP BY 1),
+w AS (SELECT u, v, min({_CAR_COST}) AS c FROM edges WHERE NOT against AND NOT steps AND abs(slope) <= 25 GROUP BY 1, 2),
+t AS (SELECT a.u AS a, a.v AS b, c.v AS c, c.c AS cost, g, degrees(atan2((nc.lon - nb.lon) * cos(radians(nb.lat)), nc.lat - nb.lat) - atan2((nb.lon - na.lon) * cos(radians(nb.lat)), nb.lat - na.lat)) AS r
+ FROM w a JOIN w c ON c.u = a.v JOIN deg ON deg.b = a.v JOIN grid_nodes na ON na.node_id = a.u JOIN grid_nodes nb ON nb.node_id = a.v JOIN grid_nodes nc ON nc.node_id = c.v),
+f AS (SELECT *, CASE WHEN r > 180 THEN r - 360 WHEN r < -180 THEN r + 360 ELSE r END AS x FROM t),
+k AS (SELECT a * 100000 + b AS u, b * 100000 + c AS v, cost + 50e0 / 3.6e0 * CASE WHEN abs(x) >= 165 THEN CASE WHEN g = 1 THEN 30e0 END WHEN g < 3 OR abs(x) < 30 THEN 0e0 ELSE CASE WHEN x < 0 THEN 6e0 ELSE 2e0 END + CASE WHEN abs(x) >= 120 THEN 4e0 ELSE 0e0 END END AS c FROM f),
+steps AS (SELECT u, v, c FROM k WHERE c IS NOT NULL UNION ALL SELECT -1 - u, u * 100000 + v, c FROM w), starts AS ({_STARTS}),
+paths(o, e, c) USING KEY (o, e) AS (SELECT o, -1 - o AS e, 0e0 AS c FROM starts UNION
+ SELECT p.o, s.v, min(p.c + s.c) FROM paths p JOIN steps s ON s.u = p.e LEFT JOIN recurring.paths r ON r.o = p.o AND r.e = s.v WHERE r.c IS NULL OR p.c + s.c < r.c GROUP BY 1, 2)
+SELECT o AS origin, CASE WHEN e < 0 THEN -1 - e ELSE e % 100000 END AS node, round(min(c), 3) AS cost FROM paths GROUP BY 1, 2"""
+
+_AUDIT = {"highway": "CASE code % 6 WHEN 0 THEN 'residential' WHEN 1 THEN 'footway' WHEN 2 THEN 'motorway' WHEN 3 THEN 'steps' WHEN 4 THEN 'primary' ELSE 'cycleway' END", "access": "CASE WHEN code = 12 THEN 'private' ELSE '' END", "bicycle": "CASE WHEN code = 9 THEN 'yes' WHEN code = 16 THEN 'no' ELSE '' END"}
+
+
+def _audit(spark, sf_dir):
+    """Whether a network serves cyclists: allowed segments, and the largest connected part of them against all nodes."""
+    tagged = _segments(spark, sf_dir).select("u", "v", *(F.expr(x).alias(a) for a, x in _AUDIT.items()))
+    none = {a: F.lit("") for a in ("foot", "motor_vehicle", "lit", "oneway_bicycle", "oneway_foot")} | {a: F.lit(False) for a in ("oneway", "against_oneway", "reverse_of_two_way")}
+    judged = tagged.crossJoin(F.broadcast(profiles(spark).where("profile = 'bicycle'").select("profile", "category"))).withColumn("ok", access.edge_access("profile", "category", none | {a: F.col(a) for a in _AUDIT})["allowed"])
+    counts = judged.agg(F.count("*").alias("segments"), F.count_if("ok").alias("allowed"))
+    nodes = judged.select("u").union(judged.select("v")).distinct().agg(F.count("*").alias("nodes"))
+    parts = network.components(judged.where("ok")).groupBy("component").count().agg(F.count("*").alias("components"), F.max("count").alias("largest"))
+    share = 100.0 * F.col("largest") / F.col("nodes")
+    row = counts.crossJoin(nodes).crossJoin(parts)  # one row each
+    return row.select("segments", "allowed", "nodes", "components", F.round(share, 4).alias("largest_pct"), ((F.col("allowed") > 0) & (F.col("nodes") >= 2) & (share >= 80)).alias("ready"))
+
+
+QUERIES["a10_network_audit"] = _audit
+ORACLES["a10_network_audit"] = _EDGES + f""", j AS (SELECT u, v, CASE WHEN b = 'no' THEN FALSE WHEN b = '' AND a = 'private' THEN FALSE WHEN b = 'yes' THEN TRUE ELSE h NOT IN ('motorway', 'steps') END AS ok FROM (SELECT u, v, {_AUDIT['highway']} AS h, {_AUDIT['access']} AS a, {_AUDIT['bicycle']} AS b FROM seg)),
+k AS (SELECT u AS a, v AS b FROM j WHERE ok UNION SELECT v, u FROM j WHERE ok),
+reach(node, c) USING KEY (node) AS (SELECT DISTINCT a AS node, a AS c FROM k UNION SELECT k.b, min(r.c) FROM reach r JOIN k ON k.a = r.node JOIN recurring.reach t ON t.node = k.b WHERE r.c < t.c GROUP BY 1),
+p AS (SELECT count(*) AS components, max(n) AS largest FROM (SELECT count(*) AS n FROM reach GROUP BY c)), n AS (SELECT count(DISTINCT x) AS nodes FROM (SELECT u AS x FROM j UNION ALL SELECT v FROM j)), c AS (SELECT count(*) AS segments, count_if(ok)::BIGINT AS allowed FROM j)
+SELECT segments, allowed, nodes, components, round(100e0 * largest / nodes, 4) AS largest_pct, 100e0 * largest / nodes >= 80 AS ready FROM c, n, p"""
+
+
+def _matched(spark, sf_dir):
+    segments = _segments(spark, sf_dir)
+    candidates = matching.edge_candidates(view(spark, sf_dir, "tracks").select("track_id", "seq", "lon", "lat"), segments)
+    edges = segments.select("u", "v", haversine_2d("lon1", "lat1", "lon2", "lat2").alias("cost"))
+    return matching.match_summary(matching.match_tracks(candidates, edges)).select("track_id", "points", F.round("mean_error_m", 4).alias("mean_error_m"), F.round("metres", 3).alias("metres"))
+
+
+QUERIES["g25_map_matching"] = _matched
