@@ -82,3 +82,14 @@ def shade_exposure(points: DataFrame, hour: float = 14.0, day: int = 172, densit
     kind = F.when(F.col("sun_pct") > 65, "Exposed").when(F.col("sun_pct") > 35, "Mixed").otherwise("Shaded")
     out = sums.withColumn("shade_pct", shade).withColumn("sun_pct", 100 - F.col("shade_pct"))
     return out.select("route_id", "sun_pct", "shade_pct", (F.col("watts") * F.col("sun_pct") / 100 * (F.col("length_m") / 1000 * 0.2) / 1000).alias("solar_kwh"), kind.alias("comfort"))
+
+
+def evacuation(routes: DataFrame, points: DataFrame, pairs: DataFrame, hazards: DataFrame) -> DataFrame:
+    """The muster of each origin with the least minutes + risk / 60 over routes(pair_id, cost in seconds).
+
+    points: the routes' points (route_id = pair_id); pairs(pair_id, origin, muster). Ties go to the smaller muster.
+    """
+    risk = hazard_exposure(points, hazards).select(F.col("route_id").alias("pair_id"), "risk", "nearest_m")
+    rows = routes.join(pairs, "pair_id").join(risk, "pair_id", "left").withColumn("minutes", F.col("cost") / 60)
+    score = F.struct((F.col("minutes") + F.coalesce("risk", F.lit(0.0)) / 60).alias("total"), "muster", "minutes", F.coalesce("risk", F.lit(0.0)).alias("risk"), F.coalesce("nearest_m", F.lit(9999.0)).alias("clearance_m"))
+    return rows.groupBy("origin").agg(F.min(score).alias("best")).select("origin", "best.muster", "best.minutes", "best.risk", "best.clearance_m")

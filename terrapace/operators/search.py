@@ -104,6 +104,47 @@ def relaxed_paths(edges: DataFrame, origins: DataFrame, limit: float = float("in
     raise RuntimeError("paths did not settle")
 
 
+def routes(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair_id, cost, path: array of nodes) for pairs(pair_id, origin, node); none where there is no way.
+
+    Pairs of one origin share a search. Equal costs are settled in favour of the smaller node.
+    """
+    spark = edges.sparkSession
+    ids, starts, targets, costs = csr(edges)
+    shared = spark.sparkContext.broadcast((ids, starts, targets, costs))
+
+    def run(frames):
+        ids, starts, targets, costs = shared.value
+        lists = starts.tolist(), targets.tolist(), costs.tolist()
+        place = lambda x: int(np.searchsorted(ids, x))
+        known = lambda x: place(x) < len(ids) and ids[place(x)] == x
+        for frame in frames:
+            out = []
+            for origin, group in frame.groupby("origin"):
+                if not known(origin):
+                    continue
+                goals = {place(x) for x in group["node"].tolist() if known(x)}
+                done, pred = search(*lists, place(origin), float("inf"), goals)
+                for pair, node in zip(group["pair_id"].tolist(), group["node"].tolist()):
+                    at = place(node) if known(node) else -1
+                    if at in done:
+                        path, k = [], at
+                        while k >= 0:
+                            path.append(int(ids[k]))
+                            k = pred[k]
+                        out.append((pair, done[at], path[::-1]))
+            yield pd.DataFrame(out, columns=["pair_id", "cost", "path"])
+
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return pairs.select("pair_id", "origin", "node").repartition(n, "origin").sortWithinPartitions("origin").mapInPandas(run, "pair_id long, cost double, path array<long>")
+
+
+def path_points(routes: DataFrame, places: DataFrame) -> DataFrame:
+    """(route_id, seq, lon, lat, z) of the nodes of routes(); places(node, lon, lat, z)."""
+    steps = routes.select(F.col("pair_id").alias("route_id"), F.posexplode("path").alias("at", "node"))
+    return steps.join(places, "node").select("route_id", (F.col("at") + 1).alias("seq"), "lon", "lat", "z")
+
+
 def turn_graph(edges: DataFrame, places: DataFrame, degrees: DataFrame, model: DataFrame, base_ms: float) -> DataFrame:
     """Steps (u, v, cost) between directed edges, so that a search over them knows the edge it came by.
 

@@ -8,7 +8,7 @@ from ..functions.impedance import edge_cost, travel_seconds
 from ..functions import access
 from ..functions.geo import haversine_2d
 from ..functions.profiles import profiles, turn_models
-from ..operators import matching, network, search, spatial
+from ..operators import corridor, matching, network, polyline, search, spatial
 from ..sources.fixtures import view, with_views
 from .scalar import sql_haversine
 
@@ -176,3 +176,38 @@ def _matched(spark, sf_dir):
 
 
 QUERIES["g25_map_matching"] = _matched
+
+
+def _snapped(spark, sf_dir, name: str, key: str):
+    nodes = view(spark, sf_dir, "grid_nodes").select("node_id", "lon", "lat")
+    return spatial.nearest(view(spark, sf_dir, name).select(key, "lon", "lat"), nodes, key, "node_id", 1000.0).select(key, "node_id")
+
+
+def _places(spark, sf_dir):
+    return view(spark, sf_dir, "grid_nodes").select(F.col("node_id").alias("node"), "lon", "lat", "z")
+
+
+def _batch(spark, sf_dir):
+    """The n-th zone to the n-th facility, on foot, with the totals of each route."""
+    a, b = _snapped(spark, sf_dir, "zones", "zone_id").withColumnRenamed("node_id", "origin"), _snapped(spark, sf_dir, "facilities", "facility_id").withColumnRenamed("node_id", "node")
+    pairs = a.join(b, a["zone_id"] == b["facility_id"]).select(F.col("zone_id").alias("pair_id"), "origin", "node")
+    found = search.routes(_costed(spark, sf_dir, "adult", False), pairs)
+    totals = polyline.route_totals(polyline.steps(search.path_points(found, _places(spark, sf_dir))))
+    return found.join(totals, found["pair_id"] == totals["route_id"], "left").select("pair_id", F.round("cost", 4).alias("cost"), F.size("path").alias("nodes"), F.round("distance_m", 2).alias("distance_m"), F.round("gain_m", 2).alias("gain_m"))
+
+
+QUERIES["g12_batch_routes"] = _batch
+HAZARDS = ((1, 27.105, 38.405, 200.0, 100.0), (2, 27.115, 38.415, 220.0, 100.0))
+
+
+def _evacuation(spark, sf_dir):
+    """From the stated origins to the best of all facilities, on foot."""
+    musters = _snapped(spark, sf_dir, "facilities", "facility_id").select(F.col("facility_id").alias("muster"), "node_id")
+    pairs = _origins(spark, sf_dir).crossJoin(musters).select((F.col("origin") * (1 << 31) + F.col("muster")).alias("pair_id"), "origin", F.col("node_id").alias("node"), "muster")  # a few stated origins
+    found = search.routes(_costed(spark, sf_dir, "adult", True), pairs)
+    hazards = spark.createDataFrame(list(HAZARDS), "hazard_id int, lon double, lat double, radius_m double, severity double")
+    best = corridor.evacuation(found, search.path_points(found, _places(spark, sf_dir)), pairs.select("pair_id", "origin", "muster"), hazards)
+    return best.select("origin", "muster", *(F.round(c, 3).alias(c) for c in ("minutes", "risk", "clearance_m")))
+
+
+QUERIES["a31_evacuation"] = _evacuation

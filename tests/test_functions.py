@@ -104,3 +104,58 @@ def test_steps_keep_the_length(spark):
     straight = sum(r.d for r in points.selectExpr("*", "lead(lon) over (order by seq) lon2", "lead(lat) over (order by seq) lat2").where("lon2 is not null").select(geo.haversine_2d("lon", "lat", "lon2", "lat2").alias("d")).collect())
     assert straight < totals.distance_m < straight * 1.01
     assert abs(totals.gain_m - 4.0) < 1e-9 and abs(totals.loss_m - 7.0) < 1e-9
+
+
+def test_routes_cost_what_searches_cost(spark):
+    edges = grid(spark)
+    pairs = spark.createDataFrame([(1, 0, 35), (2, 0, 7), (3, 14, 14), (4, 0, 999), (5, 999, 0)], "pair_id long, origin long, node long")
+    cost = {(r.origin, r.node): r.cost for r in search.shortest_paths(edges, pairs.select("origin")).collect()}
+    step = {(r.u, r.v): r.cost for r in edges.collect()}
+    got = {r.pair_id: r for r in search.routes(edges, pairs).collect()}
+    assert set(got) == {1, 2, 3}
+    for k, (a, b) in {1: (0, 35), 2: (0, 7), 3: (14, 14)}.items():
+        path = got[k].path
+        assert (path[0], path[-1]) == (a, b) and abs(got[k].cost - cost[a, b]) < 1e-9
+        assert abs(sum(step[x] for x in zip(path, path[1:])) - got[k].cost) < 1e-9
+
+
+def test_turns_cost(spark):
+    """A way with one left turn against a longer one without: the turn decides."""
+    places = spark.createDataFrame([(0, 27.0, 38.0), (1, 27.001, 38.0), (2, 27.001, 38.001), (3, 27.002, 38.0)], "node long, lon double, lat double")
+    edges = spark.createDataFrame([(0, 1, 80.0), (1, 2, 80.0), (1, 3, 80.0), (1, 0, 80.0), (2, 1, 80.0), (3, 1, 80.0)], "u long, v long, cost double")
+    model = spark.createDataFrame([("car", 6.0, 2.0, 4.0, None, 30.0)], "profile string, left_s double, right_s double, sharp_s double, uturn_s double, dead_end_s double")
+    steps = search.turn_graph(edges, places, network.degrees(edges), model, 10.0)
+    got = {r.node: round(r.cost, 6) for r in search.turn_paths(steps, spark.createDataFrame([(0,)], "origin long")).collect()}
+    assert got == {0: 0.0, 1: 80.0, 3: 160.0, 2: 160.0 + 60.0}
+
+
+def test_a_track_is_matched_to_its_street(spark):
+    from terrapace.operators import matching
+
+    segments = spark.createDataFrame([(1, 2, 27.0, 38.0, 27.001, 38.0), (2, 3, 27.001, 38.0, 27.002, 38.0), (4, 5, 27.0, 38.0002, 27.002, 38.0002)], "u long, v long, lon1 double, lat1 double, lon2 double, lat2 double")
+    track = spark.createDataFrame([(1, k, 27.0 + k * 0.0002, 38.0 + (0.00012 if k == 4 else 0.00002)) for k in range(1, 9)], "track_id long, seq long, lon double, lat double")
+    edges = segments.select("u", "v", geo.haversine_2d("lon1", "lat1", "lon2", "lat2").alias("cost"))
+    rows = matching.match_tracks(matching.edge_candidates(track, segments), edges).orderBy("seq").collect()
+    assert len(rows) == 8 and {(r.u, r.v) for r in rows} == {(1, 2), (2, 3)}
+
+
+def test_evacuation_avoids_a_hazard(spark):
+    from terrapace.operators import corridor
+
+    routes = spark.createDataFrame([(1, 60.0), (2, 120.0)], "pair_id long, cost double")
+    points = spark.createDataFrame([(1, 1, 27.0, 38.0), (1, 2, 27.001, 38.0), (2, 1, 27.0, 38.01)], "route_id long, seq int, lon double, lat double")
+    pairs = spark.createDataFrame([(1, 0, 7), (2, 0, 8)], "pair_id long, origin long, muster long")
+    hazards = spark.createDataFrame([(1, 27.001, 38.0, 50.0, 100.0)], "hazard_id int, lon double, lat double, radius_m double, severity double")
+    assert corridor.evacuation(routes, points, pairs, hazards).first().muster == 8
+
+
+def test_file_events(spark, tmp_path):
+    from terrapace.streaming import changes
+
+    spark.range(3).write.mode("append").parquet(str(tmp_path / "in"))
+    seen = []
+    events = changes.file_events(spark, str(tmp_path / "in"), "id long")
+    changes.on_change(events, lambda df, epoch: seen.append(df.count()), str(tmp_path / "c")).awaitTermination()
+    spark.range(2).write.mode("append").parquet(str(tmp_path / "in"))
+    changes.on_change(events, lambda df, epoch: seen.append(df.count()), str(tmp_path / "c")).awaitTermination()
+    assert seen == [3, 2]
