@@ -1,8 +1,8 @@
 """All queries of the library but the corpus operators."""
 
-from . import corridor, equity, network, places, polyline, scalar
+from . import choices, corridor, equity, network, places, polyline, scalar
 
 QUERIES, ORACLES = {}, {}
-for _plan in (corridor, equity, network, places, polyline, scalar):
+for _plan in (choices, corridor, equity, network, places, polyline, scalar):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
