@@ -171,7 +171,7 @@ def fit(sample: DataFrame) -> Model | None:
     if not start:
         return None
     fourier = Fourier(np.stack(start))
-    sums = sample.repartition(8, KEY).mapInPandas(_sums(fourier), "fold int, zz array<double>, zy array<double>, n long")
+    sums = sample.coalesce(8).mapInPandas(_sums(fourier), "fold int, zz array<double>, zy array<double>, n long")
     totals = {r["fold"]: r for r in sums.groupBy("fold").applyInPandas(_total, "fold int, zz array<double>, zy array<double>, n long").collect()}
     if set(totals) != {0, 1}:
         return None
@@ -213,7 +213,11 @@ def text_scorer(model: Model | None, base: float):
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            yield pd.Series(model(statistics(encoded(texts))) if model and len(texts) else np.full(len(texts), base))
+            scores = [np.full(0, base)]
+            for group in batches([texts.to_frame("__text")], "__text", CHARS):
+                rows = pd.concat(group)["__text"]
+                scores.append(model(statistics(encoded(rows))) if model else np.full(len(rows), base))
+            yield pd.Series(np.concatenate(scores))
 
     return score
 
