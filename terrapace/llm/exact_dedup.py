@@ -66,29 +66,31 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def decisions(keyed: DataFrame) -> DataFrame:
-    """As exact_dedup(), for a frame with KEY and __text; columns KEY, __keep, group_size, kept, text_sha256."""
-    marked, groups = _groups(keyed)
+    """As exact_dedup(), for a frame with KEY and __text; columns KEY, __keep, group_size, kept, text_sha256.
+
+    Texts are read once, for digests; those of rows that may be repeated are grouped, and the stored groups let
+    Spark split the join of a very large one.
+    """
+    rows = keyed.select(KEY, F.sha2(normalised(F.col("__text")), 256).alias("text_sha256"), F.length(F.coalesce("__text", F.lit(""))).alias("__n"))
+    rows = stored(rows, "digests").withColumn("__h", F.xxhash64("text_sha256"))
+    cells = min(MOST_CELLS, max(1 << 12, rows.count() * CELLS_PER_DOCUMENT))
+    marked = maybe_repeated(rows, stored(repeated_bits(rows.select("__h"), cells), "bits"), cells)
+    again = marked.where("__again").select(KEY, "text_sha256", "__n")
+    groups = stored(again.groupBy("text_sha256").agg(F.max_by(KEY, F.struct("__n", -F.col(KEY))).alias("__keep"), F.count("*").alias("group_size")), "groups")
     alone = marked.where("not __again").select(KEY, F.col(KEY).alias("__keep"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    met = marked.where("__again").select(KEY, "text_sha256").join(groups, "text_sha256").select(KEY, "__keep", "group_size", (F.col(KEY) == F.col("__keep")).alias("kept"), "text_sha256")
+    met = again.join(groups, "text_sha256").select(KEY, "__keep", "group_size", (F.col(KEY) == F.col("__keep")).alias("kept"), "text_sha256")
     return alone.union(met)
 
 
-def _groups(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every row's digest and whether it may be repeated; and the groups of those that may."""
-    rows = keyed.select(KEY, F.sha2(normalised(F.col("__text")), 256).alias("text_sha256"), F.length(F.coalesce("__text", F.lit(""))).alias("__n"))
-    rows = rows.withColumn("__h", F.xxhash64("text_sha256"))
-    cells = min(MOST_CELLS, max(1 << 12, keyed.count() * CELLS_PER_DOCUMENT))
-    marked = maybe_repeated(rows, repeated_bits(rows.select("__h"), cells), cells)
-    groups = marked.where("__again").groupBy("text_sha256").agg(F.max_by(KEY, F.struct("__n", -F.col(KEY))).alias("__keep"), F.count("*").alias("group_size"))
-    return marked, groups
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """rows whose KEY is not among dropped's. Only rows that a Bloom filter of dropped lets through shuffle; the rest pass straight through."""
+    dropped = stored(dropped.select(KEY), "dropped")
+    hashes = dropped.select(F.xxhash64(KEY).alias("__h"))
+    cells = min(MOST_CELLS, max(1 << 12, hashes.count() * CELLS_PER_DOCUMENT))
+    marked = maybe_repeated(rows.withColumn("__h", F.xxhash64(KEY)), stored(repeated_bits(hashes, cells, 1), "bits"), cells)
+    return marked.where("not __again").select(rows.columns).union(marked.where("__again").join(dropped, KEY, "left_anti").select(rows.columns))
 
 
 def drop_copies(keyed: DataFrame) -> DataFrame:
-    """The rows that stay of a frame with KEY and __text, with all their columns: only texts that may be repeated shuffle."""
-    rows = keyed.withColumn("__h", F.xxhash64(F.sha2(normalised(F.col("__text")), 256)))
-    cells = min(MOST_CELLS, max(1 << 12, keyed.count() * CELLS_PER_DOCUMENT))
-    marked = maybe_repeated(rows, stored(repeated_bits(rows.select("__h"), cells), "bits"), cells).drop("__h")
-    again = marked.where("__again")
-    slim = again.select(KEY, F.sha2(normalised(F.col("__text")), 256).alias("__sha"), F.length(F.coalesce("__text", F.lit(""))).alias("__n"))
-    keep = slim.groupBy("__sha").agg(F.max_by(KEY, F.struct("__n", -F.col(KEY))).alias(KEY)).select(KEY)
-    return marked.where("not __again").union(again.join(keep, KEY, "left_semi").select(marked.columns)).drop("__again")
+    """The rows that stay of a frame with KEY and __text, with all their columns."""
+    return without(keyed, decisions(keyed).where("not kept"))
