@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -13,15 +14,15 @@ DEM_MIN_RUN_M = 10.0
 VERTEX_MIN_RUN_M = 1.0
 
 
+_own_dir: dict[str, str] = {}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir and read back, so that loops keep no lineage; checkpoint() where that is not set up."""
+    """df written to the shared folder of spark.checkpoint.dir and read back, so that loops keep no lineage."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="terrapace-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_dir.get("path")
+    if not folder:  # only where no shared folder is named, as in tests
+        folder = _own_dir["path"] = tempfile.mkdtemp(prefix="terrapace-")
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
