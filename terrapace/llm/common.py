@@ -22,13 +22,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 # -- shared storage -----------------------------------------------------------
 
 
+_own_dir: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and every executor see: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own_dir.get("path")
     if not found:
-        found = tempfile.mkdtemp(prefix="terrapace-")
+        found = _own_dir["path"] = tempfile.mkdtemp(prefix="terrapace-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
