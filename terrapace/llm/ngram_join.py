@@ -8,9 +8,12 @@ It is computed only for blocks that can hold a pair:
    Parts meet by hash and give candidate edges; equal sets are linked at once. A task first merges
    what it has twice, so a part or set of any number of documents stays a few rows for each task.
 2. Components of the candidate edges, of one size level each, are the diagonal blocks. Large ones are
-   cut into blocks of BLOCK documents, and each pair of blocks is one group: overlap counts are accumulated over
-   slices of the n-grams, and pairs are discarded by size before and by overlap after.
-3. A spanning forest of each group's links, and the links of equal sets, give the components.
+   cut into blocks of BLOCK documents, and each pair of blocks is one group. A first pass over parity sketches
+   (two sets differ on at least as many members as their sketches on bits) splits components that only shared
+   boilerplate holds together.
+3. In what is left, overlap counts are accumulated over slices of the n-grams, and pairs are discarded by
+   size before and by overlap after.
+4. A spanning forest of each group's links, and the links of equal sets, give the components.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ from .spans import CHARS, MERGE_ROWS, _groups
 GRAM = 4
 #: Documents of a block, and n-grams of one slice of the product.
 BLOCK = 128
-#: Differences from which a part of one member counts as tiny.
-LARGE = 8
+#: Documents of a block where only sketches are compared.
+SKETCH_BLOCK = 1024
 SLICE = 4096
 #: kind 0: a part's hash and the node that has it (a document at a size level); 1: a candidate edge between nodes; 2: a set's hash, with its size; 3: a copy of an equal set, with its size.
-PARTS = "h long, __key long, peer long, n int, kind byte"
+PARTS = "h long, __key long, peer long, n int, kind byte, sketch binary"
 
 
 def gram_sets(texts: list[bytes], gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,13 +73,18 @@ def part_hashes(grams: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.nda
     ends = size_levels(percent, int(n.max(initial=1)) * 100 // percent + 1)
     hashes, owners, steps = [], [], []
     total = np.concatenate(([np.uint64(0)], np.cumsum(mix(grams))))
-    of = np.repeat(np.arange(len(n)), n)
+    of = np.repeat(np.arange(len(n)), np.diff(at))
     for step in (0, 1):
         level = np.searchsorted(ends, n, side="right") - 1 + step
         most = ends[np.minimum(level + 1, len(ends) - 1)] - 1
         differ = 2 * most * (100 - percent) // (100 + percent)
-        large = differ >= LARGE
-        spare = np.where(large, 3 + differ // 6, 1 + differ // 12)
+        # Parts of one member count as tiny too, where sets of this level can spare as many as they are likely to have.
+        size = most * (percent / 100) ** 1.5
+        m = 1.17 * differ + 4
+        spare = 3 + differ // 6
+        large = 1.2 * m * np.exp(-size / m) * (1 + size / m) + 1 <= spare
+        m = 1.1 * differ + 2
+        spare = np.where(large, spare, 1 + np.ceil(1.5 * m * np.exp(-size / m)).astype(np.int64))
         parts = np.where(differ > 0, differ + 1 + spare, 0)
         use = parts[of] > 0
         g, o = np.flatnonzero(use), of[use]
@@ -84,9 +92,7 @@ def part_hashes(grams: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.nda
         new = np.ones(len(g), dtype=bool)
         new[1:] = (o[1:] != o[:-1]) | (part[1:] != part[:-1])
         first = np.flatnonzero(new)
-        if not len(first):
-            continue
-        stop = np.append(first[1:], len(g))
+        stop = np.append(first[1:], len(g)) if len(first) else first
         name = mix((level[o[first]].astype(np.uint64) << np.uint64(32)) | part[first])
         value = mix((total[g[stop - 1] + 1] - total[g[first]]) ^ name)
         holder, whole = o[first], stop - first >= np.where(large, 2, 1)[o[first]]
@@ -105,8 +111,32 @@ def part_hashes(grams: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.nda
     return np.concatenate(hashes), np.concatenate(owners), np.concatenate(steps)
 
 
-def _frame(h, key, peer, n, kind) -> pd.DataFrame:
-    return pd.DataFrame({"h": h, KEY: key, "peer": peer, "n": n, "kind": kind})
+#: Least bits of a sketch (the parity of a set's members in each of so many bins); larger sets have as many as members, rounded up to a power of two.
+SKETCH_BITS = 2048
+
+
+def sketches(grams: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Two sets differ on at least as many members as their sketches, folded to one length, differ on bits."""
+    n = np.diff(at)
+    bits = np.maximum(SKETCH_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    start = np.cumsum(bits) - bits
+    of = np.repeat(np.arange(len(n)), n)
+    place = start[of] + (mix(grams) & (bits[of] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(place, minlength=int(bits.sum())) & 1
+    packed = np.packbits(odd.astype(np.uint8))
+    return [packed[a : a + b].tobytes() for a, b in zip((start // 8).tolist(), (bits // 8).tolist())]
+
+
+def folded(sketch: bytes, words: int) -> np.ndarray:
+    """A sketch as `words` 64-bit words: halves are laid over each other."""
+    out = np.frombuffer(sketch, dtype=np.uint64)
+    while len(out) > words:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def _frame(h, key, peer, n, kind, sketch=None) -> pd.DataFrame:
+    return pd.DataFrame({"h": h, KEY: key, "peer": peer, "n": n, "kind": kind, "sketch": sketch})
 
 
 def _first_of(h: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +162,7 @@ def _emit(gram: int, percent: int):
             h, key = h[order], key[order]
             pairs = np.unique(np.stack((key[~new], lead[~new])), axis=1)
             pairs = pairs[:, pairs[0] != pairs[1]]
-            return pd.concat((_frame(h[new], key[new], key[new], np.int32(0), np.int8(0)), _frame(_spread(pairs[0]), pairs[0], pairs[1], np.int32(0), np.int8(1))))
+            return pd.concat((_frame(h[new], key[new], np.int64(0), np.int32(0), np.int8(0)), _frame(_spread(pairs[0]), pairs[0], pairs[1], np.int32(0), np.int8(1))))
 
         for group in batches(frames, "__text", CHARS):
             texts, keys = [], []
@@ -147,7 +177,7 @@ def _emit(gram: int, percent: int):
             if len(known) > MERGE_ROWS:
                 known.clear()
             alone = lead == key
-            yield _frame(np.where(alone & (n > 0), sets, _spread(key)), key, lead, n.astype(np.int32), np.where(alone, 2, 3).astype(np.int8))
+            yield _frame(np.where(alone & (n > 0), sets, _spread(key)), key, lead, n.astype(np.int32), np.where(alone, 2, 3).astype(np.int8), sketches(grams, at))
             hashes, owner, step = part_hashes(grams, at, percent)
             own = alone[owner]
             rows.append((hashes[own].view(np.int64), (key[owner[own]] << 1) + step[own]))
@@ -174,30 +204,91 @@ def _meet(frames):
         pairs = pairs[:, pairs[0] != pairs[1]]
         out.append(_frame(np.int64(0), pairs[0], pairs[1], np.int32(0), np.int8(1)))
         part = kind == 2
+        sketch = frame["sketch"].to_numpy()[part]
         order, new, lead = _first_of(h[part], key[part])
         none = n[part][order] == 0
         lead = np.where(none, key[part][order], lead)
-        out.append(_frame(h[part][order], key[part][order], lead, n[part][order], np.where(new | none, 2, 3).astype(np.int8)))
-        yield pd.concat(out)[["h", KEY, "peer", "n", "kind"]]
+        out.append(_frame(h[part][order], key[part][order], lead, n[part][order], np.where(new | none, 2, 3).astype(np.int8), np.where(new, sketch[order], None)))
+        yield pd.concat(out)[["h", KEY, "peer", "n", "kind", "sketch"]]
+
+
+def _pairs(keys: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row once for every pair of blocks that its key's block is in: the row, and the pair's number."""
+    mine = (mix(keys.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+    row = np.repeat(np.arange(len(keys)), blocks)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    return row, np.minimum(mine[row], other) * blocks[row] + np.maximum(mine[row], other)
+
+
+def _deal(frames):
+    for frame in frames:
+        row, pair = _pairs(frame[KEY].to_numpy(np.int64), frame["blocks"].to_numpy(np.int64))
+        for at in range(0, len(row), 8192):
+            yield frame.iloc[row[at : at + 8192]].assign(pair=pair[at : at + 8192])[["comp", "pair", KEY, "n", "sketch"]]
+
+
+def _forest(keys: list[int], linked: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a matrix of links."""
+    root = list(range(len(keys)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for a, b in np.argwhere(np.triu(linked, 1)).tolist():
+        ra, rb = find(a), find(b)
+        if ra != rb:
+            root[max(ra, rb)] = min(ra, rb)
+            out.append((keys[a], keys[b]))
+    return out
+
+
+def sketch_forest(keys: list[int], n: np.ndarray, bits: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that may be linked by their sketches; a row of comparisons at a time."""
+    part, out = np.arange(len(keys)), []
+    for i in range(len(keys) - 1):
+        differ = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        may = ((100 + percent) * differ <= (100 - percent) * (n[i + 1 :] + n[i])) & (part[i + 1 :] != part[i])
+        for j in (np.flatnonzero(may) + i + 1).tolist():
+            if part[j] != part[i]:
+                out.append((keys[i], keys[j]))
+                part[part == part[j]] = part[i]
+    return out
 
 
-def _cut(gram: int, block: int):
+def _prune(percent: int):
+    def run(frames):
+        for frame in _groups(frames, ["comp", "pair"], 8_000):
+            out = []
+            for _, group in frame.groupby(["comp", "pair"], sort=False):
+                if len(group) > 1:
+                    words = min(map(len, group["sketch"])) // 8
+                    bits = np.stack([folded(x, words) for x in group["sketch"]])
+                    out += sketch_forest(group[KEY].tolist(), group["n"].to_numpy(np.int64), bits, percent)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return run
+
+
+def _cut(gram: int):
     names = ["comp", "pair", KEY, "grams"]
 
     def run(frames):
         for group in batches(frames, "__text", CHARS):
             frame = pd.concat(group)
             grams, at = gram_sets([t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in frame["__text"]], gram)
+            keys, comps = frame[KEY].to_numpy(np.int64), frame["comp"].tolist()
             out, held = [], 0
-            for k, (key, comp, blocks) in enumerate(zip(frame[KEY].tolist(), frame["comp"].tolist(), frame["blocks"].tolist())):
+            for k, pair in zip(*(x.tolist() for x in _pairs(keys, frame["blocks"].to_numpy(np.int64)))):
                 data = grams[at[k] : at[k + 1]].tobytes()
-                mine = int(_spread(np.array([key], dtype=np.int64))[0]) % blocks
-                for other in range(blocks):
-                    out.append((comp, min(mine, other) * blocks + max(mine, other), key, data))
-                    held += len(data)
-                    if held > 8 << 20:
-                        yield pd.DataFrame(out, columns=names)
-                        out, held = [], 0
+                out.append((comps[k], pair, int(keys[k]), data))
+                held += len(data)
+                if held > 8 << 20:
+                    yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
             if out:
                 yield pd.DataFrame(out, columns=names)
 
@@ -232,21 +323,7 @@ def block_links(keys: list[int], sets: list[np.ndarray], percent: int) -> list[t
         return []
     common = overlaps(sets)
     linked = possible & (100 * common >= percent * (n[:, None] + n[None, :] - common))
-    root = list(range(len(keys)))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for a, b in np.argwhere(np.triu(linked, 1)).tolist():
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            root[max(ra, rb)] = min(ra, rb)
-            out.append((keys[a], keys[b]))
-    return out
+    return _forest(keys, linked)
 
 
 def _product(percent: int):
@@ -281,13 +358,17 @@ def classes(keyed: DataFrame, gram: int, percent: int, block: int = BLOCK) -> Da
     met = stored(parts.repartition(n, "h").sortWithinPartitions("h").mapInPandas(_meet, PARTS), "parts")
     copies = met.where("kind = 3").select(F.col(KEY).alias("a"), F.col("peer").alias("b"))
     near = components(met.where("kind = 1").select(F.col(KEY).alias("a"), F.col("peer").alias("b")))
-    leads = met.where("kind = 2 and n > 0").select(KEY, F.explode(F.array(F.lit(0), F.lit(1))).alias("step")).withColumn("node", F.expr(f"shiftleft({KEY}, 1) + step"))
-    members = stored(near.join(leads, "node").select(KEY, "step", F.col("component").alias("comp")), "members")
+    leads = met.where("kind = 2 and n > 0").select(KEY, "n", "sketch", F.explode(F.array(F.lit(0), F.lit(1))).alias("step")).withColumn("node", F.expr(f"shiftleft({KEY}, 1) + step"))
+    members = stored(near.join(leads, "node").select(KEY, "n", "sketch", "step", F.col("component").alias("comp")), "members")
     # A pair belongs to the level of its larger set, which has step 0 there.
-    sizes = members.groupBy("comp").agg(F.count("*").alias("count"), F.min("step").alias("least")).where("count > 1 and least = 0").select("comp", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    members = stored(members.select(KEY, "comp").join(sizes, "comp"), "members")
+    sizes = members.groupBy("comp").agg(F.count("*").alias("count"), F.min("step").alias("least")).where("count > 1 and least = 0").select("comp", F.ceil(F.col("count") / (block * SKETCH_BLOCK // BLOCK)).cast("int").alias("blocks"))
+    dealt = members.drop("step").join(sizes, "comp").mapInPandas(_deal, "comp long, pair long, __key long, n int, sketch binary")
+    alike = dealt.repartition(n, "comp", "pair").sortWithinPartitions("comp", "pair").mapInPandas(_prune(percent), "a long, b long")
+    alike = components(alike).select(F.col("node").alias(KEY), F.col("component").alias("comp"))
+    sizes = alike.groupBy("comp").count().select("comp", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    members = stored(alike.join(sizes, "comp"), "members")
     texts = possible_members(keyed.select(KEY, "__text"), members)  # the others' texts need not shuffle
-    cut = texts.join(members, KEY).mapInPandas(_cut(gram, block), "comp long, pair long, __key long, grams binary")
+    cut = texts.join(members, KEY).mapInPandas(_cut(gram), "comp long, pair long, __key long, grams binary")
     links = cut.repartition(n, "comp", "pair").sortWithinPartitions("comp", "pair").mapInPandas(_product(percent), "a long, b long")
     found = components(links.union(copies))
     sizes = met.where("kind >= 2").select(KEY, F.col("n").cast("long").alias("n_shingles"))

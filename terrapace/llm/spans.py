@@ -103,8 +103,8 @@ def _emit(windows: Windows, first_stays: bool):
     return run
 
 
-def _groups(frames, columns: list[str]) -> Iterator[pd.DataFrame]:
-    """Batches regrouped so that rows with equal columns (by which they are sorted) are never in two."""
+def _groups(frames, columns: list[str], least: int = 50_000) -> Iterator[pd.DataFrame]:
+    """Batches regrouped of `least` rows or more, so that rows with equal columns (by which they are sorted) are never in two."""
     held: list[pd.DataFrame] = []
     rows = 0
     for frame in frames:
@@ -112,7 +112,7 @@ def _groups(frames, columns: list[str]) -> Iterator[pd.DataFrame]:
             continue
         held.append(frame)
         rows += len(frame)
-        if rows < 50_000:
+        if rows < least:
             continue
         whole = pd.concat(held, ignore_index=True)
         last = np.ones(len(whole), dtype=bool)
