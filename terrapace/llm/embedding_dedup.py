@@ -5,6 +5,8 @@ on one substring of the code; vectors of one label that share a substring meet,
 vectors decide by cosine in double precision. A pair counts in the first table in which it meets.
 Equal vectors are one class beforehand. Large buckets are cut into blocks and each pair of blocks is
 one group, so that every pair of a bucket is seen, whatever its size, in groups of bounded size.
+How often pairs at the threshold share no substring is measured on the sample's own codes, and tables are
+added until few do; where the most tables are too few, substrings get shorter, down to none: every pair of a label.
 """
 
 from __future__ import annotations
@@ -25,35 +27,81 @@ ROUNDS = 30
 #: Vectors of a block; vectors of a label that fill a bucket this much on average get longer substrings.
 BLOCK = 96
 BUCKET = 256
-#: Each bit of a pair at the threshold differs with about this probability; tables are added until fewer than MISS of such pairs share no substring.
-DIFFER = 0.12
+#: Tables are added until fewer than MISS of the pairs at the threshold share no substring, by at most about PAIRS pairs of each kind; no more than MOST_TABLES.
 MISS = 0.03
+PAIRS = 4_000
+MOST_TABLES = 256
 
 
-def table_shape(largest: int) -> tuple[int, int]:
-    """Bits of a substring and number of tables, for labels of at most `largest` vectors."""
-    bits = max(8, math.ceil(math.log2(max(1, largest / BUCKET))))
-    return bits, math.ceil(math.log(MISS) / math.log(1 - (1 - DIFFER) ** bits))
+def substring_bits(largest: int) -> int:
+    """Bits of a substring, for labels of at most `largest` vectors."""
+    return max(8, math.ceil(math.log2(max(1, largest / BUCKET))))
 
 
-def fit_rotations(sample: np.ndarray, bits: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection to `bits` columns): for each block of dimensions many bits, iterative quantisation from its own random start."""
-    mean = sample.mean(axis=0)
-    x = sample - mean
+def _rotations(x: np.ndarray, seed: int):
+    """Projections of x (d columns) to d bits each: iterative quantisation, from a random start of its own each."""
     d = x.shape[1]
     rng = np.random.default_rng(seed)
-    out = []
     values, vectors = np.linalg.eigh(x.T @ x / max(1, len(x)))
     vectors = vectors[:, np.argsort(-values)]
-    while sum(p.shape[1] for p in out) < bits:
-        v = x @ vectors
+    v = x @ vectors
+    while True:
         rotation, _ = np.linalg.qr(rng.standard_normal((d, d)))
         for _ in range(ROUNDS):
             codes = np.where(v @ rotation >= 0, 1.0, -1.0)
             left, _, right = np.linalg.svd(codes.T @ v)
             rotation = (left @ right).T
-        out.append(vectors @ rotation)
-    return mean, np.concatenate(out, axis=1)[:, :bits]
+        yield vectors @ rotation
+
+
+def threshold_pairs(sample: np.ndarray, labels: np.ndarray, least: float, seed: int = 12) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors whose cosine is `least` or little more, of three kinds: two of the sample; one of it and
+    its turn towards another of its label; one of it and its turn in any direction."""
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(len(sample))
+    x, of = sample[order], labels[order]
+    first, second = [], []
+    for at in range(0, min(len(x), PAIRS), 250):
+        cosine = x[at : at + 250] @ x.T
+        near = (cosine >= least) & (cosine <= least + (1 - least) / 4) & (of[at : at + 250, None] == of[None, :])
+        a, b = np.nonzero(near)
+        some = rng.permutation(len(a))[: PAIRS // 8]
+        first.append(a[some] + at)
+        second.append(b[some])
+    kinds = [(x[np.concatenate(first)], x[np.concatenate(second)])]
+    by_label = np.argsort(of, kind="stable")
+    towards = np.empty_like(x)
+    towards[by_label] = x[np.roll(by_label, 1)]
+    alike = np.empty(len(x), dtype=bool)
+    alike[by_label] = of[by_label] == of[np.roll(by_label, 1)]
+    for other in (np.where(alike[:, None], towards, 0.0)[:PAIRS], rng.standard_normal(x[:PAIRS].shape)):
+        one = x[:PAIRS]
+        turn = other - (other * one).sum(axis=1, keepdims=True) * one
+        length = np.linalg.norm(turn, axis=1)
+        one, turn = one[length > 1e-12], turn[length > 1e-12] / length[length > 1e-12, None]
+        kinds.append((one, least * one + math.sqrt(max(0.0, 1 - least * least)) * turn))
+    return [k for k in kinds if len(k[0])]
+
+
+def fit_codes(sample: np.ndarray, labels: np.ndarray, bits: int, least: float, seed: int = 11) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(mean, projection to tables * bits columns, bits, tables): as many tables as the pairs at the threshold need."""
+    mean = sample.mean(axis=0)
+    pairs = threshold_pairs(sample, labels, least)
+    if not pairs:
+        return mean, np.zeros((sample.shape[1], 0)), 0, 1
+    rotations, projection = _rotations(sample - mean, seed), np.zeros((sample.shape[1], 0))
+    unlike = [np.zeros((len(a), 0), dtype=bool) for a, _ in pairs]
+    for width in range(bits, 0, -1):
+        apart = [np.ones(len(a), dtype=bool) for a, _ in pairs]
+        for table in range(MOST_TABLES):
+            while projection.shape[1] < (table + 1) * width:
+                more = next(rotations)
+                projection = np.concatenate([projection, more], axis=1)
+                unlike = [np.concatenate([u, ((a - mean) @ more >= 0) != ((b - mean) @ more >= 0)], axis=1) for u, (a, b) in zip(unlike, pairs)]
+            apart = [miss & u[:, table * width : (table + 1) * width].any(axis=1) for miss, u in zip(apart, unlike)]
+            if max(miss.mean() for miss in apart) < MISS:
+                return mean, projection[:, : (table + 1) * width], width, table + 1
+    return mean, projection[:, :0], 0, 1
 
 
 def _unit(vectors: list) -> np.ndarray:
@@ -62,12 +110,12 @@ def _unit(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _coder(models: dict, bits: int, tables: int):
+def _coder(models: dict):
     def run(frames):
         for frame in frames:
             dims = frame["vec"].map(len)
             for dim, part in frame.groupby(dims):
-                mean, projection = models[dim]
+                mean, projection, bits, tables = models[dim]
                 codes = ((_unit(part["vec"].tolist()) - mean) @ projection >= 0).reshape(len(part), tables, bits)
                 subs = codes @ (1 << np.arange(bits, dtype=np.int64))
                 yield part.assign(subs=list(subs))[[KEY, "label", "vec", "size", "subs"]]
@@ -82,12 +130,13 @@ def _blocks(frames):
         if not len(frame):
             continue
         mine = (mix(frame[KEY].to_numpy(np.int64).view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
-        row = np.repeat(np.arange(len(frame)), blocks)
-        other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        pair = np.minimum(mine[row], other) * blocks[row] + np.maximum(mine[row], other)
-        for at in range(0, len(row), 4096):
-            r = row[at : at + 4096]
-            yield frame.iloc[r].assign(pair=pair[at : at + 4096], block=mine[r], own=(mine[row] == other)[at : at + 4096])[["label", "dim", "table", "sub", "pair", "block", "own", KEY, "size", "subs", "vec"]]
+        ends = np.cumsum(blocks)
+        for at in range(0, int(ends[-1]), 4096):
+            place = np.arange(at, min(at + 4096, int(ends[-1])))
+            r = np.searchsorted(ends, place, side="right")
+            other = place - (ends - blocks)[r]
+            pair = np.minimum(mine[r], other) * blocks[r] + np.maximum(mine[r], other)
+            yield frame.iloc[r].assign(pair=pair, block=mine[r], own=mine[r] == other)[["label", "dim", "table", "sub", "pair", "block", "own", KEY, "size", "subs", "vec"]]
 
 
 def _links(least: float):
@@ -135,7 +184,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     length don't. Null, empty and zero vectors and ones with null or non-finite components link with nothing.
     Repeated rows and rows with a null id are vectors of their own; kept is true for the first of a
     component. An empty table gives an empty result; other columns are ignored. Pairs near the threshold are found
-    with probability of about 1 - MISS at least, closer ones more surely; no pair below it is linked.
+    with probability of about 1 - MISS at least, on the average of the sample's vectors, closer ones more surely;
+    no pair below it is linked.
     """
     keyed = Keyed(vectors, id_col, [F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).cast("string").alias("label")], ["label", "vec"])
     result = links(keyed.df, least)
@@ -153,7 +203,7 @@ def links(keyed: DataFrame, least: float) -> DataFrame:
     largest, total = counts[0] or 0, counts[1] or 0
     if not total:
         return keyed.select(KEY, F.lit(0).cast("long").alias("n_links"), F.col(KEY).alias("component"), F.lit(True).alias("kept"))
-    bits, tables = table_shape(largest)
+    bits = substring_bits(largest)
     dims = [r[0] for r in same.select(F.size("vec")).distinct().collect()]
     models = {}
     for dim in dims:
@@ -161,9 +211,9 @@ def links(keyed: DataFrame, least: float) -> DataFrame:
         share = SAMPLE / max(1, some.count())
         if share < 1:
             some = some.where(F.pmod(F.xxhash64(KEY, F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
-        rows = [r[0] for r in some.select("vec").collect()]
-        models[dim] = fit_rotations(_unit(rows), bits * tables) if rows else (np.zeros(dim), np.random.default_rng(0).standard_normal((dim, bits * tables)))
-    coded = stored(same.mapInPandas(_coder(models, bits, tables), "__key long, label string, vec array<double>, size long, subs array<long>"), "codes")
+        rows = some.select("vec", F.xxhash64("label")).collect()
+        models[dim] = fit_codes(_unit([r[0] for r in rows]), np.array([r[1] for r in rows]), bits, least) if rows else (np.zeros(dim), np.zeros((dim, 0)), 0, 1)
+    coded = stored(same.mapInPandas(_coder(models), "__key long, label string, vec array<double>, size long, subs array<long>"), "codes")
     in_tables = coded.select(KEY, "label", F.size("vec").alias("dim"), "vec", "size", "subs", F.posexplode("subs").alias("table", "sub"))
     where = ["label", "dim", "table", "sub"]
     filled = stored(in_tables.groupBy(*where).count().where("count > 1").select(*where, F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks")), "buckets")

@@ -68,3 +68,22 @@ def test_recall_on_the_table(spark):
     _, links = brute(data)
     got = near_duplicates(table).agg({"n_links": "sum"}).first()[0]
     assert 0.9 * 2 * len(links) <= got <= 2 * len(links)
+
+
+@pytest.mark.parametrize("norm, bits", [(0.0, 12), (0.8, 8), (0.8, 12), (0.97, 8)])
+def test_recall_with_a_common_direction(spark, monkeypatch, norm, bits):
+    """Pairs little above the threshold, of vectors whose mean has this norm; buckets so small that substrings get these bits."""
+    rng, n, d = np.random.default_rng(4), 1500 if norm < 0.9 else 300, 64
+    monkeypatch.setattr(embedding_dedup, "BUCKET", 2 * n / 2**bits)
+    a, u = rng.standard_normal((2, n, d))
+    a[:, 0] = u[:, 0] = 0
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    u -= (u * a).sum(axis=1, keepdims=True) * a
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    cosine = (rng.uniform(0.9302, 0.945, (n, 1)) - norm**2) / (1 - norm**2)
+    x = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * u]) * math.sqrt(1 - norm**2)
+    x[:, 0] = norm
+    table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").selectExpr("*", "1 as label").repartition(4)
+    links = np.triu(x @ x.T >= 0.93, 1).sum()
+    assert links >= n
+    assert 0.96 * 2 * links <= near_duplicates(table).agg({"n_links": "sum"}).first()[0] <= 2 * links
