@@ -78,11 +78,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def fill_heights(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def fill_heights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes(node, z) with missing heights filled ring by ring: the mean of the neighbours that are known, parallel edges counting each; 0 where none can be reached."""
     links = stored(edges.select("u", "v").union(edges.select("v", "u")), "links")
     known = stored(nodes.select("node", F.col("z").cast("double")), "heights")
-    for _ in range(rounds):
+    while True:  # each round but the last fills a node
         ring = links.join(known.where("z is null").select(F.col("node").alias("u")), "u").join(known.where("z is not null").select(F.col("node").alias("v"), F.col("z").alias("zv")), "v")
         ring = ring.groupBy("u").agg(F.avg("zv").alias("mean"))
         found = stored(known.join(ring, known["node"] == ring["u"], "left").select("node", F.coalesce("z", "mean").alias("z"), (F.col("z").isNull() & F.col("mean").isNotNull()).alias("new")), "heights")

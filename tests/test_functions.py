@@ -98,6 +98,14 @@ def test_components_and_heights(spark):
     assert {r.node: r.z for r in network.fill_heights(nodes, edges).collect()} == {1: 10.0, 2: 10.0, 3: 10.0, 7: 0.0}
 
 
+def test_heights_are_filled_however_deep(spark, monkeypatch):
+    """With ranges held to three rounds, so that a hole of six rings stands for one deeper than any count of rounds."""
+    monkeypatch.setattr(network, "range", lambda n: range(min(n, 3)), raising=False)
+    nodes = spark.createDataFrame([(0, 7.0)] + [(i, None) for i in range(1, 7)] + [(9, None)], "node long, z double")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(6)], "u long, v long")
+    assert {r.node: r.z for r in network.fill_heights(nodes, edges).collect()} == {i: 7.0 for i in range(7)} | {9: 0.0}
+
+
 def test_steps_keep_the_length(spark):
     points = spark.createDataFrame([(1, 1, 27.0, 38.0, 5.0), (1, 2, 27.001, 38.0, 9.0), (1, 3, 27.001, 38.002, 2.0)], "route_id long, seq long, lon double, lat double, z double")
     totals = polyline.route_totals(polyline.steps(points)).first()
