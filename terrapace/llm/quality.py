@@ -196,14 +196,18 @@ def _score(model: Model | None, base: float):
 
 
 def learn(described: DataFrame, labels: DataFrame, sample_size: int = SAMPLE) -> tuple[Model | None, float]:
-    """A model from described(__doc, x) and labels(__doc, quality), and the labels' mean (0.5 without labels)."""
+    """A model from described(__doc, x) and labels(__doc, quality), and the labels' mean (0.5 without labels).
+
+    Of rows that repeat an id, the one of the least key, and then of the least statistics, teaches.
+    """
     teach = "__doc is not null and y in (0, 1) and crc32(cast(cast(__doc as string) as binary)) % 5 <> 0"
     known = labels.select("__doc", F.col("quality").cast("int").alias("y")).where(teach).groupBy("__doc").agg(F.min("y").alias("y"))
     n, base = known.agg(F.count("*"), F.avg("y")).first()
     share = sample_size / max(1, n)
     if share < 1:
         known = known.where(F.pmod(F.xxhash64("__doc", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = described.join(known, "__doc").select(KEY, F.pmod(F.xxhash64("__doc", F.lit(SEED + 1)), F.lit(2)).cast("int").alias("fold"), "x", "y")
+    one = described.join(known, "__doc").groupBy("__doc").agg(F.min(F.struct(KEY, "x", "y")).alias("one"))  # however often an id is repeated
+    sample = one.select(F.pmod(F.xxhash64("__doc", F.lit(SEED + 1)), F.lit(2)).cast("int").alias("fold"), "one.x", "one.y")
     return (fit(stored(sample, "sample")) if n else None), (0.5 if base is None else float(base))
 
 

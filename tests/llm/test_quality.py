@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 
+from terrapace.llm import quality
 from terrapace.llm.quality import STATISTICS, isotonic, quality_scores, statistics
 
 
@@ -45,3 +46,13 @@ def test_awkward_rows(spark):
     assert len(rows) == 205 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
     assert {r.score for r in quality_scores(docs, labels.limit(0)).collect()} == {0.5}
     assert quality_scores(docs.limit(0), labels).count() == 0
+
+
+def test_a_repeated_id_teaches_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda sample: seen.extend(sample.collect()))
+    described = spark.createDataFrame([(k, [float(k)], 7 if k < 300 else k) for k in range(320)], "__key long, x array<double>, __doc long").repartition(3)
+    labels = spark.createDataFrame([(7, 1), (7, 1), *((k, k % 2) for k in range(300, 320))], "__doc long, quality int")
+    quality.learn(described, labels)
+    taught = [k for k in (7, *range(300, 320)) if zlib.crc32(str(k).encode()) % 5]
+    assert 7 in taught and sorted((r.x[0], r.y) for r in seen) == [(0.0, 1) if k == 7 else (float(k), k % 2) for k in taught]
