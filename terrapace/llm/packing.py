@@ -1,8 +1,8 @@
 """Hierarchical multi-length packing of tokenised documents.
 
 Documents are routed to context tiers (powers of two up to the longest) by what is left of them
-after full sequences are cut off. The longest tier is packed first; gaps in its windows are filled
-from the shorter tiers, cutting the last document that goes in. What a pool of documents leaves
+after full sequences are cut off. Each tier, the longest first, is packed into windows of its own length; gaps are filled
+from the shorter tiers, the longest piece that fits first, and the last piece that goes in is cut. What a pool of documents leaves
 over is cut into power-of-two sequences, so no sequence needs padding. Sequences are dealt to step
 groups of even attention cost.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import os
+from bisect import bisect_left, insort
 from itertools import chain, repeat
 
 import numpy as np
@@ -143,46 +144,61 @@ def pack_pool(lengths: list[int], longest: int = LONGEST) -> list[tuple[int, lis
     Every token of every document is in exactly one piece. Lengths are `longest`, or powers of two.
     """
     out: list[tuple[int, list[tuple[int, int, int]]]] = []
-    tiers: dict[int, list[tuple[int, int, int]]] = {}
+    tiers: dict[int, list[tuple[int, int, int]]] = {}  # pieces as (length, place, start), ascending
+
+    def route(piece: tuple[int, int, int]) -> None:
+        insort(tiers.setdefault(tier_of(piece[0], longest), []), piece)
+
+    def take(tier: int, at: int) -> tuple[int, int, int]:
+        piece = tiers[tier].pop(at)
+        if not tiers[tier]:
+            del tiers[tier]
+        return piece
+
+    def longest_within(gap: int) -> tuple[int, int, int] | None:
+        for tier in sorted(tiers, reverse=True):
+            at = bisect_left(tiers[tier], (gap + 1,)) - 1
+            if at >= 0:
+                return take(tier, at)
+        return None
+
+    def shortest_above(gap: int) -> tuple[int, int, int] | None:
+        for tier in sorted(tiers):
+            at = bisect_left(tiers[tier], (gap + 1,))
+            if at < len(tiers[tier]):
+                return take(tier, at)
+        return None
+
     for k, n in enumerate(lengths):
         at = 0
         while n - at >= longest:
             out.append((longest, [(k, at, longest)]))
             at += longest
         if n > at:
-            tiers.setdefault(tier_of(n - at, longest), []).append((k, at, n - at))
-    for rest in tiers.values():
-        rest.sort(key=lambda x: (x[2], x[0]))  # the longest at the end
-    sizes = sorted(tiers, reverse=True)
-    window: list[tuple[int, int, int]] = []
-    gap = longest
-    for tier in sizes:
-        while tiers[tier]:
-            piece = tiers[tier].pop()
-            # A long document leaves a gap; shorter tiers fill it, largest that fits first.
+            tiers.setdefault(tier_of(n - at, longest), []).append((n - at, k, at))
+    for pieces in tiers.values():
+        pieces.sort()
+    rest: list[tuple[int, int, int]] = []
+    while tiers:
+        tier = max(tiers)
+        window, gap = [take(tier, -1)], tier
+        gap -= window[0][0]
+        while gap:
+            piece = longest_within(gap)
+            if piece is None:
+                piece = shortest_above(gap)
+                if piece is None:
+                    break
+                n, k, at = piece
+                route((n - gap, k, at + gap))
+                piece = (gap, k, at)
             window.append(piece)
-            gap -= piece[2]
-            for lower in sizes:
-                while gap > 0 and lower <= gap and tiers[lower] and (lower < tier or tiers[lower][-1][2] <= gap):
-                    fill = tiers[lower].pop()
-                    window.append(fill)
-                    gap -= fill[2]
-            if gap > 0:
-                cut = next((t for t in reversed(sizes) if tiers[t] and tiers[t][-1][2] >= gap), None)
-                if cut is None:
-                    continue
-                k, at, n = tiers[cut].pop()
-                window.append((k, at, gap))
-                if n > gap:
-                    left = (k, at + gap, n - gap)
-                    home = tiers.setdefault(tier_of(left[2], longest), [])
-                    if tier_of(left[2], longest) not in sizes:
-                        sizes = sorted(tiers, reverse=True)
-                    home.append(left)
-            out.append((longest, window))
-            window, gap = [], longest
-    # The last window, and any tiers that a cut opened late, go to power-of-two sequences.
-    rest = window + [p for t in sorted(tiers, reverse=True) for p in reversed(tiers[t])]
+            gap -= piece[0]
+        pieces = [(k, at, n) for n, k, at in window]
+        if gap:  # nothing is left to fill the last window
+            rest = pieces
+        else:
+            out.append((tier, pieces))
     total = sum(p[2] for p in rest)
     rest.reverse()
     while total:
