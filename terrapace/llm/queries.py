@@ -28,7 +28,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(_table(spark, sf_dir, "pages")).drop("error")
+    return round_trip(_table(spark, sf_dir, "pages"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

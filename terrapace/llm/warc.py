@@ -1,9 +1,9 @@
 """WARC archives in Zstandard: one frame per record, the dictionary in a leading skippable frame.
 
 Writing: every task trains a dictionary on its first records and writes archives of bounded size to
-a shared folder, each under a temporary name that is then renamed, so a retried task replaces its
-own files only. Reading: Spark lists the archives and hands each to a task, which loads the
-dictionary from the skippable frame, decodes frame by frame and validates versions, headers,
+a shared folder, under names of its attempt, which it lists in a table that Spark commits. Reading: the archives
+that are listed there (those of a lost or repeated attempt are not) are handed to tasks, which load the
+dictionary from the skippable frame, walk the frames by their headers, decode one at a time and validate versions, headers,
 lengths and digests.
 """
 
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEY, Keyed, fresh_path
+from .common import KEY, Keyed, fresh_path, partitions
 
 #: The skippable frame that carries a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -96,13 +96,16 @@ def parse_record(data: bytes) -> dict:
         raise WarcError("the payload's digest differs")
     if kind == "revisit" and "warc-refers-to" not in fields:
         raise WarcError("a revisit refers to nothing")
+    whole = fields.get("x-payload-length", str(length) if kind == "response" else "")
+    if not whole.isdigit() or (kind == "response" and int(whole) != length):
+        raise WarcError("the payload's length does not hold")
     return {
         "record_id": fields["warc-record-id"].strip("<>"),
         "record_type": kind,
         "refers_to": fields["warc-refers-to"].strip("<>") if kind == "revisit" else None,
         "target_uri": fields.get("warc-target-uri"),
         "payload_digest": digest_hex,
-        "payload_bytes": int(fields.get("x-payload-length", length)),
+        "payload_bytes": int(whole),
         "payload": payload if kind == "response" else None,
         "error": None,
     }
@@ -124,6 +127,23 @@ def write_archive(records: list[bytes], dictionary: bytes) -> bytes:
     return b"".join(chain((struct.pack("<II", DICTIONARY_MAGIC, len(packed)), packed), map(made.compress, records)))
 
 
+def frame_end(view: memoryview, at: int) -> int:
+    """Where the Zstandard frame at `at` ends, by the sizes in its block headers."""
+    start = bytes(view[at : at + 18])
+    end = at + zstandard.frame_header_size(start)
+    checksum = 4 if zstandard.get_frame_parameters(start).has_checksum else 0
+    last = False
+    while not last:
+        if end + 3 > len(view):
+            raise WarcError("a frame is cut off")
+        block = int.from_bytes(view[end : end + 3], "little")
+        last, kind, size = bool(block & 1), block >> 1 & 3, block >> 3
+        end += 3 + (1 if kind == 1 else size)
+    if end + checksum > len(view):
+        raise WarcError("a frame is cut off")
+    return end + checksum
+
+
 def read_archive(data: bytes) -> Iterator[dict]:
     """A dict for each record's frame; a broken record gives its error, a broken frame ends the archive with an error."""
     view, at, dictionary = memoryview(data), 0, None
@@ -139,11 +159,12 @@ def read_archive(data: bytes) -> Iterator[dict]:
     frames = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
     while at < len(view):
         try:
+            end = frame_end(view, at)
             one = frames.decompressobj()
-            record = one.decompress(view[at:])
+            record = one.decompress(view[at:end])
             if not one.eof:
                 raise WarcError("a frame is cut off")
-            at = len(view) - len(one.unused_data)
+            at = end
         except (zstandard.ZstdError, WarcError) as e:
             yield _error(str(e))
             return
@@ -157,16 +178,17 @@ def _error(what: str) -> dict:
     return dict.fromkeys(x.split()[0] for x in RECORDS.split(", ")) | {"error": what}
 
 
-def _put(folder: str, name: str, data: bytes) -> None:
-    """Writes whole under a name of this attempt, then renames."""
+def _store(folder: str):
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+
+
+def _put(folder: str, name: str, data: bytes) -> None:
+    store, path = _store(folder)
     store.create_dir(path, recursive=True)
-    part = f"{path}/.{name}.{TaskContext.get().taskAttemptId()}"
-    with store.open_output_stream(part) as out:
+    with store.open_output_stream(f"{path}/{name}", compression=None) as out:  # else .zst would be compressed again
         out.write(data)
-    store.move(part, f"{path}/{name}")
 
 
 def _writer(folder: str, most: int):
@@ -180,7 +202,7 @@ def _writer(folder: str, most: int):
             nonlocal dictionary
             if dictionary is None:
                 dictionary = train(held[:TRAIN_RECORDS])
-            name = f"part-{part:06d}-{number:05d}.warc.zst"
+            name = f"part-{part:06d}-{number:05d}-{TaskContext.get().taskAttemptId()}.warc.zst"
             _put(folder, name, data := write_archive(held, dictionary))
             return pd.DataFrame({"archive": [name], "records": [len(held)], "bytes": [len(data)]})
 
@@ -206,47 +228,62 @@ def write_archives(keyed: DataFrame, folder: str, least: int = LEAST_REVISIT, mo
     """
     html = F.coalesce("__html", F.lit("")).cast("binary")
     rows = keyed.select(KEY, "__url", "__html", F.sha1(html).alias("__sha1"), F.octet_length(html).alias("__bytes"))
-    groups = rows.where(F.col("__bytes") >= least).groupBy("__sha1").agg(F.max(KEY).alias("__last"), F.count("*").alias("__n")).where("__n > 1").select("__sha1", "__last")
-    to = F.when((F.col("__bytes") >= least) & (F.col("__last") != F.col(KEY)), F.col("__last"))
-    rows = rows.join(groups, "__sha1", "left").select(KEY, "__url", "__html", "__sha1", F.coalesce(to, F.lit(-(2**62))).alias("__to"))
+    # Payloads that can't be revisits meet nothing; keys of their own spread them.
+    rows = rows.withColumn("__payload", F.when(F.col("__bytes") >= least, F.col("__sha1")).otherwise(F.col(KEY).cast("string")))
+    groups = rows.where(F.col("__bytes") >= least).groupBy("__sha1").agg(F.max(KEY).alias("__last"), F.count("*").alias("__n")).where("__n > 1").select(F.col("__sha1").alias("__payload"), "__last")
+    to = F.when(F.col("__last") != F.col(KEY), F.col("__last"))
+    rows = rows.join(groups, "__payload", "left").select(KEY, "__url", "__html", "__sha1", F.coalesce(to, F.lit(-(2**62))).alias("__to"))
     done = rows.mapInPandas(_writer(folder, most), WRITTEN)
     done.write.mode("overwrite").parquet(f"{folder}-written")
     return keyed.sparkSession.read.schema(WRITTEN).parquet(f"{folder}-written")
 
 
-def _reader(frames):
-    for frame in frames:
-        for data in frame["content"]:
-            rows, size = [], 0
-            for row in read_archive(data):
-                rows.append(row)
-                size += len(row["payload"] or b"")
-                if size > 8 << 20:
-                    yield pd.DataFrame(rows)[[x.split()[0] for x in RECORDS.split(", ")]]
-                    rows, size = [], 0
-            if rows:
+def _rows(archives):
+    for data in archives:
+        rows, size = [], 0
+        for row in read_archive(data):
+            rows.append(row)
+            size += len(row["payload"] or b"")
+            if size > 8 << 20:
                 yield pd.DataFrame(rows)[[x.split()[0] for x in RECORDS.split(", ")]]
+                rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows)[[x.split()[0] for x in RECORDS.split(", ")]]
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each record of the folder's *.warc.zst files (see RECORDS); error is set for what can't be read."""
+def _fetch(folder: str):
+    def run(frames):
+        store, path = _store(folder)
+        names = (name for frame in frames for name in frame["archive"])
+        return _rows(store.open_input_file(f"{path}/{name}").readall() for name in names)
+
+    return run
+
+
+def read_archives(spark: SparkSession, folder: str, written: DataFrame | None = None) -> DataFrame:
+    """A row for each record (see RECORDS) of the archives of `written`, or else of the folder's *.warc.zst files; error is set for what can't be read."""
+    if written is not None:
+        return written.select("archive").repartition(partitions(written)).mapInPandas(_fetch(folder), RECORDS)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.mapInPandas(_reader, RECORDS)
+    return files.mapInPandas(lambda frames: _rows(data for frame in frames for data in frame["content"]), RECORDS)
 
 
-def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None) -> DataFrame:
-    """Writes pages to archives and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to, error.
+def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None, most: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes pages to archives and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     A null html is an empty payload, a null url an empty target. Repeated rows and rows with a null id are
     records of their own (the last of equal ones in the order of ids, then url and html, is the response).
-    An empty table gives no archives and no rows. Other columns are ignored.
+    An html larger than `most` is an archive of its own. An empty table gives no archives and no rows. Other columns are ignored.
+    A record that can't be read fails the query.
     """
     spark = pages.sparkSession
     keyed = Keyed(pages, id_col, [F.col(url_col).alias("__url"), F.col(html_col).alias("__html")], ["__url", "__html"])
     folder = folder or fresh_path(spark, "warc")
-    if write_archives(keyed.df, folder).isEmpty():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, error string")
-    read = read_archives(spark, folder)
-    key = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("long") if hasattr(F.col(c), "try_cast") else F.expr(f"try_cast(regexp_extract({c}, '^urn:page:(-?[0-9]+)$', 1) as long)")
-    out = read.select(key("record_id").alias("__page"), "payload_bytes", "payload_digest", "record_type", key("refers_to").alias("__refers"), "error")
-    return keyed.restore(out, {"__page": "page_id", "__refers": "refers_to"}).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+    return keyed.restore(_pages(read_archives(spark, folder, write_archives(keyed.df, folder, most=most))), {"__page": "page_id", "__refers": "refers_to"}).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _pages(records: DataFrame) -> DataFrame:
+    key = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^urn:page:(-?[0-9]+)$', 1) as long)")
+    broken = F.raise_error(F.concat(F.lit("an archive can't be read: "), F.coalesce("error", F.lit("no page's record")))).cast("long")
+    page = F.when(F.col("error").isNull() & key("record_id").isNotNull(), key("record_id")).otherwise(broken)
+    return records.select(page.alias("__page"), "payload_bytes", "payload_digest", "record_type", key("refers_to").alias("__refers"))
