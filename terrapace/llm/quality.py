@@ -195,20 +195,26 @@ def _score(model: Model | None, base: float):
     return run
 
 
-def learn(described: DataFrame, labels: DataFrame, sample_size: int = SAMPLE) -> tuple[Model | None, float]:
-    """A model from described(__doc, x) and labels(__doc, quality), and the labels' mean (0.5 without labels).
-
-    Of rows that repeat an id, the one of the least key, and then of the least statistics, teaches.
-    """
+def teachers(labels: DataFrame, sample_size: int = SAMPLE) -> tuple[DataFrame, int, float]:
+    """(__doc, y) of about sample_size labelled ids at most, from labels(__doc, quality); the number of all, and their mean (0.5 without labels)."""
     teach = "__doc is not null and y in (0, 1) and crc32(cast(cast(__doc as string) as binary)) % 5 <> 0"
     known = labels.select("__doc", F.col("quality").cast("int").alias("y")).where(teach).groupBy("__doc").agg(F.min("y").alias("y"))
     n, base = known.agg(F.count("*"), F.avg("y")).first()
     share = sample_size / max(1, n)
     if share < 1:
         known = known.where(F.pmod(F.xxhash64("__doc", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    one = described.join(known, "__doc").groupBy("__doc").agg(F.min(F.struct(KEY, "x", "y")).alias("one"))  # however often an id is repeated
+    return known, n, 0.5 if base is None else float(base)
+
+
+def learn(described: DataFrame, labels: DataFrame, sample_size: int = SAMPLE) -> tuple[Model | None, float]:
+    """A model from described(KEY, __doc, x) and labels(__doc, quality), and the labels' mean (0.5 without labels).
+
+    Of rows that repeat an id, the one of the least key, and then of the least statistics, teaches.
+    """
+    known, n, base = teachers(labels, sample_size)
+    one = described.join(F.broadcast(known), "__doc").groupBy("__doc").agg(F.min(F.struct(KEY, "x", "y")).alias("one"))  # however often an id is repeated
     sample = one.select(F.pmod(F.xxhash64("__doc", F.lit(SEED + 1)), F.lit(2)).cast("int").alias("fold"), "one.x", "one.y")
-    return (fit(stored(sample, "sample")) if n else None), (0.5 if base is None else float(base))
+    return (fit(stored(sample, "sample")) if n else None), base
 
 
 def text_scorer(model: Model | None, base: float):
@@ -231,7 +237,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     small_batches(docs.sparkSession)
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias(KEY), F.col(text_col).alias("__text")).where(F.col(id_col).isNotNull())
     known = labels.select(F.col(id_col).cast("long").alias("__doc"), "quality")
-    described = slim.mapInPandas(_describe, "__key long, x array<double>").withColumn("__doc", F.col(KEY))
+    few = slim.join(F.broadcast(teachers(known)[0].select(F.col("__doc").alias(KEY))), KEY, "left_semi")  # only what teaches is described
+    described = few.mapInPandas(_describe, "__key long, x array<double>").withColumn("__doc", F.col(KEY))
     model, base = learn(described, known)
     return docs.where(text_scorer(model, base)(F.col(text_col)) >= threshold)
 
