@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -26,9 +27,11 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and every executor see: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """A folder that the driver and every executor see: ``spark.checkpoint.dir``; a temporary one only in local mode (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or _own_dir.get("path")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = _own_dir["path"] = tempfile.mkdtemp(prefix="terrapace-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found.rstrip("/")
@@ -185,6 +188,34 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 128
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
+
+
+def digests(data: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64 bits of the BLAKE2 digest of each slice, as int64."""
+    view = memoryview(data)
+    return np.frombuffer(b"".join([hashlib.blake2b(view[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), stop.tolist())]), dtype="<i8")
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of each word, mixed in eight bytes at a time.
+
+    A polynomial modulo 2**64 would give some long words of a regular build (Thue-Morse) one hash, whatever its base.
+    """
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    size = stop - start
+    out = mix(size.astype(U) * U(BASE) + U(INVERSE))
+    at, live = 0, np.flatnonzero(size <= LONG_WORD)
+    while len(live):
+        out[live] = mix(out[live] ^ (eight[start[live] + at] & _LOW_BYTES[np.minimum(size[live] - at, 8)]))
+        at += 8
+        live = live[size[live] > at]
+    long = np.flatnonzero(size > LONG_WORD)
+    out[long] = digests(data.tobytes() if len(long) else b"", start[long], stop[long]).view(U)
+    return out
 
 
 class Words:
@@ -203,7 +234,14 @@ class Words:
         self.text_start = np.concatenate(([0], np.cumsum(lengths)))[:-1]
         self.first = np.searchsorted(self.start, self.text_start)
         self.last = np.concatenate((self.first[1:], [len(self.start)]))
-        self.hash = mix(Prefix(BYTE[data]).slices(self.start, self.stop) + (self.stop - self.start).astype(U))
+        self.hash = word_hashes(data, self.start, self.stop)
+
+    def packed(self) -> tuple[bytes, np.ndarray]:
+        """The words with one space after each, and where each begins; the end of the last one comes last."""
+        keep = ~_SPACE[self.data]
+        keep[self.stop] = True
+        data = self.data[keep]
+        return np.where(_SPACE[data], np.uint8(32), data).tobytes(), np.concatenate(([0], np.cumsum(self.stop - self.start + 1)))
 
 
 def batches(frames, column: str, most: int = 24 << 20):
@@ -235,23 +273,43 @@ def encoded(texts) -> list[bytes]:
 # -- connected components -----------------------------------------------------
 
 
+#: A node with this many edges, or with more than the MOST_HEAVY-th part of all edges' ends, is heavy.
+HEAVY_EDGES = 512
+MOST_HEAVY = 50_000
+
+
+def _met_least(edges: DataFrame, heavy_from: int | None) -> DataFrame:
+    """edges(a, b) with m, the least b of their a.
+
+    Edges of heavy nodes take it from a broadcast table, which has at most MOST_HEAVY rows as a heavy node holds at
+    least that part of all ends; so the shuffle of the others by `a` has no large key.
+    """
+    low = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("d"))
+    if heavy_from is None:
+        return edges.join(low.drop("d"), "a")
+    heavy = F.broadcast(low.where(F.col("d") >= heavy_from).drop("d"))
+    light = low.where(F.col("d") < heavy_from).drop("d")
+    return edges.join(heavy, "a").union(edges.join(heavy.select("a"), "a", "left_anti").join(light, "a"))
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component) for every node of edges(a, b): component is the smallest node reachable.
 
     Alternating large-star and small-star steps; each is one aggregation by node (combined
-    map-side) and one equi-join whose large side Spark can split, so a hub costs no single task.
+    map-side) and one equi-join, in which the least neighbours of heavy nodes are broadcast, so a hub costs no single task.
     The edge list is stored after each round. Nodes without edges are not returned.
     """
-    spark = edges.sparkSession
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = stored(now, "edges")
     before = None
     for _ in range(rounds):
-        if now.isEmpty():
-            break
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        ends, most = both.groupBy("a").count().agg(F.sum("count"), F.max("count")).first()
+        if not ends:
+            break
+        heavy_from = max(HEAVY_EDGES, ends // MOST_HEAVY)
+        low = _met_least(both, heavy_from if most >= heavy_from else None).withColumn("m", F.least("m", "a"))
+        large = low.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         small = hung.union(low.select("a", F.col("m").alias("b"))).distinct()

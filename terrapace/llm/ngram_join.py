@@ -7,13 +7,16 @@ It is computed only for blocks that can hold a pair:
    which two linked sets of these sizes can differ, so that linked sets agree on a whole part.
    Parts meet by hash and give candidate edges; equal sets are linked at once. A task first merges
    what it has twice, so a part or set of any number of documents stays a few rows for each task.
-2. Components of the candidate edges, of one size level each, are the diagonal blocks. Large ones are
-   cut into blocks of BLOCK documents, and each pair of blocks is one group. A first pass over parity sketches
-   (two sets differ on at least as many members as their sketches on bits) splits components that only shared
-   boilerplate holds together.
-3. In what is left, overlap counts are accumulated over slices of the n-grams, and pairs are discarded by
-   size before and by overlap after.
-4. A spanning forest of each group's links, and the links of equal sets, give the components.
+2. Components of the candidate edges, of one size level each, are the diagonal blocks. In a component of more than HOT
+   blocks, members are first compared with one representative; those linked to it are one class, of which no pair needs a look.
+3. Pairs in which one member at least is in no class are dealt to groups of two blocks of BLOCK documents, so a component of near
+   copies of one text is dealt in proportion to its size. A first pass over parity sketches (two sets differ on at least as many members as their
+   sketches on bits) splits components that only shared boilerplate holds together.
+4. In what is left, overlap counts are accumulated: n-grams of few holders by their pairs, those of many by dense slices.
+   Pairs are discarded by size before, as soon as what is left of their sets can't make the overlap they need, and by overlap after.
+5. A spanning forest of each group's links, the links to representatives and those of equal sets give the components.
+
+Equal sets are those that agree in a BLAKE2 digest of their n-grams (64 bits), size and parity sketch.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, Keyed, Prefix, Words, batches, components, mix, partitions, stored
+from .common import KEY, Keyed, Prefix, Words, batches, components, digests, encoded, mix, partitions, stored
 from .exact_dedup import possible_members
 from .spans import CHARS, MERGE_ROWS, _groups
 
@@ -33,6 +36,9 @@ BLOCK = 128
 #: Documents of a block where only sketches are compared.
 SKETCH_BLOCK = 1024
 SLICE = 4096
+#: Blocks of a component beyond which its members are first compared with a representative; holders up to which an n-gram's pairs are listed.
+HOT = 4
+SPARSE = 8
 #: kind 0: a part's hash and the node that has it (a document at a size level); 1: a candidate edge between nodes; 2: a set's hash, with its size; 3: a copy of an equal set, with its size.
 PARTS = "h long, __key long, peer long, n int, kind byte, sketch binary"
 
@@ -171,8 +177,7 @@ def _emit(gram: int, percent: int):
                 keys += frame[KEY].tolist()
             grams, at = gram_sets(texts, gram)
             key, n = np.array(keys, dtype=np.int64), np.diff(at)
-            total = np.concatenate(([np.uint64(0)], np.cumsum(mix(grams + np.uint64(7)))))
-            sets = mix((total[at[1:]] - total[at[:-1]]) ^ mix(n)).view(np.int64)
+            sets = digests(grams.tobytes(), 8 * at[:-1], 8 * at[1:])
             lead = np.array([known.setdefault(s, k) if m else k for s, k, m in zip(sets.tolist(), keys, n.tolist())], dtype=np.int64)
             if len(known) > MERGE_ROWS:
                 known.clear()
@@ -206,30 +211,40 @@ def _meet(frames):
         part = kind == 2
         sketch = frame["sketch"].to_numpy()[part]
         order, new, lead = _first_of(h[part], key[part])
-        none = n[part][order] == 0
-        lead = np.where(none, key[part][order], lead)
-        out.append(_frame(h[part][order], key[part][order], lead, n[part][order], np.where(new | none, 2, 3).astype(np.int8), np.where(new, sketch[order], None)))
+        size, sketch, first = n[part][order], sketch[order], np.flatnonzero(new)[np.cumsum(new) - 1]
+        own = new | (size == 0) | (size != size[first]) | np.array([x != y for x, y in zip(sketch, sketch[first])], dtype=bool)
+        out.append(_frame(h[part][order], key[part][order], np.where(own, key[part][order], lead), size, np.where(own, 2, 3).astype(np.int8), np.where(own, sketch, None)))
         yield pd.concat(out)[["h", KEY, "peer", "n", "kind", "sketch"]]
 
 
-def _pairs(keys: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row once for every pair of blocks that its key's block is in: the row, and the pair's number."""
-    mine = (mix(keys.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
-    row = np.repeat(np.arange(len(keys)), blocks)
-    other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    return row, np.minimum(mine[row], other) * blocks[row] + np.maximum(mine[row], other)
+def _pairs(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Each row once for every pair of blocks that it is needed in: the row, and the pair's number.
+
+    Of a component's `open` blocks (of members in no class) all pairs are needed, of its `fixed_blocks` those with an open one.
+    """
+    keys, fixed, open_, others = (frame[c].to_numpy() for c in (KEY, "fixed", "open", "fixed_blocks"))
+    open_, others = open_.astype(np.int64), others.astype(np.int64)
+    mine = (mix(keys.astype(np.int64).view(np.uint64)) % np.where(fixed, others, open_).astype(np.uint64)).astype(np.int64)
+    copies = np.where(fixed, open_, open_ + others)
+    row = np.repeat(np.arange(len(keys)), copies)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+    mine, fixed, open_, others = mine[row], fixed[row], open_[row], others[row]
+    among = np.minimum(mine, other) * open_ + np.maximum(mine, other)
+    across = open_ * open_ + np.where(fixed, other * others + mine, mine * others + other - open_)
+    return row, np.where(~fixed & (other < open_), among, across)
 
 
 def _deal(frames):
     for frame in frames:
-        row, pair = _pairs(frame[KEY].to_numpy(np.int64), frame["blocks"].to_numpy(np.int64))
+        row, pair = _pairs(frame)
         for at in range(0, len(row), 8192):
-            yield frame.iloc[row[at : at + 8192]].assign(pair=pair[at : at + 8192])[["comp", "pair", KEY, "n", "sketch"]]
+            yield frame.iloc[row[at : at + 8192]].assign(pair=pair[at : at + 8192])[["comp", "pair", KEY, "n", "fixed", "sketch"]]
 
 
-def _forest(keys: list[int], linked: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of a matrix of links."""
+def _forest(keys: list[int], linked: np.ndarray, fixed: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a matrix of links; the fixed ones are joined already."""
     root = list(range(len(keys)))
+    first = int(fixed.argmax())
 
     def find(x):
         while root[x] != x:
@@ -237,6 +252,8 @@ def _forest(keys: list[int], linked: np.ndarray) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
+    for k in np.flatnonzero(fixed).tolist():
+        root[k] = first
     out = []
     for a, b in np.argwhere(np.triu(linked, 1)).tolist():
         ra, rb = find(a), find(b)
@@ -246,13 +263,13 @@ def _forest(keys: list[int], linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def sketch_forest(keys: list[int], n: np.ndarray, bits: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that may be linked by their sketches; a row of comparisons at a time."""
-    part, out = np.arange(len(keys)), []
-    for i in range(len(keys) - 1):
-        differ = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        may = ((100 + percent) * differ <= (100 - percent) * (n[i + 1 :] + n[i])) & (part[i + 1 :] != part[i])
-        for j in (np.flatnonzero(may) + i + 1).tolist():
+def sketch_forest(keys: list[int], n: np.ndarray, bits: np.ndarray, percent: int, fixed: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that may be linked by their sketches; a row of comparisons at a time. The fixed ones are joined already."""
+    part, out = np.where(fixed, -1, np.arange(len(keys))), []
+    for i in np.flatnonzero(~fixed).tolist():
+        differ = np.bitwise_count(bits ^ bits[i]).sum(axis=1, dtype=np.int64)
+        may = ((100 + percent) * differ <= (100 - percent) * (n + n[i])) & (part != part[i])
+        for j in np.flatnonzero(may).tolist():
             if part[j] != part[i]:
                 out.append((keys[i], keys[j]))
                 part[part == part[j]] = part[i]
@@ -267,24 +284,25 @@ def _prune(percent: int):
                 if len(group) > 1:
                     words = min(map(len, group["sketch"])) // 8
                     bits = np.stack([folded(x, words) for x in group["sketch"]])
-                    out += sketch_forest(group[KEY].tolist(), group["n"].to_numpy(np.int64), bits, percent)
+                    out += sketch_forest(group[KEY].tolist(), group["n"].to_numpy(np.int64), bits, percent, group["fixed"].to_numpy(bool))
             yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return run
 
 
-def _cut(gram: int):
-    names = ["comp", "pair", KEY, "grams"]
+def _sets(gram: int, deal):
+    """Rows with the n-grams of their texts, for every pair that deal(frame) names."""
+    names = ["comp", "pair", KEY, "fixed", "grams"]
 
     def run(frames):
         for group in batches(frames, "__text", CHARS):
             frame = pd.concat(group)
-            grams, at = gram_sets([t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in frame["__text"]], gram)
-            keys, comps = frame[KEY].to_numpy(np.int64), frame["comp"].tolist()
+            grams, at = gram_sets(encoded(frame["__text"]), gram)
+            keys, comps, fixed = frame[KEY].tolist(), frame["comp"].tolist(), frame["fixed"].tolist()
             out, held = [], 0
-            for k, pair in zip(*(x.tolist() for x in _pairs(keys, frame["blocks"].to_numpy(np.int64)))):
+            for k, pair in zip(*(x.tolist() for x in deal(frame))):
                 data = grams[at[k] : at[k + 1]].tobytes()
-                out.append((comps[k], pair, int(keys[k]), data))
+                out.append((comps[k], pair, keys[k], fixed[k], data))
                 held += len(data)
                 if held > 8 << 20:
                     yield pd.DataFrame(out, columns=names)
@@ -295,35 +313,93 @@ def _cut(gram: int):
     return run
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Counts of common members of all pairs of sets: a product accumulated over slices of the members."""
-    flat = np.concatenate(sets)
-    _, column = np.unique(flat, return_inverse=True)
-    shared = np.bincount(column) > 1
-    column = np.where(shared, np.cumsum(shared) - 1, -1)[column]
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    row, column = row[column >= 0], column[column >= 0]
-    out = np.zeros((len(sets), len(sets)), dtype=np.int64)
-    order = np.argsort(column, kind="stable")
+def _salts(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A representative (fixed) goes to every salt of its component, a member to one."""
+    keys, fixed, salts = frame[KEY].to_numpy(np.int64), frame["fixed"].to_numpy(bool), frame["salts"].to_numpy(np.int64)
+    copies = np.where(fixed, salts, 1)
+    row = np.repeat(np.arange(len(keys)), copies)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+    mine = (mix(keys.view(np.uint64)) % salts.astype(np.uint64)).astype(np.int64)
+    return row, np.where(fixed[row], other, mine[row])
+
+
+def _star(percent: int):
+    """(comp, a, b): members a linked to their component's representative b."""
+
+    def run(frames):
+        for frame in _groups(frames, ["comp", "pair"], 2_000):
+            out = []
+            for (comp, _), group in frame.groupby(["comp", "pair"], sort=False):
+                fixed = group["fixed"].to_numpy(bool)
+                if not fixed.any():
+                    continue
+                lead, key = int(group[KEY].iloc[fixed.argmax()]), group[KEY].tolist()
+                sets = [np.frombuffer(g, dtype=np.uint64) for g in group["grams"]]
+                one = sets[fixed.argmax()]
+                for k, other in zip(key, sets):
+                    place = np.minimum(np.searchsorted(one, other), len(one) - 1)
+                    common = int((one[place] == other).sum())
+                    if k != lead and 100 * common >= percent * (len(one) + len(other) - common):
+                        out.append((comp, k, lead))
+            yield pd.DataFrame(out, columns=["comp", "a", "b"], dtype=np.int64)
+
+    return run
+
+
+def overlaps(sets: list[np.ndarray], possible: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of common members of pairs of sets, and which of the possible pairs are left.
+
+    The incidence matrix is taken by columns that two sets or more share. Columns of few holders add one to each of their pairs; those
+    of many are multiplied in dense slices. A pair goes once the columns left can't lift it to the overlap it needs; what is
+    counted of pairs that are not left is not complete.
+    """
+    m = len(sets)
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    need = -(-percent * (size[:, None] + size[None, :]) // (100 + percent))
+    _, column, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), size)
+    shared = holders[column] > 1
+    row, column = row[shared], column[shared]
+    order = np.lexsort((column, holders[column]))
     row, column = row[order], column[order]
-    for first in range(0, int(shared.sum()), SLICE):
+    common, left = np.zeros(m * m, dtype=np.int64), np.bincount(row, minlength=m)
+    ends = np.searchsorted(holders[column], np.arange(SPARSE + 2))
+    for c in range(2, SPARSE + 1):
+        group = row[ends[c] : ends[c + 1]].reshape(-1, c)
+        for i in range(c):
+            for j in range(i + 1, c):
+                common += np.bincount(group[:, i] * m + group[:, j], minlength=m * m)
+    common = common.reshape(m, m)
+    common += common.T
+    left -= np.bincount(row[: ends[SPARSE + 1]], minlength=m)
+    row, column = row[ends[SPARSE + 1] :], column[ends[SPARSE + 1] :]
+    new = np.ones(len(column), dtype=bool)
+    new[1:] = column[1:] != column[:-1]
+    column = np.cumsum(new) - 1
+    possible = possible & (common + np.minimum(left[:, None], left[None, :]) >= need)
+    for first in range(0, int(new.sum()), SLICE):
+        if not possible.any():
+            break
         a, b = np.searchsorted(column, (first, first + SLICE))
-        slice_ = np.zeros((len(sets), SLICE), dtype=np.float32)
+        slice_ = np.zeros((m, min(SLICE, int(new.sum()) - first)), dtype=np.float32)
         slice_[row[a:b], column[a:b] - first] = 1
-        out += np.rint(slice_ @ slice_.T).astype(np.int64)
-    return out
+        common += np.rint(slice_ @ slice_.T).astype(np.int64)
+        left -= np.bincount(row[a:b], minlength=m)
+        possible = possible & (common + np.minimum(left[:, None], left[None, :]) >= need)
+    return common, possible
 
 
-def block_links(keys: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within a group."""
+def block_links(keys: list[int], sets: list[np.ndarray], percent: int, fixed: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links within a group; where some are fixed, of those between them and the others."""
     n = np.array([len(s) for s in sets], dtype=np.int64)
     low, high = np.minimum.outer(n, n), np.maximum.outer(n, n)
-    possible = 100 * low >= percent * high
-    if np.count_nonzero(possible) <= len(n):
+    possible = (100 * low >= percent * high) & ~np.eye(len(n), dtype=bool)
+    if fixed.any():
+        possible &= fixed[:, None] != fixed[None, :]
+    if not possible.any():
         return []
-    common = overlaps(sets)
-    linked = possible & (100 * common >= percent * (n[:, None] + n[None, :] - common))
-    return _forest(keys, linked)
+    common, possible = overlaps(sets, possible, percent)
+    return _forest(keys, possible & (100 * common >= percent * (n[:, None] + n[None, :] - common)), fixed)
 
 
 def _product(percent: int):
@@ -332,7 +408,7 @@ def _product(percent: int):
             out = []
             for _, group in frame.groupby(["comp", "pair"], sort=False):
                 if len(group) > 1:
-                    out += block_links(group[KEY].tolist(), [np.frombuffer(g, dtype=np.uint64) for g in group["grams"]], percent)
+                    out += block_links(group[KEY].tolist(), [np.frombuffer(g, dtype=np.uint64) for g in group["grams"]], percent, group["fixed"].to_numpy(bool))
             yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return run
@@ -360,16 +436,46 @@ def classes(keyed: DataFrame, gram: int, percent: int, block: int = BLOCK) -> Da
     near = components(met.where("kind = 1").select(F.col(KEY).alias("a"), F.col("peer").alias("b")))
     leads = met.where("kind = 2 and n > 0").select(KEY, "n", "sketch", F.explode(F.array(F.lit(0), F.lit(1))).alias("step")).withColumn("node", F.expr(f"shiftleft({KEY}, 1) + step"))
     members = stored(near.join(leads, "node").select(KEY, "n", "sketch", "step", F.col("component").alias("comp")), "members")
+    counts = members.groupBy("comp").agg(F.count("*").alias("count"), F.min("step").alias("least"), F.min(F.when(F.col("step") == 0, F.struct(KEY, "n"))).alias("lead"))
     # A pair belongs to the level of its larger set, which has step 0 there.
-    sizes = members.groupBy("comp").agg(F.count("*").alias("count"), F.min("step").alias("least")).where("count > 1 and least = 0").select("comp", F.ceil(F.col("count") / (block * SKETCH_BLOCK // BLOCK)).cast("int").alias("blocks"))
-    dealt = members.drop("step").join(sizes, "comp").mapInPandas(_deal, "comp long, pair long, __key long, n int, sketch binary")
+    counts = stored(counts.where("count > 1 and least = 0").select("comp", "count", F.col(f"lead.{KEY}").alias("lead"), "lead.n"), "counts")
+    texts, fixed_set = keyed.select(KEY, "__text"), "comp long, pair long, __key long, fixed boolean, grams binary"
+    hot = counts.where(F.col("count") > HOT * block).select("comp", "lead", F.col("n").alias("lead_n"), F.ceil(F.col("count") / block).alias("salts"))
+    star = None
+    if not hot.isEmpty():
+        asked = members.select(KEY, "n", "comp").join(hot, "comp").where(100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n"))
+        asked = stored(asked.select(KEY, "comp", (F.col(KEY) == F.col("lead")).alias("fixed"), "salts"), "asked")
+        cut = possible_members(texts, asked).join(asked, KEY).mapInPandas(_sets(gram, _salts), fixed_set)
+        star = stored(cut.repartition(n, "comp", "pair").sortWithinPartitions("comp", "pair").mapInPandas(_star(percent), "comp long, a long, b long"), "star")
+        classed = star.select("comp", F.col("a").alias(KEY)).union(hot.select("comp", F.col("lead").alias(KEY))).withColumn("fixed", F.lit(True))
+        members = members.join(classed, ["comp", KEY], "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)))
+    else:
+        members = members.withColumn("fixed", F.lit(False))
+
+    def blocks(rows: DataFrame, most: int) -> DataFrame:
+        """(comp, open, fixed_blocks) of components in which pairs are to be looked at."""
+        found = rows.groupBy("comp").agg(F.count_if(~F.col("fixed")).alias("u"), F.count_if("fixed").alias("f"))
+        return found.where("u > 0 and u + f > 1").select("comp", F.ceil(F.col("u") / most).alias("open"), F.ceil(F.col("f") / most).alias("fixed_blocks"))
+
+    known = counts.select("comp")
+    dealt = members.join(known, "comp", "left_semi").join(blocks(members, block * SKETCH_BLOCK // BLOCK), "comp").drop("step")
+    dealt = dealt.mapInPandas(_deal, "comp long, pair long, __key long, n int, fixed boolean, sketch binary")
     alike = dealt.repartition(n, "comp", "pair").sortWithinPartitions("comp", "pair").mapInPandas(_prune(percent), "a long, b long")
-    alike = components(alike).select(F.col("node").alias(KEY), F.col("component").alias("comp"))
-    sizes = alike.groupBy("comp").count().select("comp", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    members = stored(alike.join(sizes, "comp"), "members")
-    texts = possible_members(keyed.select(KEY, "__text"), members)  # the others' texts need not shuffle
-    cut = texts.join(members, KEY).mapInPandas(_cut(gram), "comp long, pair long, __key long, grams binary")
-    links = cut.repartition(n, "comp", "pair").sortWithinPartitions("comp", "pair").mapInPandas(_product(percent), "a long, b long")
-    found = components(links.union(copies))
+    alike = components(alike.union(star.select("a", "b")) if star is not None else alike).select(F.col("node").alias(KEY), F.col("component").alias("comp"))
+    if star is not None:
+        # A document can be linked to representatives of two levels; one class of each component is left out of the product.
+        alike = stored(alike, "alike")
+        within = star.select(F.col("a").alias(KEY), "b").distinct().join(alike, KEY)
+        leads = within.groupBy("comp").agg(F.min("b").alias("b"))
+        classed = within.join(leads, ["comp", "b"]).select("comp", KEY).union(leads.select("comp", F.col("b").alias(KEY))).withColumn("fixed", F.lit(True))
+        alike = alike.join(classed, ["comp", KEY], "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)))
+    else:
+        alike = alike.withColumn("fixed", F.lit(False))
+    alike = stored(alike, "alike")
+    members = stored(alike.join(blocks(alike, block), "comp"), "members")
+    # The others' texts need not shuffle.
+    cut = possible_members(texts, members).join(members, KEY).mapInPandas(_sets(gram, _pairs), fixed_set)
+    links = cut.repartition(n, "comp", "pair").sortWithinPartitions("comp", "pair").mapInPandas(_product(percent), "a long, b long").union(copies)
+    found = components(links.union(star.select("a", "b")) if star is not None else links)
     sizes = met.where("kind >= 2").select(KEY, F.col("n").cast("long").alias("n_shingles"))
     return sizes.join(found, sizes[KEY] == found["node"], "left").select(KEY, "n_shingles", F.coalesce("component", KEY).alias("component"))

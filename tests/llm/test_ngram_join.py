@@ -82,5 +82,36 @@ def test_sketches_never_overstate_a_difference():
         assert bits <= len(np.setxor1d(a, b)) and (n < 30 or bits > 0)
 
 
+def test_words_that_a_polynomial_modulo_2_64_confuses(spark):
+    one, two = ("".join(("ab"[i], "ba"[i])[k] for i in (bin(x).count("1") % 2 for x in range(1024))) for k in (0, 1))
+    rows = [(k + 1, f"u v w {x} x y z", "c", 1, 2) for k, x in enumerate((one, two))]
+    got = join(spark.createDataFrame(rows, SCHEMA), gram=4, percent=100)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 4, 100) == [(1, 4, 1), (2, 4, 2)]
+
+
+def test_overlaps():
+    rng = np.random.default_rng(6)
+    for m, most in ((2, 50), (9, 40), (40, 300)):
+        sets = [np.unique(rng.integers(0, most, rng.integers(1, most), dtype=np.uint64)) for _ in range(m)]
+        want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+        n = np.array([len(x) for x in sets])
+        linked = (100 * want >= 60 * (n[:, None] + n[None, :] - want)) & ~np.eye(m, dtype=bool)
+        common, left = ngram_join.overlaps(sets, ~np.eye(m, dtype=bool), 60)
+        assert (linked <= left).all() and (common[left] == want[left]).all()
+
+
+def test_a_large_component_is_dealt_in_proportion():
+    pd = ngram_join.pd
+    for open_, others in ((3, 0), (2, 50), (1, 700)):
+        n = 10 * (open_ + others)
+        frame = pd.DataFrame({"__key": np.arange(n) * 7919, "fixed": np.arange(n) >= 10 * open_, "open": open_, "fixed_blocks": others})
+        row, pair = ngram_join._pairs(frame)
+        met = pd.DataFrame({"row": row, "pair": pair}).groupby("pair")["row"].apply(set)
+        fixed = frame["fixed"].to_numpy()
+        wanted = {(i, j) for i in range(10 * open_) for j in range(n) if i < j} if n < 1000 else set()
+        seen = {(i, j) for rows in met for i in rows if not fixed[i] for j in rows if i < j}
+        assert wanted <= seen and len(row) <= open_ * (n + 10 * others + 10 * open_)
+
+
 def test_no_documents(spark):
     assert join(spark.createDataFrame([], SCHEMA)).count() == 0
