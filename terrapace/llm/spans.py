@@ -6,14 +6,15 @@ the sub-windows within a window), so equal windows always lie in spans of equal
 1. every task turns its texts into spans (minimiser, hash of the span's content, document, first
    window, number of windows) and merges equal spans among its own;
 2. spans meet by minimiser. A minimiser that occurs once ends here, which is most of the data. Equal
-   spans are settled by their hashes; of a minimiser with unlike spans, one of each kind is asked for;
+   spans are settled by minimiser and BLAKE2 digest (64 bits each); of a minimiser with unlike spans, one of each kind is asked for;
 3. those spans' contents are cut from the documents, travel packed to the minimiser's bucket, and
    an exact `resolve` finds the windows that they share. Buckets of a very common minimiser are split,
    and each part's distinct windows meet again by digest;
 4. the windows found are gathered per document, as ranges.
 
-Nothing is compared pairwise, a key's rows in one task are bounded by the number of tasks that
-emit it, and documents' texts are exchanged once (both joins use the same exchange).
+Nothing is compared pairwise, and documents' texts are exchanged once (both joins use the same exchange).
+Rows of equal spans that meet are bounded by the number of tasks that emit them; those of a minimiser with very many
+unlike spans come to one task sorted and are decided in pieces of HOT rows, so its memory stays bounded (its time does not).
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ from .common import KEY, batches, partitions, stored
 
 #: Most windows of a span (more than one minimiser can hold, unless it comes again); most spans of a minimiser that one bucket resolves; rows merged in a task at a time; characters at a time.
 MOST_WINDOWS = 128
-BUCKET = 1024
+BUCKET = 256
 MERGE_ROWS = 1 << 18
 CHARS = 1 << 20
+#: Rows of one minimiser that are held before a piece of them is decided.
+HOT = 200_000
 
 #: kind 0: a span; 1: one that stands for several equal ones of its task; 2: a copy that its task has settled.
 #: 4 more: the minimiser enters the span's windows again, without which no window repeats within its span.
@@ -43,7 +46,7 @@ CUT = "h long, part int, parts int, __key long, start int, n int, kind byte, con
 #: kind 0: settled windows; 1: a distinct window of one part of a bucket.
 RESOLVED = "digest binary, __key long, start int, n int, kind byte"
 
-#: texts (UTF-8) -> (offset, minimiser of each window, whether its last sub-window has the minimiser, position of its first unit, hashes of spans given as (first, after last) window, text of each window)
+#: texts (UTF-8) -> (offset, minimiser of each window, whether its last sub-window has the minimiser, position of its first unit, digests of spans given as (first, after last) window, text of each window)
 Windows = Callable[[list[bytes]], tuple]
 #: contents, group of each, windows of each -> class of each window (equal windows of a group have one class), as positions of the windows
 Resolve = Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
@@ -85,11 +88,11 @@ def _emit(windows: Windows, first_stays: bool):
             for frame in group:
                 texts += [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in frame["__text"]]
                 keys += frame[KEY].tolist()
-            for offsets, least, enters, at, span_hash, text in windows(texts):
+            for offsets, least, enters, at, span_digest, text in windows(texts):
                 start, stop = runs(least, text, at)
                 if not len(start):
                     continue
-                s = span_hash(start, stop).view(np.int64)
+                s = span_digest(start, stop)
                 key = np.array(keys, dtype=np.int64)[text[start]]
                 entered = np.cumsum(enters)
                 rows.append((least[start].view(np.int64), s, key, at[start] + offsets, stop - start, entered[stop - 1] > entered[start]))
@@ -127,31 +130,51 @@ def _groups(frames, columns: list[str], least: int = 50_000) -> Iterator[pd.Data
 
 
 def _meet(first_stays: bool, bucket: int):
+    columns = ["h", "part", "parts", KEY, "start", "n", "kind"]
+
+    def decide(frame, hot, ranked):
+        """Rows sorted by minimiser, digest, document and start; of `hot`, `ranked` kinds have been decided before."""
+        h, s, key, start, n, kind = (frame[c].to_numpy() for c in ("h", "s", KEY, "start", "n", "kind"))
+        done = kind == 2
+        out = [(h[done], key[done], start[done], n[done], np.full(done.sum(), 2, np.int8), np.zeros(done.sum(), np.int64), np.ones(done.sum(), np.int64))]
+        h, s, key, start, n, kind = (x[~done] for x in (h, s, key, start, n, kind))
+        if len(h):
+            new_h = np.concatenate(([True], h[1:] != h[:-1]))
+            new_s = new_h | np.concatenate(([True], s[1:] != s[:-1]))
+            sub = np.cumsum(new_s) - 1
+            count = np.bincount(sub) + np.bincount(sub, weights=kind % 4 == 1).astype(np.int64)
+            of_h = np.cumsum(new_h) - 1
+            kinds = np.bincount(of_h, weights=new_s).astype(np.int64)[of_h]
+            rank = sub - sub[np.flatnonzero(new_h)][of_h]
+            if hot is not None:
+                kinds = np.where(h == hot, np.maximum(kinds, bucket + 1), kinds)
+                rank = np.where(h == hot, rank + ranked, rank)
+            repeated = count[sub] > 1
+            settled = ~new_s if first_stays else repeated
+            out.append((h[settled], key[settled], start[settled], n[settled], np.full(settled.sum(), 2, np.int8), np.zeros(settled.sum(), np.int64), np.ones(settled.sum(), np.int64)))
+            ask = new_s & ((kinds > 1) | (kind >= 4))
+            whole = repeated[ask] & (not first_stays)
+            out.append((h[ask], key[ask], start[ask], n[ask], np.where(whole, 4, 3).astype(np.int8), rank[ask] // bucket, -(-kinds[ask] // bucket)))
+        h, key, start, n, kind, part, parts = (np.concatenate(x) for x in zip(*out))
+        return pd.DataFrame({"h": h, "part": part.astype(np.int32), "parts": parts.astype(np.int32), KEY: key, "start": start, "n": n, "kind": kind})[columns]
+
     def run(frames):
-        for frame in _groups(frames, ["h"]):
-            h, s, key, start, n, kind = (frame[c].to_numpy() for c in ("h", "s", KEY, "start", "n", "kind"))
-            done = kind == 2
-            out = [(h[done], key[done], start[done], n[done], np.full(done.sum(), 2, np.int8), np.zeros(done.sum(), np.int64), np.ones(done.sum(), np.int64))]
-            h, s, key, start, n, kind = (x[~done] for x in (h, s, key, start, n, kind))
-            if len(h):
-                order = np.lexsort((start, key, s, h))
-                h, s, key, start, n, kind = (x[order] for x in (h, s, key, start, n, kind))
-                new_h = np.concatenate(([True], h[1:] != h[:-1]))
-                new_s = new_h | np.concatenate(([True], s[1:] != s[:-1]))
-                sub = np.cumsum(new_s) - 1
-                count = np.bincount(sub) + np.bincount(sub, weights=kind % 4 == 1).astype(np.int64)
-                of_h = np.cumsum(new_h) - 1
-                kinds = np.bincount(of_h, weights=new_s).astype(np.int64)[of_h]
-                rank = sub - sub[np.flatnonzero(new_h)][of_h]
-                repeated = count[sub] > 1
-                settled = ~new_s if first_stays else repeated
-                out.append((h[settled], key[settled], start[settled], n[settled], np.full(settled.sum(), 2, np.int8), np.zeros(settled.sum(), np.int64), np.ones(settled.sum(), np.int64)))
-                ask = new_s & ((kinds > 1) | (kind >= 4))
-                whole = repeated[ask] & (not first_stays)
-                out.append((h[ask], key[ask], start[ask], n[ask], np.where(whole, 4, 3).astype(np.int8), rank[ask] // bucket, -(-kinds[ask] // bucket)))
-            h, key, start, n, kind, part, parts = (np.concatenate(x) for x in zip(*out))
-            if len(h):
-                yield pd.DataFrame({"h": h, "part": part.astype(np.int32), "parts": parts.astype(np.int32), KEY: key, "start": start, "n": n, "kind": kind})
+        held, hot, ranked = [], None, 0
+        for frame in _groups(frames, ["h", "s"]):
+            held.append(frame)
+            rows = pd.concat(held, ignore_index=True)
+            h = rows["h"].to_numpy()
+            cut = int(np.searchsorted(h, h[-1]))
+            if cut:
+                yield decide(rows.iloc[:cut], hot, ranked)
+            held = [rows.iloc[cut:]]
+            if len(held[0]) > HOT:
+                hot, ranked = int(h[-1]), ranked if hot == h[-1] else 0
+                yield decide(held[0], hot, ranked)
+                ranked += held[0]["s"].nunique()
+                held = []
+        if held:
+            yield decide(held[0], hot, ranked)
 
     return run
 
@@ -216,7 +239,7 @@ def repeated_ranges(keyed: DataFrame, windows: Windows, content: Callable, resol
     """
     n = partitions(keyed)
     spans = keyed.select(KEY, "__text").mapInPandas(_emit(windows, first_stays), SPANS)
-    met = stored(spans.repartition(n, "h").sortWithinPartitions("h").mapInPandas(_meet(first_stays, bucket), MET), "met")
+    met = stored(spans.repartition(n, "h").sortWithinPartitions("h", "s", KEY, "start").mapInPandas(_meet(first_stays, bucket), MET), "met")
     wanted = met.where("kind >= 3").groupBy(KEY).agg(F.collect_list(F.struct("h", "part", "parts", "start", "n", "kind")).alias("__wanted"))
     cut = keyed.select(KEY, "__text").join(wanted, KEY).mapInPandas(_cut(content), CUT)
     resolved = cut.repartition(n, "h", "part").sortWithinPartitions("h", "part").mapInPandas(_resolve(resolve, window_bytes, first_stays), RESOLVED)

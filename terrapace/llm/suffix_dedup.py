@@ -3,7 +3,8 @@
 In a bucket, the suffixes that start its windows are sorted by merging: two suffixes are compared
 by their longest common extension, which prefix polynomial hashes and a binary search over its
 length find in a logarithmic number of steps. Neighbours with a common extension of the window's
-length hold equal strings, which their bytes must confirm.
+length hold equal strings. Bytes must confirm that, and the order of all neighbours: a group that hashes
+put in a wrong order is sorted again by its bytes.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, KEY, Keyed, Prefix, mix, sliding_min
+from .common import BYTE, KEY, Keyed, Prefix, digests, mix, sliding_min
 from .spans import BUCKET, covered, repeated_ranges
 
 WINDOW = 100
@@ -33,7 +34,8 @@ def _windows(texts: list[bytes], size: int, sub: int, most: int = PIECE):
         if not ok:
             parts += [(at, [t[at : at + most + size - 1]], k) for at in range(0, max(1, len(t) - size + 1), most)]
     for offset, some, only in parts:
-        data = np.frombuffer(b"".join(some), dtype=np.uint8)
+        raw = b"".join(some)
+        data = np.frombuffer(raw, dtype=np.uint8)
         n = len(data) - size + 1
         if n <= 0:
             continue
@@ -47,7 +49,7 @@ def _windows(texts: list[bytes], size: int, sub: int, most: int = PIECE):
         at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
         valid = first[owner] + at
         text = owner if only is None else np.full(len(owner), only)
-        yield offset, least[valid], subs[valid + size - sub] == least[valid], at, lambda a, b, valid=valid, prefix=prefix: mix(prefix.slices(valid[a], valid[b - 1] + size)), text
+        yield offset, least[valid], subs[valid + size - sub] == least[valid], at, lambda a, b, valid=valid, raw=raw: digests(raw, valid[a], valid[b - 1] + size), text
 
 
 def _content(data: bytes, size: int):
@@ -138,17 +140,31 @@ def _resolve(contents: list[bytes], group: np.ndarray, n: np.ndarray, size: int)
     picked = np.flatnonzero(again)
     if not len(picked):
         return classes
-    order = picked[suffix_sort(prefix, data, at[picked], of[picked], size)]
-    a, b = order[:-1], order[1:]
-    equal = (of[a] == of[b]) & (common_extension(prefix, at[a], at[b], size) >= size)
-    for chunk in np.array_split(np.flatnonzero(equal), max(1, len(equal) // 20_000)):
-        reach = np.arange(size)
-        equal[chunk] = (data[at[a[chunk]][:, None] + reach] == data[at[b[chunk]][:, None] + reach]).all(axis=1)
+    order, equal = verified(data, at, of, picked[suffix_sort(prefix, data, at[picked], of[picked], size)], size)
     lead = np.concatenate(([True], ~equal))
     classes[order] = order[np.flatnonzero(lead)][np.cumsum(lead) - 1]
     return classes
 
 
+def verified(data: np.ndarray, at: np.ndarray, group: np.ndarray, order: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order, put right where bytes contradict it, and whether each suffix but the first equals its predecessor on `size` bytes."""
+    a, b = order[:-1], order[1:]
+    within = group[a] == group[b]
+    equal, wrong, reach = np.zeros(len(a), dtype=bool), np.zeros(len(a), dtype=bool), np.arange(size)
+    for chunk in np.array_split(np.flatnonzero(within), max(1, len(a) // 20_000)):
+        x, y = data[at[a[chunk]][:, None] + reach], data[at[b[chunk]][:, None] + reach]
+        differ = x != y
+        equal[chunk] = ~differ.any(axis=1)
+        first = differ.argmax(axis=1)[:, None]
+        wrong[chunk] = (np.take_along_axis(x, first, 1) > np.take_along_axis(y, first, 1))[:, 0]
+    if not wrong.any():
+        return order, equal
+    for g in np.unique(group[a[wrong]]).tolist():
+        places = np.flatnonzero(group[order] == g)
+        order[places] = sorted(order[places].tolist(), key=lambda i: data[at[i] : at[i] + size].tobytes())
+    return verified(data, at, group, order, size)
+
+
 def _window_bytes(contents: list[bytes], span: np.ndarray, inner: np.ndarray, size: int) -> list[bytes]:
     return [contents[k][i : i + size] for k, i in zip(span.tolist(), inner.tolist())]
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, Keyed, Prefix, Words, mix, sliding_min
+from .common import KEY, Keyed, Prefix, Words, digests, mix, sliding_min
 from .spans import BUCKET, covered, repeated_ranges
 
 WINDOW = 35
@@ -35,7 +35,8 @@ def _windows(texts: list[bytes], size: int, sub: int):
     owner = text[valid]
     at = valid - words.first[owner]
     # Windows between texts are left out, so a run of valid windows never spans two texts.
-    yield 0, least[valid], parts[valid + size - sub] == least[valid], at, lambda a, b: mix(prefix.slices(valid[a], valid[b - 1] + size)), owner
+    data, begin = words.packed()
+    yield 0, least[valid], parts[valid + size - sub] == least[valid], at, lambda a, b: digests(data, begin[valid[a]], begin[valid[b - 1] + size] - 1), owner
 
 
 def _content(data: bytes, size: int):

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from terrapace.llm import suffix_dedup
+from terrapace.llm import spans, suffix_dedup
 from terrapace.llm.suffix_dedup import drop_repeated_bytes
 from terrapace.llm.window_dedup import drop_repeated_windows
 
@@ -95,6 +95,44 @@ def test_suffix_sort():
     assert order.tolist() == sorted(range(700), key=lambda i: (group[i], data[at[i] : at[i] + 40], i))
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_a_polynomial_modulo_2_64_confuses(spark):
+    one, two = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    words = [f"w{i}" for i in range(40)]
+    rows = [(k, " ".join(words[:20] + [x] + words[20:]), 1, "x", 2) for k, x in enumerate((one, two))]
+    rows += [(k + 10, x, 1, "x", 2) for k, x in enumerate((thue_morse(1024, "a ", "b "), thue_morse(1024, "b ", "a ")))]
+    for got, want in ((drop_repeated_windows(spark.createDataFrame(rows, SCHEMA)), brute_words(rows, 35)), (drop_repeated_windows(spark.createDataFrame(rows, SCHEMA), size=1000, sub=8), brute_words(rows, 1000))):
+        assert sorted((tuple(r)[:4] for r in got.collect()), key=repr) == want
+    got = drop_repeated_bytes(spark.createDataFrame(rows, SCHEMA), size=1000, sub=32)
+    assert sorted((tuple(r)[:5] for r in got.collect()), key=repr) == brute_bytes(rows, 1000)
+
+
+def test_a_wrong_order_is_put_right():
+    np, data = suffix_dedup.np, suffix_dedup.np.frombuffer(b"abcabdabcabd", dtype="u1")
+    at, group = np.array([0, 3, 6, 9, 0]), np.array([0, 0, 0, 0, 1])
+    order, equal = suffix_dedup.verified(data, at, group, np.array([0, 1, 2, 3, 4]), 3)
+    assert order.tolist() == [0, 2, 1, 3, 4] and equal.tolist() == [True, False, True, False]
+
+
+def test_many_unlike_spans_of_a_minimiser_come_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(spans, "HOT", 5)
+    groups = spans._groups
+    monkeypatch.setattr(spans, "_groups", lambda frames, columns, least=3: groups(frames, columns, 3))
+    rows = corpus(9)
+    frames = [f for f in spark.createDataFrame(rows, SCHEMA).selectExpr("coalesce(doc_id, -1) as __key", "text as __text").toPandas().pipe(lambda x: [x])]
+    emitted = suffix_dedup.pd.concat(spans._emit(lambda t: suffix_dedup._windows(t, 24, 6), True)(frames)).sort_values(["h", "s", "__key", "start"])
+    emitted["h"] = emitted["h"].where(emitted["kind"] % 4 == 2, emitted["h"] % 3)
+    emitted = emitted.sort_values(["h", "s", "__key", "start"])
+    met = suffix_dedup.pd.concat(spans._meet(True, 4)(emitted.iloc[i : i + 7] for i in range(0, len(emitted), 7)))
+    monkeypatch.setattr(spans, "HOT", 10**9)
+    whole = suffix_dedup.pd.concat(spans._meet(True, 4)([emitted]))
+    key = lambda f: sorted(zip(f["h"], f["part"], f["parts"] > 1, f["__key"], f["start"], f["n"], f["kind"]))
+    assert key(met) == key(whole) and (met["parts"] > 1).any()
+
+
 def test_no_documents(spark):
     assert drop_repeated_windows(spark.createDataFrame([], SCHEMA)).count() == 0
     assert drop_repeated_bytes(spark.createDataFrame([], SCHEMA)).count() == 0
