@@ -45,7 +45,7 @@ def bloom(rules: DataFrame, blocks: int) -> DataFrame:
 
 
 def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: str = "url") -> DataFrame:
-    """pages with host, path, rule and verdict (columns of these names in pages are replaced).
+    """pages with host, path, rule and verdict (columns of these names in pages are replaced; all others are kept, whatever their names).
 
     rules(rule_host, rule_path, verdict): a rule fits its host and all subdomains when the url's
     path starts with its path; the longest rule wins, then an allowing one. Without a fitting rule
@@ -78,5 +78,6 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url_c
     found = hit.select("__url", "rule_host", "rule_path").join(rules, ["rule_host", "rule_path"])
     rule = F.concat("rule_host", "rule_path")
     best = found.groupBy("__url").agg(F.max(F.struct(F.length(rule).alias("n"), F.when(F.col("rule_verdict") == "allow", 1).otherwise(0).alias("a"), rule.alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("__best")).select("__url", F.col("__best.rule").alias("rule"), F.col("__best.verdict").alias("__verdict"))
-    url = F.col(url_col)
-    return pages.withColumns({"host": host_of(url), "path": path_of(url)}).join(best, url == F.col("__url"), "left").withColumn("verdict", F.coalesce("__verdict", F.lit(default))).drop("__url", "__verdict")
+    rows = pages.select(F.struct("*").alias("__page"), F.col(url_col).alias("__of"))
+    judged = rows.join(best, F.col("__of") == F.col("__url"), "left")
+    return judged.select("__page.*", host_of(F.col("__of")).alias("host"), path_of(F.col("__of")).alias("path"), "rule", F.coalesce("__verdict", F.lit(default)).alias("verdict"))
