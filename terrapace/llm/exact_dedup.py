@@ -3,28 +3,43 @@
 Pass one maps each normalised text's hash to one cell in each of two rows of a counting Bloom
 filter, counts the cells (combined map-side) and keeps, as 64-bit words, the bits of the cells
 that were hit twice. Pass two looks both cells of every row up in those words, which have a fixed
-largest size and are broadcast. A row with a cell that was hit once is certainly unlike all others
+largest size and are broadcast; more rows than one filter serves are cut into slices by their hash, each with a
+filter of its own, over the stored digests of that slice alone. A row with a cell that was hit once is certainly unlike all others
 and passes straight through; only the rest shuffle, as (digest, key, length) without their text,
 to be grouped by SHA-256.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, SPACE, Keyed, stored
+from .common import KEY, SPACE, Keyed, fresh_path, stored
 
-#: Cells in each row of the filter for each document, and the most cells, which bound the broadcast to 2 x 2**17 words.
+#: Cells in each row of the filter for each document, and the most cells of one filter, which bound its broadcast to 2 x 2**19 words.
 CELLS_PER_DOCUMENT = 12
-MOST_CELLS = 1 << 23
+MOST_CELLS = 1 << 25
 
 
-def possible_members(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """rows whose KEY may be among those of keys, by a plain Bloom filter: all that are, and few others while keys number below MOST_CELLS / 12."""
+def _cells(n: int) -> int:
+    return max(1 << 12, n * CELLS_PER_DOCUMENT)
+
+
+def _known(rows: DataFrame, keys: DataFrame) -> DataFrame | None:
+    """rows with `__again` where their KEY may be among those of keys, by a plain Bloom filter; None for more keys than one filter serves."""
     hashes = keys.select(F.xxhash64(KEY).alias("__h"))
-    cells = min(MOST_CELLS, max(1 << 12, hashes.count() * CELLS_PER_DOCUMENT))
-    return maybe_repeated(rows.withColumn("__h", F.xxhash64(KEY)), stored(repeated_bits(hashes, cells, 1), "bits"), cells).where("__again").select(rows.columns)
+    cells = _cells(hashes.count())
+    if cells > MOST_CELLS:
+        return None
+    return maybe_repeated(rows.withColumn("__h", F.xxhash64(KEY)), stored(repeated_bits(hashes, cells, 1), "bits"), cells)
+
+
+def possible_members(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows whose KEY may be among those of keys: all that are, and few others. Beyond MOST_CELLS / 12 keys all rows are, as scans for slice after slice would cost more than the shuffle that they spare."""
+    marked = _known(rows, keys)
+    return rows if marked is None else marked.where("__again").select(rows.columns)
 
 
 def normalised(text: Column) -> Column:
@@ -72,9 +87,16 @@ def decisions(keyed: DataFrame) -> DataFrame:
     Spark split the join of a very large one.
     """
     rows = keyed.select(KEY, F.sha2(normalised(F.col("__text")), 256).alias("text_sha256"), F.length(F.coalesce("__text", F.lit(""))).alias("__n"))
-    rows = stored(rows, "digests").withColumn("__h", F.xxhash64("text_sha256"))
-    cells = min(MOST_CELLS, max(1 << 12, rows.count() * CELLS_PER_DOCUMENT))
-    marked = maybe_repeated(rows, stored(repeated_bits(rows.select("__h"), cells), "bits"), cells)
+    slices = -(-_cells(keyed.count()) // MOST_CELLS)
+    if slices == 1:
+        digests = stored(rows, "digests").withColumn("__slice", F.lit(0))
+    else:
+        path = fresh_path(keyed.sparkSession, "digests")
+        rows = rows.withColumn("__slice", F.pmod(F.xxhash64("text_sha256", F.lit(7)), F.lit(slices)).cast("int"))
+        rows.write.option("compression", "zstd").partitionBy("__slice").parquet(path)
+        digests = keyed.sparkSession.read.schema(rows.schema).parquet(path)
+    digests = digests.withColumn("__h", F.xxhash64("text_sha256"))
+    marked = reduce(DataFrame.union, [_marked(digests.where(F.col("__slice") == k).drop("__slice")) for k in range(slices)])
     again = marked.where("__again").select(KEY, "text_sha256", "__n")
     groups = stored(again.groupBy("text_sha256").agg(F.max_by(KEY, F.struct("__n", -F.col(KEY))).alias("__keep"), F.count("*").alias("group_size")), "groups")
     alone = marked.where("not __again").select(KEY, F.col(KEY).alias("__keep"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
@@ -82,12 +104,21 @@ def decisions(keyed: DataFrame) -> DataFrame:
     return alone.union(met)
 
 
+def _marked(rows: DataFrame) -> DataFrame:
+    """rows with `__again`, by the counting filter of their own hashes."""
+    cells = _cells(rows.count())
+    return maybe_repeated(rows, stored(repeated_bits(rows.select("__h"), cells), "bits"), cells)
+
+
 def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """rows whose KEY is not among dropped's. Only rows that a Bloom filter of dropped lets through shuffle; the rest pass straight through."""
+    """rows whose KEY is not among dropped's. Only rows that a Bloom filter of dropped lets through shuffle; the rest pass straight through.
+
+    Beyond MOST_CELLS / 12 keys the join is a plain one, see possible_members().
+    """
     dropped = stored(dropped.select(KEY), "dropped")
-    hashes = dropped.select(F.xxhash64(KEY).alias("__h"))
-    cells = min(MOST_CELLS, max(1 << 12, hashes.count() * CELLS_PER_DOCUMENT))
-    marked = maybe_repeated(rows.withColumn("__h", F.xxhash64(KEY)), stored(repeated_bits(hashes, cells, 1), "bits"), cells)
+    marked = _known(rows, dropped)
+    if marked is None:
+        return rows.join(dropped, KEY, "left_anti").select(rows.columns)
     return marked.where("not __again").select(rows.columns).union(marked.where("__again").join(dropped, KEY, "left_anti").select(rows.columns))
 
 
