@@ -1,12 +1,12 @@
 """Near-duplicate embeddings: iterative quantisation, multi-index Hamming tables, reranking.
 
 A rotation learned on a bounded sample turns vectors into balanced binary codes. Every table keys
-on one substring of the code; vectors of one label that share a substring meet, and their original
-vectors decide by cosine in double precision. A pair counts in the first table in which it meets.
+on one substring of the code; codes of one label that share a substring meet, and those within a radius in Hamming distance
+survive. Only survivors' original vectors travel, and decide by cosine in double precision. A pair counts in the first table in which it meets.
 Equal vectors are one class beforehand. Large buckets are cut into blocks and each pair of blocks is
 one group, so that every pair of a bucket is seen, whatever its size, in groups of bounded size.
-How often pairs at the threshold share no substring is measured on the sample's own codes, and tables are
-added until few do; where the most tables are too few, substrings get shorter, down to none: every pair of a label.
+How often pairs at the threshold share no substring, and how far apart their codes are, is measured on the sample's own codes; tables are
+added until few share none, the radius leaves out fewer still; where the most tables are too few, substrings get shorter, down to none: every pair of a label.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ BUCKET = 256
 MISS = 0.03
 PAIRS = 4_000
 MOST_TABLES = 256
+#: Share of the pairs at the threshold whose codes are farther apart than the radius.
+BEYOND = 0.002
 
 
 def substring_bits(largest: int) -> int:
@@ -83,12 +85,12 @@ def threshold_pairs(sample: np.ndarray, labels: np.ndarray, least: float, seed:
     return [k for k in kinds if len(k[0])]
 
 
-def fit_codes(sample: np.ndarray, labels: np.ndarray, bits: int, least: float, seed: int = 11) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(mean, projection to tables * bits columns, bits, tables): as many tables as the pairs at the threshold need."""
+def fit_codes(sample: np.ndarray, labels: np.ndarray, bits: int, least: float, seed: int = 11) -> tuple[np.ndarray, np.ndarray, int, int, int]:
+    """(mean, projection to tables * bits columns, bits, tables, radius): as many tables as the pairs at the threshold need."""
     mean = sample.mean(axis=0)
     pairs = threshold_pairs(sample, labels, least)
     if not pairs:
-        return mean, np.zeros((sample.shape[1], 0)), 0, 1
+        return mean, np.zeros((sample.shape[1], 0)), 0, 1, 0
     rotations, projection = _rotations(sample - mean, seed), np.zeros((sample.shape[1], 0))
     unlike = [np.zeros((len(a), 0), dtype=bool) for a, _ in pairs]
     for width in range(bits, 0, -1):
@@ -100,8 +102,10 @@ def fit_codes(sample: np.ndarray, labels: np.ndarray, bits: int, least: float, s
                 unlike = [np.concatenate([u, ((a - mean) @ more >= 0) != ((b - mean) @ more >= 0)], axis=1) for u, (a, b) in zip(unlike, pairs)]
             apart = [miss & u[:, table * width : (table + 1) * width].any(axis=1) for miss, u in zip(apart, unlike)]
             if max(miss.mean() for miss in apart) < MISS:
-                return mean, projection[:, : (table + 1) * width], width, table + 1
-    return mean, projection[:, :0], 0, 1
+                apart = [u[:, : (table + 1) * width].sum(axis=1) for u in unlike]
+                radius = max(int(np.quantile(x, 1 - BEYOND, method="higher")) for x in apart)
+                return mean, projection[:, : (table + 1) * width], width, table + 1, radius
+    return mean, projection[:, :0], 0, 1, 0
 
 
 def _unit(vectors: list) -> np.ndarray:
@@ -115,16 +119,23 @@ def _coder(models: dict):
         for frame in frames:
             dims = frame["vec"].map(len)
             for dim, part in frame.groupby(dims):
-                mean, projection, bits, tables = models[dim]
-                codes = ((_unit(part["vec"].tolist()) - mean) @ projection >= 0).reshape(len(part), tables, bits)
-                subs = codes @ (1 << np.arange(bits, dtype=np.int64))
-                yield part.assign(subs=list(subs))[[KEY, "label", "vec", "size", "subs"]]
+                mean, projection, bits, tables, _ = models[dim]
+                codes = (_unit(part["vec"].tolist()) - mean) @ projection >= 0
+                subs = codes.reshape(len(part), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+                room = np.zeros((len(part), max(1, -(-tables * bits // 64)) * 64), dtype=bool)
+                room[:, : tables * bits] = codes
+                yield part.assign(subs=list(subs), code=[c.tobytes() for c in np.packbits(room, axis=1)])[[KEY, "label", "vec", "size", "code", "subs"]]
 
     return run
 
 
+GROUP = "label string, dim int, table int, sub long, pair long"
+MEMBER = f"{GROUP}, block long, own boolean, __key long, size long, code binary"
+KEYS = [x.split()[0] for x in GROUP.split(", ")]
+
+
 def _blocks(frames):
-    """A row for each pair of blocks that a vector's block is in."""
+    """A row for each pair of blocks that a code's block is in."""
     for frame in frames:
         blocks = frame["blocks"].to_numpy(np.int64)
         if not len(frame):
@@ -136,27 +147,53 @@ def _blocks(frames):
             r = np.searchsorted(ends, place, side="right")
             other = place - (ends - blocks)[r]
             pair = np.minimum(mine[r], other) * blocks[r] + np.maximum(mine[r], other)
-            yield frame.iloc[r].assign(pair=pair, block=mine[r], own=mine[r] == other)[["label", "dim", "table", "sub", "pair", "block", "own", KEY, "size", "subs", "vec"]]
+            yield frame.iloc[r].assign(pair=pair, block=mine[r], own=mine[r] == other)[[x.split()[0] for x in MEMBER.split(", ")]]
+
+
+def _candidates(group: pd.DataFrame, table: int, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a group within the radius in Hamming distance that share no substring of an earlier table."""
+    code = np.stack([np.frombuffer(c, dtype=np.uint64) for c in group["code"]])
+    near = np.triu(np.bitwise_count(code[:, None, :] ^ code[None, :, :]).sum(axis=2, dtype=np.int64) <= radius, 1)
+    if not group["own"].iloc[0]:
+        block = group["block"].to_numpy()
+        near &= block[:, None] != block[None, :]
+    a, b = np.nonzero(near)
+    if table and bits and len(a):
+        unlike = np.unpackbits((code[a] ^ code[b]).view(np.uint8), axis=1)[:, : table * bits].reshape(len(a), table, bits)
+        first = unlike.any(axis=2).all(axis=1)
+        a, b = a[first], b[first]
+    return a, b
+
+
+def _survivors(models: dict):
+    """The rows that have a candidate partner in their group."""
+
+    def run(frames):
+        for frame in _groups(frames, KEYS):
+            keep = np.zeros(len(frame), dtype=bool)
+            for (_, dim, table, _, _), at in frame.groupby(KEYS, sort=False).indices.items():
+                if len(at) > 1:
+                    a, b = _candidates(frame.iloc[at], table, models[dim][2], models[dim][4])
+                    keep[at[a]] = keep[at[b]] = True
+            yield frame[keep]
+
+    return run
 
 
-def _links(least: float):
+def _links(models: dict, least: float):
     """n for each vector that has links (b null), and a spanning forest of the links (n = 0)."""
 
     def run(frames):
-        keys = ["label", "dim", "table", "sub", "pair"]
-        for frame in _groups(frames, keys):
+        for frame in _groups(frames, KEYS):
             out = []
-            for (_, _, table, _, _), g in frame.groupby(keys, sort=False):
+            for (_, dim, table, _, _), g in frame.groupby(KEYS, sort=False):
                 if len(g) < 2:
                     continue
-                key, size, block = g[KEY].to_numpy(), g["size"].to_numpy(), g["block"].to_numpy()
-                x, subs = _unit(g["vec"].tolist()), np.stack(g["subs"].tolist())
-                linked = np.triu(x @ x.T >= least, 1)
-                if not g["own"].iloc[0]:
-                    linked &= block[:, None] != block[None, :]
-                a, b = np.nonzero(linked)
-                first = ~(subs[a, :table] == subs[b, :table]).any(axis=1)
-                a, b = a[first], b[first]
+                key, size = g[KEY].to_numpy(), g["size"].to_numpy()
+                a, b = _candidates(g, table, models[dim][2], models[dim][4])
+                x = _unit(g["vec"].tolist())
+                linked = (x @ x.T)[a, b] >= least
+                a, b = a[linked], b[linked]
                 n = np.bincount(a, weights=size[b], minlength=len(key)) + np.bincount(b, weights=size[a], minlength=len(key))
                 out += [(k, None, int(m)) for k, m in zip(key.tolist(), n.tolist()) if m]
                 root = list(range(len(key)))
@@ -212,13 +249,15 @@ def links(keyed: DataFrame, least: float) -> DataFrame:
         if share < 1:
             some = some.where(F.pmod(F.xxhash64(KEY, F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
         rows = some.select("vec", F.xxhash64("label")).collect()
-        models[dim] = fit_codes(_unit([r[0] for r in rows]), np.array([r[1] for r in rows]), bits, least) if rows else (np.zeros(dim), np.zeros((dim, 0)), 0, 1)
-    coded = stored(same.mapInPandas(_coder(models), "__key long, label string, vec array<double>, size long, subs array<long>"), "codes")
-    in_tables = coded.select(KEY, "label", F.size("vec").alias("dim"), "vec", "size", "subs", F.posexplode("subs").alias("table", "sub"))
-    where = ["label", "dim", "table", "sub"]
+        models[dim] = fit_codes(_unit([r[0] for r in rows]), np.array([r[1] for r in rows]), bits, least) if rows else (np.zeros(dim), np.zeros((dim, 0)), 0, 1, 0)
+    coded = stored(same.mapInPandas(_coder(models), "__key long, label string, vec array<double>, size long, code binary, subs array<long>"), "codes")
+    in_tables = coded.select(KEY, "label", F.size("vec").alias("dim"), "size", "code", F.posexplode("subs").alias("table", "sub"))
+    where = KEYS[:4]
     filled = stored(in_tables.groupBy(*where).count().where("count > 1").select(*where, F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks")), "buckets")
-    meet = in_tables.join(filled, where).mapInPandas(_blocks, "label string, dim int, table int, sub long, pair long, block long, own boolean, __key long, size long, subs array<long>, vec array<double>")
-    found = stored(meet.repartition(n, *where, "pair").sortWithinPartitions(*where, "pair").mapInPandas(_links(least), "a long, b long, n long"), "links")
+    meet = in_tables.join(filled, where).mapInPandas(_blocks, MEMBER)
+    alike = meet.repartition(n, *KEYS).sortWithinPartitions(*KEYS).mapInPandas(_survivors(models), MEMBER)
+    rerank = alike.join(coded.select(KEY, "vec"), KEY)
+    found = stored(rerank.repartition(n, *KEYS).sortWithinPartitions(*KEYS).mapInPandas(_links(models, least), "a long, b long, n long"), "links")
     near = found.where("b is null").groupBy("a").agg(F.sum("n").alias("near"))
     comps = components(found.where("b is not null").select("a", "b"))
     classes = same.join(near, same[KEY] == near["a"], "left").join(comps, same[KEY] == comps["node"], "left")

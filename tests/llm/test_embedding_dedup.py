@@ -36,12 +36,25 @@ def brute(rows):
     return rows, links
 
 
+def smallest_reachable(n, links):
+    root = list(range(n))
+    while True:
+        before = list(root)
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            return root
+
+
 @pytest.mark.parametrize("block", [96, 5])
 def test_links(spark, monkeypatch, block):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     data = vectors(block)
     rows, links = brute(data)
     got = near_duplicates(spark.createDataFrame(data, SCHEMA).repartition(3)).collect()
+    if sum(r.n_links for r in got) == 2 * len(links):
+        root = smallest_reachable(len(rows), links)
+        assert {r.vec_id: r.component_id for r in got if r.vec_id not in (None, 0)} == {r[0]: rows[root[i]][0] for i, r in enumerate(rows) if r[0] not in (None, 0)}
     assert len(got) == len(rows)
     want = {}
     for i, j in links:
@@ -57,6 +70,28 @@ def test_links(spark, monkeypatch, block):
     assert sum(r.kept for r in got) == len({(r.component_id, r.vec_id if r.component_id is None else 0) for r in got if r.component_id is not None}) + sum(r.component_id is None and r.kept for r in got)
 
 
+def test_components_of_the_found_links(spark):
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((40, 32))
+    data = [(int(i), (base[i % 40] + 0.02 * rng.standard_normal(32)).tolist(), 1, "x", 1, 2, "y") for i in range(400)]
+    rows, links = brute(data)
+    got = near_duplicates(spark.createDataFrame(data, SCHEMA))
+    root = smallest_reachable(len(rows), links)
+    assert {r.vec_id: (r.component_id, r.kept) for r in got.collect()} == {i: (root[i], root[i] == i) for i in range(400)}
+
+
+def test_only_codes_within_the_radius_survive(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").limit(500).toPandas()
+    unit = embedding_dedup._unit(table["embedding"].tolist())
+    mean, projection, bits, tables, radius = embedding_dedup.fit_codes(unit, np.zeros(len(unit)), 8, 0.93)
+    codes = (unit - mean) @ projection >= 0
+    far = (codes[:, None] != codes[None]).sum(2)
+    assert 0 < radius < bits * tables / 2 and (far[unit @ unit.T >= 0.93] <= radius).mean() > 0.98
+    packed = [np.packbits(np.pad(c, (0, -len(c) % 64))).tobytes() for c in codes[:60]]
+    a, b = embedding_dedup._candidates(embedding_dedup.pd.DataFrame({"code": packed, "own": True, "block": 0}), 0, bits, radius)
+    assert set(zip(a.tolist(), b.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(np.triu(far[:60, :60] <= radius, 1)))))
+
+
 def test_no_vectors(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert near_duplicates(spark.createDataFrame([(1, None, 1, "", 1, 1, "")], SCHEMA).union(spark.createDataFrame([(2, [0.0], 1, "", 1, 1, "")], SCHEMA))).count() == 2
