@@ -2,7 +2,7 @@
 
 Documents are counted by (source, exact size). Each source's budget first takes whole passes over
 the source, then an even share of every size, and the rest of the budget is met by a bounded
-knapsack over the sizes that are left. Which documents of one size are taken follows a seeded
+knapsack over the sizes that are left: exactly, where the rest is below KNAPSACK_SIZES times the largest size or MOST_KNAPSACK. Which documents of one size are taken follows a seeded
 hash: sizes are split into about sqrt(count) sub-buckets whose counts decide, so that no task ever
 orders all documents of a common size.
 """
@@ -18,8 +18,13 @@ from .common import KEY, WORD, Keyed, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
-#: The knapsack meets budgets up to this many words; larger remainders are first shortened, largest sizes first.
+#: The knapsack meets budgets up to this many words, or times the largest size; larger remainders are first shortened to that, largest sizes first.
 MOST_KNAPSACK = 1 << 16
+KNAPSACK_SIZES = 8
+#: Sums that the knapsack tells apart; where there are more, sizes are rounded up to units, at a loss of a unit for each item taken.
+MOST_SUMS = 1 << 25
+#: Rows of a broadcast table, at most; larger ones are joined by a shuffle.
+MOST_BROADCAST = 200_000
 
 
 def target_sizes(totals: list[float], weights: list[float], share: float = 1.0, most: float = MOST_REPEATS) -> list[float]:
@@ -48,37 +53,50 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         return taken
     if budget >= total:
         return counts.astype(np.int64)
-    taken = counts * budget // total if float(counts.max()) * budget < 2**62 else np.array([int(c) * budget // total for c in counts], dtype=np.int64)
-    rest = budget - int((sizes * taken).sum())
-    order = np.argsort(-sizes, kind="stable")
-    for i in order:
-        if rest <= MOST_KNAPSACK:
+    limit = max(MOST_KNAPSACK, KNAPSACK_SIZES * int(sizes.max()))
+    rest = budget
+    if rest > limit:
+        taken = counts * budget // total if float(counts.max()) * budget < 2**62 else np.array([int(c) * budget // total for c in counts], dtype=np.int64)
+        rest -= int((sizes * taken).sum())
+    for i in np.argsort(-sizes, kind="stable"):
+        if rest <= limit:
             break
-        more = min(int(counts[i] - taken[i]), (rest - MOST_KNAPSACK // 2) // int(sizes[i]) if sizes[i] else 0)
+        more = min(int(counts[i] - taken[i]), (rest - limit // 2) // int(sizes[i]) if sizes[i] else 0)
         if more > 0:
             taken[i] += more
             rest -= more * int(sizes[i])
-    rest = min(rest, MOST_KNAPSACK)
-    # Reachable sums as the bits of an integer; each chunk of a size (1, 2, 4 ... of it) is one item.
-    items: list[tuple[int, int]] = []
-    for i in order:
-        room, step = min(int(counts[i] - taken[i]), rest // int(sizes[i]) if sizes[i] else 0), 1
-        while room > 0:
+    return taken + knapsack(sizes, counts - taken, rest)
+
+
+def knapsack(sizes: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
+    """How many of each size, at most counts, to take so that their sum is the largest that is not above rest."""
+    taken = np.zeros(len(sizes), dtype=np.int64)
+    some = np.flatnonzero((counts > 0) & (sizes > 0) & (sizes <= rest))
+    if not len(some):
+        return taken
+    unit = max(int(np.gcd.reduce(sizes[some])), -(-rest // MOST_SUMS))
+    units, most = -(-sizes // unit), rest // unit
+    # Reachable sums as the bits of an integer, with the item that first reached each; each chunk of a size (1, 2, 4 ... of it) is one item.
+    mask, reach, by, items = (1 << (most + 1)) - 1, 1, np.full(most + 1, -1, dtype=np.int32), []
+    for i in some[np.argsort(-sizes[some], kind="stable")].tolist():
+        room, step = min(int(counts[i]), most // int(units[i])), 1
+        while room > 0 and not reach >> most & 1:
             step = min(step, room)
-            items.append((int(i), step))
+            new = (reach << (step * int(units[i]))) & mask & ~reach
+            words = np.frombuffer(new.to_bytes((most // 64 + 1) * 8, "little"), dtype="<u8")
+            at = np.flatnonzero(words)
+            bits = np.unpackbits(words[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            place = (at[:, None] * 64 + np.arange(64))[bits.astype(bool)]
+            by[place] = len(items)
+            items.append((i, step))
+            reach |= new
             room -= step
             step *= 2
-    mask, reach, history = (1 << (rest + 1)) - 1, 1, []
-    for i, n in items:
-        history.append(reach)
-        reach = (reach | (reach << (n * int(sizes[i])))) & mask
-        if reach >> rest & 1:
-            break
     best = reach.bit_length() - 1
-    for (i, n), before in zip(reversed(items[: len(history)]), reversed(history)):
-        if not before >> best & 1:
-            taken[i] += n
-            best -= n * int(sizes[i])
+    while best:
+        i, n = items[by[best]]
+        taken[i] += n
+        best -= n * int(units[i])
     return taken
 
 
@@ -117,9 +135,13 @@ def choices(keyed: DataFrame, seed: int = 7, share: float = 1.0) -> DataFrame:
     targets = target_sizes([t for _, t in totals], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(totals))], share)
     rows = [(i, s, t, float(x)) for i, ((s, t), x) in enumerate(zip(totals, targets))]
     sources = spark.createDataFrame(rows, "rank long, __s string, source_size long, target double")
+    if len(rows) <= MOST_BROADCAST:
+        sources = F.broadcast(sources)
     known = by_size.join(sources, by_size["__source"].eqNullSafe(sources["__s"]))
     plan = known.select("rank", "size", "n", "target").groupBy("rank").applyInPandas(_fit_source, "rank long, size long, n long, whole long, extra long")
     plan = stored(plan.withColumn("cells", F.ceil(F.sqrt("n")).cast("long")), "plan")
+    if plan.count() <= MOST_BROADCAST:
+        plan = F.broadcast(plan)
 
     slim = slim.join(sources, slim["__source"].eqNullSafe(sources["__s"])).drop("__source", "__s")
     rows = slim.join(plan, ["rank", "size"]).withColumn("cell", F.pmod(F.xxhash64("__luck"), F.col("cells")))

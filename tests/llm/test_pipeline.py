@@ -21,7 +21,7 @@ def docs(spark):
     table = spark.read.parquet(f"{DIR}/documents.parquet")
     rows = [tuple(r) for r in table.collect()]
     extra = [(None, "a b c", "en", None, 5), (None, None, None, None, None), (3, rows[3][1], "en", "src0", 1), (3, "", "en", "src1", 1), (5000, rows[7][1] + " more", "en", "src0", 1), (5001, rows[7][1].upper(), "en", "src9", 1)]
-    return spark.createDataFrame(rows + extra, table.schema).withColumn("size", p.F.lit(1)).withColumn("kept", p.F.lit("x"))
+    return spark.createDataFrame(rows + extra, table.schema).withColumn("size", p.F.lit(1)).withColumn("kept", p.F.lit("x")).selectExpr("*", "1 as __text", "2 as __key", "3 as __source", "4 as __row", "5 as __time")
 
 
 def rows(df):

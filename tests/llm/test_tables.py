@@ -9,7 +9,8 @@ import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from terrapace.llm import mixing, packing, warc
+from terrapace.llm import common, mixing, packing, warc
+from terrapace.llm import exact_dedup as exact_module
 from terrapace.llm.exact_dedup import exact_dedup
 from terrapace.llm.mixing import mix_sources
 from terrapace.llm.packing import pack
@@ -49,6 +50,21 @@ def test_exact_dedup(spark):
     assert exact_dedup(frame(spark, [])).count() == 0
 
 
+def test_exact_dedup_in_slices(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i % 2400}") for i in range(3000)], "doc_id long, text string")
+    whole = sorted(map(tuple, exact_dedup(docs).collect()))
+    monkeypatch.setattr(exact_module, "MOST_CELLS", 1 << 13)
+    sliced = exact_dedup(docs)
+    assert sorted(map(tuple, sliced.collect())) == whole and sum(r[2] == 2 for r in whole) == 1200
+    again = []
+    monkeypatch.setattr(exact_module, "stored", lambda df, name: again.append(df.count()) or df if name == "groups" else common.stored(df, name))
+    exact_dedup(docs).collect()
+    assert 600 <= again[0] <= 1000  # most rows that are alone still pass straight through
+    keyed = docs.withColumnRenamed("doc_id", "__key")
+    assert exact_module.without(keyed, keyed.where("__key % 3 = 0").select("__key")).count() == 2000
+    assert exact_module.possible_members(keyed, keyed.where("__key % 3 = 0")).count() >= 1000
+
+
 def test_packing(spark):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = Counter()
@@ -80,12 +96,25 @@ def test_pack_pool_keeps_every_token():
         lengths = [int(x) for x in rng.integers(1, 9000, n)]
         seen = defaultdict(int)
         for size, window in packing.pack_pool(lengths):
-            assert sum(p[2] for p in window) == size <= 4096
+            assert sum(p[2] for p in window) == size <= 4096 and size & (size - 1) == 0
             for k, _, m in window:
                 seen[k] += m
         assert [seen[k] for k in range(n)] == lengths
 
 
+def test_each_tier_is_packed_into_windows_of_its_own():
+    rng = np.random.default_rng(4)
+    lengths = [int(x) for x in np.exp(rng.uniform(3, 9, 3000))]
+    sizes, whole = Counter(), Counter()
+    for size, window in packing.pack_pool(lengths):
+        sizes[size] += 1
+        whole[size] += any(at == 0 and n == lengths[k] for k, at, n in window)
+        longest = max(packing.tier_of(n) for _, _, n in window)
+        assert longest <= max(size, 256)
+    assert all(sizes[t] > 20 for t in (256, 512, 1024, 2048, 4096))
+    assert all(whole[t] > 0.5 * sizes[t] for t in (512, 1024, 2048))
+
+
 def test_warc_round_trip(spark):
     same = "é" * 600
     pages = [(1, "http://a/", same), (2, None, same), (3, "u\r\nv", same), (4, "x", "short"), (5, "x", "short"), (6, "y", None), (None, "z", same), (7, "q", "")]
@@ -93,16 +122,43 @@ def test_warc_round_trip(spark):
     assert len(rows) == len(pages)
     assert (rows[3].record_type, rows[3].refers_to, rows[1].record_type, rows[1].refers_to) == ("response", None, "revisit", 3)
     assert rows[None].refers_to == 3 and rows[4].record_type == rows[5].record_type == "response"
-    assert rows[1].payload_bytes == 1200 and rows[6].payload_bytes == 0 and all(r.error is None for r in rows.values())
+    assert rows[1].payload_bytes == 1200 and rows[6].payload_bytes == 0
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_reads_only_what_is_listed_and_fails_on_what_is_broken(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", "x" * 40 * i) for i in range(200)], "page_id long, url string, html string")
+    rows = warc.round_trip(pages, folder=str(tmp_path / "a"), most=5000).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in rows) == [(i, 40 * i) for i in range(200)]
+    files = sorted((tmp_path / "a").glob("*.zst"))
+    assert len(files) > 80
+    (tmp_path / "a" / "part-000000-09999-7.warc.zst").write_bytes(files[0].read_bytes())  # of an attempt that was not committed
+    written = spark.read.parquet(str(tmp_path / "a-written"))
+    assert warc._pages(warc.read_archives(spark, str(tmp_path / "a"), written)).count() == 200
+    assert warc.read_archives(spark, str(tmp_path / "a")).count() > 200
+    files[3].write_bytes(files[3].read_bytes()[:-3])
+    with pytest.raises(Exception, match="an archive can't be read"):
+        warc._pages(warc.read_archives(spark, str(tmp_path / "a"), written)).collect()
+
+
+def test_frames_are_walked_by_their_headers():
+    import zstandard
+
+    records = [b"a" * n for n in (0, 1, 500, 300_000)] + [bytes(np.random.default_rng(1).integers(0, 256, 400_000, dtype=np.uint8))]
+    for options in ({}, {"write_checksum": True}, {"write_content_size": False}):
+        frames = [zstandard.ZstdCompressor(level=3, **options).compress(r) for r in records]
+        whole, at = memoryview(b"".join(frames)), 0
+        for f in frames:
+            at += len(f)
+            assert warc.frame_end(whole, at - len(f)) == at
+
+
 def test_warc_rejects_what_is_broken():
     import hashlib
 
     good = warc.build_record(1, "u", b"payload", hashlib.sha1(b"payload").hexdigest(), None)
     assert warc.parse_record(good)["payload"] == b"payload"
-    for bad in (good[:-1], good.replace(b"WARC/1.1", b"WARC/9.9"), good.replace(b"Content-Length: 7", b"Content-Length: 8"), good.replace(b"payload\r\n\r\n", b"pAyload\r\n\r\n"), good.replace(b"WARC-Date", b"WARC-Dat")):
+    for bad in (good[:-1], good.replace(b"WARC/1.1", b"WARC/9.9"), good.replace(b"Content-Length: 7", b"Content-Length: 8"), good.replace(b"payload\r\n\r\n", b"pAyload\r\n\r\n"), good.replace(b"WARC-Date", b"WARC-Dat"), good.replace(b"Payload-Length: 7", b"Payload-Length: 9"), good.replace(b"Payload-Length: 7", b"Payload-Length: x")):
         with pytest.raises(warc.WarcError):
             warc.parse_record(bad)
     archive = warc.write_archive([good, good.replace(b"WARC-Date", b"WARC-Dat"), good], warc.train([good] * 3))
@@ -113,7 +169,7 @@ def test_warc_rejects_what_is_broken():
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://example.net", "http://Sub.EXAMPLE.net/en/x?q#f", "https://example.com/de/?a", "http://example.com/de", "ftp://a.org/fr/", "http://org/fr/", "http://xnet/", "http://net#x", "a://b://net/", "http://example.com/de/\nx"]
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(1, ""), (None, "http://net/")], "page_id long, url string").selectExpr("*", "'r' as rule", "1 as host")
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(1, ""), (None, "http://net/")], "page_id long, url string").selectExpr("*", "'r' as rule", "1 as host", "2 as __url", "3 as __verdict", "4 as __page")
     got = url_filter(pages, spark.createDataFrame(rules, "rule_host string, rule_path string, verdict string")).collect()
     assert len(got) == len(urls) + 2
 
@@ -140,10 +196,37 @@ def test_fit_reaches_what_brute_force_reaches():
             took = mixing.fit(sizes, counts, budget)
             assert (took >= 0).all() and (took <= counts).all()
             assert int((sizes * took).sum()) <= budget
-        grid = np.array(np.meshgrid(*[range(c + 1) for c in counts])).reshape(len(sizes), -1)
-        share = counts * (total // 2) // max(total, 1)
-        reach = [int(s) for s in (sizes[:, None] * grid).sum(0)[(grid >= share[:, None]).all(0)] if s <= total // 2]
-        assert int((sizes * mixing.fit(sizes, counts, total // 2)).sum()) == max(reach)
+        assert int((sizes * mixing.fit(sizes, counts, total // 2)).sum()) == best(sizes, counts, total // 2)
+
+
+def best(sizes, counts, budget):
+    grid = np.array(np.meshgrid(*[range(c + 1) for c in counts])).reshape(len(sizes), -1)
+    sums = (sizes[:, None] * grid).sum(0)
+    return int(sums[sums <= budget].max())
+
+
+def test_fit_reaches_budgets_of_long_documents():
+    four = np.array([100_000, 110_000, 120_000, 130_000])
+    assert mixing.fit(four, np.ones(4, dtype=int), 130_000).tolist() == [0, 0, 0, 1]
+    assert int((four * mixing.fit(four, np.ones(4, dtype=int), 229_000)).sum()) == 220_000
+    rng = np.random.default_rng(8)
+    for _ in range(15):
+        sizes = np.unique(rng.integers(60_000, 140_000, 5))
+        counts = rng.integers(1, 3, len(sizes))
+        for budget in rng.integers(65_537, int((sizes * counts).sum()), 4).tolist():
+            took = mixing.fit(sizes, counts, budget)
+            assert (took <= counts).all() and int((sizes * took).sum()) == best(sizes, counts, budget)
+    sizes, counts = np.arange(2, 20_000, 2), np.full(9_999, 3)
+    odd = int((sizes * counts).sum()) // 2 // 2 * 2 + 1
+    assert int((sizes * mixing.fit(sizes, counts, odd)).sum()) == odd - 1
+
+
+def test_a_rounded_knapsack_stays_near(monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SUMS", 1000)
+    rng = np.random.default_rng(2)
+    sizes = np.unique(rng.integers(1000, 90_000, 60))
+    took = mixing.knapsack(sizes, np.full(len(sizes), 2), 700_001)
+    assert 0 <= 700_001 - int((sizes * took).sum()) <= 701 * took.sum() and (took <= 2).all()
 
 
 def test_mixing(spark):
