@@ -48,32 +48,48 @@ def speed_limit_kmh(text) -> Column:
     return F.when(ok, kmh)
 
 
-def edge_access(profile_key, category, edge: dict[str, Column]) -> Column:
-    """struct(allowed, reason, penalty) of a directed edge for a profile.
+MODES = {"pedestrian": "foot", "micromobility": "bicycle", "vehicle": "motor_vehicle"}
+
+
+def mode_access(mode: str, edge: dict[str, Column]) -> Column:
+    """Why a directed edge is closed to a mode (foot, bicycle or motor_vehicle); null where it is open.
 
-    edge: highway, access, foot, bicycle, motor_vehicle, lit, oneway_bicycle, oneway_foot (tags) and
+    edge: cleaned tags highway, access, foot, bicycle, motor_vehicle, oneway_bicycle, oneway_foot and
     oneway, against_oneway, reverse_of_two_way (booleans). Direction decides first, then the mode's
     own tag, the general tag, and the highway's class.
     """
-    mode = mode_of(category)
-    highway = F.when(tag(edge["highway"]) == "", "unclassified").otherwise(tag(edge["highway"]))
-    general = tag(edge["access"])
-    modal = F.when(mode == "foot", tag(edge["foot"])).when(mode == "bicycle", tag(edge["bicycle"])).otherwise(tag(edge["motor_vehicle"]))
-    way = F.when(mode == "bicycle", tag(edge["oneway_bicycle"])).otherwise(tag(edge["oneway_foot"]))
+    highway = F.when(edge["highway"] == "", "unclassified").otherwise(edge["highway"])
+    general, modal = edge["access"], edge[mode]
     against, oneway, back = (F.coalesce(edge[k], F.lit(False)) for k in ("against_oneway", "oneway", "reverse_of_two_way"))
-    no = lambda reason: F.struct(F.lit(False).alias("allowed"), reason.alias("reason"), F.lit(1.0).alias("penalty"))
-    yes = lambda reason, penalty: F.struct(F.lit(True).alias("allowed"), F.lit(reason).alias("reason"), F.lit(penalty).alias("penalty"))
-    wrong_way = F.lit("against one-way traffic")
-    return (
-        F.when((mode == "motor_vehicle") & against, no(wrong_way))
-        .when((mode == "bicycle") & against & (way != "no"), no(wrong_way))
-        .when((mode == "foot") & against & way.isin(*ONE_WAY), no(F.lit("oneway:foot=yes")))
-        .when((mode != "motor_vehicle") & ~against & ~oneway & back & way.isin(*ONE_WAY), no(F.concat(F.lit("oneway:"), mode, F.lit("=yes"))))
-        .when(modal.isin(*DENIED), no(F.concat(mode, F.lit("="), modal)))
-        .when((modal == "") & general.isin(*DENIED), no(F.concat(F.lit("access="), general)))
-        .when(~modal.isin(*ALLOWED) & (mode == "motor_vehicle") & highway.isin(*NON_MOTORISED), no(F.concat(highway, F.lit(" excludes motor vehicles"))))
-        .when(~modal.isin(*ALLOWED) & (mode != "motor_vehicle") & highway.isin(*CONTROLLED), no(F.concat(highway, F.lit(" excludes "), mode)))
-        .when(~modal.isin(*ALLOWED) & (mode == "bicycle") & highway.isin("steps", "corridor"), no(F.concat(highway, F.lit(" excludes bicycles"))))
-        .when((col(profile_key) == "night_walk") & (tag(edge["lit"]) == "no"), yes("unlit night-walk link", 2.0))
-        .otherwise(yes("allowed", 1.0))
-    )
+    closed = modal.isin(*DENIED)
+    open_ = modal.isin(*ALLOWED)
+    by_tag = F.when(closed, F.concat(F.lit(f"{mode}="), modal)).when((modal == "") & general.isin(*DENIED), F.concat(F.lit("access="), general))
+    if mode == "motor_vehicle":
+        return F.when(against, "against one-way traffic").otherwise(F.coalesce(by_tag, F.when(~open_ & highway.isin(*NON_MOTORISED), F.concat(highway, F.lit(" excludes motor vehicles")))))
+    way = edge["oneway_bicycle" if mode == "bicycle" else "oneway_foot"]
+    wrong = F.when(against & (way != "no"), "against one-way traffic") if mode == "bicycle" else F.when(against & way.isin(*ONE_WAY), "oneway:foot=yes")
+    wrong = F.coalesce(wrong, F.when(~against & ~oneway & back & way.isin(*ONE_WAY), f"oneway:{mode}=yes"))
+    by_class = F.when(~open_ & highway.isin(*CONTROLLED), F.concat(highway, F.lit(f" excludes {mode}")))
+    if mode == "bicycle":
+        by_class = F.coalesce(by_class, F.when(~open_ & highway.isin("steps", "corridor"), F.concat(highway, F.lit(" excludes bicycles"))))
+    return F.coalesce(wrong, by_tag, by_class)
+
+
+def reasons(edge: dict[str, Column]) -> Column:
+    """Map from mode to why a directed edge is closed to it: tags are cleaned, and the rules decided, once for all profiles."""
+    clean = {k: edge[k] if k in ("oneway", "against_oneway", "reverse_of_two_way") else tag(edge[k]) for k in edge}
+    return F.create_map(*(x for mode in MODES.values() for x in (F.lit(mode), mode_access(mode, clean))))
+
+
+def decision(why: Column, profile_key, lit) -> Column:
+    """struct(allowed, reason, penalty) of a profile, from why its mode is kept out (null: it isn't)."""
+    dark = (col(profile_key) == "night_walk") & (tag(lit) == "no")
+    reason = F.coalesce(why, F.when(dark, "unlit night-walk link").otherwise("allowed"))
+    return F.struct(why.isNull().alias("allowed"), reason.alias("reason"), F.when(why.isNull() & dark, 2.0).otherwise(1.0).alias("penalty"))
+
+
+def edge_access(profile_key, category, edge: dict[str, Column]) -> Column:
+    """struct(allowed, reason, penalty) of a directed edge for a profile; edge as in mode_access(), with lit, tags as they come."""
+    clean = {k: edge[k] if k in ("oneway", "against_oneway", "reverse_of_two_way") else tag(edge[k]) for k in edge}
+    why = F.when(mode_of(category) == "foot", mode_access("foot", clean)).when(mode_of(category) == "bicycle", mode_access("bicycle", clean)).otherwise(mode_access("motor_vehicle", clean))
+    return decision(why, profile_key, edge["lit"])

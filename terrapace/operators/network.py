@@ -21,7 +21,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder of spark.checkpoint.dir and read back, so that loops keep no lineage."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or _own_dir.get("path")
-    if not folder:  # only where no shared folder is named, as in tests
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _own_dir["path"] = tempfile.mkdtemp(prefix="terrapace-")
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -36,17 +38,20 @@ def nodes(segments: DataFrame) -> DataFrame:
 
 
 def directed_edges(segments: DataFrame, measured: bool = True, attributes: tuple[str, ...] = ()) -> DataFrame:
-    """Both directions of segments(u, v, lon1 .. z2, oneway, attributes), without loops and parallel repeats.
+    """Both directions of segments(u, v, lon1 .. z2, oneway, attributes), without loops; of parallel repeats the shortest stays.
 
     Columns u, v, length_m, slope_pct, against_oneway, reverse_of_two_way and the attributes. Slopes are over
     1 m at least where heights are the network's own (measured), else over 10 m; 0 for 0.1 m and less.
     """
     d = haversine_2d("lon1", "lat1", "lon2", "lat2")
     slope = F.when(d > 0.1, 100.0 * (F.col("z2") - F.col("z1")) / F.greatest(d, F.lit(VERTEX_MIN_RUN_M if measured else DEM_MIN_RUN_M))).otherwise(0.0)
-    base = segments.where("u <> v").select("u", "v", F.greatest(F.lit(0.1), d).alias("length_m"), slope.alias("slope_pct"), "oneway", *attributes).dropDuplicates(["u", "v", "oneway", *attributes])
-    ahead = base.select("u", "v", "length_m", "slope_pct", F.lit(False).alias("against_oneway"), F.lit(False).alias("reverse_of_two_way"), "oneway", *attributes)
-    back = base.select(F.col("v").alias("u"), F.col("u").alias("v"), "length_m", (-F.col("slope_pct")).alias("slope_pct"), F.col("oneway").alias("against_oneway"), (~F.col("oneway")).alias("reverse_of_two_way"), "oneway", *attributes)
-    return ahead.unionByName(back)
+    measures = F.struct(F.greatest(F.lit(0.1), d).alias("length_m"), slope.alias("slope_pct"))
+    base = segments.where("u <> v").groupBy("u", "v", "oneway", *attributes).agg(F.min(measures).alias("m"))
+    # Both directions come from one row, so segments are read, and parallel ones settled, once.
+    ahead = F.struct("u", "v", F.col("m.slope_pct").alias("slope_pct"), F.lit(False).alias("against_oneway"), F.lit(False).alias("reverse_of_two_way"))
+    back = F.struct(F.col("v").alias("u"), F.col("u").alias("v"), (-F.col("m.slope_pct")).alias("slope_pct"), F.col("oneway").alias("against_oneway"), (~F.col("oneway")).alias("reverse_of_two_way"))
+    both = base.select(F.explode(F.array(ahead, back)).alias("e"), F.col("m.length_m").alias("length_m"), "oneway", *attributes)
+    return both.select("e.u", "e.v", "length_m", "e.slope_pct", "e.against_oneway", "e.reverse_of_two_way", "oneway", *attributes)
 
 
 def degrees(edges: DataFrame) -> DataFrame:

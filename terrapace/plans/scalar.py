@@ -166,8 +166,9 @@ _FLAGS = {"oneway": "(k + n) % 3 = 0", "against_oneway": "(k + n) % 6 = 0", "rev
 
 def _access(spark, sf_dir):
     tagged = view(spark, sf_dir, "samples").select("k", "n", *(F.expr(x).alias(a) for a, x in (_TAGS | _FLAGS).items()))
-    rows = tagged.crossJoin(F.broadcast(profiles(spark).select("profile", "category")))
-    decided = rows.select("k", "n", "profile", access.edge_access("profile", "category", {a: C(a) for a in (*_TAGS, *_FLAGS)}).alias("x"))
+    judged = tagged.select("k", "lit", F.explode(access.reasons({a: C(a) for a in (*_TAGS, *_FLAGS)})).alias("mode", "why"))
+    by_mode = F.broadcast(profiles(spark).select("profile", access.mode_of("category").alias("mode")))
+    decided = judged.join(by_mode, "mode").select("k", "profile", access.decision(C("why"), "profile", "lit").alias("x"))
     return decided.groupBy("profile", "x.allowed", "x.reason", "x.penalty").agg(F.count("*").alias("edges"), F.sum("k").alias("key_sum"))
 
 
