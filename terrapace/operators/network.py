@@ -95,3 +95,40 @@ def fill_heights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if not found.where("new").take(1):
             break
     return known.select("node", F.coalesce("z", F.lit(0.0)).alias("z"))
+
+
+def compatible_snap(pairs: DataFrame, nodes: DataFrame, radius_m: float) -> DataFrame:
+    """(pair_id, node_o, node_d, shared): the ends of pairs(pair_id, lon_o, lat_o, lon_d, lat_d) snapped into one component.
+
+    nodes(node, lon, lat, component). Of the components within reach of both ends the one of the least total distance wins, then the
+    larger one; where none is shared, each end takes its nearest node. Ends beyond radius_m of every node stay null.
+    """
+    from .spatial import within
+
+    sizes = nodes.groupBy("component").agg(F.count("*").alias("size"))
+
+    def near(end: str) -> DataFrame:
+        places = pairs.select("pair_id", F.col(f"lon_{end}").alias("lon"), F.col(f"lat_{end}").alias("lat"))
+        found = within(places, nodes.select("node", "lon", "lat", "component"), radius_m, distance="d")
+        return found.groupBy("pair_id", "component").agg(F.min(F.struct("d", "node")).alias(end))
+
+    both = near("o").join(near("d"), ["pair_id", "component"], "full").join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, "component")
+    total = F.when(F.col("o").isNotNull() & F.col("d").isNotNull(), F.struct((F.col("o.d") + F.col("d.d")).alias("total"), (-F.col("size")).alias("less"), F.col("o.node").alias("o"), F.col("d.node").alias("d")))
+    best = both.groupBy("pair_id").agg(F.min(total).alias("both"), F.min("o").alias("o"), F.min("d").alias("d"))
+    found = best.select("pair_id", F.coalesce("both.o", "o.node").alias("node_o"), F.coalesce("both.d", "d.node").alias("node_d"), F.col("both").isNotNull().alias("shared"))
+    return pairs.select("pair_id").join(found, "pair_id", "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+
+
+def reached_pieces(times: DataFrame, edges: DataFrame, cutoff_s: float) -> DataFrame:
+    """(origin, u, v, fraction): how far streets can be gone within cutoff_s, from times(origin, node, cost) and edges(u, v, cost), both in seconds.
+
+    Of parallel edges the farthest counts; a street gone wholly from both ends is there once, from its smaller node.
+    """
+    started = times.where(F.col("cost") <= cutoff_s).select("origin", F.col("node").alias("u"), F.col("cost").alias("t"))
+    fraction = F.least(F.lit(1.0), (cutoff_s - F.col("t")) / F.col("cost"))
+    pieces = started.join(edges.where("cost is not null").groupBy("u", "v").agg(F.min("cost").alias("cost")), "u").select("origin", "u", "v", fraction.alias("fraction")).where("fraction > 0")
+    # Both ways of a street come together under its ends in order; so no self-join.
+    street = pieces.withColumns({"a": F.least("u", "v"), "b": F.greatest("u", "v")}).groupBy("origin", "a", "b")
+    ways = street.agg(F.max(F.when(F.col("u") < F.col("v"), F.col("fraction"))).alias("ahead"), F.max(F.when(F.col("u") > F.col("v"), F.col("fraction"))).alias("back"))
+    drawn = F.array(F.when(F.col("ahead").isNotNull(), F.struct(F.col("a").alias("u"), F.col("b").alias("v"), F.col("ahead").alias("fraction"))), F.when(F.col("back").isNotNull() & ~((F.col("back") >= 1) & (F.coalesce("ahead", F.lit(0.0)) >= 1)), F.struct(F.col("b").alias("u"), F.col("a").alias("v"), F.col("back").alias("fraction"))))
+    return ways.select("origin", F.explode(F.filter(drawn, lambda x: x.isNotNull())).alias("p")).select("origin", "p.*")

@@ -25,8 +25,11 @@ TREE = "origin long, node long, cost double, pred long"
 
 
 def csr(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(node ids, row starts, targets, costs) of edges(u, v, cost); edges of null cost can't be passed."""
-    rows = edges.where("cost is not null").select("u", "v", F.col("cost").cast("double")).toPandas()
+    """(node ids, row starts, targets, costs) of edges(u, v, cost); edges of null cost can't be passed. More than MOST_BROADCAST_EDGES fail."""
+    edges = stored(edges.where("cost is not null").select("u", "v", F.col("cost").cast("double")), "edges")
+    if edges.count() > MOST_BROADCAST_EDGES:
+        raise ValueError(f"a graph of more than {MOST_BROADCAST_EDGES} edges can't be broadcast: cut it, or use relaxed_paths()")
+    rows = edges.toPandas()
     u, v, cost = rows["u"].to_numpy(np.int64), rows["v"].to_numpy(np.int64), rows["cost"].to_numpy(np.float64)
     ids = np.unique(np.concatenate((u, v)))
     u, v = np.searchsorted(ids, u), np.searchsorted(ids, v)
@@ -59,6 +62,7 @@ def search(starts: list, targets: list, costs: list, origin: int, limit: float,
 
 def shortest_paths(edges: DataFrame, origins: DataFrame, limit: float = float("inf"), goals: DataFrame | None = None) -> DataFrame:
     """(origin, node, cost, pred) for all nodes within limit of origins(origin), or of the goals(node) only."""
+    edges = stored(edges.select("u", "v", "cost"), "edges")
     if edges.count() > MOST_BROADCAST_EDGES:
         return relaxed_paths(edges, origins, limit) if goals is None else relaxed_paths(edges, origins, limit).join(goals, "node", "left_semi").select("origin", "node", "cost", "pred")
     spark = edges.sparkSession

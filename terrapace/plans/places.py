@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp_or_null
-from ..operators import raster, spatial, transit
+from ..operators import raster, running, spatial, transit
 from ..sources.fixtures import view, with_views
 from .scalar import sql_haversine
 
@@ -55,9 +55,7 @@ ORACLES["j10_od_pairs"] = f"{_ZF} SELECT zone_id, facility_id, round({_D}, 3) AS
 
 
 def _zipped(spark, sf_dir):
-    number = lambda df, key: df.withColumn("rn", F.row_number().over(Window.orderBy(key)))
-    a, b = number(_zones(spark, sf_dir).select("zone_id"), "zone_id"), number(_facilities(spark, sf_dir).select("facility_id"), "facility_id")
-    return a.join(b, "rn").select(F.col("rn").cast("long").alias("pair_id"), "zone_id", "facility_id")
+    return running.zipped(_zones(spark, sf_dir).select("zone_id"), "zone_id", _facilities(spark, sf_dir).select("facility_id"), "facility_id")
 
 
 QUERIES["j11_positional"] = _zipped
