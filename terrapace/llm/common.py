@@ -292,6 +292,17 @@ def _met_least(edges: DataFrame, heavy_from: int | None) -> DataFrame:
     return edges.join(heavy, "a").union(edges.join(heavy.select("a"), "a", "left_anti").join(light, "a"))
 
 
+def join_heavy(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows joined with table, which is stored and has a row for each key with the number of rows (`weight`, left out) that it meets, so that no key is large in a shuffle, see _met_least()."""
+    total, most = table.agg(F.sum(weight), F.max(weight)).first()
+    heavy_from = max(HEAVY_EDGES, (total or 0) // MOST_HEAVY)
+    if (most or 0) < heavy_from:
+        return rows.join(table.drop(weight), key)
+    heavy = F.broadcast(table.where(F.col(weight) >= heavy_from).drop(weight))
+    light = table.where(F.col(weight) < heavy_from).drop(weight)
+    return rows.join(heavy, key).union(rows.join(heavy.select(key), key, "left_anti").join(light, key))
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component) for every node of edges(a, b): component is the smallest node reachable.
 

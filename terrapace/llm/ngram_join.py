@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, Keyed, Prefix, Words, batches, components, digests, encoded, mix, partitions, stored
+from .common import KEY, Keyed, Prefix, Words, batches, components, digests, encoded, join_heavy, mix, partitions, stored
 from .exact_dedup import possible_members
 from .spans import CHARS, MERGE_ROWS, _groups
 
@@ -404,7 +404,7 @@ def block_links(keys: list[int], sets: list[np.ndarray], percent: int, fixed: np
 
 def _product(percent: int):
     def run(frames):
-        for frame in _groups(frames, ["comp", "pair"]):
+        for frame in _groups(frames, ["comp", "pair"], 2_000):
             out = []
             for _, group in frame.groupby(["comp", "pair"], sort=False):
                 if len(group) > 1:
@@ -440,10 +440,10 @@ def classes(keyed: DataFrame, gram: int, percent: int, block: int = BLOCK) -> Da
     # A pair belongs to the level of its larger set, which has step 0 there.
     counts = stored(counts.where("count > 1 and least = 0").select("comp", "count", F.col(f"lead.{KEY}").alias("lead"), "lead.n"), "counts")
     texts, fixed_set = keyed.select(KEY, "__text"), "comp long, pair long, __key long, fixed boolean, grams binary"
-    hot = counts.where(F.col("count") > HOT * block).select("comp", "lead", F.col("n").alias("lead_n"), F.ceil(F.col("count") / block).alias("salts"))
+    hot = counts.where(F.col("count") > HOT * block).select("comp", "lead", F.col("n").alias("lead_n"), F.ceil(F.col("count") / block).alias("salts"), "count")
     star = None
     if not hot.isEmpty():
-        asked = members.select(KEY, "n", "comp").join(hot, "comp").where(100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n"))
+        asked = join_heavy(members.select(KEY, "n", "comp"), hot, "comp", "count").where(100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n"))
         asked = stored(asked.select(KEY, "comp", (F.col(KEY) == F.col("lead")).alias("fixed"), "salts"), "asked")
         cut = possible_members(texts, asked).join(asked, KEY).mapInPandas(_sets(gram, _salts), fixed_set)
         star = stored(cut.repartition(n, "comp", "pair").sortWithinPartitions("comp", "pair").mapInPandas(_star(percent), "comp long, a long, b long"), "star")
@@ -455,10 +455,11 @@ def classes(keyed: DataFrame, gram: int, percent: int, block: int = BLOCK) -> Da
     def blocks(rows: DataFrame, most: int) -> DataFrame:
         """(comp, open, fixed_blocks) of components in which pairs are to be looked at."""
         found = rows.groupBy("comp").agg(F.count_if(~F.col("fixed")).alias("u"), F.count_if("fixed").alias("f"))
-        return found.where("u > 0 and u + f > 1").select("comp", F.ceil(F.col("u") / most).alias("open"), F.ceil(F.col("f") / most).alias("fixed_blocks"))
+        found = found.where("u > 0 and u + f > 1").select("comp", F.ceil(F.col("u") / most).alias("open"), F.ceil(F.col("f") / most).alias("fixed_blocks"), F.expr("u + f").alias("count"))
+        return stored(found, "blocks")
 
-    known = counts.select("comp")
-    dealt = members.join(known, "comp", "left_semi").join(blocks(members, block * SKETCH_BLOCK // BLOCK), "comp").drop("step")
+    open_ = blocks(members, block * SKETCH_BLOCK // BLOCK).join(counts.select("comp"), "comp", "left_semi")
+    dealt = join_heavy(members.drop("step"), open_, "comp", "count")
     dealt = dealt.mapInPandas(_deal, "comp long, pair long, __key long, n int, fixed boolean, sketch binary")
     alike = dealt.repartition(n, "comp", "pair").sortWithinPartitions("comp", "pair").mapInPandas(_prune(percent), "a long, b long")
     alike = components(alike.union(star.select("a", "b")) if star is not None else alike).select(F.col("node").alias(KEY), F.col("component").alias("comp"))
@@ -466,13 +467,13 @@ def classes(keyed: DataFrame, gram: int, percent: int, block: int = BLOCK) -> Da
         # A document can be linked to representatives of two levels; one class of each component is left out of the product.
         alike = stored(alike, "alike")
         within = star.select(F.col("a").alias(KEY), "b").distinct().join(alike, KEY)
-        leads = within.groupBy("comp").agg(F.min("b").alias("b"))
-        classed = within.join(leads, ["comp", "b"]).select("comp", KEY).union(leads.select("comp", F.col("b").alias(KEY))).withColumn("fixed", F.lit(True))
+        leads = stored(within.groupBy("comp").agg(F.min("b").alias("b"), F.count("*").alias("count")), "leads")
+        classed = join_heavy(within.withColumnRenamed("b", "rep"), leads, "comp", "count").where("rep = b").select("comp", KEY).union(leads.select("comp", F.col("b").alias(KEY))).withColumn("fixed", F.lit(True))
         alike = alike.join(classed, ["comp", KEY], "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)))
     else:
         alike = alike.withColumn("fixed", F.lit(False))
     alike = stored(alike, "alike")
-    members = stored(alike.join(blocks(alike, block), "comp"), "members")
+    members = stored(join_heavy(alike, blocks(alike, block), "comp", "count"), "members")
     # The others' texts need not shuffle.
     cut = possible_members(texts, members).join(members, KEY).mapInPandas(_sets(gram, _pairs), fixed_set)
     links = cut.repartition(n, "comp", "pair").sortWithinPartitions("comp", "pair").mapInPandas(_product(percent), "a long, b long").union(copies)
