@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import shutil
+import sys
 import tempfile
 import uuid
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -270,6 +273,14 @@ def encoded(texts) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
 
 
+def give_back() -> None:
+    """Hands memory that this worker has freed back to the system, where the platform can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
 # -- connected components -----------------------------------------------------
 
 

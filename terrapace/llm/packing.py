@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, batches, small_batches
+from .common import KEY, batches, give_back, small_batches
 
 LONGEST = 4096
 #: Tokens packed together at a time; and the sequences of one step group.
@@ -120,16 +120,6 @@ class WordTokenizer:
         return np.split(self.ids[pick], cuts[:-1])
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
-def tokenizer(path: str) -> WordTokenizer:
-    """One for each worker process."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
-
-
 def tier_of(n: int, longest: int = LONGEST) -> int:
     """The shortest context (a power of two, 1/16 of the longest at least) that holds n tokens."""
     tier = longest // 16
@@ -243,8 +233,7 @@ def _rows(keys: list[tuple[int, bool]], ids: list[np.ndarray], part: int, pool:
 
 
 def packer(path: str, longest: int, end: int, pool_tokens: int):
-    def run(frames):
-        encode = tokenizer(path).encode
+    def pieces(frames, encode):
         part, pool, keys, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
         for group in batches(frames, "__text", 2 << 20):
             for frame in group:
@@ -259,6 +248,11 @@ def packer(path: str, longest: int, end: int, pool_tokens: int):
         if keys:
             yield _rows(keys, ids, part, pool, longest)
 
+    def run(frames):
+        # Remembered words go with the task, as Spark keeps the worker for later stages.
+        yield from pieces(frames, WordTokenizer(path).encode)
+        give_back()
+
     return run
 
 
