@@ -281,6 +281,16 @@ def give_back() -> None:
         trim(0)
 
 
+def tidied(run):
+    """run for mapInPandas, after which the worker, that Spark keeps for later stages, hands back what the task took."""
+
+    def whole(frames):
+        yield from run(frames)
+        give_back()
+
+    return whole
+
+
 # -- connected components -----------------------------------------------------
 
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, batches, partitions, stored
+from .common import KEY, batches, partitions, stored, tidied
 
 #: Most windows of a span (more than one minimiser can hold, unless it comes again); most spans of a minimiser that one bucket resolves; rows merged in a task at a time; characters at a time.
 MOST_WINDOWS = 128
@@ -36,6 +36,8 @@ MERGE_ROWS = 1 << 18
 CHARS = 1 << 20
 #: Rows of one minimiser that are held before a piece of them is decided.
 HOT = 200_000
+#: Spans that are resolved together at least; each may hold MOST_WINDOWS windows, and each window takes about a hundred bytes.
+RESOLVE_ROWS = 10_000
 
 #: kind 0: a span; 1: one that stands for several equal ones of its task; 2: a copy that its task has settled.
 #: 4 more: the minimiser enters the span's windows again, without which no window repeats within its span.
@@ -197,7 +199,7 @@ def _cut(content: Callable):
 
 def _resolve(resolve: Resolve, window_bytes: Callable, first_stays: bool):
     def run(frames):
-        for frame in _groups(frames, ["h", "part"]):
+        for frame in _groups(frames, ["h", "part"], RESOLVE_ROWS):
             contents = frame["content"].tolist()
             n, key, start, kind, parts = (frame[c].to_numpy() for c in ("n", KEY, "start", "kind", "parts"))
             new = np.concatenate(([True], (frame["h"].to_numpy()[1:] != frame["h"].to_numpy()[:-1]) | (frame["part"].to_numpy()[1:] != frame["part"].to_numpy()[:-1])))
@@ -238,11 +240,11 @@ def repeated_ranges(keyed: DataFrame, windows: Windows, content: Callable, resol
     without repeated windows have no row.
     """
     n = partitions(keyed)
-    spans = keyed.select(KEY, "__text").mapInPandas(_emit(windows, first_stays), SPANS)
-    met = stored(spans.repartition(n, "h").sortWithinPartitions("h", "s", KEY, "start").mapInPandas(_meet(first_stays, bucket), MET), "met")
+    spans = keyed.select(KEY, "__text").mapInPandas(tidied(_emit(windows, first_stays)), SPANS)
+    met = stored(spans.repartition(n, "h").sortWithinPartitions("h", "s", KEY, "start").mapInPandas(tidied(_meet(first_stays, bucket)), MET), "met")
     wanted = met.where("kind >= 3").groupBy(KEY).agg(F.collect_list(F.struct("h", "part", "parts", "start", "n", "kind")).alias("__wanted"))
-    cut = keyed.select(KEY, "__text").join(wanted, KEY).mapInPandas(_cut(content), CUT)
-    resolved = cut.repartition(n, "h", "part").sortWithinPartitions("h", "part").mapInPandas(_resolve(resolve, window_bytes, first_stays), RESOLVED)
+    cut = keyed.select(KEY, "__text").join(wanted, KEY).mapInPandas(tidied(_cut(content)), CUT)
+    resolved = cut.repartition(n, "h", "part").sortWithinPartitions("h", "part").mapInPandas(tidied(_resolve(resolve, window_bytes, first_stays)), RESOLVED)
     again = F.expr("row_number() over (partition by digest order by __key, start) > 1") if first_stays else F.expr("count(*) over (partition by digest) > 1")
     resolved = resolved.withColumn("again", again).where("kind = 0 or again")
     settled = met.where("kind = 2").select(KEY, "start", "n").union(resolved.select(KEY, "start", "n"))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, KEY, Keyed, Prefix, digests, mix, sliding_min
+from .common import BYTE, KEY, Keyed, Prefix, digests, mix, sliding_min, tidied
 from .spans import BUCKET, covered, repeated_ranges
 
 WINDOW = 100
@@ -199,5 +199,5 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base = keyed.df.select(KEY, "__text").where(F.col(KEY).isNotNull())
     fixed = {"size": size}
     ranges = repeated_ranges(base, partial(_windows, size=size, sub=min(sub, size)), partial(_content, **fixed), partial(_resolve, **fixed), partial(_window_bytes, **fixed), first_stays=True, bucket=bucket)
-    out = base.join(ranges, KEY, "left").mapInPandas(_apply(size), "__key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = base.join(ranges, KEY, "left").mapInPandas(tidied(_apply(size)), "__key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return keyed.restore(out, {KEY: "doc_id"}).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, Keyed, Prefix, Words, digests, mix, sliding_min
+from .common import KEY, Keyed, Prefix, Words, digests, mix, sliding_min, tidied
 from .spans import BUCKET, covered, repeated_ranges
 
 WINDOW = 35
@@ -100,5 +100,5 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     base = keyed.df.select(KEY, "__text").where(F.col(KEY).isNotNull())
     fixed = {"size": size}
     ranges = repeated_ranges(base, partial(_windows, size=size, sub=min(sub, size)), partial(_content, **fixed), partial(_resolve, **fixed), partial(_window_bytes, **fixed), first_stays=False, bucket=bucket)
-    out = base.join(ranges, KEY, "left").mapInPandas(_apply(size), "__key long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    out = base.join(ranges, KEY, "left").mapInPandas(tidied(_apply(size)), "__key long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return keyed.restore(out, {KEY: "doc_id"}).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
