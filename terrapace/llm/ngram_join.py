@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, Keyed, Prefix, Words, batches, components, digests, encoded, join_heavy, mix, partitions, stored
+from .common import KEY, Keyed, Prefix, Words, batches, components, digests, encoded, join_heavy, mix, partitions, stored, tidied
 from .exact_dedup import possible_members
 from .spans import CHARS, MERGE_ROWS, _groups
 
@@ -430,8 +430,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def classes(keyed: DataFrame, gram: int, percent: int, block: int = BLOCK) -> DataFrame:
     """(KEY, n_shingles, component) of a frame with KEY and __text."""
     n = partitions(keyed)
-    parts = keyed.select(KEY, "__text").mapInPandas(_emit(gram, percent), PARTS)
-    met = stored(parts.repartition(n, "h").sortWithinPartitions("h").mapInPandas(_meet, PARTS), "parts")
+    parts = keyed.select(KEY, "__text").mapInPandas(tidied(_emit(gram, percent)), PARTS)
+    met = stored(parts.repartition(n, "h").sortWithinPartitions("h").mapInPandas(tidied(_meet), PARTS), "parts")
     copies = met.where("kind = 3").select(F.col(KEY).alias("a"), F.col("peer").alias("b"))
     near = components(met.where("kind = 1").select(F.col(KEY).alias("a"), F.col("peer").alias("b")))
     leads = met.where("kind = 2 and n > 0").select(KEY, "n", "sketch", F.explode(F.array(F.lit(0), F.lit(1))).alias("step")).withColumn("node", F.expr(f"shiftleft({KEY}, 1) + step"))
@@ -445,8 +445,8 @@ def classes(keyed: DataFrame, gram: int, percent: int, block: int = BLOCK) -> Da
     if not hot.isEmpty():
         asked = join_heavy(members.select(KEY, "n", "comp"), hot, "comp", "count").where(100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n"))
         asked = stored(asked.select(KEY, "comp", (F.col(KEY) == F.col("lead")).alias("fixed"), "salts"), "asked")
-        cut = possible_members(texts, asked).join(asked, KEY).mapInPandas(_sets(gram, _salts), fixed_set)
-        star = stored(cut.repartition(n, "comp", "pair").sortWithinPartitions("comp", "pair").mapInPandas(_star(percent), "comp long, a long, b long"), "star")
+        cut = possible_members(texts, asked).join(asked, KEY).mapInPandas(tidied(_sets(gram, _salts)), fixed_set)
+        star = stored(cut.repartition(n, "comp", "pair").sortWithinPartitions("comp", "pair").mapInPandas(tidied(_star(percent)), "comp long, a long, b long"), "star")
         classed = star.select("comp", F.col("a").alias(KEY)).union(hot.select("comp", F.col("lead").alias(KEY))).withColumn("fixed", F.lit(True))
         members = members.join(classed, ["comp", KEY], "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)))
     else:
@@ -460,8 +460,8 @@ def classes(keyed: DataFrame, gram: int, percent: int, block: int = BLOCK) -> Da
 
     open_ = blocks(members, block * SKETCH_BLOCK // BLOCK).join(counts.select("comp"), "comp", "left_semi")
     dealt = join_heavy(members.drop("step"), open_, "comp", "count")
-    dealt = dealt.mapInPandas(_deal, "comp long, pair long, __key long, n int, fixed boolean, sketch binary")
-    alike = dealt.repartition(n, "comp", "pair").sortWithinPartitions("comp", "pair").mapInPandas(_prune(percent), "a long, b long")
+    dealt = dealt.mapInPandas(tidied(_deal), "comp long, pair long, __key long, n int, fixed boolean, sketch binary")
+    alike = dealt.repartition(n, "comp", "pair").sortWithinPartitions("comp", "pair").mapInPandas(tidied(_prune(percent)), "a long, b long")
     alike = components(alike.union(star.select("a", "b")) if star is not None else alike).select(F.col("node").alias(KEY), F.col("component").alias("comp"))
     if star is not None:
         # A document can be linked to representatives of two levels; one class of each component is left out of the product.
@@ -475,8 +475,8 @@ def classes(keyed: DataFrame, gram: int, percent: int, block: int = BLOCK) -> Da
     alike = stored(alike, "alike")
     members = stored(join_heavy(alike, blocks(alike, block), "comp", "count"), "members")
     # The others' texts need not shuffle.
-    cut = possible_members(texts, members).join(members, KEY).mapInPandas(_sets(gram, _pairs), fixed_set)
-    links = cut.repartition(n, "comp", "pair").sortWithinPartitions("comp", "pair").mapInPandas(_product(percent), "a long, b long").union(copies)
+    cut = possible_members(texts, members).join(members, KEY).mapInPandas(tidied(_sets(gram, _pairs)), fixed_set)
+    links = cut.repartition(n, "comp", "pair").sortWithinPartitions("comp", "pair").mapInPandas(tidied(_product(percent)), "a long, b long").union(copies)
     found = components(links.union(star.select("a", "b")) if star is not None else links)
     sizes = met.where("kind >= 2").select(KEY, F.col("n").cast("long").alias("n_shingles"))
     return sizes.join(found, sizes[KEY] == found["node"], "left").select(KEY, "n_shingles", F.coalesce("component", KEY).alias("component"))

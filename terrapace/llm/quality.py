@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, Keyed, Words, batches, encoded, small_batches, stored
+from .common import KEY, Keyed, Words, batches, encoded, give_back, small_batches, stored, tidied
 from .spans import CHARS
 
 #: Labelled documents that the model is fitted on, at most about (chosen by hash of the id).
@@ -228,6 +228,7 @@ def text_scorer(model: Model | None, base: float):
                 rows = pd.concat(group)["__text"]
                 scores.append(model(statistics(encoded(rows))) if model else np.full(len(rows), base))
             yield pd.Series(np.concatenate(scores))
+        give_back()
 
     return score
 
@@ -238,7 +239,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias(KEY), F.col(text_col).alias("__text")).where(F.col(id_col).isNotNull())
     known = labels.select(F.col(id_col).cast("long").alias("__doc"), "quality")
     few = slim.join(F.broadcast(teachers(known)[0].select(F.col("__doc").alias(KEY))), KEY, "left_semi")  # only what teaches is described
-    described = few.mapInPandas(_describe, "__key long, x array<double>").withColumn("__doc", F.col(KEY))
+    described = few.mapInPandas(tidied(_describe), "__key long, x array<double>").withColumn("__doc", F.col(KEY))
     model, base = learn(described, known)
     return docs.where(text_scorer(model, base)(F.col(text_col)) >= threshold)
 
@@ -253,7 +254,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     empty result; other columns are ignored. Scores depend on the texts and the learnt labels alone.
     """
     keyed = Keyed(docs, id_col, [F.col(text_col).alias("__text")], ["__text"])
-    described = stored(keyed.df.select(KEY, "__text").mapInPandas(_describe, "__key long, x array<double>"), "statistics")
+    described = stored(keyed.df.select(KEY, "__text").mapInPandas(tidied(_describe), "__key long, x array<double>"), "statistics")
     ids = described if keyed.plain else described.join(keyed.ids, KEY)
     doc = F.col(KEY) if keyed.plain else F.col("__id")
     held = F.coalesce(F.crc32(doc.cast("string").cast("binary")) % 5 == 0, F.lit(False))
