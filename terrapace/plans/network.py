@@ -8,7 +8,7 @@ from ..functions.impedance import edge_cost, travel_seconds
 from ..functions import access
 from ..functions.geo import haversine_2d
 from ..functions.profiles import profiles, turn_models
-from ..operators import corridor, matching, network, polyline, search, spatial
+from ..operators import corridor, matching, network, polyline, running, search, spatial
 from ..sources.fixtures import view, with_views
 from .scalar import sql_haversine
 
@@ -197,7 +197,8 @@ def _places(spark, sf_dir):
 def _batch(spark, sf_dir):
     """The n-th zone to the n-th facility, on foot, with the totals of each route."""
     a, b = _snapped(spark, sf_dir, "zones", "zone_id").withColumnRenamed("node_id", "origin"), _snapped(spark, sf_dir, "facilities", "facility_id").withColumnRenamed("node_id", "node")
-    pairs = a.join(b, a["zone_id"] == b["facility_id"]).select(F.col("zone_id").alias("pair_id"), "origin", "node")
+    asked = running.zipped(view(spark, sf_dir, "zones").select("zone_id"), "zone_id", view(spark, sf_dir, "facilities").select("facility_id"), "facility_id")
+    pairs = asked.join(a, "zone_id").join(b, "facility_id").select("pair_id", "origin", "node")  # those that reach the network
     found = search.routes(_costed(spark, sf_dir, "adult", False), pairs)
     totals = polyline.route_totals(polyline.steps(search.path_points(found, _places(spark, sf_dir))))
     return found.join(totals, found["pair_id"] == totals["route_id"], "left").select("pair_id", F.round("cost", 4).alias("cost"), F.size("path").alias("nodes"), F.round("distance_m", 2).alias("distance_m"), F.round("gain_m", 2).alias("gain_m"))

@@ -87,7 +87,7 @@ def _raptor(spark, sf_dir):
     stops = _facilities(spark, sf_dir, "stop_id")
     starts = spark.createDataFrame(list(STARTS), "query long, lon double, lat double")
     access = spatial.within(starts, stops, 800.0).select("query", "stop_id", (DEPART + F.col("distance_m") / transit.WALK_MS).alias("arrival"))
-    found = transit.earliest_arrivals(view(spark, sf_dir, "stop_times"), transit.transfers(stops), access, rides=3)
+    found = transit.earliest_arrivals(view(spark, sf_dir, "stop_times"), transit.transfers(stops), access)
     return found.select("query", "stop_id", F.round("arrival", 3).alias("arrival"), "rides")
 
 
@@ -98,8 +98,8 @@ n{k} AS (SELECT q, stop_id, min(arrival) AS arrival, {k} AS rides FROM (SELECT *
 r{k} AS (SELECT q, stop_id, min(arrival) AS arrival, arg_min(rides, arrival * 10 + rides) AS rides FROM (SELECT * FROM r{p} UNION ALL SELECT * FROM n{k}) GROUP BY 1, 2)"""
 ORACLES["g18_earliest_arrivals"] = (
     f"{with_views('facilities', 'stop_times')}, st AS (SELECT * FROM stop_times), walks AS (SELECT a, b, greatest(60e0, d * 1.3e0 / 1.2e0) AS seconds FROM (SELECT a.facility_id AS a, b.facility_id AS b, {_FF} AS d FROM facilities a, facilities b WHERE a.facility_id <> b.facility_id) WHERE d <= 300), starts(q, lon, lat) AS (VALUES {', '.join(f'({q}, {x}::DOUBLE, {y}::DOUBLE)' for q, x, y in STARTS)}), r0 AS (SELECT q, stop_id, {DEPART}e0 + d / 1.2e0 AS arrival, 0 AS rides FROM (SELECT q, b.facility_id AS stop_id, {_FF} AS d FROM starts a, facilities b) WHERE d <= 800)"
-    + "".join(_ROUND.format(k=k, p=k - 1, wait=60 if k > 1 else 0) for k in (1, 2, 3))
-    + " SELECT q AS query, stop_id, round(arrival, 3) AS arrival, rides FROM r3"
+    + "".join(_ROUND.format(k=k, p=k - 1, wait=60 if k > 1 else 0) for k in (1, 2, 3, 4))
+    + " SELECT q AS query, stop_id, round(arrival, 3) AS arrival, rides FROM r4"
 )
 
 # -- rasters ---

@@ -3,7 +3,8 @@
 import pytest
 
 from terrapace.operators import cues, running, search, terrain
-from terrapace.plans import registry
+from terrapace.plans import network, registry
+from terrapace.sources.fixtures import view
 
 DIR = "/root/testdata/sf0.001"
 
@@ -44,3 +45,16 @@ def test_cues_say_what_to_do(spark):
     rows = cues.cue_sheet(spark.createDataFrame(points, "route_id long, seq int, lon double, lat double, z double")).orderBy("step").collect()
     assert [(r.route_id, r.direction) for r in rows] == [(1, "depart"), (1, "left"), (1, "arrive")]
     assert rows[1].instruction.startswith("Turn left along path for 88m (+60.0m") and rows[1].warning.startswith("Steep: 68") and rows[2].before_m == rows[1].distance_m
+
+
+def test_batch_pairs_by_place(spark):
+    """Costs of g12 are those of single searches between the n-th zone and the n-th facility."""
+    got = {r.pair_id: r.cost for r in registry.QUERIES["g12_batch_routes"](spark, DIR).collect()}
+    zones = sorted((r.zone_id, r.node_id) for r in network._snapped(spark, DIR, "zones", "zone_id").collect())
+    stops = sorted((r.facility_id, r.node_id) for r in network._snapped(spark, DIR, "facilities", "facility_id").collect())
+    ids = [sorted(r[0] for r in view(spark, DIR, name).select(key).collect()) for name, key in (("zones", "zone_id"), ("facilities", "facility_id"))]
+    zones, stops = dict(zones), dict(stops)
+    asked = {n: (zones.get(a), stops.get(b)) for n, (a, b) in enumerate(zip(*ids), 1) if zones.get(a) is not None and stops.get(b) is not None}
+    origins = spark.createDataFrame([(o,) for o in {a for a, _ in asked.values()}], "origin long")
+    costs = {(r.origin, r.node): r.cost for r in search.shortest_paths(network._costed(spark, DIR, "adult", False), origins).collect()}
+    assert got and got == {n: pytest.approx(costs[p], abs=1e-3) for n, p in asked.items() if p in costs}
