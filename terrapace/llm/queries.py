@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .conversations import damaged, repair
 from .embedding_dedup import near_duplicates
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .packing import pack
 from .quality import quality_scores
+from .secrets import find_secrets
 from .suffix_dedup import drop_repeated_bytes
 from .url_filter import url_filter
 from .warc import round_trip
+from .whitening import whiten
 from .window_dedup import drop_repeated_windows
 
 #: host, path and verdict of the production rules.
@@ -64,6 +68,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(_table(spark, sf_dir, "documents")).drop("found")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(_table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
@@ -75,6 +91,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_mixing": op10_mixing,
+    "op11_secrets": op11_secrets,
+    "op12_conversations": op12_conversations,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
@@ -134,5 +153,26 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE r
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM documents),
 k AS (SELECT doc_id, text_sha256, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
+""",
+    # crc32 bit by bit (256 stands for a shift); then cheapest edits row by row, at most two insertions before each.
+    "op12_conversations": r"""
+WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+sums AS (SELECT k, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(k, ''), lambda ch: [ascii(ch)::BIGINT, 256, 256, 256, 256, 256, 256, 256, 256]))),
+          lambda c, e: CASE WHEN e < 256 THEN xor(c, e) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END), 4294967295::BIGINT) % 20 AS what FROM (SELECT DISTINCT k FROM r)),
+d AS (SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role, CASE what WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN what = 3 THEN 2 ELSE 1 END)) AS copy FROM r JOIN sums USING (k) WHERE what <> 0),
+o AS (SELECT *, coalesce(conv_id::VARCHAR, '') AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core FROM d),
+f AS (SELECT *, CASE WHEN core = '' THEN 'b' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'd' WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, role[1] AS x, lag(role[1]) OVER (PARTITION BY c ORDER BY i) AS before FROM o),
+t AS (SELECT c, any_value(i) AS i, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(fault = 'b')::BIGINT AS blank, count_if(fault = 'd')::BIGINT AS duplicate, count_if(fault = 't')::BIGINT AS truncated, count_if(before || x NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal FROM f GROUP BY c),
+ins(q, more, labels, lines, q2) AS (VALUES (0, 0, '', '', 0), (1, 0, '', '', 1), (2, 0, '', '', 2), (3, 0, '', '', 3), (0, 3, 'I', chr(10) || 'user:', 2), (1, 3, 'I', chr(10) || 'user:', 2), (3, 3, 'I', chr(10) || 'user:', 2), (2, 3, 'I', chr(10) || 'assistant:', 3),
+     (0, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 3), (1, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 3)),
+arcs(q, x, label, role, q2) AS (VALUES (0, 's', 'K', NULL, 1), (0, 'u', 'K', NULL, 2), (1, 'u', 'K', NULL, 2), (2, 'a', 'K', NULL, 3), (3, 'u', 'K', NULL, 2), (0, NULL, 'R', 'user', 2), (1, NULL, 'R', 'user', 2), (2, NULL, 'R', 'assistant', 3), (3, NULL, 'R', 'user', 2)),
+p(c, i, q, w) AS (SELECT DISTINCT c, 0::BIGINT, 0, {cost: 0::BIGINT, audit: '', out: ''} FROM o
+ UNION ALL
+ SELECT f.c, f.i, CASE WHEN a.label = 'D' THEN n.q2 ELSE a.q2 END,
+   min({cost: p.w.cost + n.more + CASE a.label WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN a.label <> 'D' AND fault = 't' THEN 3 ELSE 0 END, audit: p.w.audit || n.labels || a.label, out: p.w.out || n.lines || CASE WHEN a.label = 'D' THEN '' ELSE chr(10) || coalesce(a.role, f.role) || ':' || f.text END})
+ FROM p JOIN ins n ON n.q = p.q JOIN f ON f.c = p.c AND f.i = p.i + 1 JOIN (SELECT * FROM arcs UNION ALL SELECT q, NULL, 'D', NULL, q FROM (VALUES (0), (1), (2), (3)) g(q)) a ON a.q = n.q2 AND (a.label = 'D' OR fault NOT IN ('b', 'd') AND (a.x IS NULL OR a.x = f.x)) GROUP BY 1, 2, 3),
+best AS (SELECT c, min({cost: p.w.cost + n.more, audit: p.w.audit || n.labels, out: p.w.out || n.lines}) AS w FROM p JOIN t USING (c) JOIN ins n ON n.q = p.q WHERE p.i = t.n AND n.q2 IN (0, 3) GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.w.cost, 0) AS cost, coalesce(best.w.audit, '') AS audit, sha256(coalesce(substr(best.w.out, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN t ON t.c = coalesce(k.conv_id::VARCHAR, '') LEFT JOIN best ON best.c = t.c
 """,
 }
