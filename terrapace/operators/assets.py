@@ -30,17 +30,13 @@ def corridor_buildings(buildings: DataFrame, segments: DataFrame, buffer_m: floa
 def corridor_trees(trees: DataFrame, buildings: DataFrame, segments: DataFrame, buffer_m: float = 30.0) -> DataFrame:
     """trees(tree_id, lon, lat) beside a route and clear of buildings(building_id, lon, lat, radius_m), with distance_m."""
     beside = trees.join(_nearest(trees, "tree_id", segments, buffer_m + TREES_M).where(F.col("distance_m") >= LEAST_TREE_M), "tree_id")
-    widest = buildings.agg(F.max("radius_m")).first()[0]
-    if widest is None:
-        return beside
-    hit = within(beside.select("tree_id", "lon", "lat"), buildings.select("building_id", "lon", "lat", "radius_m"), widest + ROOM_M, distance="d").where(F.col("d") < F.col("radius_m") + ROOM_M)
+    hit = within(beside.select("tree_id", "lon", "lat"), buildings.select("building_id", "lon", "lat", "radius_m"), F.col("radius_m") + ROOM_M, distance="d").where(F.col("d") < F.col("radius_m") + ROOM_M)
     return beside.join(hit.select("tree_id").distinct(), "tree_id", "left_anti")
 
 
 def tree_parks(trees: DataFrame, parks: DataFrame) -> DataFrame:
     """(tree_id, park_id): the first park(park_id, lon, lat, radius_m) by id whose circle holds the tree; null for none."""
-    widest = parks.agg(F.max("radius_m")).first()[0] or 0.0
-    inside = within(trees.select("tree_id", "lon", "lat"), parks.select("park_id", "lon", "lat", "radius_m"), widest, distance="d").where("d <= radius_m")
+    inside = within(trees.select("tree_id", "lon", "lat"), parks.select("park_id", "lon", "lat", "radius_m"), F.col("radius_m"), distance="d")
     return trees.select("tree_id").join(inside.groupBy("tree_id").agg(F.min("park_id").alias("park_id")), "tree_id", "left")
 
 

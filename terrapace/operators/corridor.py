@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import METRES_PER_DEGREE_LAT, METRES_PER_DEGREE_LON
 from ..functions.solar import solar_position, street_shaded
+from .spatial import cell_at, cells_near
 
 
 def line_segments(points: DataFrame) -> DataFrame:
@@ -26,21 +27,15 @@ def distance_to_segment(x: str, y: str) -> tuple[Column, Column]:
     return F.hypot(ax + t * dx, ay + t * dy), t
 
 
-def along_routes(assets: DataFrame, key: str, segments: DataFrame, reach_m: float, max_lat: float = 60.0) -> DataFrame:
+def along_routes(assets: DataFrame, key: str, segments: DataFrame, reach_m: float) -> DataFrame:
     """(key, route_id, distance_m): assets(key, lon, lat) at most reach_m from a route's line, by the nearest segment.
 
     Segments are offered to every cell that their box, widened by the reach, touches; the join is on cells.
     """
-    import math
-
-    dx = 4 * reach_m / (METRES_PER_DEGREE_LON * math.cos(math.radians(max_lat)))
-    dy = 4 * reach_m / METRES_PER_DEGREE_LAT
-    px, py = reach_m / (METRES_PER_DEGREE_LON * math.cos(math.radians(max_lat))), reach_m / (METRES_PER_DEGREE_LAT * 0.99)
-    cell = lambda c, d: F.floor(c / d).cast("long")
-    span = lambda a, b, pad, d: F.sequence(cell(F.least(F.col(a), F.col(b)) - pad, d), cell(F.greatest(F.col(a), F.col(b)) + pad, d))
-    offered = segments.withColumn("cx", F.explode(span("lon", "lon2", px, dx))).withColumn("cy", F.explode(span("lat", "lat2", py, dy)))
-    placed = assets.select(key, F.col("lon").alias("alon"), F.col("lat").alias("alat")).withColumns({"cx": cell(F.col("alon"), dx), "cy": cell(F.col("alat"), dy)})
-    near = placed.join(offered, ["cx", "cy"]).withColumn("d", distance_to_segment("alon", "alat")[0]).where(F.col("d") <= reach_m)
+    ends = (F.least("lon", "lon2"), F.greatest("lon", "lon2"), F.least("lat", "lat2"), F.greatest("lat", "lat2"))
+    offered = segments.withColumn("cell", F.explode(cells_near(*ends, reach_m, 4 * reach_m)))
+    placed = assets.select(key, F.col("lon").alias("alon"), F.col("lat").alias("alat")).withColumn("cell", cell_at("alon", "alat", 4 * reach_m))
+    near = placed.join(offered, "cell").withColumn("d", distance_to_segment("alon", "alat")[0]).where(F.col("d") <= reach_m)
     return near.groupBy(key, "route_id").agg(F.min("d").alias("distance_m"))
 
 

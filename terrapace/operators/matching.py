@@ -9,8 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import METRES_PER_DEGREE_LAT, METRES_PER_DEGREE_LON, haversine_2d
+from ..functions.geo import haversine_2d
 from .search import csr
+from .spatial import cell_at, cells_near
 from .tours import _batched, _runs
 
 # Fixed values of the model: error of a position and of distances along the network, in metres; and candidates of a point.
@@ -18,21 +19,19 @@ SIGMA, BETA, CANDIDATES = 4.07, 3.0, 10
 MATCHED = "track_id long, seq long, u long, v long, lon double, lat double, residual_m double"
 
 
-def edge_candidates(points: DataFrame, segments: DataFrame, radius_m: float = 35.0, max_lat: float = 60.0) -> DataFrame:
+def edge_candidates(points: DataFrame, segments: DataFrame, radius_m: float = 35.0) -> DataFrame:
     """The nearest CANDIDATES segments(u, v, lon1, lat1, lon2, lat2) within radius_m of each of points(track_id, seq, lon, lat).
 
     Columns track_id, seq, plon, plat, u, v, lon, lat (the foot point), residual_m, share (of the segment), length_m.
     """
-    dx, dy = 2 * radius_m / (METRES_PER_DEGREE_LON * math.cos(math.radians(max_lat))), 2 * radius_m / METRES_PER_DEGREE_LAT
-    cell = lambda c, d: F.floor(c / d).cast("long")
-    span = lambda a, b, d: F.sequence(cell(F.least(F.col(a), F.col(b)) - d / 2, d), cell(F.greatest(F.col(a), F.col(b)) + d / 2, d))
-    offered = segments.select("u", "v", "lon1", "lat1", "lon2", "lat2").withColumn("cx", F.explode(span("lon1", "lon2", dx))).withColumn("cy", F.explode(span("lat1", "lat2", dy)))
-    placed = points.select("track_id", "seq", F.col("lon").alias("plon"), F.col("lat").alias("plat"), cell(F.col("lon"), dx).alias("cx"), cell(F.col("lat"), dy).alias("cy"))
+    ends = (F.least("lon1", "lon2"), F.greatest("lon1", "lon2"), F.least("lat1", "lat2"), F.greatest("lat1", "lat2"))
+    offered = segments.select("u", "v", "lon1", "lat1", "lon2", "lat2").withColumn("cell", F.explode(cells_near(*ends, radius_m, 2 * radius_m)))
+    placed = points.select("track_id", "seq", F.col("lon").alias("plon"), F.col("lat").alias("plat")).withColumn("cell", cell_at("plon", "plat", 2 * radius_m))
     k = F.cos(F.radians((F.col("lat1") + F.col("lat2")) / 2))
     ex, ey = (F.col("lon2") - F.col("lon1")) * k, F.col("lat2") - F.col("lat1")
     square = ex * ex + ey * ey
     share = F.when(square >= 1e-12, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("plon") - F.col("lon1")) * k * ex + (F.col("plat") - F.col("lat1")) * ey) / square))).otherwise(0.0)
-    near = placed.join(offered, ["cx", "cy"]).withColumn("share", share)
+    near = placed.join(offered, "cell").withColumn("share", share)
     near = near.withColumns({"lon": F.col("lon1") + F.col("share") * (F.col("lon2") - F.col("lon1")), "lat": F.col("lat1") + F.col("share") * (F.col("lat2") - F.col("lat1"))})
     near = near.withColumns({"residual_m": haversine_2d("plon", "plat", "lon", "lat"), "length_m": haversine_2d("lon1", "lat1", "lon2", "lat2")}).where(F.col("residual_m") <= radius_m)
     place = F.row_number().over(Window.partitionBy("track_id", "seq").orderBy("residual_m", "u", "v"))

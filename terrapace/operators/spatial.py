@@ -1,42 +1,77 @@
-"""Joins by distance: grid cells turn a radius into an equi-join, so nothing is compared across the plane."""
+"""Joins by distance: grid cells turn a radius into an equi-join, so nothing is compared across the plane.
+
+The grid has bands of latitude; each band is cut into as many equal cells as its own circle of latitude has room for, counted around the
+globe, so cells keep their width in metres toward the poles and the date line is a cell border like any other.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import METRES_PER_DEGREE_LAT, METRES_PER_DEGREE_LON, haversine_2d
+from ..functions.geo import METRES_PER_DEGREE_LAT, haversine_2d
+
+CELL = "struct<b: bigint, c: bigint>"
+
+
+def _col(x: str | Column) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def _around(band: Column, dy: float) -> Column:
+    """Cells of a band: none is narrower than the bands are high."""
+    edge = F.least(F.lit(90.0), F.greatest(F.abs(band * dy), F.abs((band + 1) * dy)))
+    return F.greatest(F.lit(1).cast("long"), F.floor(F.cos(F.radians(edge)) * 360.0 / dy).cast("long"))
+
+
+def _degrees(cell_m: float) -> float:
+    return cell_m / METRES_PER_DEGREE_LAT
+
+
+def cell_at(lon: str | Column, lat: str | Column, cell_m: float) -> Column:
+    """The cell (band, place in it) of a point on a grid of cells of about cell_m."""
+    dy = _degrees(cell_m)
+    band = F.floor(_col(lat) / dy).cast("long")
+    n = _around(band, dy)
+    return F.struct(band.alias("b"), F.pmod(F.floor((_col(lon) + 180.0) / (360.0 / n)).cast("long"), n).alias("c"))
+
 
+def cells_near(west, east, south, north, reach_m: float | Column, cell_m: float) -> Column:
+    """All cells with a point at most reach_m from a box, as an array without repeats. Boxes don't cross the date line; their surroundings may."""
+    dy = _degrees(cell_m)
+    west, east, south, north = map(_col, (west, east, south, north))
+    reach = (F.lit(float(reach_m)) if isinstance(reach_m, (int, float)) else reach_m) / METRES_PER_DEGREE_LAT * 1.000001 + 1e-9
+    highest = F.greatest(F.abs(south - reach), F.abs(north + reach))
+    half = F.when(highest < 90.0, F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(reach)) / F.cos(F.radians(highest)))))).otherwise(180.0)
+    bands = F.sequence(F.floor(F.greatest(F.lit(-90.0), south - reach) / dy).cast("long"), F.floor(F.least(F.lit(90.0), north + reach) / dy).cast("long"))
 
-def cells(lon: str | Column, lat: str | Column, radius_m: float, max_lat: float) -> tuple[Column, Column, float, float]:
-    """Cell numbers of a point on a grid whose cells are at least radius_m wide up to max_lat."""
-    import math
+    def ring(band):
+        n = _around(band, dy)
+        first = F.floor((west - half + 180.0) / (360.0 / n)).cast("long")
+        last = F.least(F.floor((east + half + 180.0) / (360.0 / n)).cast("long"), first + n - 1)
+        return F.transform(F.sequence(first, last), lambda c: F.struct(band.alias("b"), F.pmod(c, n).alias("c")))
 
-    dx = radius_m / (METRES_PER_DEGREE_LON * 0.99 * max(0.01, math.cos(math.radians(min(89.0, abs(max_lat))))))
-    dy = radius_m / (METRES_PER_DEGREE_LAT * 0.99)
-    lon, lat = (F.col(x) if isinstance(x, str) else x for x in (lon, lat))
-    return F.floor(lon / dx).cast("long"), F.floor(lat / dy).cast("long"), dx, dy
+    return F.flatten(F.transform(bands, ring))
 
 
-def within(left: DataFrame, right: DataFrame, radius_m: float, max_lat: float = 60.0, distance: str = "distance_m") -> DataFrame:
-    """Pairs of left and right (both with lon, lat) at most radius_m apart by great circle.
+def within(left: DataFrame, right: DataFrame, radius_m: float | Column, distance: str = "distance_m", cell_m: float | None = None) -> DataFrame:
+    """Pairs of left and right (both with lon, lat) at most radius_m apart by great circle, at any latitude and across the date line.
 
-    Right's rows are offered to the nine cells around them; the join is on cells, so it shuffles
-    by place and Spark splits crowded cells. Columns lon, lat of the right side become lon_r, lat_r.
+    radius_m may be a column of right. Right's rows are offered to the cells that their own radius reaches; the join is on cells (as wide as
+    the radius, or cell_m), so it shuffles by place and Spark splits crowded cells. Columns lon, lat of the right side become lon_r, lat_r.
     """
-    lx, ly, _, _ = cells("lon", "lat", radius_m, max_lat)
-    left = left.withColumns({"__cx": lx, "__cy": ly})
-    right = right.withColumnsRenamed({"lon": "lon_r", "lat": "lat_r"})
-    rx, ry, _, _ = cells("lon_r", "lat_r", radius_m, max_lat)
-    around = F.explode(F.array(*(F.struct((rx + i).alias("__cx"), (ry + j).alias("__cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("__cell")
-    right = right.select("*", around).select(*right.columns, "__cell.*")
-    pairs = left.join(right, ["__cx", "__cy"]).withColumn(distance, haversine_2d("lon", "lat", "lon_r", "lat_r"))
-    return pairs.where(F.col(distance) <= radius_m).drop("__cx", "__cy")
+    own = isinstance(radius_m, Column)
+    cell_m = cell_m or (100.0 if own else max(1.0, float(radius_m)))
+    left = left.withColumn("__cell", cell_at("lon", "lat", cell_m))
+    right = right.withColumnsRenamed({"lon": "lon_r", "lat": "lat_r"}).withColumn("__reach", radius_m if own else F.lit(float(radius_m)))
+    right = right.where("__reach >= 0").select("*", F.explode(cells_near("lon_r", "lon_r", "lat_r", "lat_r", F.col("__reach"), cell_m)).alias("__cell"))
+    pairs = left.join(right, "__cell").withColumn(distance, haversine_2d("lon", "lat", "lon_r", "lat_r"))
+    return pairs.where(F.col(distance) <= F.col("__reach")).drop("__cell", "__reach")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, radius_m: float, max_lat: float = 60.0) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, radius_m: float) -> DataFrame:
     """For each key of left the nearest right_key within radius_m, ties to the smallest; no row where there is none."""
-    near = within(left, right, radius_m, max_lat, "__d")
+    near = within(left, right, radius_m, "__d")
     best = near.groupBy(key).agg(F.min(F.struct("__d", right_key)).alias("__best"))
     return best.select(key, F.col(f"__best.{right_key}").alias(right_key), F.col("__best.__d").alias("distance_m"))
 
