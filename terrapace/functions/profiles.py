@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Key, category, km/h, greatest slope %, hard limit % (or none), stairs allowed, stair factor, sensitivity to
 # slope and heat, preference for green, smoothness wanted, factors for road ranks 1 to 5.
@@ -45,6 +46,13 @@ def profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PROFILES), PROFILE_COLUMNS)
 
 
+def with_profile(df: DataFrame, key: str) -> DataFrame:
+    """df with the columns of one profile as constants, so that what the profile rules out is folded away before code is made."""
+    row = next(r for r in PROFILES if r[0] == key)
+    names = [(x.split(" ")[0], x.split(" ")[1]) for x in PROFILE_COLUMNS.split(", ")]
+    return df.withColumns({name: F.lit(value).cast(kind) for (name, kind), value in zip(names, row)})
+
+
 def turn_models(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TURN_MODELS), TURN_COLUMNS)
 

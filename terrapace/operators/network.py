@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_2d, node_cell
@@ -17,17 +19,30 @@ VERTEX_MIN_RUN_M = 1.0
 _own_dir: dict[str, str] = {}
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir and read back, so that loops keep no lineage."""
-    spark = df.sparkSession
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir, deleted when the session's JVM ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or _own_dir.get("path")
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _own_dir["path"] = tempfile.mkdtemp(prefix="terrapace-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, so that loops keep no lineage."""
+    path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def nodes(segments: DataFrame) -> DataFrame:

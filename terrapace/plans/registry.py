@@ -1,8 +1,8 @@
 """All queries of the library but the corpus operators."""
 
-from . import assets, choices, context, corridor, equity, network, places, polyline, scalar
+from . import assets, choices, context, corridor, equity, network, places, polyline, scalar, tradeoffs
 
 QUERIES, ORACLES = {}, {}
-for _plan in (assets, choices, context, corridor, equity, network, places, polyline, scalar):
+for _plan in (assets, choices, context, corridor, equity, network, places, polyline, scalar, tradeoffs):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
