@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import bearing_change
 from ..functions.impedance import turn_seconds
+from .fixpoint import Rounds, ancestors
 from .network import stored
 
-#: Directed edges whose arrays are broadcast; above that, searches are joins.
-MOST_BROADCAST_EDGES = 20_000_000
+#: Directed edges whose arrays are broadcast (about 70 bytes each as lists, in every worker); above that, searches are joins.
+MOST_BROADCAST_EDGES = 2_000_000
 
 TREE = "origin long, node long, cost double, pred long"
 
@@ -87,33 +88,53 @@ def shortest_paths(edges: DataFrame, origins: DataFrame, limit: float = float("i
                 picked = [n for n in done if wanted is None or n in wanted]
                 yield pd.DataFrame({"origin": origin, "node": ids[picked], "cost": [done[n] for n in picked], "pred": [int(ids[pred[n]]) if pred[n] >= 0 else -1 for n in picked]})
 
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return origins.select(F.col("origin").cast("long")).distinct().repartition(n, "origin").mapInPandas(run, TREE)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return origins.select(F.col("origin").cast("long")).distinct().repartition(n).mapInPandas(run, TREE)  # dealt evenly, not by hash
 
 
-def relaxed_paths(edges: DataFrame, origins: DataFrame, limit: float = float("inf"), rounds: int = 10_000) -> DataFrame:
-    """The same by joins: every round relaxes the nodes that improved in the last one."""
-    edges = edges.where("cost is not null").select("u", "v", F.col("cost").alias("w"))
+def relaxed_paths(edges: DataFrame, origins: DataFrame, limit: float = float("inf"), rounds: int = 100_000) -> DataFrame:
+    """The same by joins, for graphs of any size: every round relaxes the nodes that improved in the last one, and stores only what improves."""
+    edges = edges.where("cost is not null").groupBy("u", "v").agg(F.min("cost").alias("w"))
+    edges = stored(edges, "edges")
     first = origins.select("origin").distinct().select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.lit(-1).cast("long").alias("pred"))
-    best = front = stored(first, "paths")
+    found = Rounds(first, "paths")
+    front = found.last()
     for _ in range(rounds):
-        tried = front.join(edges, front["node"] == edges["u"]).select("origin", F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("u").alias("pred")).where(F.col("cost") <= limit)
-        merged = best.withColumn("old", F.lit(True)).union(tried.withColumn("old", F.lit(False)))
-        merged = stored(merged.groupBy("origin", "node").agg(F.min(F.struct("cost", F.expr("not old"), "pred")).alias("b"), F.max("old").alias("had")).select("origin", "node", "b.*", "had"), "paths")
-        columns = merged.columns
-        best = merged.select("origin", "node", "cost", "pred")
-        front = merged.where(F.col(columns[3])).select("origin", "node", "cost", "pred")
         if not front.take(1):
-            return best
-    raise RuntimeError("paths did not settle")
+            break
+        tried = front.join(edges, front["node"] == edges["u"]).select("origin", F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("u").alias("pred")).where(F.col("cost") <= limit)
+        tried = tried.groupBy("origin", "node").agg(F.min(F.struct("cost", "pred")).alias("b")).select("origin", "node", "b.*")
+        known = found.all().groupBy("origin", "node").agg(F.min("cost").alias("had"))
+        front = found.add(tried.join(known, ["origin", "node"], "left").where("had is null or cost < had"))
+    else:
+        raise RuntimeError("paths did not settle")
+    # Each later row of a node costs less, so the least one is the last.
+    best = stored(found.all().groupBy("origin", "node").agg(F.min(F.struct("cost", "pred")).alias("b")).select("origin", "node", "b.cost", "b.pred"), "paths")
+    found.drop()
+    return best
+
+
+def _routes_of_any_graph(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    tree = relaxed_paths(edges, pairs.select("origin"))
+    reached = pairs.join(tree.select("origin", "node", "cost"), ["origin", "node"])
+    parents = tree.select(F.col("origin").alias("tree"), "node", F.when(F.col("pred") >= 0, F.col("pred")).alias("pred"))
+    steps = ancestors(parents, reached.select(F.col("pair_id").alias("key"), F.col("origin").alias("tree"), "node"))
+    path = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "node"))), lambda x: x["node"])
+    paths = steps.groupBy("key").agg(path.alias("path"))
+    return reached.join(paths, reached["pair_id"] == paths["key"]).select("pair_id", "cost", "path")
 
 
 def routes(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(pair_id, cost, path: array of nodes) for pairs(pair_id, origin, node); none where there is no way.
 
-    Pairs of one origin share a search. Equal costs are settled in favour of the smaller node.
+    Pairs of one origin share a search. Nodes that end no edge are reached from themselves only. A graph beyond MOST_BROADCAST_EDGES is searched by
+    joins, and its paths are read off the tree of predecessors by pointer doubling.
     """
     spark = edges.sparkSession
+    edges = stored(edges.where("cost is not null").select("u", "v", F.col("cost").cast("double")), "edges")
+    pairs = pairs.select("pair_id", F.col("origin").cast("long"), F.col("node").cast("long"))
+    if edges.count() > MOST_BROADCAST_EDGES:
+        return _routes_of_any_graph(edges, stored(pairs, "pairs"))
     ids, starts, targets, costs = csr(edges)
     shared = spark.sparkContext.broadcast((ids, starts, targets, costs))
 
@@ -126,6 +147,7 @@ def routes(edges: DataFrame, pairs: DataFrame) -> DataFrame:
             out = []
             for origin, group in frame.groupby("origin"):
                 if not known(origin):
+                    out += [(pair, 0.0, [origin]) for pair, node in zip(group["pair_id"].tolist(), group["node"].tolist()) if node == origin]
                     continue
                 goals = {place(x) for x in group["node"].tolist() if known(x)}
                 done, pred = search(*lists, place(origin), float("inf"), goals)
@@ -140,7 +162,7 @@ def routes(edges: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["pair_id", "cost", "path"])
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return pairs.select("pair_id", "origin", "node").repartition(n, "origin").sortWithinPartitions("origin").mapInPandas(run, "pair_id long, cost double, path array<long>")
+    return pairs.repartition(n, "origin").sortWithinPartitions("origin").mapInPandas(run, "pair_id long, cost double, path array<long>")
 
 
 def path_points(routes: DataFrame, places: DataFrame) -> DataFrame:

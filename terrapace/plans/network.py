@@ -205,13 +205,29 @@ def _batch(spark, sf_dir):
 
 
 QUERIES["g12_batch_routes"] = _batch
+#: Ways back from each asked pair's goal, a row for every node of them; d and g: distance and climb from there to the goal.
+_WALKS = """, pre AS (SELECT p.o, w.v AS node, arg_min(w.u, struct_pack(c := p.c + w.c, u := w.u)) AS u FROM paths p JOIN w ON w.u = p.node GROUP BY 1, 2),
+walk(pair, o, node, d, g, n) AS (SELECT pair, o, node, 0e0 AS d, 0e0 AS g, 1 AS n FROM asked JOIN paths USING (o, node) UNION ALL
+ SELECT k.pair, k.o, pre.u, k.d + sqrt(pow({ab}, 2) + pow(b.z - a.z, 2)), k.g + greatest(0e0, b.z - a.z), k.n + 1 FROM walk k JOIN pre ON pre.o = k.o AND pre.node = k.node JOIN grid_nodes a ON a.node_id = pre.u JOIN grid_nodes b ON b.node_id = k.node WHERE k.node <> k.o)"""
+_ENDS = f"""{_EDGES.replace('WITH RECURSIVE', with_views('zones', 'facilities') + ',', 1)}, {_SNAP.format(t='so', k='facility_id', v='facilities', d=_AB)}, {_SNAP.format(t='sz', k='zone_id', v='zones', d=_AB)}"""
+_ASKED = """, asked AS (SELECT pair, sz.node AS o, so.node AS node FROM (SELECT zone_id, row_number() OVER (ORDER BY zone_id) AS pair FROM zones) JOIN (SELECT facility_id, row_number() OVER (ORDER BY facility_id) AS pair FROM facilities) USING (pair) JOIN sz USING (zone_id) JOIN so USING (facility_id))"""
+ORACLES["g12_batch_routes"] = (
+    _PATHS.format(edges=_ENDS + _ASKED, cost=_ADULT, starts="SELECT DISTINCT o FROM asked", limit="1e18")
+    + _WALKS.format(ab=_AB)
+    + " SELECT pair AS pair_id, round(c, 4) AS cost, n AS nodes, CASE WHEN n > 1 THEN round(d, 2) END AS distance_m, CASE WHEN n > 1 THEN round(g, 2) END AS gain_m FROM walk k JOIN asked USING (pair) JOIN paths ON paths.o = asked.o AND paths.node = asked.node WHERE k.node = k.o"
+)
+#: Metres in a straight line to the musters that are tried.
+MUSTER_M = 800.0
 HAZARDS = ((1, 27.105, 38.405, 200.0, 100.0), (2, 27.115, 38.415, 220.0, 100.0))
 
 
 def _evacuation(spark, sf_dir):
-    """From the stated origins to the best of all facilities, on foot."""
-    musters = _snapped(spark, sf_dir, "facilities", "facility_id").select(F.col("facility_id").alias("muster"), "node_id")
-    pairs = _origins(spark, sf_dir).crossJoin(musters).select((F.col("origin") * (1 << 31) + F.col("muster")).alias("pair_id"), "origin", F.col("node_id").alias("node"), "muster")  # a few stated origins
+    """From the node of every zone to the best of the facilities within MUSTER_M, on foot."""
+    nodes = _places(spark, sf_dir).select("node", "lon", "lat")
+    musters = _snapped(spark, sf_dir, "facilities", "facility_id").join(nodes.withColumnRenamed("node", "node_id"), "node_id").select(F.col("facility_id").alias("muster"), "node_id", "lon", "lat")
+    origins = _snapped(spark, sf_dir, "zones", "zone_id").select(F.col("node_id").alias("origin")).distinct().join(nodes.withColumnRenamed("node", "origin"), "origin")
+    near = spatial.within(origins, musters, MUSTER_M)
+    pairs = network.stored(near.select((F.col("origin") * (1 << 31) + F.col("muster")).alias("pair_id"), "origin", F.col("node_id").alias("node"), "muster"), "pairs")
     found = search.routes(_costed(spark, sf_dir, "adult", True), pairs)
     hazards = spark.createDataFrame(list(HAZARDS), "hazard_id int, lon double, lat double, radius_m double, severity double")
     best = corridor.evacuation(found, search.path_points(found, _places(spark, sf_dir)), pairs.select("pair_id", "origin", "muster"), hazards)
@@ -219,3 +235,16 @@ def _evacuation(spark, sf_dir):
 
 
 QUERIES["a31_evacuation"] = _evacuation
+_HAZARDS = ", ".join(f"({i}, {x}::DOUBLE, {y}::DOUBLE, {r}::DOUBLE, {s}::DOUBLE)" for i, x, y, r, s in HAZARDS)
+ORACLES["a31_evacuation"] = (
+    _PATHS.format(
+        edges=_ENDS + f", asked AS (SELECT a.node_id * 2147483648 + so.facility_id AS pair, a.node_id AS o, so.node, so.facility_id AS muster FROM (SELECT DISTINCT node AS node_id FROM sz) z JOIN grid_nodes a USING (node_id), so JOIN grid_nodes b ON b.node_id = so.node WHERE {_AB} <= {MUSTER_M})",
+        cost=_WALK, starts="SELECT DISTINCT o FROM asked", limit="1e18",
+    )
+    + _WALKS.format(ab=_AB)
+    + f""", h(h, lon, lat, r, s) AS (VALUES {_HAZARDS}),
+near AS (SELECT pair, h, any_value(r) AS r, any_value(s) AS s, min({sql_haversine('a.lon', 'a.lat', 'h.lon', 'h.lat')}) AS d FROM walk k JOIN grid_nodes a ON a.node_id = k.node, h GROUP BY 1, 2),
+risk AS (SELECT pair, sum(greatest(0e0, r - d) * s) AS risk, min(d) AS d FROM near GROUP BY 1),
+best AS (SELECT asked.o AS origin, min(struct_pack(total := c / 60 + risk / 60, muster := muster, minutes := c / 60, risk := risk, d := d)) AS b FROM asked JOIN paths ON paths.o = asked.o AND paths.node = asked.node JOIN risk USING (pair) GROUP BY 1)
+SELECT origin, b.muster AS muster, round(b.minutes, 3) AS minutes, round(b.risk, 3) AS risk, round(b.d, 3) AS clearance_m FROM best"""
+)
