@@ -2,13 +2,79 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One file of an unpacked feed, all columns as text; a missing file fails."""
-    return spark.read.csv(f"{folder}/{name}", header=True, encoding="UTF-8")
+#: Files that a feed can't do without.
+REQUIRED = ("stops.txt", "routes.txt", "trips.txt", "stop_times.txt")
+
+
+def read_table(spark: SparkSession, path: str, name: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """One file of a feed, all columns as text: `path` is a folder, a zip file, or a folder of zip files (then with the column `feed`).
+
+    Of a zip the member is found by its name in whatever folder; a byte order mark is skipped, blanks at the ends of names are, too. A feed
+    without a file of REQUIRED fails, naming it; of others an empty table with `columns` comes back. Columns that are asked for and absent are null.
+    """
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    zipped = fs.getFileStatus(at).isFile() or bool(fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/*.zip")))
+    if zipped:
+        found = _members(spark, path, name)
+    elif fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")):
+        found = spark.read.csv(f"{path}/{name}", header=True, encoding="UTF-8", multiLine=True)
+    elif name in REQUIRED:
+        raise ValueError(f"the feed has no {name}")
+    else:
+        found = spark.createDataFrame([], ", ".join(f"{c} string" for c in columns or ("none",)))
+    found = found.toDF(*(c.strip("\ufeff ") for c in found.columns))
+    return found.withColumns({c: F.lit(None).cast("string") for c in columns if c not in found.columns})
+
+
+def _members(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The member of every zip as rows; a task reads a zip, row by row."""
+    zips = spark.read.format("binaryFile").load(path)
+    missing = f"the feed has no {name}" if name in REQUIRED else ""
+
+    def lines(content):
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            member = next((n for n in z.namelist() if n.split("/")[-1] == name), None)
+            if member is None:
+                if missing:
+                    raise ValueError(missing)
+                return
+            with z.open(member) as raw:
+                yield from csv.reader(io.TextIOWrapper(raw, "utf-8-sig", newline=""))
+
+    def heads(frames):
+        for frame in frames:
+            for content in frame["content"]:
+                head = next(lines(content), None)
+                yield pd.DataFrame({"name": [c.strip() for c in head or ()]}, dtype=str)
+
+    names = sorted(r[0] for r in zips.select("content").mapInPandas(heads, "name string").distinct().collect() if r[0])  # column names
+
+    def rows(frames):
+        for frame in frames:
+            for feed, content in zip(frame["path"], frame["content"]):
+                found, held = lines(content), []
+                head = [c.strip() for c in next(found, ())]
+                for row in found:
+                    held.append([feed, *(dict(zip(head, row)).get(c) or None for c in names)])
+                    if len(held) >= 10_000:
+                        yield pd.DataFrame(held, columns=["feed", *names])
+                        held = []
+                yield pd.DataFrame(held, columns=["feed", *names])
+
+    return zips.select("path", "content").mapInPandas(rows, ", ".join(f"`{c}` string" for c in ("feed", *names)))
 
 
 def seconds(text) -> Column:
