@@ -95,7 +95,9 @@ class Keyed:
         self.plain = not odd.take(1)
         self.df = df
         if not self.plain:
-            ordered = df.withColumnRenamed(KEY, "__id").repartitionByRange("__id", *then).sortWithinPartitions("__id", *then)
+            # Equal rows may be cut anywhere, so a large group of them is not one task's.
+            salted = df.withColumnRenamed(KEY, "__id").withColumn("__salt", F.rand(5))
+            ordered = salted.repartitionByRange("__id", *then, "__salt").sortWithinPartitions("__id", *then).drop("__salt")
             self.df = stored(ordered.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
             self.ids = self.df.select(KEY, "__id")
 

@@ -21,8 +21,6 @@ MOST_REPEATS = 3
 #: The knapsack meets budgets up to this many words, or times the largest size; larger remainders are first shortened to that, largest sizes first.
 MOST_KNAPSACK = 1 << 16
 KNAPSACK_SIZES = 8
-#: Sums that the knapsack tells apart; where there are more, sizes are rounded up to units, at a loss of a unit for each item taken.
-MOST_SUMS = 1 << 25
 #: Rows of a broadcast table, at most; larger ones are joined by a shuffle.
 MOST_BROADCAST = 200_000
 
@@ -69,37 +67,62 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 
 def knapsack(sizes: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
-    """How many of each size, at most counts, to take so that their sum is the largest that is not above rest."""
+    """How many of each size, at most counts, to take so that their sum is the largest that is not above rest.
+
+    Reachable sums are the bits of an integer; each chunk of a size (1, 2, 4 ... of it) is one item, and items are added until rest is reached or
+    none is left. Which items make the best sum is found by halves: a sum that both halves can share out, then each half by itself. So memory
+    is a few bits for each word of rest, and nothing is rounded.
+    """
     taken = np.zeros(len(sizes), dtype=np.int64)
     some = np.flatnonzero((counts > 0) & (sizes > 0) & (sizes <= rest))
     if not len(some):
         return taken
-    unit = max(int(np.gcd.reduce(sizes[some])), -(-rest // MOST_SUMS))
-    units, most = -(-sizes // unit), rest // unit
-    # Reachable sums as the bits of an integer, with the item that first reached each; each chunk of a size (1, 2, 4 ... of it) is one item.
-    mask, reach, by, items = (1 << (most + 1)) - 1, 1, np.full(most + 1, -1, dtype=np.int32), []
+    unit = int(np.gcd.reduce(sizes[some]))
+    most, reach, items = rest // unit, 1, []
+    mask = (1 << (most + 1)) - 1
     for i in some[np.argsort(-sizes[some], kind="stable")].tolist():
-        room, step = min(int(counts[i]), most // int(units[i])), 1
+        weight = int(sizes[i]) // unit
+        room, step = min(int(counts[i]), most // weight), 1
         while room > 0 and not reach >> most & 1:
             step = min(step, room)
-            new = (reach << (step * int(units[i]))) & mask & ~reach
-            words = np.frombuffer(new.to_bytes((most // 64 + 1) * 8, "little"), dtype="<u8")
-            at = np.flatnonzero(words)
-            bits = np.unpackbits(words[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            place = (at[:, None] * 64 + np.arange(64))[bits.astype(bool)]
-            by[place] = len(items)
-            items.append((i, step))
-            reach |= new
+            items.append((i, step, step * weight))
+            reach |= (reach << (step * weight)) & mask
             room -= step
             step *= 2
-    best = reach.bit_length() - 1
-    while best:
-        i, n = items[by[best]]
-        taken[i] += n
-        best -= n * int(units[i])
+    parts = [(items, reach.bit_length() - 1)]
+    while parts:
+        own, total = parts.pop()
+        if not total:
+            continue
+        if len(own) == 1:
+            taken[own[0][0]] += own[0][1]
+            continue
+        halves = own[: len(own) // 2], own[len(own) // 2 :]
+        shares = _sums(halves[0], total) & _mirrored(_sums(halves[1], total), total)
+        first = (shares & -shares).bit_length() - 1
+        parts += [(halves[0], first), (halves[1], total - first)]
     return taken
 
 
+def _sums(items: list[tuple[int, int, int]], most: int) -> int:
+    """The sums up to `most` that some of the items make, as bits."""
+    reach, mask = 1, (1 << (most + 1)) - 1
+    for _, _, weight in items:
+        if weight <= most:
+            reach |= (reach << weight) & mask
+    return reach
+
+
+_MIRROR = np.array([int(f"{b:08b}"[::-1], 2) for b in range(256)], dtype=np.uint8)
+
+
+def _mirrored(bits: int, most: int) -> int:
+    """Bit k of the result is bit most - k."""
+    size = most // 8 + 1
+    turned = _MIRROR[np.frombuffer(bits.to_bytes(size, "little"), dtype=np.uint8)[::-1]].tobytes()
+    return int.from_bytes(turned, "little") >> (size * 8 - 1 - most)
+
+
 def _fit_source(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("size")
     sizes, counts = frame["size"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)
@@ -114,8 +137,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     size: the text's words (null: 0). Sources in the order of their code points, null last, weigh 5,
     2, 1, repeating; targets share the sum of all sizes and stop at 3 times their source's size, the
-    excess reshared. taken is a multiple (0 to 3) of size. The choice depends on seed, ids and texts
-    alone, so reruns agree. Texts without words have taken = 0. Repeated rows and rows with a null id are
+    excess reshared. taken is a multiple (0 to 3) of size. The choice depends on seed, ids, sources and texts
+    alone, so reruns agree, also where ids repeat or are null: rows that are equal in all three are exchangeable. Texts without words have taken = 0. Repeated rows and rows with a null id are
     separate documents. An empty table gives an empty result. Other columns are ignored.
 
     The sources (one row each, with their totals) are assumed to fit in the driver; documents and sizes aren't.
@@ -124,11 +147,27 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return keyed.restore(choices(keyed.df, seed, share), {KEY: "doc_id"}).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _lucky(keyed: DataFrame, seed: int) -> DataFrame:
+    """keyed with __luck, a hash that orders documents of one size alike in every run.
+
+    Keys that Keyed made up for repeated and null ids differ between runs. There luck comes from all columns, and a number for each
+    of several equal rows: its place among those of its own partition, after those of earlier ones.
+    """
+    if "__id" not in keyed.columns:
+        return keyed.withColumn("__luck", F.xxhash64(KEY, F.lit(seed)))
+    rows = keyed.withColumns({"__same": F.xxhash64(*(c for c in keyed.columns if c != KEY)), "__part": F.shiftright(KEY, 33)})
+    counts = rows.groupBy("__same", "__part").agg(F.count("*").alias("__n"))
+    before = F.expr("coalesce(sum(__n) over (partition by __same order by __part rows between unbounded preceding and 1 preceding), 0)")
+    place = F.expr(f"row_number() over (partition by __same, __part order by {KEY})")
+    rows = rows.withColumn("__place", place).join(counts.select("__same", "__part", before.alias("__before")), ["__same", "__part"])
+    return rows.withColumn("__luck", F.xxhash64("__same", F.col("__place") + F.col("__before"), F.lit(seed))).drop("__same", "__part", "__place", "__before")
+
+
 def choices(keyed: DataFrame, seed: int = 7, share: float = 1.0) -> DataFrame:
     """As mix_sources(), for a frame with KEY, __source and __text."""
     spark = keyed.sparkSession
-    slim = keyed.select(KEY, "__source", F.coalesce(F.regexp_count("__text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    slim = stored(slim.withColumn("__luck", F.xxhash64(KEY, F.lit(seed))), "sizes")
+    slim = _lucky(keyed, seed).select(KEY, "__source", F.coalesce(F.regexp_count("__text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), "__luck")
+    slim = stored(slim, "sizes")
     by_size = stored(slim.groupBy("__source", "size").agg(F.count("*").alias("n")), "size-counts")
     totals = [(r[0], int(r[1])) for r in by_size.groupBy("__source").agg(F.sum(F.col("size") * F.col("n"))).collect()]
     totals.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-8", "surrogatepass")))
