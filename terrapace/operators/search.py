@@ -40,8 +40,8 @@ def csr(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return ids, starts, v[order].astype(np.int32), cost[order]
 
 
-def search(starts: list, targets: list, costs: list, origin: int, limit: float, goals: set | None = None) -> tuple[dict, dict]:
-    """Settled costs and predecessors of one origin; ends at the limit or when all goals are settled."""
+def search(starts: list, targets: list, costs: list, origin: int, limit: float, goals: set | None = None, dear: set | None = None, factor: float = 1.0) -> tuple[dict, dict]:
+    """Settled costs and predecessors of one origin; ends at the limit or when all goals are settled. Edges of dear, as (u, v), cost factor times more."""
     best, pred, done, heap = {origin: 0.0}, {origin: -1}, {}, [(0.0, origin)]
     left = set(goals) if goals is not None else None
     while heap:
@@ -54,7 +54,8 @@ def search(starts: list, targets: list, costs: list, origin: int, limit: float,
             if not left:
                 break
         for k in range(starts[u], starts[u + 1]):
-            v, to = targets[k], d + costs[k]
+            v = targets[k]
+            to = d + (costs[k] * factor if dear and (u, v) in dear else costs[k])
             if to <= limit and to < best.get(v, float("inf")):
                 best[v], pred[v] = to, u
                 heapq.heappush(heap, (to, v))
@@ -92,49 +93,73 @@ def shortest_paths(edges: DataFrame, origins: DataFrame, limit: float = float("i
     return origins.select(F.col("origin").cast("long")).distinct().repartition(n).mapInPandas(run, TREE)  # dealt evenly, not by hash
 
 
-def relaxed_paths(edges: DataFrame, origins: DataFrame, limit: float = float("inf"), rounds: int = 100_000) -> DataFrame:
-    """The same by joins, for graphs of any size: every round relaxes the nodes that improved in the last one, and stores only what improves."""
-    edges = edges.where("cost is not null").groupBy("u", "v").agg(F.min("cost").alias("w"))
-    edges = stored(edges, "edges")
-    first = origins.select("origin").distinct().select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.lit(-1).cast("long").alias("pred"))
+def relaxed_paths(edges: DataFrame, origins: DataFrame, limit: float = float("inf")) -> DataFrame:
+    """The same by joins, for graphs of any size."""
+    starts = origins.select("origin").distinct().select(F.col("origin").alias("tree"), F.col("origin").alias("node"))
+    return relaxed_trees(edges, starts, limit).withColumnRenamed("tree", "origin")
+
+
+def relaxed_trees(edges: DataFrame, starts: DataFrame, limit: float = float("inf"), dear: DataFrame | None = None, factor: float = 1.0, rounds: int = 100_000) -> DataFrame:
+    """(tree, node, cost, pred) of the search from each of starts(tree, node): every round relaxes the nodes that improved in the last one, and stores only what improves.
+
+    Edges of dear(tree, u, v) cost factor times more in their tree; infinite: they are shut.
+    """
+    edges = stored(edges.where("cost is not null").groupBy("u", "v").agg(F.min("cost").alias("w")), "edges")
+    first = starts.select("tree", "node", F.lit(0.0).alias("cost"), F.lit(-1).cast("long").alias("pred"))
     found = Rounds(first, "paths")
     front = found.last()
     for _ in range(rounds):
         if not front.take(1):
             break
-        tried = front.join(edges, front["node"] == edges["u"]).select("origin", F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("u").alias("pred")).where(F.col("cost") <= limit)
-        tried = tried.groupBy("origin", "node").agg(F.min(F.struct("cost", "pred")).alias("b")).select("origin", "node", "b.*")
-        known = found.all().groupBy("origin", "node").agg(F.min("cost").alias("had"))
-        front = found.add(tried.join(known, ["origin", "node"], "left").where("had is null or cost < had"))
+        tried = front.join(edges, front["node"] == edges["u"]).select("tree", "u", "v", "cost", "w")
+        if dear is not None:
+            tried = tried.join(dear.withColumn("dear", F.lit(True)), ["tree", "u", "v"], "left").withColumn("w", F.when(F.col("dear"), F.col("w") * factor).otherwise(F.col("w")))
+        tried = tried.select("tree", F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("u").alias("pred")).where((F.col("cost") <= limit) & (F.col("cost") < float("inf")))
+        tried = tried.groupBy("tree", "node").agg(F.min(F.struct("cost", "pred")).alias("b")).select("tree", "node", "b.*")
+        known = found.all().groupBy("tree", "node").agg(F.min("cost").alias("had"))
+        front = found.add(tried.join(known, ["tree", "node"], "left").where("had is null or cost < had"))
     else:
         raise RuntimeError("paths did not settle")
     # Each later row of a node costs less, so the least one is the last.
-    best = stored(found.all().groupBy("origin", "node").agg(F.min(F.struct("cost", "pred")).alias("b")).select("origin", "node", "b.cost", "b.pred"), "paths")
+    best = stored(found.all().groupBy("tree", "node").agg(F.min(F.struct("cost", "pred")).alias("b")).select("tree", "node", "b.cost", "b.pred"), "paths")
     found.drop()
     return best
 
 
-def _routes_of_any_graph(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    tree = relaxed_paths(edges, pairs.select("origin"))
-    reached = pairs.join(tree.select("origin", "node", "cost"), ["origin", "node"])
-    parents = tree.select(F.col("origin").alias("tree"), "node", F.when(F.col("pred") >= 0, F.col("pred")).alias("pred"))
-    steps = ancestors(parents, reached.select(F.col("pair_id").alias("key"), F.col("origin").alias("tree"), "node"))
+def _dear(pairs: DataFrame) -> DataFrame:
+    """(tree, u, v): the streets along each pair's path, both ways."""
+    steps = pairs.select(F.col("pair_id").alias("tree"), F.explode(F.arrays_zip(F.slice("along", 1, F.greatest(F.lit(0), F.size("along") - 1)).alias("u"), F.expr("slice(along, 2, size(along))").alias("v"))).alias("s")).select("tree", "s.*").where("u is not null and v is not null")
+    return steps.union(steps.select("tree", "v", "u")).distinct()
+
+
+def _routes_of_any_graph(edges: DataFrame, pairs: DataFrame, factor: float) -> DataFrame:
+    if "along" in pairs.columns:
+        tree = relaxed_trees(edges, pairs.select(F.col("pair_id").alias("tree"), F.col("origin").alias("node")), dear=stored(_dear(pairs), "dear"), factor=factor)
+        pairs = pairs.withColumn("tree", F.col("pair_id"))
+    else:
+        tree = relaxed_trees(edges, pairs.select(F.col("origin").alias("tree"), F.col("origin").alias("node")).distinct())
+        pairs = pairs.withColumn("tree", F.col("origin"))
+    reached = pairs.join(tree.select("tree", "node", "cost"), ["tree", "node"])
+    parents = tree.select("tree", "node", F.when(F.col("pred") >= 0, F.col("pred")).alias("pred"))
+    steps = ancestors(parents, reached.select(F.col("pair_id").alias("key"), "tree", "node"))
     path = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "node"))), lambda x: x["node"])
     paths = steps.groupBy("key").agg(path.alias("path"))
     return reached.join(paths, reached["pair_id"] == paths["key"]).select("pair_id", "cost", "path")
 
 
-def routes(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def routes(edges: DataFrame, pairs: DataFrame, factor: float = 1.0) -> DataFrame:
     """(pair_id, cost, path: array of nodes) for pairs(pair_id, origin, node); none where there is no way.
 
-    Pairs of one origin share a search. Nodes that end no edge are reached from themselves only. A graph beyond MOST_BROADCAST_EDGES is searched by
-    joins, and its paths are read off the tree of predecessors by pointer doubling.
+    Pairs of one origin share a search. Where pairs have `along`, an array of nodes, each has a search of its own, in which the streets between
+    consecutive nodes of it cost factor times more, either way (infinite: they are shut). Nodes that end no edge are reached from themselves only. A graph
+    beyond MOST_BROADCAST_EDGES is searched by joins, and its paths are read off the tree of predecessors by pointer doubling.
     """
     spark = edges.sparkSession
     edges = stored(edges.where("cost is not null").select("u", "v", F.col("cost").cast("double")), "edges")
-    pairs = pairs.select("pair_id", F.col("origin").cast("long"), F.col("node").cast("long"))
+    own = "along" in pairs.columns
+    pairs = pairs.select("pair_id", F.col("origin").cast("long"), F.col("node").cast("long"), *(["along"] if own else []))
     if edges.count() > MOST_BROADCAST_EDGES:
-        return _routes_of_any_graph(edges, stored(pairs, "pairs"))
+        return _routes_of_any_graph(edges, stored(pairs, "pairs"), factor)
     ids, starts, targets, costs = csr(edges)
     shared = spark.sparkContext.broadcast((ids, starts, targets, costs))
 
@@ -145,15 +170,19 @@ def routes(edges: DataFrame, pairs: DataFrame) -> DataFrame:
         known = lambda x: place(x) < len(ids) and ids[place(x)] == x
         for frame in frames:
             out = []
-            for origin, group in frame.groupby("origin"):
+            for (origin, _), group in frame.groupby(["origin", "pair_id" if own else "origin"]) if own else (((o, None), g) for o, g in frame.groupby("origin")):
                 if not known(origin):
                     out += [(pair, 0.0, [origin]) for pair, node in zip(group["pair_id"].tolist(), group["node"].tolist()) if node == origin]
                     continue
                 goals = {place(x) for x in group["node"].tolist() if known(x)}
-                done, pred = search(*lists, place(origin), float("inf"), goals)
+                dear = None
+                if own:
+                    along = [place(x) for x in group["along"].iloc[0] if known(x)]
+                    dear = {e for a, b in zip(along, along[1:]) for e in ((a, b), (b, a))}
+                done, pred = search(*lists, place(origin), float("inf"), goals, dear, factor)
                 for pair, node in zip(group["pair_id"].tolist(), group["node"].tolist()):
                     at = place(node) if known(node) else -1
-                    if at in done:
+                    if done.get(at, float("inf")) < float("inf"):
                         path, k = [], at
                         while k >= 0:
                             path.append(int(ids[k]))
@@ -162,7 +191,8 @@ def routes(edges: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["pair_id", "cost", "path"])
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return pairs.repartition(n, "origin").sortWithinPartitions("origin").mapInPandas(run, "pair_id long, cost double, path array<long>")
+    dealt = pairs.repartition(n, "pair_id" if own else "origin").sortWithinPartitions("origin")
+    return dealt.mapInPandas(run, "pair_id long, cost double, path array<long>")
 
 
 def path_points(routes: DataFrame, places: DataFrame) -> DataFrame:
