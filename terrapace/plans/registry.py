@@ -1,8 +1,8 @@
 """All queries of the library but the corpus operators."""
 
-from . import assets, choices, context, corridor, equity, journeys, network, places, polyline, scalar, tradeoffs
+from . import assets, choices, context, corridor, equity, journeys, network, places, polyline, scalar, tradeoffs, trips
 
 QUERIES, ORACLES = {}, {}
-for _plan in (assets, choices, context, corridor, equity, journeys, network, places, polyline, scalar, tradeoffs):
+for _plan in (assets, choices, context, corridor, equity, journeys, network, places, polyline, scalar, tradeoffs, trips):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
