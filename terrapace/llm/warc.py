@@ -66,7 +66,11 @@ def build_record(key: int, url: str | None, payload: bytes, sha1_hex: str, refer
 
 
 def parse_record(data: bytes) -> dict:
-    """The fields and payload of one record; WarcError when version, headers, lengths or digest don't hold."""
+    """The fields and payload of one record of any type; WarcError when version, headers, lengths or digests don't hold.
+
+    The payload of an HTTP message is what follows its header. Digests may be absent: then the payload's SHA-1 is given. A revisit has no payload, and
+    no payload_bytes unless X-Payload-Length tells.
+    """
     end = data.find(b"\r\n\r\n")
     if not data.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n")):
         raise WarcError("no WARC version line")
@@ -86,31 +90,74 @@ def parse_record(data: bytes) -> dict:
     length = int(fields["content-length"])
     if len(data) != end + 4 + length + 4 or not data.endswith(b"\r\n\r\n"):
         raise WarcError("content-length does not fit the record")
-    payload = data[end + 4 : end + 4 + length]
+    block, kind = data[end + 4 : end + 4 + length], fields["warc-type"]
+    payload = _http_body(block) if fields.get("content-type", "").lower().startswith("application/http") else block
+    holds = kind not in ("revisit", "continuation")
+    if "warc-block-digest" in fields and not _agrees(fields["warc-block-digest"], block):
+        raise WarcError("the block's digest differs")
     digest = fields.get("warc-payload-digest", "")
-    if not digest.startswith("sha1:"):
-        raise WarcError("no sha1 digest")
-    digest_hex = base64.b32decode(digest[5:]).hex()
-    kind = fields["warc-type"]
-    if kind == "response" and hashlib.sha1(payload).hexdigest() != digest_hex:
+    if holds and digest and not _agrees(digest, payload) and not _agrees(digest, _unchunked(payload)):
         raise WarcError("the payload's digest differs")
-    if kind == "revisit" and "warc-refers-to" not in fields:
+    if kind == "revisit" and "warc-refers-to" not in fields and "warc-refers-to-target-uri" not in fields:
         raise WarcError("a revisit refers to nothing")
-    whole = fields.get("x-payload-length", str(length) if kind == "response" else "")
-    if not whole.isdigit() or (kind == "response" and int(whole) != length):
+    whole = fields.get("x-payload-length", str(len(payload)) if holds else "")
+    if (whole and not whole.isdigit()) or (holds and int(whole) != len(payload)):
         raise WarcError("the payload's length does not hold")
+    algorithm, value = _digest(digest) if digest else ("sha1", hashlib.sha1(payload).hexdigest() if holds else None)
     return {
         "record_id": fields["warc-record-id"].strip("<>"),
         "record_type": kind,
-        "refers_to": fields["warc-refers-to"].strip("<>") if kind == "revisit" else None,
+        "refers_to": fields.get("warc-refers-to", "").strip("<>") or None if kind == "revisit" else None,
         "target_uri": fields.get("warc-target-uri"),
-        "payload_digest": digest_hex,
-        "payload_bytes": int(whole),
-        "payload": payload if kind == "response" else None,
+        "payload_digest": value if algorithm == "sha1" else f"{algorithm}:{value}",
+        "payload_bytes": int(whole) if whole else None,
+        "payload": payload if holds else None,
         "error": None,
     }
 
 
+#: Bytes of the digests that are checked; others are taken as they stand.
+DIGESTS = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
+
+
+def _digest(text: str) -> tuple[str, str]:
+    """(algorithm, value) of a labelled digest, the value in hex where the algorithm is known; base 32 and hex are read."""
+    algorithm, _, value = text.partition(":")
+    algorithm, size = algorithm.strip().lower().replace("-", ""), DIGESTS.get(algorithm.strip().lower().replace("-", ""))
+    if size is None:
+        return algorithm, value
+    try:
+        return algorithm, (bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.upper())).hex()
+    except ValueError:
+        raise WarcError("a digest can't be read") from None
+
+
+def _agrees(digest: str, data: bytes) -> bool:
+    algorithm, value = _digest(digest)
+    return algorithm not in DIGESTS or hashlib.new(algorithm, data).hexdigest() == value
+
+
+def _http_body(block: bytes) -> bytes:
+    """The payload of an HTTP message: what follows its header."""
+    _, blank, body = block.partition(b"\r\n\r\n")
+    return body if blank else b""
+
+
+def _unchunked(body: bytes) -> bytes:
+    """A body without its transfer chunks, as some writers digest it; as it is if it has none."""
+    out, at = [], 0
+    while (line := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:line].split(b";")[0], 16)
+        except ValueError:
+            return body
+        if not size:
+            return b"".join(out)
+        out.append(body[line + 2 : line + 2 + size])
+        at = line + 2 + size + 2
+    return body
+
+
 def train(samples: list[bytes]) -> bytes:
     """A dictionary from the records' first bytes; raw content where there is too little to train on."""
     samples = [s[:TRAIN_BYTES] for s in samples]

@@ -1,5 +1,7 @@
 """Packing, WARC, url rules, exact dedup and mixing against brute force, with awkward rows."""
 
+import base64
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -154,8 +156,6 @@ def test_frames_are_walked_by_their_headers():
 
 
 def test_warc_rejects_what_is_broken():
-    import hashlib
-
     good = warc.build_record(1, "u", b"payload", hashlib.sha1(b"payload").hexdigest(), None)
     assert warc.parse_record(good)["payload"] == b"payload"
     for bad in (good[:-1], good.replace(b"WARC/1.1", b"WARC/9.9"), good.replace(b"Content-Length: 7", b"Content-Length: 8"), good.replace(b"payload\r\n\r\n", b"pAyload\r\n\r\n"), good.replace(b"WARC-Date", b"WARC-Dat"), good.replace(b"Payload-Length: 7", b"Payload-Length: 9"), good.replace(b"Payload-Length: 7", b"Payload-Length: x")):
@@ -267,3 +267,28 @@ def test_mixing(spark):
 def test_crc_is_of_little_endian_ids(spark):
     row = pack(spark.createDataFrame([(1, "the cat")], "doc_id long, text string")).selectExpr("ids", "crc32(ids) c").first()
     assert row.c == zlib.crc32(row.ids)
+
+
+def test_records_of_other_archives():
+    """What other writers' archives hold: info records without digests, HTTP messages whose digest is the body's, revisits that name a target only."""
+
+    def record(kind, block, **more):
+        fields = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:1>", "WARC-Date": "2024-01-01T00:00:00Z"} | {k.replace("_", "-"): v for k, v in more.items()} | {"Content-Length": str(len(block))}
+        return ("WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n").encode() + block + b"\r\n\r\n"
+
+    sha1 = lambda data: "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    head, body, chunked = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n", b"<p>hello</p>", b"5\r\n<p>he\r\n7;x=1\r\nllo</p>\r\n0\r\n\r\n"
+    http = {"Content_Type": "application/http; msgtype=response"}
+    info = warc.parse_record(record("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields"))
+    assert (info["record_type"], info["payload_bytes"], info["payload_digest"]) == ("warcinfo", 13, hashlib.sha1(b"software: x\r\n").hexdigest())
+    got = warc.parse_record(record("response", head + body, WARC_Payload_Digest=sha1(body), WARC_Block_Digest=sha1(head + body), **http))
+    assert got["payload"] == body and got["payload_bytes"] == len(body) and got["payload_digest"] == hashlib.sha1(body).hexdigest()
+    assert warc.parse_record(record("response", head + chunked, WARC_Payload_Digest=sha1(body), **http))["payload"] == chunked
+    assert warc.parse_record(record("response", head + chunked, WARC_Payload_Digest=sha1(chunked), **http))["payload"] == chunked
+    assert warc.parse_record(record("resource", body, WARC_Payload_Digest="sha256:" + hashlib.sha256(body).hexdigest()))["payload_digest"].startswith("sha256:")
+    assert warc.parse_record(record("metadata", b"", WARC_Payload_Digest="tiger:abc"))["payload_bytes"] == 0
+    again = warc.parse_record(record("revisit", head, WARC_Payload_Digest=sha1(body), WARC_Refers_To_Target_URI="http://a/", **http))
+    assert (again["payload"], again["payload_bytes"], again["refers_to"]) == (None, None, None)
+    for bad in (record("response", head + body, WARC_Payload_Digest=sha1(head + body), **http), record("response", body, WARC_Block_Digest=sha1(b"x")), record("resource", body, WARC_Payload_Digest="sha1:!!"), record("revisit", b"")):
+        with pytest.raises(warc.WarcError):
+            warc.parse_record(bad)
