@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .running import running_totals
+from .network import stored
+from .running import median, running_totals
 from .spatial import within
 
 DESERT = 0.0001
@@ -30,9 +31,10 @@ def access_scores(zones: DataFrame, facilities: DataFrame, radius_m: float = 150
 
 def _ranked(scores: DataFrame) -> DataFrame:
     """scores with running shares of people and access, in the order of the score."""
-    scores = scores.withColumn("__order", F.round("score", 9))
-    scores = running_totals(scores, ["__order", "zone_id"], {"cum_pop": "population", "cum_acc": "population * score", "position": "1"})
-    total = scores.agg(F.sum("population").alias("pop"), F.sum(F.col("population") * F.col("score")).alias("acc"), F.count("*").alias("n"), F.median("score").alias("median"))
+    # Quantiles, ranges, totals and rows all read the scores, so they are joined once and stored.
+    scores = stored(scores.withColumn("__order", F.round("score", 9)), "scores")
+    scores = stored(running_totals(scores, ["__order", "zone_id"], {"cum_pop": "population", "cum_acc": "population * score", "position": "1"}), "ranks")
+    total = scores.agg(F.sum("population").alias("pop"), F.sum(F.col("population") * F.col("score")).alias("acc"), F.count("*").alias("n")).crossJoin(F.broadcast(median(scores, "score", "position")))  # one row each
     total = total.select("n", "median", F.when(F.col("pop") == 0, 1.0).otherwise(F.col("pop")).alias("pop"), F.when(F.col("acc") == 0, 1.0).otherwise(F.col("acc")).alias("acc"))
     return scores.crossJoin(F.broadcast(total)).withColumns({"p": F.col("cum_pop") / F.col("pop"), "a": F.col("cum_acc") / F.col("acc")})  # one row
 
