@@ -45,6 +45,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(df: DataFrame) -> None:
+    """Deletes the files behind a frame made by stored()."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        drop_folder(df.sparkSession, folder)
+
+
 def nodes(segments: DataFrame) -> DataFrame:
     """Distinct ends of segments(lon1, lat1, z1, lon2, lat2, z2) at five decimals: nx, ny, lon, lat, z (null where 0: no height)."""
     ends = segments.select(F.col("lon1").alias("lon"), F.col("lat1").alias("lat"), F.col("z1").alias("z")).union(segments.select("lon2", "lat2", "z2"))
@@ -89,6 +95,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         after = stored(large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct(), "components")
         sums = after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        drop_stored(now)
         now = after
         if sums == before:
             break
@@ -100,16 +107,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def fill_heights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes(node, z) with missing heights filled ring by ring: the mean of the neighbours that are known, parallel edges counting each; 0 where none can be reached."""
+    from .fixpoint import Rounds
+
     links = stored(edges.select("u", "v").union(edges.select("v", "u")), "links")
-    known = stored(nodes.select("node", F.col("z").cast("double")), "heights")
-    while True:  # each round but the last fills a node
-        ring = links.join(known.where("z is null").select(F.col("node").alias("u")), "u").join(known.where("z is not null").select(F.col("node").alias("v"), F.col("z").alias("zv")), "v")
-        ring = ring.groupBy("u").agg(F.avg("zv").alias("mean"))
-        found = stored(known.join(ring, known["node"] == ring["u"], "left").select("node", F.coalesce("z", "mean").alias("z"), (F.col("z").isNull() & F.col("mean").isNotNull()).alias("new")), "heights")
-        known = found.select("node", "z")
-        if not found.where("new").take(1):
-            break
-    return known.select("node", F.coalesce("z", F.lit(0.0)).alias("z"))
+    nodes = nodes.select("node", F.col("z").cast("double"))
+    known = Rounds(nodes.where("z is not null"), "heights")
+    front = known.last()
+    while front.take(1):  # each ring looks only beside what the last one filled, and stores only what it fills
+        beside = links.join(front.select(F.col("node").alias("v")), "v").select("u").distinct()
+        beside = beside.join(known.all().select(F.col("node").alias("u")), "u", "left_anti").join(nodes.select(F.col("node").alias("u")), "u", "left_semi")
+        ring = links.join(beside, "u").join(known.all().select(F.col("node").alias("v"), "z"), "v").groupBy("u").agg(F.avg("z").alias("z"))
+        front = known.add(ring.withColumnRenamed("u", "node"))
+    return nodes.select("node").join(known.all().select("node", "z"), "node", "left").select("node", F.coalesce("z", F.lit(0.0)).alias("z"))
 
 
 def compatible_snap(pairs: DataFrame, nodes: DataFrame, radius_m: float) -> DataFrame:

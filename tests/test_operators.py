@@ -2,7 +2,7 @@
 
 import pytest
 
-from terrapace.operators import cues, running, search, terrain
+from terrapace.operators import cues, network as net, running, search, terrain
 from terrapace.plans import network, registry
 from terrapace.sources.fixtures import view
 
@@ -58,3 +58,18 @@ def test_batch_pairs_by_place(spark):
     origins = spark.createDataFrame([(o,) for o in {a for a, _ in asked.values()}], "origin long")
     costs = {(r.origin, r.node): r.cost for r in search.shortest_paths(network._costed(spark, DIR, "adult", False), origins).collect()}
     assert got and got == {n: pytest.approx(costs[p], abs=1e-3) for n, p in asked.items() if p in costs}
+
+
+def test_medians_by_position(spark):
+    for values in ([], [4.0], [1.0, 9.0], [5.0, 1.0, 3.0], [2.0] * 7 + [10.0, 0.0, 6.0]):
+        frame = spark.createDataFrame([(x, k) for k, x in enumerate(values)], "x double, k long")
+        numbered = running.running_totals(frame, ["x", "k"], {"n": "1L"}, parts=1) if values else frame.selectExpr("x", "k", "k as n")
+        want = sorted(values)
+        assert running.median(numbered, "x", "n").first()[0] == ((want[(len(want) - 1) // 2] + want[len(want) // 2]) / 2 if values else None)
+
+
+def test_heights_are_filled_ring_by_ring_and_stored_once(spark):
+    nodes = spark.createDataFrame([(k, 10.0 if k == 0 else 30.0 if k == 4 else None) for k in range(7)] + [(50, None)], "node long, z double")
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (1, 2)], "u long, v long")
+    got = {r.node: r.z for r in net.fill_heights(nodes, edges).collect()}
+    assert got == {0: 10.0, 1: 10.0, 2: pytest.approx((10.0 + 10.0 + 30.0) / 3), 3: 30.0, 4: 30.0, 5: 30.0, 6: 30.0, 50: 0.0}
