@@ -43,17 +43,17 @@ def friction_surface(cells: DataFrame, weights: dict[str, float], inverted: tupl
 RANDOM_INDEX = (0.0, 0.0, 0.58, 0.90, 1.12, 1.24, 1.32, 1.41, 1.45, 1.49)
 
 
-def ahp(matrix: DataFrame) -> DataFrame:
-    """Priorities of a pairwise matrix(i, j, value): i, weight, lambda_max, ci, cr, consistent."""
-    n = F.count("*").over(__import__("pyspark").sql.Window.partitionBy("i"))
-    shares = matrix.join(matrix.groupBy("j").agg(F.sum("value").alias("s")), "j").select("i", "j", "value", (F.col("value") / F.col("s")).alias("x"), n.alias("n"))
-    weights = shares.groupBy("i").agg(F.avg("x").alias("weight"), F.first("n").alias("n"))
-    product = matrix.join(weights.select(F.col("i").alias("j"), F.col("weight").alias("wj")), "j").groupBy("i").agg(F.sum(F.col("value") * F.col("wj")).alias("p"))
-    top = product.join(weights, "i").agg(F.avg(F.col("p") / F.col("weight")).alias("lambda_max"), F.first("n").alias("m"))
+def ahp(matrix: DataFrame, key: str) -> DataFrame:
+    """Priorities of pairwise matrices(key, i, j, value): key, i, weight, lambda_max, ci, cr, consistent. Matrices of more than ten rows take the tenth index."""
+    columns = matrix.groupBy(key, "j").agg(F.sum("value").alias("s"))
+    shares = matrix.join(columns, [key, "j"]).select(key, "i", (F.col("value") / F.col("s")).alias("x"))
+    weights = shares.groupBy(key, "i").agg(F.avg("x").alias("weight"))
+    product = matrix.join(weights.select(key, F.col("i").alias("j"), F.col("weight").alias("wj")), [key, "j"]).groupBy(key, "i").agg(F.sum(F.col("value") * F.col("wj")).alias("p"))
+    top = product.join(weights, [key, "i"]).groupBy(key).agg(F.avg(F.col("p") / F.col("weight")).alias("lambda_max"), F.count("*").alias("m"))
     ci = F.when(F.col("m") > 1, (F.col("lambda_max") - F.col("m")) / (F.col("m") - 1)).otherwise(0.0)
     ri = F.element_at(F.array(*map(F.lit, RANDOM_INDEX)), F.least(F.col("m"), F.lit(10)).cast("int"))
-    top = top.select("lambda_max", "m", ci.alias("ci"), F.when(ri > 0, ci / ri).otherwise(0.0).alias("cr"))
-    return weights.select("i", "weight").crossJoin(F.broadcast(top)).withColumn("consistent", (F.col("cr") <= 0.10) | (F.col("m") <= 2)).drop("m")
+    top = top.select(key, "lambda_max", "m", ci.alias("ci"), F.when(ri > 0, ci / ri).otherwise(0.0).alias("cr"))
+    return weights.join(top, key).withColumn("consistent", (F.col("cr") <= 0.10) | (F.col("m") <= 2)).drop("m")
 
 
 def local_area_ha(points: DataFrame, key: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import context, validation
 from ..functions.profiles import TURN_MODELS, profiles, turn_models
-from ..operators import cues, terrain
+from ..operators import cues, raster, terrain
 from ..sources.fixtures import view, with_views
 from .scalar import _P, scalar, sql_haversine
 from .scalar import ORACLES as _SCALAR_ORACLES
@@ -138,10 +138,31 @@ QUERIES["a37_filled_grid"] = lambda spark, sf_dir: terrain.filled(view(spark, sf
 ORACLES["a37_filled_grid"] = with_views("grid_nodes") + ", r0 AS (SELECT i, j, CASE WHEN i % 9 > 3 OR j % 8 > 2 THEN dem END AS v FROM grid_nodes)" + "".join(f", r{k + 1} AS (SELECT a.i, a.j, coalesce(any_value(a.v), avg(b.v)) AS v FROM r{k} a LEFT JOIN r{k} b ON abs(a.i - b.i) + abs(a.j - b.j) = 1 AND b.i BETWEEN a.i - 1 AND a.i + 1 AND a.v IS NULL GROUP BY 1, 2)" for k in range(3)) + " SELECT i, j, round(v, 4) AS value FROM r3"
 
 
+def _judged(spark, sf_dir):
+    """Three parts make the upper triangle of a matrix."""
+    places = F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j")) for a, b in ((0, 1), (0, 2), (1, 2))))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.expr("p_partkey div 3").alias("matrix"), F.element_at(places, (C("p_partkey") % 3 + 1).cast("int")).alias("at"), (C("p_size") / 4.0).alias("value"))
+    return rows.select("matrix", "at.i", "at.j", "value")
+
+
 def _judgments(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 6 < 3").select(F.expr("p_partkey div 6").alias("matrix"), F.element_at(F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j")) for a, b in ((0, 1), (0, 2), (1, 2)))), (C("p_partkey") % 6 + 1).cast("int")).alias("at"), (C("p_size") / 4.0).alias("value"))
-    return terrain.pairwise(rows.select("matrix", "at.i", "at.j", "value"), "matrix").select("matrix", "i", "j", F.round("value", 6).alias("value"))
+    return terrain.pairwise(_judged(spark, sf_dir), "matrix").select("matrix", "i", "j", F.round("value", 6).alias("value"))
 
 
 QUERIES["a34_pairwise"] = _judgments
-ORACLES["a34_pairwise"] = "WITH r AS (SELECT p_partkey // 6 AS matrix, CASE p_partkey % 6 WHEN 2 THEN 1 ELSE 0 END AS i, CASE p_partkey % 6 WHEN 0 THEN 1 ELSE 2 END AS j, greatest(1 / 9e0, least(9e0, p_size / 4e0)) AS v FROM part WHERE p_partkey % 6 < 3) SELECT matrix, i, j, round(v, 6) AS value FROM r UNION ALL SELECT matrix, j, i, round(1 / v, 6) FROM r UNION ALL SELECT matrix, x, x, 1e0 FROM (SELECT DISTINCT matrix, unnest([i, j]) AS x FROM r)"
+ORACLES["a34_pairwise"] = "WITH r AS (SELECT p_partkey // 3 AS matrix, CASE p_partkey % 3 WHEN 2 THEN 1 ELSE 0 END AS i, CASE p_partkey % 3 WHEN 0 THEN 1 ELSE 2 END AS j, greatest(1 / 9e0, least(9e0, p_size / 4e0)) AS v FROM part) SELECT matrix, i, j, round(v, 6) AS value FROM r UNION ALL SELECT matrix, j, i, round(1 / v, 6) FROM r UNION ALL SELECT matrix, x, x, 1e0 FROM (SELECT DISTINCT matrix, unnest([i, j]) AS x FROM r)"
+
+
+def _priorities(spark, sf_dir):
+    """Weights of the matrices of a34."""
+    found = raster.ahp(terrain.pairwise(_judged(spark, sf_dir), "matrix"), "matrix")
+    return found.select("matrix", "i", *(F.round(c, 6).alias(c) for c in ("weight", "lambda_max", "ci")), F.round("cr", 5).alias("cr"), "consistent")
+
+
+QUERIES["a33_ahp_weights"] = _priorities
+ORACLES["a33_ahp_weights"] = """WITH r AS (SELECT p_partkey // 3 AS matrix, CASE p_partkey % 3 WHEN 2 THEN 1 ELSE 0 END AS i, CASE p_partkey % 3 WHEN 0 THEN 1 ELSE 2 END AS j, greatest(1 / 9e0, least(9e0, p_size / 4e0)) AS v FROM part),
+m AS (SELECT matrix, i, j, v FROM r UNION ALL SELECT matrix, j, i, 1 / v FROM r UNION ALL SELECT matrix, x, x, 1e0 FROM (SELECT DISTINCT matrix, unnest([i, j]) AS x FROM r)),
+w AS (SELECT matrix, i, avg(v / s) AS w FROM m JOIN (SELECT matrix, j, sum(v) AS s FROM m GROUP BY 1, 2) USING (matrix, j) GROUP BY 1, 2),
+p AS (SELECT m.matrix, m.i, sum(v * w.w) AS p FROM m JOIN w ON w.matrix = m.matrix AND w.i = m.j GROUP BY 1, 2),
+l AS (SELECT matrix, avg(p / w) AS l, count(*) AS n FROM p JOIN w USING (matrix, i) GROUP BY 1), c AS (SELECT matrix, l, n, CASE WHEN n > 1 THEN (l - n) / (n - 1) ELSE 0 END AS ci FROM l)
+SELECT matrix, i, round(w, 6) AS weight, round(l, 6) AS lambda_max, round(ci, 6) AS ci, round(CASE WHEN n > 2 THEN ci / 0.58e0 ELSE 0 END, 5) AS cr, n <= 2 OR ci / 0.58e0 <= 0.1e0 AS consistent FROM w JOIN c USING (matrix)"""

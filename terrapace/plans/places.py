@@ -128,9 +128,6 @@ ORACLES["e01_bicubic"] = f"""{with_views('zones', 'grid_nodes')}, q AS (SELECT z
 SELECT zone_id, round(sum({_W.format(a='abs(x - c)')} * {_W.format(a='abs(y - r)')} * coalesce(dem, 0)), 4) AS z, count(dem) AS cells FROM q LEFT JOIN grid_nodes g ON g.i = q.c AND g.j = q.r GROUP BY 1"""
 QUERIES["a22_friction_surface"] = lambda spark, sf_dir: raster.friction_surface(_cells(spark, sf_dir).withColumn("ndvi", F.when(F.col("row") % 3 != 0, F.col("ndvi"))), {"value": 0.5, "lst": 0.3, "ndvi": 0.2}, ("ndvi",)).select("row", "col", F.round("friction", 6).alias("friction"))
 ORACLES["a22_friction_surface"] = with_views("grid_nodes") + ", c AS (SELECT j, i, dem, lst, CASE WHEN j % 3 <> 0 THEN ndvi END AS g FROM grid_nodes), n AS (SELECT j, i, (dem - min(dem) OVER ()) / (max(dem) OVER () - min(dem) OVER ()) AS a, (lst - min(lst) OVER ()) / (max(lst) OVER () - min(lst) OVER ()) AS b, 1 - (g - min(g) OVER ()) / (max(g) OVER () - min(g) OVER ()) AS c FROM c) SELECT j AS row, i AS col, round(CASE WHEN c IS NULL THEN (0.5e0 * a + 0.3e0 * b) / 0.8e0 ELSE 0.5e0 * a + 0.3e0 * b + 0.2e0 * c END, 6) AS friction FROM n"
-_M = ((1, 1, 1.0), (1, 2, 3.0), (1, 3, 2.0), (2, 1, 1 / 3), (2, 2, 1.0), (2, 3, 0.5), (3, 1, 0.5), (3, 2, 2.0), (3, 3, 1.0))
-QUERIES["a33_ahp_weights"] = lambda spark, sf_dir: raster.ahp(spark.createDataFrame(list(_M), "i int, j int, value double")).select("i", *(F.round(c, 6).alias(c) for c in ("weight", "lambda_max", "ci", "cr")), "consistent")
-ORACLES["a33_ahp_weights"] = f"WITH m(i, j, v) AS (VALUES {', '.join(f'({a}, {b}, {c!r}::DOUBLE)' for a, b, c in _M)}), w AS (SELECT i, avg(v / s) AS w FROM m JOIN (SELECT j, sum(v) AS s FROM m GROUP BY 1) USING (j) GROUP BY 1), p AS (SELECT m.i, sum(v * w.w) AS p FROM m JOIN w ON w.i = m.j GROUP BY 1), l AS (SELECT avg(p / w) AS l FROM p JOIN w USING (i)) SELECT i::INT AS i, round(w, 6) AS weight, round(l, 6) AS lambda_max, round((l - 3) / 2, 6) AS ci, round((l - 3) / 2 / 0.58e0, 6) AS cr, (l - 3) / 2 / 0.58e0 <= 0.1e0 AS consistent FROM w, l"
 QUERIES["a29_polygon_area"] = lambda spark, sf_dir: raster.local_area_ha(view(spark, sf_dir, "routes"), "route_id").select("route_id", F.round("area_ha", 3).alias("area_ha"))
 ORACLES["a29_polygon_area"] = with_views("routes") + ", f AS (SELECT route_id, seq, lon * k AS x, lat * 110574e0 AS y FROM (SELECT *, cos(radians(avg(lat) OVER (PARTITION BY route_id))) * 111320e0 AS k FROM routes)), n AS (SELECT route_id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS xn, coalesce(lead(y) OVER w, first_value(y) OVER w) AS yn FROM f WINDOW w AS (PARTITION BY route_id ORDER BY seq)) SELECT route_id, round(abs(sum(x * yn - xn * y)) / 2 / 10000, 3) AS area_ha FROM n GROUP BY 1"
 
