@@ -1,31 +1,41 @@
-"""Tracks matched to streets: candidates by a cell join, the likeliest sequence by Viterbi per track."""
+"""Tracks matched to streets by joins alone: candidates by cells, network distances by one shared frontier, the likeliest sequence by ordered folds.
 
-from __future__ import annotations
+Scores are whole numbers of millimetres' worth, so their sums don't depend on the order in which blocks are composed, and ties are real ties.
+"""
 
-import heapq
-import math
+from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_2d
-from .search import csr
-from .spatial import cell_at, cells_near
-from .tours import _batched, _runs
+from .chains import scan
+from .network import stored
+from .running import running_totals
+from .search import shortest_paths
+from .spatial import cell_at, cells_near, nearest_anywhere
 
 # Fixed values of the model: error of a position and of distances along the network, in metres; and candidates of a point.
 SIGMA, BETA, CANDIDATES = 4.07, 3.0, 10
-MATCHED = "track_id long, seq long, u long, v long, lon double, lat double, residual_m double"
+#: The model's terms, residual^2 / (2 SIGMA^2) and difference / BETA, in millimetres and times 1e6 * 30 * SIGMA^2: 15 * mm^2 and 165,649 * mm, both whole.
+PER_SQUARE_MM, PER_MM = 15, round(10_000 * SIGMA * SIGMA)
+#: Stands for impossible; two of them can be added.
+NEVER = -(1 << 60)
+
+
+def _mm(metres: str | Column) -> Column:
+    return F.round((F.col(metres) if isinstance(metres, str) else metres) * 1000).cast("long")
 
 
 def edge_candidates(points: DataFrame, segments: DataFrame, radius_m: float = 35.0) -> DataFrame:
     """The nearest CANDIDATES segments(u, v, lon1, lat1, lon2, lat2) within radius_m of each of points(track_id, seq, lon, lat).
 
-    Columns track_id, seq, plon, plat, u, v, lon, lat (the foot point), residual_m, share (of the segment), length_m.
+    Columns track_id, seq, plon, plat, u, v, lon, lat (the foot point), residual_m, share (of the segment), length_m, place (from 1, by
+    residual in millimetres, then u, v) and, where segments have z1 and z2, the foot point's z.
     """
     ends = (F.least("lon1", "lon2"), F.greatest("lon1", "lon2"), F.least("lat1", "lat2"), F.greatest("lat1", "lat2"))
-    offered = segments.select("u", "v", "lon1", "lat1", "lon2", "lat2").withColumn("cell", F.explode(cells_near(*ends, radius_m, 2 * radius_m)))
+    heights = ["z1", "z2"] if "z1" in segments.columns else []
+    offered = segments.select("u", "v", "lon1", "lat1", "lon2", "lat2", *heights).withColumn("cell", F.explode(cells_near(*ends, radius_m, 2 * radius_m)))
     placed = points.select("track_id", "seq", F.col("lon").alias("plon"), F.col("lat").alias("plat")).withColumn("cell", cell_at("plon", "plat", 2 * radius_m))
     k = F.cos(F.radians((F.col("lat1") + F.col("lat2")) / 2))
     ex, ey = (F.col("lon2") - F.col("lon1")) * k, F.col("lat2") - F.col("lat1")
@@ -34,99 +44,108 @@ def edge_candidates(points: DataFrame, segments: DataFrame, radius_m: float = 35
     near = placed.join(offered, "cell").withColumn("share", share)
     near = near.withColumns({"lon": F.col("lon1") + F.col("share") * (F.col("lon2") - F.col("lon1")), "lat": F.col("lat1") + F.col("share") * (F.col("lat2") - F.col("lat1"))})
     near = near.withColumns({"residual_m": haversine_2d("plon", "plat", "lon", "lat"), "length_m": haversine_2d("lon1", "lat1", "lon2", "lat2")}).where(F.col("residual_m") <= radius_m)
-    place = F.row_number().over(Window.partitionBy("track_id", "seq").orderBy("residual_m", "u", "v"))
-    return near.withColumn("place", place).where(F.col("place") <= CANDIDATES).select("track_id", "seq", "plon", "plat", "u", "v", "lon", "lat", "residual_m", "share", "length_m")
-
-
-def _metres(a, b) -> float:
-    k = math.cos(math.radians((a[1] + b[1]) / 2))
-    return math.hypot((b[0] - a[0]) * k * 111195.08, (b[1] - a[1]) * 111195.08)
-
-
-def _reach(starts, targets, costs, c, bound: float) -> dict[int, float]:
-    """Metres to every node within the bound, from a place on an edge, whatever its direction."""
-    best: dict[int, float] = {}
-    heap = [(c["share"] * c["length_m"], c["u"]), ((1 - c["share"]) * c["length_m"], c["v"])]
-    heapq.heapify(heap)
-    while heap:
-        d, u = heapq.heappop(heap)
-        if d > bound or best.get(u, math.inf) <= d:
-            continue
-        best[u] = d
-        for k in range(starts[u], starts[u + 1]):
-            if d + costs[k] < best.get(targets[k], math.inf):
-                heapq.heappush(heap, (d + costs[k], targets[k]))
-    return best
-
-
-def _between(a, b, reach) -> float:
-    if {a["u"], a["v"]} == {b["u"], b["v"]}:
-        return abs(b["share"] - (a["share"] if a["u"] == b["u"] else 1 - a["share"])) * b["length_m"]
-    return min(reach.get(b["u"], math.inf) + b["share"] * b["length_m"], reach.get(b["v"], math.inf) + (1 - b["share"]) * b["length_m"])
-
-
-def decode(times: list[list[dict]], graph, radius_m: float) -> list[dict]:
-    """The likeliest candidate of each time: distance to the street against the difference of straight and network distances."""
-    emit = lambda c: -0.5 * (c["residual_m"] / SIGMA) ** 2
-    score, back = [[emit(c) for c in times[0]]], []
-    for before, now in zip(times, times[1:]):
-        straight = _metres(before[0]["p"], now[0]["p"])
-        bound = 3 * straight + 4 * radius_m
-        reach = [_reach(*graph, c, bound) for c in before]
-        rows, picks = [], []
-        for c in now:
-            tried = []
-            for j, p in enumerate(before):
-                along = _between(p, c, reach[j])
-                if not math.isfinite(along):
-                    along = bound + _metres((p["lon"], p["lat"]), (c["lon"], c["lat"]))
-                tried.append(score[-1][j] - abs(straight - along) / BETA)
-            best = int(np.argmax(tried))
-            picks.append(best)
-            rows.append(tried[best] + emit(c))
-        score.append(rows)
-        back.append(picks)
-    k = int(np.argmax(score[-1]))
-    out = [times[-1][k]]
-    for t in range(len(back) - 1, -1, -1):
-        k = back[t][k]
-        out.append(times[t][k])
-    return out[::-1]
-
-
-def match_tracks(candidates: DataFrame, edges: DataFrame, radius_m: float = 35.0) -> DataFrame:
-    """MATCHED rows of edge_candidates() over edges(u, v, cost in metres), which are taken both ways.
-
-    A track is decoded in one task in the order of its points; points without a candidate are left out.
-    The graph is broadcast as arrays, as for shortest paths.
-    """
-    both = edges.select("u", "v", "cost").union(edges.select("v", "u", "cost")).groupBy("u", "v").agg(F.min("cost").alias("cost"))
-    shared = edges.sparkSession.sparkContext.broadcast(csr(both))
-    names = ["track_id", "seq", "plon", "plat", "u", "v", "lon", "lat", "residual_m", "share", "length_m"]
+    place = F.row_number().over(Window.partitionBy("track_id", "seq").orderBy(_mm("residual_m"), "u", "v"))
+    z = [(F.col("z1") + F.col("share") * (F.col("z2") - F.col("z1"))).alias("z")] if heights else []
+    return near.withColumn("place", place).where(F.col("place") <= CANDIDATES).select("track_id", "seq", "plon", "plat", "u", "v", "lon", "lat", "residual_m", "share", "length_m", "place", *z)
 
-    def run(frames):
-        ids, starts, targets, costs = shared.value
-        graph = starts.tolist(), targets.tolist(), costs.tolist()
 
-        def matched(track, rows):
-            times: dict[int, list[dict]] = {}
-            for r in rows:
-                c = dict(zip(names[1:], r))
-                c |= {"p": (c["plon"], c["plat"]), "u": int(np.searchsorted(ids, c["u"])), "v": int(np.searchsorted(ids, c["v"]))}
-                times.setdefault(c["seq"], []).append(c)
-            for seq, c in zip(times, decode(list(times.values()), graph, radius_m)):
-                yield track, seq, int(ids[c["u"]]), int(ids[c["v"]]), c["lon"], c["lat"], c["residual_m"]
+def numbered(points: DataFrame) -> DataFrame:
+    """points(track_id, seq, lon, lat) that have a place, with n from 0 in the order of seq, for tracks of two points or more; seq is unique in a track."""
+    known = points.where(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) <= {most}" for c, most in (("lon", 180), ("lat", 90))))
+    counted = stored(running_totals(known, ["track_id", "seq"], {"n": "1L"}), "points")
+    ends = counted.groupBy("track_id").agg(F.min("n").alias("first"), F.count("*").alias("points")).where("points > 1")
+    return counted.join(ends, "track_id").withColumn("n", F.col("n") - F.col("first")).drop("first", "points")
 
-        rows = (row for track, group in _runs(frames, "track_id", names[1:]) for row in matched(track, group))
-        yield from _batched(rows, [c.split()[0] for c in MATCHED.split(", ")])
 
-    ordered = candidates.select(names).repartition("track_id").sortWithinPartitions("track_id", "seq", "residual_m", "u", "v")
-    return ordered.mapInPandas(run, MATCHED)
+def _candidates(points: DataFrame, segments: DataFrame, nodes: DataFrame, radius_m: float) -> DataFrame:
+    """edge_candidates() of points(track_id, seq, n, lon, lat), with n; a point without one has the nearest of nodes(node, lon, lat[, z])."""
+    found = stored(edge_candidates(points, segments, radius_m), "candidates")
+    bare = points.join(found.select("track_id", "seq"), ["track_id", "seq"], "left_anti").select("track_id", "seq", "lon", "lat")
+    near = nearest_anywhere(bare, nodes.select("node", "lon", "lat"), "node", radius_m)
+    near = near.withColumnsRenamed({"lon": "plon", "lat": "plat"}).join(nodes, "node").select("track_id", "seq", "plon", "plat", F.col("node").alias("u"), F.col("node").alias("v"), "lon", "lat", F.col("distance_m").alias("residual_m"), F.lit(0.0).alias("share"), F.lit(1.0).alias("length_m"), F.lit(1).alias("place"), *(["z"] if "z" in found.columns else []))
+    return found.unionByName(near).join(points.select("track_id", "seq", "n"), ["track_id", "seq"])
 
 
-def match_summary(matched: DataFrame) -> DataFrame:
-    """Points, mean residual and matched metres of each track."""
-    w = Window.partitionBy("track_id").orderBy("seq")
-    hop = haversine_2d(F.lag("lon").over(w), F.lag("lat").over(w), "lon", "lat")
-    return matched.withColumn("hop", hop).groupBy("track_id").agg(F.count("*").alias("points"), F.avg("residual_m").alias("mean_error_m"), F.sum("hop").alias("metres"))
+def hop_metres(candidates: DataFrame, edges: DataFrame, radius_m: float) -> DataFrame:
+    """(track_id, n, i, j, straight, along): metres from candidate i of point n - 1 to candidate j of point n, in a straight line between the points and along edges(u, v, cost), taken both ways.
 
+    Ways longer than 3 x straight + 4 x radius_m aren't searched: that bound plus the distance of the two places stands for them. The
+    search starts once from each node, as far as the farthest of all candidates around it asks, so tracks along one street share it.
+    """
+    side = lambda s, n: candidates.select("track_id", (F.col("n") + n).alias("n"), *(F.col(c).alias(f"{s}_{c}") for c in ("place", "plon", "plat", "u", "v", "lon", "lat", "share", "length_m")))
+    straight = haversine_2d("a_plon", "a_plat", "b_plon", "b_plat")
+    hops = side("a", 1).join(side("b", 0), ["track_id", "n"]).withColumn("straight", straight).withColumn("bound", 3 * F.col("straight") + 4 * radius_m)
+    same = F.sort_array(F.array("a_u", "a_v")) == F.sort_array(F.array("b_u", "b_v"))
+    ahead = F.abs(F.col("b_share") - F.when(F.col("a_u") == F.col("b_u"), F.col("a_share")).otherwise(1 - F.col("a_share"))) * F.col("b_length_m")
+    part = lambda s, end: (F.col(f"{s}_share") if end == "u" else 1 - F.col(f"{s}_share")) * F.col(f"{s}_length_m")
+    hops = hops.withColumn("same", F.when(same, ahead)).select("track_id", "n", F.col("a_place").alias("i"), F.col("b_place").alias("j"), "straight", "bound", "same", haversine_2d("a_lon", "a_lat", "b_lon", "b_lat").alias("apart"), F.array(*(F.struct(F.col(f"a_{x}").alias("tree"), F.col(f"b_{y}").alias("node"), part("a", x).alias("out"), part("b", y).alias("into")) for x in "uv" for y in "uv")).alias("ways"))
+    hops = stored(hops, "hops")
+    ways = hops.where("same is null").select("track_id", "n", "i", "j", "bound", F.inline("ways"))
+    starts = ways.groupBy(F.col("tree").alias("origin")).agg(F.max(F.col("bound") - F.col("out")).alias("most")).where("most >= 0")
+    both = edges.select("u", "v", "cost").union(edges.select("v", "u", "cost"))
+    reach = shortest_paths(both, stored(starts, "starts")).select(F.col("origin").alias("tree"), "node", F.col("cost").alias("way"))
+    along = ways.join(reach, ["tree", "node"]).where(F.col("out") + F.col("way") <= F.col("bound")).groupBy("track_id", "n", "i", "j").agg(F.min(F.col("out") + F.col("way") + F.col("into")).alias("along"))
+    return hops.drop("ways").join(along, ["track_id", "n", "i", "j"], "left").select("track_id", "n", "i", "j", "straight", F.coalesce("same", "along", F.col("bound") + F.col("apart")).alias("along"))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def _from_best(scores: Column) -> Column:
+    """Scores less the best of them, so that they stay small on tracks of any length."""
+    return F.transform(F.array(scores), lambda s: F.transform(s, lambda x: F.greatest(x - F.array_max(s), F.lit(NEVER))))[0]
+
+
+def _step(state: Column, f: Column) -> Column:
+    return _from_best(F.transform(f, lambda row: F.array_max(_sum(state, row))))
+
+
+def _both(f: Column, g: Column) -> Column:
+    """Best scores over two steps: a product of matrices in which sums are products and maxima are sums."""
+    none = F.array_repeat(F.lit(NEVER).cast("long"), CANDIDATES)
+    least = lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y))
+    return F.transform(g, lambda row: F.aggregate(F.zip_with(row, f, lambda w, before: F.transform(before, lambda x: x + w)), none, least))
+
+
+def decode(hops: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(track_id, n, place): the likeliest candidate of each point; of equal ones the first, judged from the end of the track."""
+    emit = candidates.select("track_id", "n", F.col("place").alias("j"), F.when((F.col("u") != F.col("v")), -PER_SQUARE_MM * _mm("residual_m") * _mm("residual_m")).otherwise(0).alias("emit"))  # a nearest node is alone
+    moves = hops.select("track_id", "n", "i", "j", (-PER_MM * F.abs(_mm("straight") - _mm("along"))).alias("move"))
+    starts = emit.where("n = 0").select("track_id", "n", F.lit(1).alias("i"), "j", F.lit(0).cast("long").alias("move"))
+    scored = moves.union(starts).join(emit, ["track_id", "n", "j"]).withColumn("score", F.col("move") + F.col("emit"))
+    rows = scored.groupBy("track_id", "n", "j").agg(F.array(*(F.coalesce(F.max(F.when(F.col("i") == i, F.col("score"))), F.lit(NEVER)) for i in range(1, CANDIDATES + 1))).alias("row"))
+    never = F.array_repeat(F.lit(NEVER).cast("long"), CANDIDATES)
+    f = F.array(*(F.coalesce(F.max(F.when(F.col("j") == j, F.col("row"))), never) for j in range(1, CANDIDATES + 1)))
+    steps = stored(rows.groupBy(F.col("track_id").alias("key"), F.col("n").alias("at")).agg(f.alias("f")), "steps")
+    first = steps.select("key").distinct().withColumn("state", F.array(F.lit(0).cast("long"), *[F.lit(NEVER).cast("long")] * (CANDIDATES - 1)))
+    states = stored(scan(steps, first, _step, _both), "scores")
+    best = lambda scores: F.array_position(scores, F.array_max(scores)).cast("int")
+    last = states.groupBy("key").agg(F.max("at").alias("last"), F.max_by("state", "at").alias("state")).withColumn("place", best(F.col("state")))
+    before = steps.join(states.select("key", (F.col("at") + 1).alias("at"), "state"), ["key", "at"]).join(last.select("key", "last"), "key")
+    back = before.select("key", (F.col("last") - F.col("at")).alias("at"), F.transform("f", lambda row: best(_sum(F.col("state"), row))).alias("f"))
+    ways = scan(back, last.select("key", F.col("place").alias("state")), lambda place, f: F.element_at(f, place), lambda f, g: F.transform(f, lambda place: F.element_at(g, place)))
+    found = ways.join(last.select("key", "last"), "key").select("key", (F.col("last") - F.col("at") - 1).alias("n"), F.col("state").alias("place"))
+    return found.union(last.select("key", F.col("last").alias("n"), "place")).withColumnRenamed("key", "track_id")
+
+
+def match_tracks(points: DataFrame, segments: DataFrame, nodes: DataFrame, radius_m: float = 35.0) -> DataFrame:
+    """(track_id, seq, n, u, v, lon, lat, residual_m[, z]): points(track_id, seq, lon, lat) on the streets they most likely followed.
+
+    segments(u, v, lon1, lat1, lon2, lat2[, z1, z2]) are taken both ways; nodes(node, lon, lat[, z]). Points without a street within radius_m take
+    the nearest node (u = v). Points without a place, and tracks of fewer than two points, are left out; z is read off the streets.
+    """
+    points = stored(numbered(points.select("track_id", "seq", "lon", "lat")), "points")
+    candidates = stored(_candidates(points, segments, nodes, radius_m), "candidates")
+    edges = segments.select("u", "v", haversine_2d("lon1", "lat1", "lon2", "lat2").alias("cost"))
+    chosen = decode(hop_metres(candidates, edges, radius_m), candidates)
+    return candidates.join(chosen, ["track_id", "n", "place"]).select("track_id", "seq", "n", "u", "v", "lon", "lat", "residual_m", *(["z"] if "z" in candidates.columns else []))
+
+
+def match_summary(matched: DataFrame) -> DataFrame:
+    """Points, mean residual, matched metres and, where there are heights, climb of each track of match_tracks()."""
+    heights = "z" in matched.columns
+    before = matched.select("track_id", (F.col("n") + 1).alias("n"), F.col("lon").alias("lon0"), F.col("lat").alias("lat0"), *([F.col("z").alias("z0")] if heights else []))
+    gain = [F.sum(F.greatest(F.lit(0.0), F.col("z") - F.col("z0"))).alias("gain_m")] if heights else []
+    both = matched.join(before, ["track_id", "n"], "left").withColumn("hop", haversine_2d("lon0", "lat0", "lon", "lat"))
+    return both.groupBy("track_id").agg(F.count("*").alias("points"), F.avg("residual_m").alias("mean_error_m"), F.sum("hop").alias("metres"), *gain)

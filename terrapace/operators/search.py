@@ -63,10 +63,11 @@ def search(starts: list, targets: list, costs: list, origin: int, limit: float,
 
 
 def shortest_paths(edges: DataFrame, origins: DataFrame, limit: float = float("inf"), goals: DataFrame | None = None) -> DataFrame:
-    """(origin, node, cost, pred) for all nodes within limit of origins(origin), or of the goals(node) only."""
+    """(origin, node, cost, pred) for all nodes within limit of origins(origin), or of the goals(node) only. Origins may have a limit of their own, `most`."""
+    origins = origins.groupBy(F.col("origin").cast("long").alias("origin")).agg(F.max("most" if "most" in origins.columns else F.lit(float(limit))).alias("most"))
     edges = stored(edges.select("u", "v", "cost"), "edges")
     if edges.count() > MOST_BROADCAST_EDGES:
-        return relaxed_paths(edges, origins, limit) if goals is None else relaxed_paths(edges, origins, limit).join(goals, "node", "left_semi").select("origin", "node", "cost", "pred")
+        return relaxed_paths(edges, origins) if goals is None else relaxed_paths(edges, origins).join(goals, "node", "left_semi").select("origin", "node", "cost", "pred")
     spark = edges.sparkSession
     ids, starts, targets, costs = csr(edges)
     wanted = goal_ids = None
@@ -79,43 +80,45 @@ def shortest_paths(edges: DataFrame, origins: DataFrame, limit: float = float("i
         ids, starts, targets, costs = shared.value
         lists = starts.tolist(), targets.tolist(), costs.tolist()
         for frame in frames:
-            for origin in frame["origin"].tolist():
+            for origin, most in zip(frame["origin"].tolist(), frame["most"].tolist()):
                 at = int(np.searchsorted(ids, origin))
                 if at >= len(ids) or ids[at] != origin:  # a node without edges reaches itself
                     if goal_ids is None or origin in goal_ids:
                         yield pd.DataFrame({"origin": [origin], "node": [origin], "cost": [0.0], "pred": [-1]})
                     continue
-                done, pred = search(*lists, at, limit, wanted)
+                done, pred = search(*lists, at, most, wanted)
                 picked = [n for n in done if wanted is None or n in wanted]
                 yield pd.DataFrame({"origin": origin, "node": ids[picked], "cost": [done[n] for n in picked], "pred": [int(ids[pred[n]]) if pred[n] >= 0 else -1 for n in picked]})
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return origins.select(F.col("origin").cast("long")).distinct().repartition(n).mapInPandas(run, TREE)  # dealt evenly, not by hash
+    return origins.repartition(n).mapInPandas(run, TREE)  # dealt evenly, not by hash
 
 
 def relaxed_paths(edges: DataFrame, origins: DataFrame, limit: float = float("inf")) -> DataFrame:
     """The same by joins, for graphs of any size."""
-    starts = origins.select("origin").distinct().select(F.col("origin").alias("tree"), F.col("origin").alias("node"))
+    own = ["most"] if "most" in origins.columns else []
+    starts = origins.select("origin", *own).distinct().select(F.col("origin").alias("tree"), F.col("origin").alias("node"), *own)
     return relaxed_trees(edges, starts, limit).withColumnRenamed("tree", "origin")
 
 
 def relaxed_trees(edges: DataFrame, starts: DataFrame, limit: float = float("inf"), dear: DataFrame | None = None, factor: float = 1.0, rounds: int = 100_000) -> DataFrame:
     """(tree, node, cost, pred) of the search from each of starts(tree, node): every round relaxes the nodes that improved in the last one, and stores only what improves.
 
-    Edges of dear(tree, u, v) cost factor times more in their tree; infinite: they are shut.
+    Edges of dear(tree, u, v) cost factor times more in their tree; infinite: they are shut. Starts may have a limit of their own, `most`.
     """
     edges = stored(edges.where("cost is not null").groupBy("u", "v").agg(F.min("cost").alias("w")), "edges")
-    first = starts.select("tree", "node", F.lit(0.0).alias("cost"), F.lit(-1).cast("long").alias("pred"))
+    own = ["most"] if "most" in starts.columns else []
+    first = starts.select("tree", "node", F.lit(0.0).alias("cost"), F.lit(-1).cast("long").alias("pred"), *own)
     found = Rounds(first, "paths")
     front = found.last()
     for _ in range(rounds):
         if not front.take(1):
             break
-        tried = front.join(edges, front["node"] == edges["u"]).select("tree", "u", "v", "cost", "w")
+        tried = front.join(edges, front["node"] == edges["u"]).select("tree", "u", "v", "cost", "w", *own)
         if dear is not None:
             tried = tried.join(dear.withColumn("dear", F.lit(True)), ["tree", "u", "v"], "left").withColumn("w", F.when(F.col("dear"), F.col("w") * factor).otherwise(F.col("w")))
-        tried = tried.select("tree", F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("u").alias("pred")).where((F.col("cost") <= limit) & (F.col("cost") < float("inf")))
-        tried = tried.groupBy("tree", "node").agg(F.min(F.struct("cost", "pred")).alias("b")).select("tree", "node", "b.*")
+        tried = tried.select("tree", F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("u").alias("pred"), *own).where((F.col("cost") <= (F.col("most") if own else limit)) & (F.col("cost") < float("inf")))
+        tried = tried.groupBy("tree", "node").agg(F.min(F.struct("cost", "pred", *own)).alias("b")).select("tree", "node", "b.*")
         known = found.all().groupBy("tree", "node").agg(F.min("cost").alias("had"))
         front = found.add(tried.join(known, ["tree", "node"], "left").where("had is null or cost < had"))
     else:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import METRES_PER_DEGREE_LAT, haversine_2d
+from .network import stored
 
 CELL = "struct<b: bigint, c: bigint>"
 
@@ -76,6 +77,23 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, radius_
     return best.select(key, F.col(f"__best.{right_key}").alias(right_key), F.col("__best.__d").alias("distance_m"))
 
 
+def nearest_anywhere(left: DataFrame, right: DataFrame, right_key: str, radius_m: float) -> DataFrame:
+    """left(lon, lat, ...) with the nearest right_key at any distance (ties to the smallest) and distance_m; no rows where right is empty.
+
+    Distinct places are searched, within radius_m at first; those that found nothing are searched again, twice as far each time.
+    """
+    left = stored(left, "left")
+    right, open_, found = stored(right, "right"), left.select("lon", "lat").distinct(), None
+    while radius_m < 4.1e7 and right.take(1) and open_.take(1):
+        near = within(open_, right, radius_m, "distance_m").groupBy("lon", "lat").agg(F.min(F.struct("distance_m", right_key)).alias("b"))
+        near = stored(near.select("lon", "lat", F.col(f"b.{right_key}").alias(right_key), "b.distance_m"), "near")
+        found = near if found is None else found.union(near)
+        open_ = stored(open_.join(near, ["lon", "lat"], "left_anti"), "open")
+        radius_m *= 2
+    empty = right.select(F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"), right_key, F.lit(0.0).alias("distance_m")).limit(0)
+    return left.join(empty if found is None else found, ["lon", "lat"])
+
+
 def as_of_forward(left: DataFrame, right: DataFrame, by: str, at: str, event: str, pick: str) -> DataFrame:
     """left with the first right row of equal `by` whose `event` is at or after `at`: one sort of both sides, no range join.
 

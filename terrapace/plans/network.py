@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.impedance import edge_cost, travel_seconds
 from ..functions import access
-from ..functions.geo import haversine_2d
 from ..functions.profiles import profiles, turn_models
-from ..operators import corridor, matching, network, polyline, running, search, spatial
+from ..operators import corridor, network, polyline, running, search, spatial
 from ..sources.fixtures import view, with_views
 from .scalar import sql_haversine
 
@@ -175,16 +174,6 @@ p AS (SELECT count(*) AS components, max(n) AS largest FROM (SELECT count(*) AS
 SELECT segments, allowed, nodes, components, round(100e0 * largest / nodes, 4) AS largest_pct, 100e0 * largest / nodes >= 80 AS ready FROM c, n, p"""
 
 
-def _matched(spark, sf_dir):
-    segments = _segments(spark, sf_dir)
-    candidates = matching.edge_candidates(view(spark, sf_dir, "tracks").select("track_id", "seq", "lon", "lat"), segments)
-    edges = segments.select("u", "v", haversine_2d("lon1", "lat1", "lon2", "lat2").alias("cost"))
-    return matching.match_summary(matching.match_tracks(candidates, edges)).select("track_id", "points", F.round("mean_error_m", 4).alias("mean_error_m"), F.round("metres", 3).alias("metres"))
-
-
-QUERIES["g25_map_matching"] = _matched
-
-
 def _snapped(spark, sf_dir, name: str, key: str):
     nodes = view(spark, sf_dir, "grid_nodes").select("node_id", "lon", "lat")
     return spatial.nearest(view(spark, sf_dir, name).select(key, "lon", "lat"), nodes, key, "node_id", 1000.0).select(key, "node_id")
