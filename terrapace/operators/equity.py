@@ -22,11 +22,14 @@ def gaussian_decay(distance: Column, radius_m: float) -> Column:
 
 def access_scores(zones: DataFrame, facilities: DataFrame, radius_m: float = 1500.0) -> DataFrame:
     """zones(zone_id, lon, lat, population) with score; facilities(facility_id, lon, lat, capacity)."""
-    near = within(zones, facilities, radius_m).withColumn("w", gaussian_decay(F.col("distance_m"), radius_m)).select("zone_id", "population", "facility_id", "capacity", "w")
-    ratio = near.groupBy("facility_id").agg(F.sum(F.col("population") * F.col("w")).alias("demand"), F.first("capacity").alias("c"))
-    ratio = ratio.select("facility_id", F.when(F.col("demand") > 0, F.col("c") / F.col("demand")).otherwise(0.0).alias("ratio"))
-    score = near.join(ratio, "facility_id").groupBy("zone_id").agg(F.sum(F.col("ratio") * F.col("w")).alias("score"))
-    return zones.join(score, "zone_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    # All zones of a place have one score, and all facilities of a place one demand; so pairs are of places, however many rows share them.
+    homes = zones.groupBy("lon", "lat").agg(F.sum("population").alias("population"))
+    sites = facilities.groupBy("lon", "lat").agg(F.sum("capacity").alias("capacity"))
+    near = stored(within(homes, sites, radius_m).withColumn("w", gaussian_decay(F.col("distance_m"), radius_m)).select("lon", "lat", "population", "lon_r", "lat_r", "capacity", "w"), "near")
+    demand = near.groupBy("lon_r", "lat_r").agg(F.sum(F.col("population") * F.col("w")).alias("demand"), F.first("capacity").alias("c"))
+    ratio = demand.select("lon_r", "lat_r", F.when(F.col("demand") > 0, F.col("c") / F.col("demand")).otherwise(0.0).alias("ratio"))
+    score = near.join(ratio, ["lon_r", "lat_r"]).groupBy("lon", "lat").agg(F.sum(F.col("ratio") * F.col("w")).alias("score"))
+    return zones.join(score, ["lon", "lat"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def _ranked(scores: DataFrame) -> DataFrame:
