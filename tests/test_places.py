@@ -21,6 +21,13 @@ def test_the_few_nearest_of_crowded_places(spark):
     assert got == sorted(tuple(r) for r in want)
 
 
+def test_nearest_takes_the_smaller_key_where_distances_agree_to_a_micrometre(spark):
+    left = spark.createDataFrame([(1, 27.0, 38.0)], "a long, lon double, lat double")
+    right = spark.createDataFrame([(9, 27.0, 38.001), (5, 27.0, 37.999 - 1e-13), (7, 27.0, 38.001)], "b long, lon double, lat double")
+    row = spatial.nearest(left, right, "a", "b", 500.0).first()
+    assert row.b == 5 and abs(row.distance_m - 111.2) < 0.1
+
+
 def test_access_scores_of_shared_places_pair_places_only(spark):
     zones = frame(spark, "zone_id", 40).withColumnRenamed("amount", "population")
     facilities = frame(spark, "facility_id", 30).withColumnRenamed("amount", "capacity")
