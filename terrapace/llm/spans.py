@@ -8,8 +8,8 @@ the sub-windows within a window), so equal windows always lie in spans of equal
 2. spans meet by minimiser. A minimiser that occurs once ends here, which is most of the data. Equal
    spans are settled by minimiser and BLAKE2 digest (64 bits each); of a minimiser with unlike spans, one of each kind is asked for;
 3. those spans' contents are cut from the documents, travel packed to the minimiser's bucket, and
-   an exact `resolve` finds the windows that they share. Buckets of a very common minimiser are split,
-   and each part's distinct windows meet again by digest;
+   an exact `resolve` finds the windows that they share. Spans of a very common minimiser are cut again by a longer one (`finer`),
+   whose buckets hold only what agrees on that; a bucket that is still large is decided in parts, and each part's distinct windows meet again by digest;
 4. the windows found are gathered per document, as ranges.
 
 Nothing is compared pairwise, and documents' texts are exchanged once (both joins use the same exchange).
@@ -36,6 +36,8 @@ MERGE_ROWS = 1 << 18
 CHARS = 1 << 20
 #: Rows of one minimiser that are held before a piece of them is decided.
 HOT = 200_000
+#: Times BUCKET: rows of one bucket of the longer minimiser that are resolved at a time.
+FINE = 64
 #: Spans that are resolved together at least; each may hold MOST_WINDOWS windows, and each window takes about a hundred bytes.
 RESOLVE_ROWS = 10_000
 
@@ -181,25 +183,73 @@ def _meet(first_stays: bool, bucket: int):
     return run
 
 
-def _cut(content: Callable):
+def _cut(content: Callable, finer: Windows | None):
+    columns = [c.split()[0] for c in CUT.split(", ")]
+
+    def again(rows: list[tuple]) -> Iterator[tuple]:
+        """Spans of very common minimisers, cut where the longer minimiser changes."""
+        for offset, least, _, at, _, text in finer([r[-1] for r in rows]):
+            start, stop = runs(least, text, at)
+            for h, k, i, n in zip(least[start].view(np.int64).tolist(), text[start].tolist(), (at[start] + offset).tolist(), (stop - start).tolist()):
+                _, _, _, key, first, most, kind, data = rows[k]
+                yield h, 0, 1, key, first + i, n, kind, data[i : len(data) - (most - i - n)]
+
+    def frame(rows):
+        common = [r for r in rows if r[2] > 1] if finer else []
+        return pd.DataFrame([r for r in rows if r[2] == 1] + list(again(common)) if common else rows, columns=columns)
+
     def run(frames):
-        for frame in frames:
+        for texts in frames:
             out = []
-            for key, text, wanted in zip(frame[KEY].tolist(), frame["__text"], frame["__wanted"]):
+            for key, text, wanted in zip(texts[KEY].tolist(), texts["__text"], texts["__wanted"]):
                 data = content(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b"")
                 out += [(w["h"], w["part"], w["parts"], key, w["start"], w["n"], w["kind"], data(w["start"], w["n"])) for w in wanted]
                 if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=[c.split()[0] for c in CUT.split(", ")])
+                    yield frame(out)
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in CUT.split(", ")])
+                yield frame(out)
 
     return run
 
 
-def _resolve(resolve: Resolve, window_bytes: Callable, first_stays: bool):
+def _pieces(frames, most: int) -> Iterator[pd.DataFrame]:
+    """As _groups() by bucket and part; groups of over `most` rows come in pieces, with 2 parts or more."""
+    held, large = [], None
+    for frame in frames:
+        if not len(frame):
+            continue
+        held.append(frame)
+        if sum(map(len, held)) < min(RESOLVE_ROWS, most):
+            continue
+        rows = pd.concat(held, ignore_index=True)
+        h, part = rows["h"].to_numpy(), rows["part"].to_numpy()
+        other = np.flatnonzero((h != h[-1]) | (part != part[-1]))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if len(rows) - cut > most:
+            if cut:
+                yield _marked(rows.iloc[:cut], large)
+            large = int(h[-1]), int(part[-1])
+            yield _marked(rows.iloc[cut:], large)
+            held = []
+        else:
+            if cut:
+                yield _marked(rows.iloc[:cut], large)
+            held = [rows.iloc[cut:]]
+    if held:
+        yield _marked(pd.concat(held, ignore_index=True), large)
+
+
+def _marked(rows: pd.DataFrame, large: tuple[int, int] | None) -> pd.DataFrame:
+    if large is None:
+        return rows
+    mine = ((rows["h"] == large[0]) & (rows["part"] == large[1])).to_numpy()
+    return rows.assign(parts=np.where(mine, np.maximum(rows["parts"].to_numpy(), 2), rows["parts"].to_numpy()))
+
+
+def _resolve(resolve: Resolve, window_bytes: Callable, first_stays: bool, most: int):
     def run(frames):
-        for frame in _groups(frames, ["h", "part"], RESOLVE_ROWS):
+        for frame in _pieces(frames, most):
             contents = frame["content"].tolist()
             n, key, start, kind, parts = (frame[c].to_numpy() for c in ("n", KEY, "start", "kind", "parts"))
             new = np.concatenate(([True], (frame["h"].to_numpy()[1:] != frame["h"].to_numpy()[:-1]) | (frame["part"].to_numpy()[1:] != frame["part"].to_numpy()[:-1])))
@@ -233,18 +283,19 @@ def _resolve(resolve: Resolve, window_bytes: Callable, first_stays: bool):
     return run
 
 
-def repeated_ranges(keyed: DataFrame, windows: Windows, content: Callable, resolve: Resolve, window_bytes: Callable, first_stays: bool, bucket: int = BUCKET) -> DataFrame:
+def repeated_ranges(keyed: DataFrame, windows: Windows, content: Callable, resolve: Resolve, window_bytes: Callable, first_stays: bool, bucket: int = BUCKET, finer: Windows | None = None) -> DataFrame:
     """(KEY, __ranges: array of (start, n)): windows start .. start + n - 1 of a document that are repeated.
 
     With first_stays, a window's first occurrence (by key, then start) is not among them. Documents
-    without repeated windows have no row.
+    without repeated windows have no row. finer: as windows, on contents and by longer sub-windows; spans of minimisers
+    with more than `bucket` kinds are cut by it.
     """
     n = partitions(keyed)
     spans = keyed.select(KEY, "__text").mapInPandas(tidied(_emit(windows, first_stays)), SPANS)
     met = stored(spans.repartition(n, "h").sortWithinPartitions("h", "s", KEY, "start").mapInPandas(tidied(_meet(first_stays, bucket)), MET), "met")
     wanted = met.where("kind >= 3").groupBy(KEY).agg(F.collect_list(F.struct("h", "part", "parts", "start", "n", "kind")).alias("__wanted"))
-    cut = keyed.select(KEY, "__text").join(wanted, KEY).mapInPandas(tidied(_cut(content)), CUT)
-    resolved = cut.repartition(n, "h", "part").sortWithinPartitions("h", "part").mapInPandas(tidied(_resolve(resolve, window_bytes, first_stays)), RESOLVED)
+    cut = keyed.select(KEY, "__text").join(wanted, KEY).mapInPandas(tidied(_cut(content, finer)), CUT)
+    resolved = cut.repartition(n, "h", "part").sortWithinPartitions("h", "part").mapInPandas(tidied(_resolve(resolve, window_bytes, first_stays, FINE * bucket)), RESOLVED)
     again = F.expr("row_number() over (partition by digest order by __key, start) > 1") if first_stays else F.expr("count(*) over (partition by digest) > 1")
     resolved = resolved.withColumn("again", again).where("kind = 0 or again")
     settled = met.where("kind = 2").select(KEY, "start", "n").union(resolved.select(KEY, "start", "n"))

@@ -198,6 +198,6 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = Keyed(docs, id_col, [F.col(text_col).alias("__text")], ["__text"])
     base = keyed.df.select(KEY, "__text").where(F.col(KEY).isNotNull())
     fixed = {"size": size}
-    ranges = repeated_ranges(base, partial(_windows, size=size, sub=min(sub, size)), partial(_content, **fixed), partial(_resolve, **fixed), partial(_window_bytes, **fixed), first_stays=True, bucket=bucket)
+    ranges = repeated_ranges(base, partial(_windows, size=size, sub=min(sub, size)), partial(_content, **fixed), partial(_resolve, **fixed), partial(_window_bytes, **fixed), first_stays=True, bucket=bucket, finer=partial(_windows, size=size, sub=max(min(sub, size), size * 4 // 5)))
     out = base.join(ranges, KEY, "left").mapInPandas(tidied(_apply(size)), "__key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return keyed.restore(out, {KEY: "doc_id"}).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

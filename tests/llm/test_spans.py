@@ -136,3 +136,28 @@ def test_many_unlike_spans_of_a_minimiser_come_in_pieces(spark, monkeypatch):
 def test_no_documents(spark):
     assert drop_repeated_windows(spark.createDataFrame([], SCHEMA)).count() == 0
     assert drop_repeated_bytes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def around(phrase, docs, seed=3):
+    r = random.Random(seed)
+    other = lambda: "".join(r.choice("abcdefghij") for _ in range(70))
+    return [(i, other() + phrase + other(), 1, "x", 2) for i in range(docs)]
+
+
+def test_a_common_minimiser_is_cut_by_a_longer_one():
+    texts = [t.encode() for _, t, *_ in around("=the same phrase of forty bytes, or so.=", 300)]
+    wanted = [[{"h": 1, "part": k // 8, "parts": 38, "start": 0, "n": len(t) - 99, "kind": 3}] for k, t in enumerate(texts)]
+    frame = spans.pd.DataFrame({"__key": range(300), "__text": [t.decode() for t in texts], "__wanted": wanted})
+    cut = spans.pd.concat(spans._cut(suffix_dedup.partial(suffix_dedup._content, size=100), suffix_dedup.partial(suffix_dedup._windows, size=100, sub=80))([frame]))
+    assert cut["n"].sum() == sum(len(t) - 99 for t in texts) and all(len(c) == n + 99 for c, n in zip(cut["content"], cut["n"]))
+    assert all(texts[k][a : a + len(c)] == c for k, a, c in zip(cut["__key"], cut["start"], cut["content"]))
+    done = spans._resolve(suffix_dedup.partial(suffix_dedup._resolve, size=100), suffix_dedup.partial(suffix_dedup._window_bytes, size=100), True, 64)([cut.sort_values(["h", "part"])])
+    assert sum(map(len, done)) == 0  # no window is sent on by itself
+
+
+@pytest.mark.parametrize("length", [40, 85, 130])
+def test_a_phrase_among_many_others_is_resolved_in_pieces(spark, length):
+    rows = around(("=so it is said, and read, and written again and again by all who come" * 2)[:length], 150) + around("!" * 99, 20, 4)
+    rows += [(500 + i, rows[i * 7][1][i:], 1, "x", 2) for i in range(12)]
+    got = drop_repeated_bytes(spark.createDataFrame(rows, SCHEMA).repartition(5), bucket=1)
+    assert sorted((tuple(r)[:5] for r in got.collect()), key=repr) == brute_bytes(rows, 100)
