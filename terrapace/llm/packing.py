@@ -35,6 +35,8 @@ END = 2
 SIGNS = b".,;:!?#$%&*"
 #: Words whose ids a worker remembers.
 MOST_WORDS = 1 << 19
+#: Characters and new words that are tokenised together: what the tokenizer returns takes over a hundred bytes a token.
+CHARS, NEW_WORDS = 256 << 10, 4096
 
 PIECES = "__key long, __no_key boolean, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_length long, tier long, step_group long, ids binary"
 
@@ -110,7 +112,9 @@ class WordTokenizer:
         at = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         new = np.flatnonzero(at < 0).tolist()
         if new:
-            self.add(list(dict.fromkeys([words[i] for i in new])))
+            fresh = list(dict.fromkeys([words[i] for i in new]))
+            for k in range(0, len(fresh), NEW_WORDS):
+                self.add(fresh[k : k + NEW_WORDS])
             at[new] = [self.index[words[i]] for i in new]
         size = self.size[at]
         ends = np.cumsum(size)
@@ -235,7 +239,7 @@ def _rows(keys: list[tuple[int, bool]], ids: list[np.ndarray], part: int, pool:
 def packer(path: str, longest: int, end: int, pool_tokens: int):
     def pieces(frames, encode):
         part, pool, keys, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
-        for group in batches(frames, "__text", 2 << 20):
+        for group in batches(frames, "__text", CHARS):
             for frame in group:
                 texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in frame["__text"]]
                 for key, no_key, x in zip(frame[KEY].tolist(), frame["__no_key"].tolist(), encode(texts)):
@@ -245,6 +249,7 @@ def packer(path: str, longest: int, end: int, pool_tokens: int):
                     if held >= pool_tokens:
                         yield _rows(keys, ids, part, pool, longest)
                         pool, keys, ids, held = pool + 1, [], [], 0
+                        give_back()
         if keys:
             yield _rows(keys, ids, part, pool, longest)
 
