@@ -129,15 +129,24 @@ def decode(hops: DataFrame, candidates: DataFrame) -> DataFrame:
     return found.union(last.select("key", F.col("last").alias("n"), "place")).withColumnRenamed("key", "track_id")
 
 
-def match_tracks(points: DataFrame, segments: DataFrame, nodes: DataFrame, radius_m: float = 35.0) -> DataFrame:
+def match_tracks(points: DataFrame, segments: DataFrame, nodes: DataFrame | None = None, radius_m: float = 35.0) -> DataFrame:
     """(track_id, seq, n, u, v, lon, lat, residual_m[, z]): points(track_id, seq, lon, lat) on the streets they most likely followed.
 
     segments(u, v, lon1, lat1, lon2, lat2[, z1, z2]) are taken both ways; nodes(node, lon, lat[, z]). Points without a street within radius_m take
     the nearest node (u = v). Points without a place, and tracks of fewer than two points, are left out; z is read off the streets.
+    Without nodes, points are candidates as edge_candidates() gives them, and segments the edges(u, v, cost) that ways follow.
     """
+    if nodes is None:
+        places = numbered(points.select("track_id", "seq", F.col("plon").alias("lon"), F.col("plat").alias("lat")).distinct())
+        candidates = stored(points.join(places.select("track_id", "seq", "n"), ["track_id", "seq"]), "candidates")
+        return _chosen(candidates, segments, radius_m)
     points = stored(numbered(points.select("track_id", "seq", "lon", "lat")), "points")
     candidates = stored(_candidates(points, segments, nodes, radius_m), "candidates")
     edges = segments.select("u", "v", haversine_2d("lon1", "lat1", "lon2", "lat2").alias("cost"))
+    return _chosen(candidates, edges, radius_m)
+
+
+def _chosen(candidates: DataFrame, edges: DataFrame, radius_m: float) -> DataFrame:
     chosen = decode(hop_metres(candidates, edges, radius_m), candidates)
     return candidates.join(chosen, ["track_id", "n", "place"]).select("track_id", "seq", "n", "u", "v", "lon", "lat", "residual_m", *(["z"] if "z" in candidates.columns else []))
 
