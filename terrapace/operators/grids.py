@@ -53,9 +53,12 @@ def cells(plan: DataFrame, key: str) -> DataFrame:
 
 
 def in_corridor(cells: DataFrame, key: str, segments: DataFrame, buffer_m: float) -> DataFrame:
-    """The cells whose centre is at most buffer_m from one of the segments(route_id, lon, lat, lon2, lat2) of their own key (= route_id)."""
+    """The cells whose centre is at most buffer_m from one of the segments(route_id, lon, lat, lon2, lat2) of their own key (= route_id).
+
+    Spark takes exploded rows for as few as their source's and would broadcast them, so the join is told to sort; a cell stops at its first near segment.
+    """
     ends = (F.least("lon", "lon2"), F.greatest("lon", "lon2"), F.least("lat", "lat2"), F.greatest("lat", "lat2"))
-    offered = segments.select(F.col("route_id").alias(key), "lon", "lat", "lon2", "lat2").withColumn("__cell", F.explode(cells_near(*ends, buffer_m, 4 * buffer_m)))
-    placed = cells.select(key, "row", "col", F.col("lon").alias("alon"), F.col("lat").alias("alat")).withColumn("__cell", cell_at("alon", "alat", 4 * buffer_m))
-    near = placed.join(offered, [key, "__cell"]).where(distance_to_segment("alon", "alat")[0] <= buffer_m)
-    return cells.join(near.select(key, "row", "col").distinct(), [key, "row", "col"])
+    offered = segments.select(F.col("route_id").alias("__key"), "lon", "lat", "lon2", "lat2").withColumn("__at", F.explode(cells_near(*ends, buffer_m, 4 * buffer_m)))
+    placed = cells.withColumnsRenamed({"lon": "alon", "lat": "alat"}).withColumn("__cell", cell_at("alon", "alat", 4 * buffer_m))
+    near = (F.col(key) == F.col("__key")) & (F.col("__cell") == F.col("__at")) & (distance_to_segment("alon", "alat")[0] <= buffer_m)
+    return placed.join(offered.hint("merge"), near, "left_semi").drop("__cell").withColumnsRenamed({"alon": "lon", "alat": "lat"})

@@ -74,3 +74,13 @@ def test_time_without_nodes_and_the_nearest_place(spark):
     got = {r.node: r.cost for r in costs.from_nearest(edges, spark.createDataFrame([(0,), (3,), (3,)], "node long")).collect()}
     assert got == {0: 0.0, 1: 2.0, 2: 1.0, 3: 0.0}
     assert costs.from_nearest(edges, spark.createDataFrame([], "node long")).count() == 0
+
+
+def test_exploded_cells_are_not_broadcast(spark):
+    boxes = spark.createDataFrame([(1, 27.0, 38.0, 27.01, 38.01)], "k long, west double, south double, east double, north double")
+    segments = spark.createDataFrame([(1, 27.001, 38.001, 27.009, 38.009), (1, 27.001, 38.009, 27.009, 38.001)], "route_id long, lon double, lat double, lon2 double, lat2 double")
+    cells = grids.cells(grids.plans(boxes, 0.0001, 5000), "k")
+    kept = grids.in_corridor(cells, "k", segments, 30.0)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "LeftSemi" in plan
+    assert kept.columns == cells.columns and kept.count() == kept.distinct().count() > 0
