@@ -10,8 +10,8 @@ from .spatial import cell_at, cells_near
 
 # Metres of a degree, the finest cell and the usual one in degrees, and the fewest cells of a side.
 METRES_PER_DEGREE, FINEST, USUAL, FEWEST = 111_320.0, 0.00005, 0.000277777777778, 8
-#: A cell grows by this factor until the grid fits its budget; the longest side of the earth with the finest cells takes fewer steps than GROWTHS.
-GROWTH, GROWTHS = 1.01, 1400
+#: A cell grows by this factor until the grid fits its budget; the longest side of the earth with the finest cells takes fewer than 2048 steps, the sum of HALVES and one.
+GROWTH, HALVES = 1.01, tuple(1 << k for k in reversed(range(11)))
 
 
 def extents(points: DataFrame, key: str, buffer_m: float = 0.0) -> DataFrame:
@@ -38,7 +38,8 @@ def plans(boxes: DataFrame, resolution_deg: float = USUAL, max_points: int = 25_
     size = lambda k: F.col("__first") * F.pow(F.lit(GROWTH), k)
     fits = lambda k: (cells(lon, size(k)) * cells(lat, size(k)) <= budget) | ((cells(lon, size(k)) <= FEWEST) & (cells(lat, size(k)) <= FEWEST))
     grown = boxes.withColumn("__first", first)
-    grown = grown.withColumn("res_deg", F.when(fits(F.lit(0)), F.col("__first")).otherwise(size(F.element_at(F.filter(F.sequence(F.lit(1), F.lit(GROWTHS)), fits), 1))))
+    # What fits keeps fitting as it grows, so the first size that fits is found by halves.
+    grown = grown.withColumn("res_deg", F.when(fits(F.lit(0)), F.col("__first")).otherwise(size(1 + F.aggregate(F.array(*map(F.lit, HALVES)), F.lit(0), lambda k, step: F.when(fits(k + step), k).otherwise(k + step)))))
     middle = F.radians((F.col("south") + F.col("north")) / 2.0)
     grown = grown.withColumns({"width": cells(lon, F.col("res_deg")), "height": cells(lat, F.col("res_deg")), "res_m": F.col("res_deg") * METRES_PER_DEGREE * F.sqrt(F.greatest(F.lit(0.05), F.cos(middle)))})
     return grown.withColumns({"points": F.col("width") * F.col("height"), "coarsened": F.col("res_deg") > resolution_deg * 1.0001}).drop("__first")

@@ -84,3 +84,14 @@ def test_exploded_cells_are_not_broadcast(spark):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "LeftSemi" in plan
     assert kept.columns == cells.columns and kept.count() == kept.distinct().count() > 0
+
+
+def test_the_first_size_that_fits_is_taken(spark):
+    boxes = [(k, 27.0, 38.0, 27.0 + 0.37 * k, 38.0 + 0.0011 * k * k) for k in range(1, 30)] + [(30, 0.0, 0.0, 2000.0, 0.0)]  # the last takes 1,423 steps
+    cells = lambda side, res: max(8, math.ceil(side / res))
+    for r in grids.plans(spark.createDataFrame(boxes, BOX), 0.0003, 64).collect():
+        lon, lat = max(1e-9, r.east - r.west), max(1e-9, r.north - r.south)
+        first = math.sqrt(lon * lat / 64) if (lon / 0.0003) * (lat / 0.0003) > 64 else 0.0003
+        sizes = [first] + [first * math.pow(1.01, k) for k in range(1, 2048)]
+        want = next(x for x in sizes if cells(lon, x) * cells(lat, x) <= 64)
+        assert math.isclose(r.res_deg, want, rel_tol=1e-9)
