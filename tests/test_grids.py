@@ -87,7 +87,7 @@ def test_exploded_cells_are_not_broadcast(spark):
 
 
 def test_the_first_size_that_fits_is_taken(spark):
-    boxes = [(k, 27.0, 38.0, 27.0 + 0.37 * k, 38.0 + 0.0011 * k * k) for k in range(1, 30)] + [(30, 0.0, 0.0, 2000.0, 0.0)]  # the last takes 1,423 steps
+    boxes = [(k, 27.0, 38.0, 27.0 + 0.37 * k, 38.0 + 0.0011 * k * k) for k in range(1, 30)] + [(30, 0.0, 0.0, 20000.0, 0.0)]  # the last takes over 1,400 steps
     cells = lambda side, res: max(8, math.ceil(side / res))
     for r in grids.plans(spark.createDataFrame(boxes, BOX), 0.0003, 64).collect():
         lon, lat = max(1e-9, r.east - r.west), max(1e-9, r.north - r.south)
