@@ -92,9 +92,12 @@ def thinned(points: DataFrame, key: str, spacing_m: float) -> DataFrame:
     """The keys of points(key, lon, lat) that stay when they are taken in order and each goes that has one that stayed nearer than spacing_m.
 
     That is the first independent set of the graph of near points, found in rounds: a point stays when all smaller neighbours are gone, and goes when one
-    stays. Rounds store what they decide; their number is the longest chain of decisions, not the number of points.
+    stays. Rounds store what they decide; their number is the longest chain of decisions, not the number of points. Of points of one place only the
+    first can stay, so the graph has its places. Points without a place stay.
     """
-    slim = points.select(key, "lon", "lat")
+    placed = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    firsts = points.where(placed).groupBy("lon", "lat").agg(F.min(key).alias(key)) if spacing_m > 0 else points.where(placed)
+    slim = stored(firsts.select(key, "lon", "lat").union(points.where(~placed).select(key, "lon", "lat")), "places")
     near = within(slim, slim.withColumnRenamed(key, "__k"), spacing_m, "__d").where((F.col("__d") < spacing_m) & (F.col(key) > F.col("__k")))
     edges = stored(near.select(F.col(key).alias("a"), F.col("__k").alias("b")), "near")
     free = slim.select(F.col(key).alias("p")).join(edges.select(F.col("a").alias("p")).distinct(), "p", "left_anti")

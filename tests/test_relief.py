@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from terrapace.operators import relief
+from terrapace.operators import relief, spatial
 
 
 def test_tiles_do_not_show(spark):
@@ -62,3 +62,12 @@ def test_digests_know_the_order(spark):
     swapped = [(g, {3: 4, 4: 3}.get(k, k) if g == 1 else k, a, b) for g, k, a, b in rows]
     other = digest(spark.createDataFrame(swapped, frame.schema))
     assert other[1] != first[1] and other[2] == first[2]
+
+
+def test_of_one_place_only_the_first_point_counts(spark, monkeypatch):
+    """Near pairs are those of places, so copies of a place don't make the graph grow."""
+    paired = []
+    monkeypatch.setattr(relief, "within", lambda *a: paired.append(spatial.within(*a)) or paired[-1])
+    rows = [(100 * k + c, 27.0 + k * 0.00003, 70.0) for k in range(4) for c in range(30)] + [(901, None, 70.0), (902, None, 70.0)]
+    kept = {r.k for r in relief.thinned(spark.createDataFrame(rows, "k long, lon double, lat double"), "k", 2.0).collect()}
+    assert kept == {0, 200, 901, 902} and paired[0].count() <= 16
