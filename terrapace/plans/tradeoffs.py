@@ -67,9 +67,8 @@ SELECT best.q AS query, t AS time_s, a AS ascent_m, h AS heat, k AS kcal, list_c
 
 def _bounds(spark, sf_dir):
     """What the way from each zone to its nearest facility costs at least, whatever the streets, for every profile."""
-    near = spatial.within(view(spark, sf_dir, "zones"), view(spark, sf_dir, "facilities"), 3000.0, distance="d")
-    near = near.groupBy("zone_id", "lon", "lat").agg(F.min_by(F.struct("lon_r", "lat_r"), F.struct("d", "facility_id")).alias("f"), F.min("d").alias("d"))
-    metres = bounds.planar_metres("lon", "lat", "f.lon_r", "f.lat_r", F.greatest(F.abs("lat"), F.abs("f.lat_r")))
+    near = spatial.nearest_place(view(spark, sf_dir, "zones").select("zone_id", "lon", "lat"), view(spark, sf_dir, "facilities"), "facility_id", 3000.0, 187.5).withColumnRenamed("distance_m", "d")
+    metres = bounds.planar_metres("lon", "lat", "lon_r", "lat_r", F.greatest(F.abs("lat"), F.abs("lat_r")))
     rows = near.withColumn("metres", metres).crossJoin(F.broadcast(bounds.profile_bounds(spark)))
     return rows.select("zone_id", "profile", (F.col("metres") <= F.col("d")).alias("admissible"), F.round("metres", 3).alias("metres"), F.round(F.col("metres") * F.col("seconds"), 3).alias("seconds"), F.round(F.col("metres") * F.col("kcal"), 4).alias("kcal"), F.round(F.col("metres") * F.col("cost"), 3).alias("cost"))
 
