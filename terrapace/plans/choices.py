@@ -60,9 +60,10 @@ ORACLES["a35_weights"] = "WITH w AS (SELECT p_partkey, greatest(0e0, p_size - 5)
 
 def _od_table(spark, sf_dir):
     zones, facilities = view(spark, sf_dir, "zones"), view(spark, sf_dir, "facilities").select("facility_id", "lon", "lat")
-    near = spatial.within(zones, facilities, 1000.0)
-    rows = near.select(F.col("zone_id").alias("origin"), F.col("facility_id").alias("destination"), (F.floor("distance_m") / 1000).alias("distance_km"), (F.floor("distance_m") / 61.3).alias("minutes"), (F.col("zone_id") / 2).alias("climb_m"))
-    return sinks.od_table(rows)
+    zones = zones.select(F.struct(F.col("zone_id").alias("origin"), sinks.od_text("climb_m", F.col("zone_id") / 2)).alias("zone"), "lon", "lat")
+    near = spatial.place_pairs(zones, facilities.withColumnRenamed("facility_id", "destination"), "zone", "destination", 1000.0)
+    texts = near.select("zone", "destination", sinks.od_text("distance_km", F.floor("distance_m") / 1000), sinks.od_text("minutes", F.floor("distance_m") / 61.3))
+    return spatial.spread(texts, "zone", "destination").select("zone.origin", "destination", "distance_km", "minutes", "zone.climb_m")
 
 
 QUERIES["w09_od_table"] = _od_table

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,14 @@ def gpx(points: DataFrame, creator: str = "terrapace") -> DataFrame:
     return _line(points, point).select("route_id", F.concat(F.lit(head), F.array_join("line", ""), F.lit("</trkseg></trk></gpx>")).alias("gpx"))
 
 
+OD_DECIMALS = {"distance_km": 3, "minutes": 2, "climb_m": 1}
+
+
+def od_text(name: str, value: Column) -> Column:
+    """A column of the table of origins and destinations, as text."""
+    return F.format_string(f"%.{OD_DECIMALS[name]}f", value).alias(name)
+
+
 def od_table(matrix: DataFrame) -> DataFrame:
     """Text columns of matrix(origin, destination, distance_km, minutes, climb_m) at 3, 2 and 1 decimals."""
-    return matrix.select("origin", "destination", F.format_string("%.3f", "distance_km").alias("distance_km"), F.format_string("%.2f", "minutes").alias("minutes"), F.format_string("%.1f", "climb_m").alias("climb_m"))
+    return matrix.select("origin", "destination", *(od_text(c, F.col(c)) for c in OD_DECIMALS))
