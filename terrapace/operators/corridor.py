@@ -50,7 +50,10 @@ def hazard_exposure(points: DataFrame, hazards: DataFrame) -> DataFrame:
 
 
 def buffer_cells(segments: DataFrame, buffer_m: float) -> DataFrame:
-    """(route_id, area_ha): cells of a fifth of the buffer whose centre lies within it of the line, each counted once."""
+    """(route_id, area_ha): cells of a fifth of the buffer whose centre lies within it of the line, each counted once.
+
+    Cells are bits of words of 8 x 8, so a task holds a word for each of these, not a row for each cell.
+    """
     size = buffer_m / 5.0
     x, y = (lambda c: F.col(c) * METRES_PER_DEGREE_LON * 0.78), (lambda c: F.col(c) * METRES_PER_DEGREE_LAT)
     flat = segments.select("route_id", x("lon").alias("x1"), y("lat").alias("y1"), x("lon2").alias("x2"), y("lat2").alias("y2"))
@@ -61,7 +64,9 @@ def buffer_cells(segments: DataFrame, buffer_m: float) -> DataFrame:
     length = dx * dx + dy * dy
     t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((cx - F.col("x1")) * dx + (cy - F.col("y1")) * dy) / length))).otherwise(0.0)
     inside = cells.where(F.hypot(F.col("x1") + t * dx - cx, F.col("y1") + t * dy - cy) <= buffer_m)
-    return inside.select("route_id", "cx", "cy").distinct().groupBy("route_id").agg((F.count("*") * size * size / 1e4).alias("area_ha"))
+    bit = F.expr("shiftleft(1L, cast(pmod(cx, 8) * 8 + pmod(cy, 8) as int))")
+    words = inside.groupBy("route_id", F.floor(F.col("cx") / 8).alias("wx"), F.floor(F.col("cy") / 8).alias("wy")).agg(F.bit_or(bit).alias("cells"))
+    return words.groupBy("route_id").agg((F.sum(F.bit_count("cells")) * size * size / 1e4).alias("area_ha"))
 
 
 def shade_exposure(points: DataFrame, hour: float = 14.0, day: int = 172, density: float = 0.6) -> DataFrame:
