@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_2d
+from ..functions.geo import METRES_PER_DEGREE_LAT, haversine_2d
 from .chains import scan
 from .network import stored
 from .running import running_totals
@@ -21,6 +21,8 @@ SIGMA, BETA, CANDIDATES = 4.07, 3.0, 10
 PER_SQUARE_MM, PER_MM = 15, round(10_000 * SIGMA * SIGMA)
 #: Stands for impossible; two of them can be added.
 NEVER = -(1 << 60)
+#: The ends of two candidates' streets.
+STREETS = ["a_u", "a_v", "b_u", "b_v"]
 
 
 def _mm(metres: str | Column) -> Column:
@@ -35,18 +37,28 @@ def edge_candidates(points: DataFrame, segments: DataFrame, radius_m: float = 35
     """
     ends = (F.least("lon1", "lon2"), F.greatest("lon1", "lon2"), F.least("lat1", "lat2"), F.greatest("lat1", "lat2"))
     heights = ["z1", "z2"] if "z1" in segments.columns else []
+    placed = stored(points.select("track_id", "seq", F.col("lon").alias("plon"), F.col("lat").alias("plat")).withColumn("cell", cell_at("plon", "plat", 2 * radius_m)), "placed")
     offered = segments.select("u", "v", "lon1", "lat1", "lon2", "lat2", *heights).withColumn("cell", F.explode(cells_near(*ends, radius_m, 2 * radius_m)))
-    placed = points.select("track_id", "seq", F.col("lon").alias("plon"), F.col("lat").alias("plat")).withColumn("cell", cell_at("plon", "plat", 2 * radius_m))
+    offered = offered.join(stored(placed.select("cell").distinct(), "cells"), "cell", "left_semi")
+    reach = F.lit(radius_m / METRES_PER_DEGREE_LAT * 1.000001 + 1e-9)
+    highest = F.greatest(F.abs(ends[2] - reach), F.abs(ends[3] + reach))
+    wide = F.when(highest < 90.0, F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(reach)) / F.cos(F.radians(highest)))))).otherwise(360.0)
     k = F.cos(F.radians((F.col("lat1") + F.col("lat2")) / 2))
-    ex, ey = (F.col("lon2") - F.col("lon1")) * k, F.col("lat2") - F.col("lat1")
-    square = ex * ex + ey * ey
-    share = F.when(square >= 1e-12, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("plon") - F.col("lon1")) * k * ex + (F.col("plat") - F.col("lat1")) * ey) / square))).otherwise(0.0)
-    near = placed.join(offered, "cell").withColumn("share", share)
+    offered = offered.withColumns({"k": k, "length_m": haversine_2d("lon1", "lat1", "lon2", "lat2"), "middle": (ends[0] + ends[1]) / 2, "wide": (ends[1] - ends[0]) / 2 + wide, "low": ends[2] - reach, "high": ends[3] + reach})
+    offered = stored(offered.withColumns({"ex": (F.col("lon2") - F.col("lon1")) * F.col("k"), "ey": F.col("lat2") - F.col("lat1")}), "offered")  # only where points are
+    spark = points.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    off = F.abs(F.col("plon") - F.col("middle"))
+    near = placed.repartition(tasks, "track_id", "seq").join(offered, "cell").where(F.col("plat").between(F.col("low"), F.col("high")) & (F.least(off, 360.0 - off) <= F.col("wide")))
+    square = F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey")
+    share = F.when(square >= 1e-12, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("plon") - F.col("lon1")) * F.col("k") * F.col("ex") + (F.col("plat") - F.col("lat1")) * F.col("ey")) / square))).otherwise(0.0)
+    near = near.withColumn("share", share)
     near = near.withColumns({"lon": F.col("lon1") + F.col("share") * (F.col("lon2") - F.col("lon1")), "lat": F.col("lat1") + F.col("share") * (F.col("lat2") - F.col("lat1"))})
-    near = near.withColumns({"residual_m": haversine_2d("plon", "plat", "lon", "lat"), "length_m": haversine_2d("lon1", "lat1", "lon2", "lat2")}).where(F.col("residual_m") <= radius_m)
-    place = F.row_number().over(Window.partitionBy("track_id", "seq").orderBy(_mm("residual_m"), "u", "v"))
+    near = near.withColumn("residual_m", haversine_2d("plon", "plat", "lon", "lat"))
+    # What is too far is numbered last and left out after: a filter before would compute every foot point several times.
+    place = F.row_number().over(Window.partitionBy("track_id", "seq").orderBy(F.col("residual_m") > radius_m, _mm("residual_m"), "u", "v"))
     z = [(F.col("z1") + F.col("share") * (F.col("z2") - F.col("z1"))).alias("z")] if heights else []
-    return near.withColumn("place", place).where(F.col("place") <= CANDIDATES).select("track_id", "seq", "plon", "plat", "u", "v", "lon", "lat", "residual_m", "share", "length_m", "place", *z)
+    return near.withColumn("place", place).where((F.col("place") <= CANDIDATES) & (F.col("residual_m") <= radius_m)).select("track_id", "seq", "plon", "plat", "u", "v", "lon", "lat", "residual_m", "share", "length_m", "place", *z)
 
 
 def numbered(points: DataFrame) -> DataFrame:
@@ -78,14 +90,23 @@ def hop_metres(candidates: DataFrame, edges: DataFrame, radius_m: float) -> Data
     same = F.sort_array(F.array("a_u", "a_v")) == F.sort_array(F.array("b_u", "b_v"))
     ahead = F.abs(F.col("b_share") - F.when(F.col("a_u") == F.col("b_u"), F.col("a_share")).otherwise(1 - F.col("a_share"))) * F.col("b_length_m")
     part = lambda s, end: (F.col(f"{s}_share") if end == "u" else 1 - F.col(f"{s}_share")) * F.col(f"{s}_length_m")
-    hops = hops.withColumn("same", F.when(same, ahead)).select("track_id", "n", F.col("a_place").alias("i"), F.col("b_place").alias("j"), "straight", "bound", "same", haversine_2d("a_lon", "a_lat", "b_lon", "b_lat").alias("apart"), F.array(*(F.struct(F.col(f"a_{x}").alias("tree"), F.col(f"b_{y}").alias("node"), part("a", x).alias("out"), part("b", y).alias("into")) for x in "uv" for y in "uv")).alias("ways"))
+    parts = [part(s, end).alias(f"{name}_{end}") for s, name in (("a", "out"), ("b", "into")) for end in "uv"]
+    hops = hops.withColumn("same", F.when(same, ahead)).select("track_id", "n", F.col("a_place").alias("i"), F.col("b_place").alias("j"), "straight", "bound", "same", haversine_2d("a_lon", "a_lat", "b_lon", "b_lat").alias("apart"), *STREETS, *parts)
     hops = stored(hops, "hops")
-    ways = hops.where("same is null").select("track_id", "n", "i", "j", "bound", F.inline("ways"))
-    starts = ways.groupBy(F.col("tree").alias("origin")).agg(F.max(F.col("bound") - F.col("out")).alias("most")).where("most >= 0")
+    apart = hops.where("same is null")
+    asked = apart.select("bound", F.inline(F.array(*(F.struct(F.col(f"a_{x}").alias("origin"), F.col(f"out_{x}").alias("out")) for x in "uv"))))
+    starts = asked.groupBy("origin").agg(F.max(F.col("bound") - F.col("out")).alias("most")).where("most >= 0")
     both = edges.select("u", "v", "cost").union(edges.select("v", "u", "cost"))
-    reach = shortest_paths(both, stored(starts, "starts")).select(F.col("origin").alias("tree"), "node", F.col("cost").alias("way"))
-    along = ways.join(reach, ["tree", "node"]).where(F.col("out") + F.col("way") <= F.col("bound")).groupBy("track_id", "n", "i", "j").agg(F.min(F.col("out") + F.col("way") + F.col("into")).alias("along"))
-    return hops.drop("ways").join(along, ["track_id", "n", "i", "j"], "left").select("track_id", "n", "i", "j", "straight", F.coalesce("same", "along", F.col("bound") + F.col("apart")).alias("along"))
+    reach = stored(shortest_paths(both, stored(starts, "starts")).select("origin", "node", "cost"), "reach")
+    # Ways are looked up once for each pair of streets, not for each pair of candidates.
+    streets = apart.select(*STREETS).distinct()
+    for x in "uv":
+        for y in "uv":
+            streets = streets.join(reach.select(F.col("origin").alias(f"a_{x}"), F.col("node").alias(f"b_{y}"), F.col("cost").alias(f"way_{x}{y}")), [f"a_{x}", f"b_{y}"], "left")
+    until = lambda x, y: F.col(f"out_{x}") + F.col(f"way_{x}{y}")
+    along = F.least(*(F.when(until(x, y) <= F.col("bound"), until(x, y) + F.col(f"into_{y}")) for x in "uv" for y in "uv"))
+    found = hops.join(stored(streets, "streets"), STREETS, "left")
+    return found.select("track_id", "n", "i", "j", "straight", F.coalesce("same", along, F.col("bound") + F.col("apart")).alias("along"))
 
 
 def _sum(a: Column, b: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..operators import matching
 from ..sources.fixtures import view, with_views
 from .scalar import sql_haversine
@@ -27,7 +28,7 @@ def _matched(spark, sf_dir):
 
 
 QUERIES["j12_edge_candidates"] = _candidates
-QUERIES["g25_matched_points"] = lambda spark, sf_dir: _matched(spark, sf_dir).select("track_id", "seq", "u", "v", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"), F.round("residual_m", 3).alias("residual_m"))
+QUERIES["g25_matched_points"] = lambda spark, sf_dir: _matched(spark, sf_dir).select("track_id", "seq", "u", "v", rounded("lon", 7).alias("lon"), rounded("lat", 7).alias("lat"), F.round("residual_m", 3).alias("residual_m"))
 QUERIES["g25_map_matching"] = lambda spark, sf_dir: matching.match_summary(_matched(spark, sf_dir)).select("track_id", "points", *(F.round(c, 3).alias(c) for c in ("mean_error_m", "metres", "gain_m")))
 
 _D = sql_haversine

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from terrapace.functions.numbers import rounded
 from terrapace.operators import chains, matching, search, spatial
 
 STEP = 0.0005
@@ -60,3 +61,29 @@ def test_nearest_at_any_distance(spark):
     assert got[3] == 9
     assert spatial.nearest_anywhere(left, right.limit(0), "node", 50.0).count() == 0
     assert spatial.nearest_anywhere(left.limit(0), right, "node", 50.0).count() == 0
+
+
+def test_candidates_are_searched_in_many_tasks(spark, streets):
+    segments, _ = streets
+    points = spark.createDataFrame([(1, k, 27.0 + k * STEP / 7, 38.0 + k * STEP / 9) for k in range(20)] + [(2, 1, 179.9999, 38.0)], "track_id long, seq int, lon double, lat double")
+    far = spark.createDataFrame([(90, 91, -179.9999, 37.9999, 0.0, -179.9999, 38.0002, 0.0)], segments.schema)  # beyond the date line, 17.5 metres off
+    found = matching.edge_candidates(points, segments.union(far), 35.0)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.track_id, r.seq, r.u, r.v) for r in found.collect()}
+    both = points.crossJoin(segments.union(far)).withColumn("k", F.cos(F.radians((F.col("lat1") + F.col("lat2")) / 2)))
+    both = both.withColumns({"ex": F.expr("(lon2 - lon1) * k"), "ey": F.expr("lat2 - lat1")}).withColumn("share", F.expr("greatest(0e0, least(1e0, ((lon - lon1) * k * ex + (lat - lat1) * ey) / (ex * ex + ey * ey)))"))
+    metres = matching.haversine_2d("lon", "lat", F.expr("lon1 + share * (lon2 - lon1)"), F.expr("lat1 + share * (lat2 - lat1)"))
+    assert got == {(r.track_id, r.seq, r.u, r.v) for r in both.where(metres <= 35.0).collect()} and (2, 1, 90, 91) in got
+
+
+def test_ways_are_looked_up_once_for_each_pair_of_streets(spark, streets, monkeypatch):
+    segments, nodes = streets
+    points = [(t, k, 27.0 + k * STEP / 4, 38.0 + STEP + 0.00004) for t in range(6) for k in range(9)]
+    sizes, stored = {}, matching.stored
+    monkeypatch.setattr(matching, "stored", lambda df, name: [kept := stored(df, name), sizes.__setitem__(name, kept.count())][0])
+    matching.match_tracks(spark.createDataFrame(points, "track_id long, seq int, lon double, lat double"), segments, nodes).collect()
+    assert 0 < sizes["streets"] <= sizes["hops"] / 6
+
+
+def test_halves_round_as_in_sql(spark):
+    assert spark.createDataFrame([(38.40300075,), (-0.5,)], "x double").select(rounded("x", 7).alias("r"), rounded("x", 0).alias("w")).collect() == [(38.4030007, 38.0), (-0.5, -1.0)]
