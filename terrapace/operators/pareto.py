@@ -2,18 +2,20 @@
 
 A fixpoint over sets of labels: every round extends the labels that survived the last one by an edge, and one aggregation by (query, node)
 drops what is dominated there. Labels are vectors of whole numbers, so that equal routes are equal however they were added up. Bounds
-from a reverse search say what the rest of the way costs at least in each objective; labels that with it are no better than a
+from reverse searches, which end where every way is worse than a known one, say what the rest of the way costs at least in each objective; labels that with it are no better than a
 route already found go no further. Frontiers have no limit.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fixpoint import Rounds, ancestors
 from .network import stored
-from .search import shortest_paths
+from .search import routes, shortest_paths
 
 OBJECTIVES = ("time_s", "ascent_m", "heat", "kcal")
 #: Labels count thousandths of an objective's unit.
@@ -25,33 +27,54 @@ def whole(objectives: tuple[str, ...] = OBJECTIVES) -> list:
     return [F.round(F.col(c) * UNITS).cast("long").alias(c) for c in objectives]
 
 
+def first_ways(edges: DataFrame, queries: DataFrame, objectives: tuple[str, ...] = OBJECTIVES) -> DataFrame:
+    """(query, goal, seed_<objective> ...): the cost vector of one way for each of queries(query, origin, goal), the least in the first objective; no row where there is no way."""
+    one = edges.groupBy("u", "v").agg(F.min(F.struct(*objectives)).alias("x")).select("u", "v", "x.*")
+    pairs = queries.select(F.col("query").cast("long").alias("pair_id"), "origin", F.col("goal").alias("node"))
+    found = stored(routes(one.select("u", "v", F.col(objectives[0]).cast("double").alias("cost")), pairs), "first")
+    ends = F.arrays_zip(F.expr("slice(path, 1, size(path) - 1)").alias("u"), F.expr("slice(path, 2, size(path))").alias("v"))
+    steps = found.where("size(path) > 1").select("pair_id", F.inline(ends)).join(one, ["u", "v"]).groupBy("pair_id").agg(*(F.sum(c).alias(c) for c in objectives))
+    sums = found.select("pair_id").join(steps, "pair_id", "left").select(F.col("pair_id").alias("query"), *(F.coalesce(c, F.lit(0).cast("long")).alias(f"seed_{c}") for c in objectives))
+    return queries.select("query", "goal").join(sums, "query")
+
+
 def reverse_bounds(edges: DataFrame, goals: DataFrame, objectives: tuple[str, ...] = OBJECTIVES) -> DataFrame:
-    """(goal, node, low_<objective> ...): least cost from each node to each of goals(goal), by objective; nodes without a way are not there."""
-    out = None
+    """(goal, node, low_<objective> ...): least cost from each node to each of goals(goal), by objective; nodes without a way are not there.
+
+    goals may have a most_<objective> for each: then each search ends there. Nodes that no search reaches are not there, and what a search
+    does not reach costs at least 1 more than its limit.
+    """
+    own = f"most_{objectives[0]}" in goals.columns
+    found = []
     for c in objectives:
         back = edges.groupBy(F.col("v").alias("u"), F.col("u").alias("v")).agg(F.min(c).cast("double").alias("cost"))
-        found = shortest_paths(back, goals.select(F.col("goal").alias("origin"))).select(F.col("origin").alias("goal"), "node", F.round("cost").cast("long").alias(f"low_{c}"))
-        out = found if out is None else out.join(found, ["goal", "node"])
-    return out
+        starts = goals.select(F.col("goal").alias("origin"), *([F.col(f"most_{c}").cast("double").alias("most")] if own else []))
+        found.append(shortest_paths(back, starts).select(F.col("origin").alias("goal"), "node", F.lit(c).alias("of"), F.round("cost").cast("long").alias("low")))
+    rows = reduce(lambda a, b: a.union(b), found)
+    bounds = rows.groupBy("goal", "node").agg(*(F.min(F.when(F.col("of") == c, F.col("low"))).alias(f"low_{c}") for c in objectives))
+    if not own:
+        return bounds
+    return bounds.join(goals, "goal").select("goal", "node", *(F.coalesce(f"low_{c}", F.col(f"most_{c}") + 1).alias(f"low_{c}") for c in objectives))
 
 
 def _no_worse(a: str, b: str, names: list[str]) -> str:
     return " and ".join(f"{a}.{c} <= {b}.{c}" for c in names)
 
 
-def frontier(edges: DataFrame, queries: DataFrame, objectives: tuple[str, ...] = OBJECTIVES, bounds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def frontier(edges: DataFrame, queries: DataFrame, objectives: tuple[str, ...] = OBJECTIVES) -> tuple[DataFrame, DataFrame]:
     """(solutions, labels) of queries(query, origin, node) over edges(u, v, objectives as whole numbers, none negative).
 
     solutions(query, label, objectives) are the non-dominated cost vectors at each query's node, one for each vector; labels(tree, node, pred,
     place) is the tree of all labels, for ways(). A query whose ends are one node has the zero vector; one without a way has no row.
-    bounds(goal, node, low_...) as of reverse_bounds(), which is taken by default.
+    A first way of each query bounds all: a label that with the least rest of its way is worse than it goes no further, so the reverse searches
+    end at the vectors of their goal's first ways. Beyond that everything is worse in each objective.
     """
     names = list(objectives)
     edges = stored(edges.select("u", "v", *names), "edges")
     queries = stored(queries.select("query", F.col("origin").cast("long"), F.col("node").cast("long").alias("goal")), "queries")
-    if bounds is None:
-        bounds = reverse_bounds(edges, queries.select("goal").distinct(), objectives)
-    bounds = stored(bounds, "bounds")
+    seeds = stored(first_ways(edges, queries, objectives), "seeds")
+    goals = stored(seeds.groupBy("goal").agg(*(F.max(f"seed_{c}").alias(f"most_{c}") for c in names)), "goals")
+    bounds = stored(reverse_bounds(edges, goals, objectives), "bounds").hint("merge")  # never sent through the driver
     label = F.xxhash64("query", "place", *names)
     start = queries.select("query", "goal", F.col("origin").alias("place"), *(F.lit(0).cast("long").alias(c) for c in names))
     start = start.join(bounds.select("goal", F.col("node").alias("place")), ["goal", "place"], "left_semi")
@@ -62,9 +85,10 @@ def frontier(edges: DataFrame, queries: DataFrame, objectives: tuple[str, ...] =
         tried = step.groupBy("query", "goal", F.col("v").alias("place"), *((F.col(f"g_{c}") + F.col(c)).alias(c) for c in names)).agg(F.min("pred").alias("pred"))
         known = rounds.all()
         done = known.where("place = goal").groupBy("query").agg(F.collect_list(F.struct(*names)).alias("done"))
-        ahead = tried.join(bounds, (tried["goal"] == bounds["goal"]) & (tried["place"] == bounds["node"])).drop(bounds["goal"], bounds["node"]).join(done, "query", "left")
+        ahead = tried.join(bounds, (tried["goal"] == bounds["goal"]) & (tried["place"] == bounds["node"])).drop(bounds["goal"], bounds["node"]).join(seeds.drop("goal"), "query").join(done, "query", "left")
+        worse = f"{' and '.join(f'seed_{c} <= {c} + low_{c}' for c in names)} and ({' or '.join(f'seed_{c} < {c} + low_{c}' for c in names)})"
         beaten = f"exists(done, s -> {' and '.join(f's.{c} <= {c} + low_{c}' for c in names)})"
-        ahead = ahead.where(~F.coalesce(F.expr(beaten), F.lit(False))).select("query", "goal", "place", *names, "pred")
+        ahead = ahead.where(~F.expr(worse) & ~F.coalesce(F.expr(beaten), F.lit(False))).select("query", "goal", "place", *names, "pred")
         here = known.join(ahead.select("query", "place").distinct(), ["query", "place"], "left_semi").select("query", "goal", "place", *names, "pred")
         both = ahead.withColumn("new", F.lit(True)).union(here.withColumn("new", F.lit(False)))
         sets = both.groupBy("query", "goal", "place").agg(F.collect_list(F.struct("new", *names, "pred")).alias("all"))

@@ -31,16 +31,21 @@ def _vectors(spark, sf_dir):
 def _pairs(spark, sf_dir):
     """Each facility and the nearest other one that stands at another node, by their nodes."""
     nodes = view(spark, sf_dir, "grid_nodes").select("node_id", "lon", "lat")
-    placed = _snapped(spark, sf_dir, "facilities", "facility_id").join(nodes, "node_id")
-    left = placed.select(F.col("facility_id").alias("query"), F.col("node_id").alias("origin"), "lon", "lat")
-    near = spatial.within(left, placed.select("facility_id", F.col("node_id").alias("node"), "lon", "lat"), NEAR_M, distance="d").where("origin <> node")
-    return near.groupBy("query", "origin").agg(F.min_by("node", F.struct(F.round("d", 3), "facility_id")).alias("node"))
+    placed = network.stored(_snapped(spark, sf_dir, "facilities", "facility_id"), "placed")
+    firsts = placed.groupBy("node_id").agg(F.min("facility_id").alias("facility_id")).join(nodes, "node_id")  # of one node's facilities the first is taken
+    near = spatial.within(firsts.select(F.col("node_id").alias("origin"), "lon", "lat"), firsts.withColumnRenamed("node_id", "node"), NEAR_M, distance="d").where("origin <> node")
+    near = near.groupBy("origin").agg(F.min_by("node", F.struct(F.round("d", 3), "facility_id")).alias("node"))
+    return placed.select(F.col("facility_id").alias("query"), F.col("node_id").alias("origin")).join(near, "origin")
 
 
 def _frontier(spark, sf_dir):
-    solutions, _ = pareto.frontier(_vectors(spark, sf_dir), _pairs(spark, sf_dir))
-    kept = pareto.thinned(solutions).select("query", F.col("label").alias("l"))
-    return solutions.join(kept.withColumnRenamed("query", "q"), (F.col("query") == F.col("q")) & (F.col("label") == F.col("l")), "left").select("query", *pareto.OBJECTIVES, F.col("l").isNotNull().alias("kept"))
+    asked = network.stored(_pairs(spark, sf_dir), "asked")
+    pairs = asked.groupBy("origin", "node").agg(F.min("query").alias("pair"))  # facilities of one node share a search
+    solutions, _ = pareto.frontier(_vectors(spark, sf_dir), pairs.withColumnRenamed("pair", "query"))
+    solutions = network.stored(solutions.withColumnRenamed("query", "pair"), "solutions")
+    kept = pareto.thinned(solutions.withColumnRenamed("pair", "query")).select(F.col("query").alias("q"), F.col("label").alias("l"))
+    rows = solutions.join(kept, (F.col("pair") == F.col("q")) & (F.col("label") == F.col("l")), "left").select("pair", *pareto.OBJECTIVES, F.col("l").isNotNull().alias("kept"))
+    return asked.join(pairs, ["origin", "node"]).select("query", "pair").join(rows, "pair").select("query", *pareto.OBJECTIVES, "kept")
 
 
 QUERIES["g14_pareto_frontier"] = _frontier

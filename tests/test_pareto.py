@@ -62,3 +62,13 @@ def test_no_queries(spark):
     edges = spark.createDataFrame(graph(3), f"u long, v long, {', '.join(f'{c} long' for c in NAMES)}")
     solutions, labels = pareto.frontier(edges, spark.createDataFrame([], "query long, origin long, node long"))
     assert solutions.count() == 0 and pareto.ways(solutions, labels).count() == 0
+
+
+def test_reverse_searches_end_where_all_is_worse(spark, monkeypatch):
+    line = [(a, b, 3, a % 2 + 1, 1, 2) for k in range(200) for a, b in ((k, k + 1), (k + 1, k))] + [(50, 60, 100, 1, 1, 1), (60, 51, 1, 0, 0, 0)]
+    edges = spark.createDataFrame(line, f"u long, v long, {', '.join(f'{c} long' for c in NAMES)}")
+    sizes, stored = {}, pareto.stored
+    monkeypatch.setattr(pareto, "stored", lambda df, name: [kept := stored(df, name), sizes.__setitem__(name, kept.count())][0])
+    solutions, _ = pareto.frontier(edges, spark.createDataFrame([(1, 50, 51)], "query long, origin long, node long"))
+    assert {tuple(r[c] for c in NAMES) for r in solutions.collect()} == {(3, 1, 1, 2), (101, 1, 1, 1)}
+    assert sizes["bounds"] < 20  # of 201 nodes
