@@ -59,3 +59,13 @@ def test_dearer_streets_by_regions_and_by_trees(spark, graph, monkeypatch):
     assert costs([(1, r.pair_id, r.cost) for r in search.routes(edges, asked, 4.0).collect()]) == want
     monkeypatch.setattr(blocks, "REGION_EDGES", 1)
     assert costs([(1, r.pair_id, r.cost) for r in search.routes(edges, asked, 4.0).collect()]) == want
+
+
+def test_trees_end_at_their_goals(spark, graph):
+    edges, _ = graph
+    starts, goals = spark.createDataFrame([(0, 0), (97, 97)], "tree long, node long"), spark.createDataFrame([(0, 0), (0, 15), (97, 98)], "tree long, node long")
+    whole = {(r.tree, r.node): r.cost for r in blocks.trees(edges, starts).collect()}
+    near = {(r.tree, r.node): r.cost for r in blocks.trees(edges, starts, goals=goals).collect()}
+    assert len(near) < len(whole)
+    for tree, node in ((0, 0), (0, 15), (97, 98)):
+        assert near[tree, node] == whole[tree, node]
